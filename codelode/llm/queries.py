@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import sharding, syncmers
+from . import bpe, mixing, mtree, sharding, syncmers, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_syncmer_fingerprints": syncmers.op1,
+    "op2_warc_archives": warc.op2,
+    "op3_mixture": mixing.op3,
     "op4_hypergeometric_shards": sharding.op4,
+    "op5_bpe_transducer": bpe.op5,
+    "op6_toxicity": toxicity.op6,
+    "op8_url_rules": url_filter.op8,
+    "op9_token_counts": token_counts.op9,
+    "op10_mtree_top_k": mtree.op10,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_archives": warc.ORACLE,
+    "op8_url_rules": url_filter.ORACLE,
+    "op10_mtree_top_k": mtree.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
