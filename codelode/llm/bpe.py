@@ -129,7 +129,7 @@ def build_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> str:
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon: str | None = None, with_ids: bool = False) -> DataFrame:
-    """docs without its text, with n_tokens, ids_sha256 and decoded_sha256; with_ids: also ids (array<int>) and decoded.
+    """docs without its text, with n_tokens, ids_sha256 and decoded_sha256; with_ids: also ids (array<int>).
 
     The frequent words of all texts are counted first, unless a lexicon's URI is given. A null text counts as empty and has no ids; special
     strings inside a text are their own tokens, as the library's default is. Columns of docs with these names are replaced; an empty df
@@ -137,17 +137,17 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon: str | N
     spark = docs.sparkSession
     small_batches(spark)
     lexicon = lexicon or build_lexicon(spark, frequent_words(docs, tokenizer, text), tokenizer)
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     kept = [f for f in docs.schema.fields if f.name.lower() not in names and f.name != text]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(lexicon, tokenizer)
         for batch in batches:
-            rows = [(n, sha(ids), sha(out), *(([int(i) for i in ids.split()], out) if with_ids else ())) for n, ids, out in (encoder.text(t or "") for t in batch.column(0).to_pylist())]
-            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)] or [pa.array([], k) for k in kinds[: 3 + 2 * with_ids]]
+            rows = [(n, sha(ids), sha(out), *([[int(i) for i in ids.split()]] if with_ids else [])) for n, ids, out in (encoder.text(t or "") for t in batch.column(0).to_pylist())]
+            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)] or [pa.array([], k) for k in kinds[: 3 + with_ids]]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*(f.name for f in kept), *names[: len(made)]])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), added])

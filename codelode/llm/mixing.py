@@ -133,12 +133,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 6
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows, each as often as the mix takes it, with shard and _order; written by shard in that order, every shard is a uniform sample of the mix in random order.
+    """docs' rows, each as often as the mix takes it, with _mix_shard and _mix_order; written by shard in that order, every shard is a uniform sample of the mix in random order.
 
-    Rows that share a key share its decisions."""
+    Rows that share a key share its decisions: of rows equal in key and size, each gets the first one's takes."""
     key = options.get("key", "doc_id")
-    taken = mix(docs, **options).select(F.col(key).alias("_id"), F.posexplode("shards").alias("_take", "shard")).dropDuplicates(["_id", "_take", "shard"])
-    return own_names(docs, "shard", "_id", "_take", "_order").join(taken, F.col(key).eqNullSafe(F.col("_id"))).withColumn("_order", F.xxhash64(F.lit(31), "_id", "_take")).drop("_id", "_take")
+    docs = own_names(docs, "_mix_id", "_mix_size", "_mix_take", "_mix_shard", "_mix_order")
+    words = F.regexp_count(F.coalesce(options.get("text", "text"), F.lit("")), F.lit(WORD)).cast("bigint")
+    taken = mix(docs, **options).filter("takes > 0").groupBy(F.col(key).alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max("shards").alias("_mix_shard"))
+    both = docs.withColumn("_mix_words", words).join(taken, F.col(key).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")))
+    kept = both.select(*docs.columns, F.posexplode("_mix_shard").alias("_mix_take", "_shard"))
+    return kept.withColumn("_mix_order", F.xxhash64(F.lit(31), key, "_mix_take")).withColumnRenamed("_shard", "_mix_shard").drop("_mix_take")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

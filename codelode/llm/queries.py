@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, mtree, sharding, syncmers, token_counts, toxicity, url_filter, warc
+from . import bpe, jaccard, mixing, mtree, sharding, syncmers, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_syncmer_fingerprints": syncmers.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_hypergeometric_shards": sharding.op4,
     "op5_bpe_transducer": bpe.op5,
     "op6_toxicity": toxicity.op6,
+    "op7_jaccard_groups": jaccard.op7,
     "op8_url_rules": url_filter.op8,
     "op9_token_counts": token_counts.op9,
     "op10_mtree_top_k": mtree.op10,
