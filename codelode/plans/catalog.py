@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import lookups, structure
+
+_ALL = [lookups.R, structure.R]
+QUERIES = {name: q for r in _ALL for name, q in r.queries.items()}
+ORACLE_SQL = {name: sql for r in _ALL for name, sql in r.sql.items()}
