@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lookups, structure
+from . import graph, lookups, structure
 
-_ALL = [lookups.R, structure.R]
+_ALL = [lookups.R, structure.R, graph.R]
 QUERIES = {name: q for r in _ALL for name, q in r.queries.items()}
 ORACLE_SQL = {name: sql for r in _ALL for name, sql in r.sql.items()}
