@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import MEMBER_KINDS
 
@@ -30,7 +31,7 @@ def truncate(text: str, most: int) -> str:
     return text.encode()[: 4 * max(most, 0)].decode(errors="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def truncated(texts: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else truncate(t, int(m)) for t, m in zip(texts, most, strict=True)], dtype=object)
 
@@ -130,12 +131,12 @@ def hash_vector(text: str, dims: int = 384) -> np.ndarray:
     return out / length if length else out
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([hash_vector(t or "").tolist() for t in texts], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hmac_sha256(key: pd.Series, message: pd.Series) -> pd.Series:
     return pd.Series([None if m is None or k is None else hmac.new(k.encode(), m.encode(), hashlib.sha256).hexdigest() for k, m in zip(key, message, strict=True)], dtype=object)

@@ -108,7 +108,7 @@ def discover(paths: list[str]) -> tuple[list[dict], list[dict]]:
     above = lambda m: ["", *["/".join(m.split("/")[: i + 1]) for i in range(len(m.split("/")) - 1)], m] if m else [""]
     out, roots = [], []
     for m in modules:
-        own = [b for b, markers in BUILD_MARKERS.items() if any(fits(n, markers) for f in (above(m) if b in INHERITED and "package.json" in folders.get(m, ()) else [m]) for n in folders.get(f, ()))]
+        own = [b for b, markers in BUILD_MARKERS.items() if any(fits(n, markers) for f in (above(m) if b in INHERITED else [m]) for n in folders.get(f, ()))]
         out.append({"module_path": m, "name": m.rpartition("/")[2] or "root", "build_systems": own})
         for root, kind, language in ROOTS:
             full = m if root == "." else f"{m}/{root}".lstrip("/")

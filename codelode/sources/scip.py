@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import stable_id
 
@@ -182,7 +183,7 @@ KINDS = {
 ROLES = {1: "DEFINITION", 64: "FORWARD_DEFINITION", 2: "IMPORT", 4: "WRITE", 8: "READ", 16: "GENERATED", 32: "TEST"}
 
 
-@F.pandas_udf("qualified_name string, descriptor_kind string")
+@F.pandas_udf(T.StructType().add("qualified_name", "string").add("descriptor_kind", "string"))
 def _names(raw: pd.Series, language: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"qualified_name": pd.Series([qualified_name(r, x) for r, x in zip(raw, language, strict=True)], dtype=object), "descriptor_kind": [descriptor_kind(r) for r in raw]})
 
