@@ -106,7 +106,7 @@ def boundaries(kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         now = flat[now * CLASSES + steps[j][:, None]]
         if now.shape[1] > 1 and j % 8 == 7 and (now == now[:, :1]).all():
             now = now[:, :1]  # whatever the start, the state is the same
-    maps = np.ascontiguousarray(np.broadcast_to(now, (lanes, STATES)))
+    maps = np.array(np.broadcast_to(now, (lanes, STATES)))
     step = 1
     while step < lanes:
         maps[step:] = np.take_along_axis(maps[step:], maps[:-step].copy(), 1)
