@@ -11,26 +11,26 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 
-#: Vectors of a leaf page, routing entries of an inner page, vectors of one tree, queries of one block.
-LEAF, FANOUT, TREE_ROWS, QUERY_ROWS = 64, 16, 8192, 2048
+#: Vectors of a leaf page, routing entries of an inner page, vectors of one tree, queries of one block, queries that go down a tree together.
+LEAF, FANOUT, TREE_ROWS, QUERY_ROWS, BATCH = 1024, 16, 16_384, 1024, 128
 SCALE, TOP, EVERY = 64, 20, 20
 
 
 class Page:
-    """A node: what it routes to (or holds) as arrays, with each entry's distance to the page's own pivot and its covering radius."""
+    """A node: what it routes to (or holds) as arrays, with each entry's squared length, its distance to the page's own pivot and its covering radius."""
 
-    __slots__ = ("children", "ids", "pivots", "radii", "to_parent", "vectors")
+    __slots__ = ("children", "ids", "norms", "pivots", "radii", "to_parent", "vectors")
 
     def __init__(self) -> None:
         self.children: list[Page] = []
-        self.ids = self.vectors = self.pivots = self.radii = self.to_parent = None
+        self.ids = self.vectors = self.pivots = self.radii = self.to_parent = self.norms = None
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, pivot: np.ndarray, seed: int = 3) -> Page:
     """A page over vectors around a pivot. Inner pages spread their routing pivots by farthest-first choice from a sample and give each vector to the nearest; vectors that can't be told apart are cut evenly."""
     page = Page()
     if len(ids) <= LEAF:
-        page.ids, page.vectors = ids, vectors
+        page.ids, page.vectors, page.norms = ids, vectors, (vectors**2).sum(1)
         page.to_parent = np.sqrt(((vectors - pivot) ** 2).sum(1))
         return page
     rng = np.random.default_rng(seed + len(ids))
@@ -53,54 +53,56 @@ def build(ids: np.ndarray, vectors: np.ndarray, pivot: np.ndarray, seed: int = 3
             radii.append(np.sqrt(((vectors[own] - p) ** 2).sum(1).max()))
             page.children.append(build(ids[own], vectors[own], p, seed + k + 1))
     page.pivots, page.radii = np.array(kept), np.array(radii)
+    page.norms = (page.pivots**2).sum(1)
     page.to_parent = np.sqrt(((page.pivots - pivot) ** 2).sum(1))
     return page
 
 
-def search(root: Page, pivot: np.ndarray, q: np.ndarray, own: int, top: int, floor: float = -np.inf) -> tuple[list[tuple[int, int]], int]:
-    """The top (score, -id) of the tree below root but for id own, among scores of at least floor; and how many inner products were computed.
+def search(root: Page, pivot: np.ndarray, queries: np.ndarray, own: np.ndarray, top: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """For each query the top (score, id) of the tree below root but for its own id, ties to smaller ids; and how many inner products were computed.
 
-    Over a page with pivot p and radius r no inner product exceeds q.p + |q| r. Where q's distance to the parent's pivot is known, the stored
-    distance of p to it bounds q.p without computing it: |q - p| >= | |q - parent| - |p - parent| |."""
-    length = float(np.sqrt(q @ q))
-    best: list[tuple[int, int]] = []
-    distance = float(np.sqrt(((q - pivot) ** 2).sum()))
-    open_: list[tuple[float, int, Page, float]] = [(-np.inf, 0, root, distance)]
+    Queries go down together, best page first; a page is opened for those of them that it may still serve. Over a page with pivot p and
+    radius r no inner product exceeds q.p + |q| r. Where q's distance to the parent's pivot is known, the stored distance of p to it bounds
+    q.p without computing it: |q - p| >= | |q - parent| - |p - parent| |."""
+    squares = (queries**2).sum(1)
+    lengths = np.sqrt(squares)
+    least = np.full(len(queries), -np.inf)
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]  # ascending (score, -id)
     count = computed = 0
-
-    def least() -> float:
-        return max(floor, best[0][0]) if len(best) == top else floor
-
+    everyone = np.arange(len(queries))
+    open_: list[tuple] = [(-np.inf, 0, root, everyone, np.full(len(queries), np.inf), np.sqrt(((queries - pivot) ** 2).sum(1)))]
     while open_:
-        bound, _, page, distance = heapq.heappop(open_)
-        if -bound < least():
-            break
+        _, _, page, who, reach, away = heapq.heappop(open_)
+        live = reach >= least[who]
+        who, away = who[live], away[live]
+        if not len(who):
+            continue
+        limit = (squares[who, None] + page.norms - (away[:, None] - page.to_parent) ** 2) / 2 + 1e-6
         if page.ids is not None:
-            norms = (page.vectors**2).sum(1)
-            limit = (length**2 + norms - (distance - page.to_parent) ** 2) / 2
-            maybe = np.flatnonzero(limit >= least() - 1e-6)
-            computed += len(maybe)
-            scores = page.vectors[maybe] @ q
-            for i in np.flatnonzero(scores >= least()):
-                entry = (int(scores[i]), -int(page.ids[maybe[i]]))
-                if -entry[1] != own:
-                    if len(best) < top:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
+            maybe = np.flatnonzero((limit >= least[who, None]).any(0))
+            computed += len(maybe) * len(who)
+            whole = len(maybe) == len(page.ids)
+            ids, scores = (page.ids if whole else page.ids[maybe]), queries[who] @ (page.vectors if whole else page.vectors[maybe]).T
+            for k, q in enumerate(who.tolist()):
+                line = scores[k]
+                at = np.flatnonzero((line >= least[q]) & (ids != own[q]))
+                if len(at) > 4 * top:
+                    at = at[line[at] >= np.partition(line[at], -top)[-top]]
+                if len(at):
+                    best[q] = sorted(best[q] + [(int(line[i]), -int(ids[i])) for i in at])[-top:]
+                    if len(best[q]) == top:
+                        least[q] = best[q][0][0]
             continue
-        norms = (page.pivots**2).sum(1)
-        limit = (length**2 + norms - (distance - page.to_parent) ** 2) / 2 + length * page.radii
-        maybe = np.flatnonzero(limit >= least() - 1e-6)
-        computed += len(maybe)
-        inner = page.pivots[maybe] @ q
-        for k, i in enumerate(maybe):
-            reach = float(inner[k] + length * page.radii[i]) + 1e-6
-            if reach >= least():
+        inner = queries[who] @ page.pivots.T
+        computed += inner.size
+        reaches = np.minimum(inner, limit) + lengths[who, None] * page.radii + 1e-6
+        gaps = np.sqrt(np.maximum(squares[who, None] + page.norms - 2 * inner, 0))
+        for i, child in enumerate(page.children):
+            some = reaches[:, i] >= least[who]
+            if some.any():
                 count += 1
-                away = float(np.sqrt(max(0.0, length**2 + norms[i] - 2 * inner[k])))
-                heapq.heappush(open_, (-reach, count, page.children[i], away))
-    return sorted(best, reverse=True), computed
+                heapq.heappush(open_, (-float(reaches[some, i].max()), count, child, who[some], reaches[some, i], gaps[some, i]))
+    return [[(score, -other) for score, other in reversed(own_best)] for own_best in best], computed
 
 
 def whole_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -123,8 +125,10 @@ def _best(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, vectors = left.column("_id").to_numpy(), _matrix(left.column("_v"))
         pivot = vectors.mean(axis=0)
         root = build(ids, vectors, pivot)
-        for own, q in zip(right.column("_id").to_pylist(), _matrix(right.column("_v")), strict=True):
-            out += [(own, -other, score) for score, other in search(root, pivot, q, own, TOP)[0]]
+        own, queries = right.column("_id").to_numpy(), _matrix(right.column("_v"))
+        for k in range(0, len(own), BATCH):
+            found, _ = search(root, pivot, queries[k : k + BATCH], own[k : k + BATCH], TOP)
+            out += [(int(q), other, score) for q, rows in zip(own[k : k + BATCH], found, strict=True) for score, other in rows]
     rows = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.table([pa.array(x, pa.int64()) for x in rows], names=["query_id", "vec_id", "score"])
 
