@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,8 +22,11 @@ from .transducer import Lexicon, compile_lexicon
 LEXICON_WORDS, KEPT = 65_536, 300_000
 #: Fixed values of the tokenizer file: its split pattern, and the strings that are tokens wherever they stand.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: In texts without such characters, normalising is lower-casing: other white space, marks and scripts take the library's own normaliser.
-_OTHER = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ſ]")
+#: In texts of these characters alone, normalising is lower-casing and a split by plain sets of them is the same; others take the library's own normaliser.
+_PLAIN = [c for c in map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x180)]) if c != "\u0130"]
+_OTHER = re.compile("[^" + re.escape("".join(_PLAIN)) + "]")
+_LETTERS, _NUMBERS = (re.escape("".join(c for c in _PLAIN if regex.match(kind, c))) for kind in (r"\p{L}", r"\p{N}"))
+_FAST = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
 
 
 class Words:
@@ -43,7 +47,7 @@ class Words:
         """The words of a segment without special strings."""
         if _OTHER.search(segment):
             return PATTERN.findall(self.tokenizer.normalizer.normalize_str(segment))
-        return PATTERN.findall(segment.lower())
+        return _FAST.findall(segment.lower())
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
@@ -66,8 +70,8 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", most: in
     return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-class Encoder:
-    """Words to ids: by the lexicon, else by the merges of the tokenizer's own model. What was found lately is remembered."""
+class Encoder(dict):
+    """Words to ids: by the lexicon, else by the merges of the tokenizer's own model. The dictionary remembers lately found words."""
 
     def __init__(self, lexicon: str, tokenizer: str):
         self.words = Words(tokenizer)
@@ -75,7 +79,6 @@ class Encoder:
         self.lexicon = Lexicon(files.mapped(lexicon))
         self._at, self._ids = self.lexicon.arrays["at"], self.lexicon.arrays["ids"]
         self.spelling = [self.words.tokenizer.id_to_token(i) for i in range(self.words.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.known: dict[str, tuple[int, str, str]] = {}
         self.symbols = byte_symbols()
 
     def ids(self, word: str) -> list[int]:
@@ -84,23 +87,23 @@ class Encoder:
             return self._ids[self._at[k] : self._at[k + 1]].tolist()
         return merge(self.model, self.symbols, word)
 
-    def word(self, word: str) -> tuple[int, str, str]:
+    def __missing__(self, word: str) -> tuple[int, str, str]:
         """How many ids, the ids in decimal, and their tokens, each joined by a space."""
-        if len(self.known) >= KEPT:
-            self.known.clear()
+        if len(self) >= KEPT:
+            self.clear()
         own = self.ids(word)
-        out = self.known[word] = (len(own), " ".join(map(str, own)), " ".join(self.spelling[i] for i in own))
+        out = self[word] = (len(own), " ".join(map(str, own)), " ".join(self.spelling[i] for i in own))
         return out
 
     def text(self, text: str) -> tuple[int, str, str]:
         """The whole text: how many ids, the ids in decimal, and what decoding them gives (the tokenizer has no decoder, so its tokens stay as they are, joined by a space)."""
-        found, known = [], self.known
+        found: list = []
         for k, segment in enumerate(self.words.parts(text)):
             if k % 2:
                 i = self.words.special[segment]
                 found.append((1, str(i), segment))
             else:
-                found += [known.get(w) or self.word(w) for w in self.words.of(segment)]
+                found += map(self.__getitem__, self.words.of(segment))
         if not found:
             return 0, "", ""
         counts, ids, tokens = zip(*found, strict=True)
