@@ -21,14 +21,14 @@ def both(t: Tables) -> DataFrame:
 
 
 _RESOLVE = """, refs AS (SELECT 's' || observation_id AS ref_id, source_key AS key, source_name AS name, source_file AS file, source_line AS line FROM observations UNION ALL SELECT 't' || observation_id, target_key, NULL, NULL, NULL FROM observations WHERE target_key IS NOT NULL),
-hits AS (SELECT ref_id, id FROM refs JOIN symbols ON key = symbol_key UNION ALL SELECT ref_id, id FROM refs JOIN symbols ON name = qualified_name WHERE key IS NULL UNION ALL
-  SELECT ref_id, id FROM refs JOIN symbols ON file = file_id AND (line IS NULL OR line BETWEEN start_line AND end_line) WHERE key IS NULL AND name IS NULL),
+hits AS (SELECT ref_id, id FROM refs JOIN symbols ON refs.key = symbol_key UNION ALL SELECT ref_id, id FROM refs JOIN symbols ON refs.name = qualified_name WHERE refs.key IS NULL UNION ALL
+  SELECT ref_id, id FROM refs JOIN symbols ON refs.file = file_id AND (refs.line IS NULL OR refs.line BETWEEN start_line AND end_line) WHERE refs.key IS NULL AND refs.name IS NULL),
 resolved AS (SELECT refs.*, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS status, CASE WHEN n = 1 THEN first END AS symbol_id FROM refs LEFT JOIN (SELECT ref_id AS r, count(*) AS n, min(id) AS first FROM hits GROUP BY ref_id) h ON h.r = ref_id)"""
 _BOTH = f"""{cte('symbols', 'observations', 'sessions')}{_RESOLVE}, obs AS (SELECT o.*, a.symbol_id AS source_symbol, a.status AS source_status, b.symbol_id AS target_symbol, b.status AS target_status,
   coalesce(source_key, source_name, source_file || coalesce(':' || source_line, '')) AS shown FROM observations o JOIN resolved a ON a.ref_id = 's' || observation_id LEFT JOIN resolved b ON b.ref_id = 't' || observation_id
   WHERE session_id IN (SELECT session_id FROM sessions WHERE snapshot_id = '{ACTIVE}'))"""
 R.add("d06_reference_resolution", lambda t: runtime.resolve(runtime.sources(t.observations).union(runtime.targets(t.observations)), t.symbols).select("ref_id", "status", "symbol_id", "candidates"), f"{cte('symbols', 'observations')}{_RESOLVE} SELECT ref_id, status, symbol_id, candidates FROM resolved")
-R.add("d06_candidate_ids", lambda t: runtime.candidate_ids(runtime.sources(t.observations), t.symbols), f"{cte('symbols', 'observations')}{_RESOLVE} SELECT ref_id, id, k FROM (SELECT ref_id, id, row_number() OVER (PARTITION BY ref_id ORDER BY id)::INTEGER AS k FROM refs JOIN symbols ON name = qualified_name WHERE key IS NULL) WHERE k <= 1000")
+R.add("d06_candidate_ids", lambda t: runtime.candidate_ids(runtime.sources(t.observations), t.symbols), f"{cte('symbols', 'observations')}{_RESOLVE} SELECT ref_id, id, k FROM (SELECT ref_id, id, row_number() OVER (PARTITION BY ref_id ORDER BY id)::INTEGER AS k FROM refs JOIN symbols ON refs.name = qualified_name WHERE refs.key IS NULL) WHERE k <= 1000")
 R.add("d07_line_containment", lambda t: runtime.resolve(runtime.sources(t.observations).filter("line IS NOT NULL"), t.symbols).select("ref_id", "line", "status", "candidates"), f"{cte('symbols', 'observations')}{_RESOLVE} SELECT ref_id, line, status, candidates FROM resolved WHERE line IS NOT NULL")
 R.add("e13_runtime_report", lambda t: rounded(runtime.report(both(t), t.symbols)),
       f"""{_BOTH} SELECT sum(hits)::BIGINT AS total_hits, sum(nanos)::BIGINT AS total_nanos, count(DISTINCT CASE WHEN type = 'LINE_COVERAGE' THEN coalesce(source_file, 'null') || ':' || coalesce(source_line::VARCHAR, 'null') END) AS covered_lines,
@@ -43,7 +43,7 @@ R.add("e14_symbol_report", lambda t: runtime.symbol_report(both(t)),
 R.add("e15_correlation_counts", lambda t: runtime.correlation_counts(both(t)), f"{_BOTH} SELECT status, count(*) AS \"references\" FROM (SELECT source_status AS status FROM obs UNION ALL SELECT target_status FROM obs WHERE target_status IS NOT NULL) GROUP BY status")
 R.add("c19_session_selection", lambda t: runtime.active_sessions(t.sessions, ACTIVE), f"{cte('sessions')} SELECT * FROM sessions WHERE snapshot_id = '{ACTIVE}'")
 R.add("c20_session_listing", lambda t: runtime.list_sessions(t.sessions, runtime.correlated(t.observations, t.symbols), ACTIVE),
-      f"{cte('symbols', 'observations', 'sessions')}{_RESOLVE}, n AS (SELECT session_id, count(*) AS observations, count_if(status = 'RESOLVED') AS resolved FROM observations JOIN resolved ON ref_id = 's' || observation_id GROUP BY session_id) SELECT session_id, snapshot_id, coalesce(n.observations, 0) AS observations, coalesce(n.resolved, 0) AS resolved, snapshot_id = '{ACTIVE}' AS aligned FROM sessions LEFT JOIN n USING (session_id) ORDER BY session_id LIMIT 128")
+      f"{cte('symbols', 'observations', 'sessions')}{_RESOLVE}, n AS (SELECT session_id, count(*) AS observations, count_if(status = 'RESOLVED')::BIGINT AS resolved FROM observations JOIN resolved ON ref_id = 's' || observation_id GROUP BY session_id) SELECT session_id, snapshot_id, coalesce(n.observations, 0) AS observations, coalesce(n.resolved, 0) AS resolved, snapshot_id = '{ACTIVE}' AS aligned FROM sessions LEFT JOIN n USING (session_id) ORDER BY session_id LIMIT 128")
 R.add("s20_runtime_display", lambda t: t.observations.select("observation_id", runtime.display("source_key", "source_name", "source_file", "source_line").alias("shown")), f"{cte('observations')} SELECT observation_id, coalesce(source_key, source_name, source_file || coalesce(':' || source_line, '')) AS shown FROM observations")
 
 _TOUCH = f"{cte('commits', 'commit_files')}, touched AS (SELECT c.*, coalesce(lower(author_email), author_name) AS author, path FROM commits c JOIN commit_files USING (commit_id))"
@@ -90,7 +90,7 @@ _WITH_MODULES = _CHANGES.replace("WITH ", cte("modules") + ", ", 1)
 R.add("d09_fingerprint_diff", changes, f"{_CHANGES} SELECT * FROM changes")
 R.add("t02_path_classification", areas, f"{_WITH_MODULES}{_AREAS} SELECT * FROM areas")
 R.add("t01_invalidation", lambda t: history.invalidation(changes(t), areas(t)),
-      f"{_WITH_MODULES}{_AREAS} SELECT *, CASE WHEN changed = 0 THEN 'NONE' WHEN ignore_policy + build + unqualified > 0 THEN 'FULL_REQUIRED' ELSE 'PARTIAL_CANDIDATE' END AS scope FROM (SELECT count(*) AS changed, count_if(area = 'IGNORE_POLICY') AS ignore_policy, count_if(area = 'BUILD') AS build, count_if(area = 'SOURCE') AS source, count_if(area = 'TEST') AS test, count_if(area = 'UNQUALIFIED') AS unqualified FROM changes JOIN areas USING (path) WHERE status <> 'unchanged')")
+      f"{_WITH_MODULES}{_AREAS} SELECT *, CASE WHEN changed = 0 THEN 'NONE' WHEN ignore_policy + build + unqualified > 0 THEN 'FULL_REQUIRED' ELSE 'PARTIAL_CANDIDATE' END AS scope FROM (SELECT count(*) AS changed, count_if(area = 'IGNORE_POLICY')::BIGINT AS ignore_policy, count_if(area = 'BUILD')::BIGINT AS build, count_if(area = 'SOURCE')::BIGINT AS source, count_if(area = 'TEST')::BIGINT AS test, count_if(area = 'UNQUALIFIED')::BIGINT AS unqualified FROM changes JOIN areas USING (path) WHERE status <> 'unchanged')")
 R.add("t03_incremental_plan", lambda t: history.incremental_plan(history.invalidation(changes(t), areas(t)).select("scope"), t.base("nation").select(F.col("n_name").alias("id"), (F.col("n_regionkey") >= 0).alias("incremental"))),
       f"{_WITH_MODULES}{_AREAS} SELECT scope, able, CASE WHEN scope = 'NONE' THEN 'NONE' WHEN scope = 'PARTIAL_CANDIDATE' AND able THEN 'INCREMENTAL' ELSE 'FULL' END AS plan FROM (SELECT CASE WHEN count(*) = 0 THEN 'NONE' WHEN count_if(area IN ('IGNORE_POLICY', 'BUILD', 'UNQUALIFIED')) > 0 THEN 'FULL_REQUIRED' ELSE 'PARTIAL_CANDIDATE' END AS scope FROM changes JOIN areas USING (path) WHERE status <> 'unchanged'), (SELECT bool_and(n_regionkey >= 0) AS able FROM nation)")
 R.add("e23_aggregate_hash", lambda t: history.aggregate_hash(t.files_after), f"{cte('files_after')} SELECT sha256(string_agg(path || chr(0) || size || chr(0) || sha || chr(10), '' ORDER BY path)) AS sha256, count(*) AS files FROM files_after")

@@ -66,7 +66,7 @@ VIEWS = {
     "runs": """SELECT 'run:' || CAST(o_orderkey AS STRING) AS id, 'p' || CAST(o_custkey % 50 AS STRING) AS project_id, CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'FAILED' ELSE 'CANCELLED' END AS status,
         o_orderdate AS created_at, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate + INTERVAL 1 DAY END AS completed_at FROM orders""",
     "snapshot_files": """SELECT 'p' || CAST(o_custkey AS STRING) AS project_id, 's' || CAST(o_orderkey AS STRING) AS file_name, o_orderdate AS modified_at, (o_orderkey % 20 = 0) AS active FROM orders""",
-    "audit": """SELECT 't' || CAST(user_id AS STRING) AS tenant_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, ts AS occurred_at, event_id, event_type AS action FROM events""",
+    "audit": """SELECT 't' || CAST(user_id AS STRING) AS tenant_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS sequence, ts AS occurred_at, event_id, event_type AS action FROM events""",
 }
 #: Views that read other views.
 NEEDS: dict[str, list[str]] = {}

@@ -76,8 +76,8 @@ def judged(t: Tables, worse: bool = False) -> DataFrame:
 def _judged(name: str, place: int) -> str:
     return f"""e{name} AS (SELECT label AS query_id, 'v' || vec_id AS key, embedding[{place}]::DOUBLE AS score FROM embeddings),
 r{name} AS (SELECT l.query_id, e.key, e.query_id = l.query_id AS hit, row_number() OVER (PARTITION BY l.query_id ORDER BY e.score DESC, e.key) AS rank FROM (SELECT DISTINCT query_id FROM e{name}) l JOIN e{name} e ON l.query_id <= e.query_id),
-m{name} AS (SELECT query_id, count_if(hit) AS relevant, count_if(hit AND rank <= 10) AS found, count_if(hit AND rank <= 10) / count_if(hit)::DOUBLE AS recall, 1.0::DOUBLE / min(rank) FILTER (WHERE hit) AS mrr,
-  sum(CASE WHEN hit AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(10, count_if(hit)) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM r{name} GROUP BY query_id)"""
+m{name} AS (SELECT query_id, count_if(hit)::BIGINT AS relevant, count_if(hit AND rank <= 10)::BIGINT AS found, count_if(hit AND rank <= 10)::BIGINT / count_if(hit)::DOUBLE AS recall, 1.0::DOUBLE / min(rank) FILTER (WHERE hit) AS mrr,
+  sum(CASE WHEN hit AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(10, count_if(hit)::BIGINT) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM r{name} GROUP BY query_id)"""
 
 
 R.add("e19_retrieval_metrics", lambda t: rounded(judged(t)), f"WITH {_judged('a', 1)} SELECT query_id, relevant, found, round(recall, 9) AS recall, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg FROM ma")

@@ -70,7 +70,7 @@ R.add("e12_graph_degree", lambda t: t.relationships.select(F.explode(F.array_com
 R.add("e24_index_metrics", lambda t: t.symbols.agg(F.countDistinct("id").alias("ids"), F.countDistinct("qualified_name").alias("qualified_names"), F.countDistinct("name").alias("names"), F.countDistinct("file_id").alias("files"), F.count("*").alias("total")),
       f"{cte('symbols')} SELECT count(DISTINCT id) AS ids, count(DISTINCT qualified_name) AS qualified_names, count(DISTINCT name) AS names, count(DISTINCT file_id) AS files, count(*) AS total FROM symbols")
 R.add("e25_ingestion_report", lambda t: t.occurrences.agg(F.count("*").alias("occurrences"), F.count_if(F.expr("resolution_status = 'RESOLVED'")).alias("resolved"), F.count_if(F.expr("resolution_status <> 'RESOLVED'")).alias("unresolved"), F.countDistinct("file_id").alias("files")),
-      f"{cte('occurrences')} SELECT count(*) AS occurrences, count_if(resolution_status = 'RESOLVED') AS resolved, count_if(resolution_status <> 'RESOLVED') AS unresolved, count(DISTINCT file_id) AS files FROM occurrences")
+      f"{cte('occurrences')} SELECT count(*) AS occurrences, count_if(resolution_status = 'RESOLVED')::BIGINT AS resolved, count_if(resolution_status <> 'RESOLVED')::BIGINT AS unresolved, count(DISTINCT file_id) AS files FROM occurrences")
 
 
 def placed(t: Tables) -> DataFrame:
@@ -98,7 +98,7 @@ _SPACES = f", inside AS (SELECT *, {_NSF} AS namespace FROM (SELECT *, regexp_re
 R.add("e08_topology", lambda t: architecture.topology(placed(t)),
       f"{cte('symbols', 'modules')}{_PLACED}{_SPACES} SELECT module_key, count(*) AS symbols, array_to_string(list_sort(list_distinct(list(upper(language)))), ',') AS languages, count(DISTINCT namespace) AS namespaces FROM inside GROUP BY module_key")
 R.add("e08_topology_totals", lambda t: architecture.topology_totals(placed(t)),
-      f"{cte('symbols', 'modules')}{_PLACED} SELECT count_if(NOT external AND module_key IS NOT NULL) AS local, count_if(external) AS external, count_if(NOT external AND module_key IS NULL) AS unassigned FROM placed")
+      f"{cte('symbols', 'modules')}{_PLACED} SELECT count_if(NOT external AND module_key IS NOT NULL)::BIGINT AS local, count_if(external)::BIGINT AS external, count_if(NOT external AND module_key IS NULL)::BIGINT AS unassigned FROM placed")
 R.add("e09_namespaces", lambda t: architecture.namespaces(placed(t)), f"{cte('symbols', 'modules')}{_PLACED}{_SPACES} SELECT module_key, namespace, count(*) AS symbols, count(DISTINCT file_id) AS files FROM inside GROUP BY module_key, namespace")
 
 
