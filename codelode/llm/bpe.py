@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import files
-from .common import scratch, small_batches, table
+from .common import scratch, small_batches, stored, table
 from .transducer import Lexicon, compile_lexicon
 
 #: Words of the lexicon, and words that a task counts or remembers at a time.
@@ -51,7 +51,10 @@ class Words:
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts, ties in code point order. Tasks count in batches of at most KEPT different words; only the first most words come to the driver."""
+    """The most frequent words of all texts, at most most of them: all that are as frequent as the rarest one taken (to an eighth of a power of two).
+
+    Tasks count in batches of at most KEPT different words. The driver gets a histogram of a few hundred frequencies, and then the words
+    above the one at which they would be too many, whatever the number of tasks."""
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +69,15 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", most: in
                     seen.clear()
         yield give()
 
-    counted = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    level = F.floor(F.log2("n") * 8).cast("int").alias("level")
+    counted = stored(docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).select("word", level), "word-counts")
+    total, least = 0, None
+    for row in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        total += row["count"]
+        if total > most:
+            break
+        least = row["level"]
+    return [] if least is None else [r[0] for r in counted.filter(F.col("level") >= least).select("word").collect()]
 
 
 class Encoder(dict):
