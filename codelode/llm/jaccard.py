@@ -32,31 +32,39 @@ def _mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Words to 64-bit hashes, remembering lately seen ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; sorts x in place."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Shingler:
     """Sets of 64-bit shingle hashes. Words are runs of anything but ASCII white space, A-Z lower-cased, which is what splitting UTF-8 bytes does."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
+        self.n, self.known = n, _Hashes()
 
     def of(self, text: str | None) -> np.ndarray:
         """The distinct n-word shingles, ascending; with fewer words the whole sequence as one; without words none."""
-        words, known = (text or "").encode().lower().split(), self.known
+        words = (text or "").encode().lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(known) > KEPT:
-            known.clear()
-        hashes = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            hashes.append(h)
-        h = np.array(hashes, np.uint64)
+        if len(self.known) > KEPT:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         width = min(self.n, len(h))
         line = h[: len(h) - width + 1].copy()
         for j in range(1, width):
             line = line * _P + h[j : len(h) - width + 1 + j]
-        return np.unique(_mix(line, width))
+        return distinct(_mix(line, width))
 
 
 def signature(s: np.ndarray) -> tuple[int, int, int, int]:
@@ -118,12 +126,14 @@ def _sign(docs: DataFrame, n: int) -> DataFrame:
         shingler, counts = Shingler(n), np.zeros(SKETCH, np.uint32)
         schema = pa.schema([("low", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            lows = []
+            lows, seen = [], []
             for text in batch.column(0).to_pylist():
                 s = shingler.of(text)
                 if len(s):
                     lows.append(signature(s)[3])
-                    np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                    seen.append((s & np.uint64(SKETCH - 1)).astype(np.int64))
+            if seen:
+                counts += np.bincount(np.concatenate(seen), minlength=SKETCH).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.nulls(len(lows), pa.int32()), pa.nulls(len(lows), pa.binary())], schema=schema)
         for k in range(SKETCH // SKETCH_PIECE):
             part = counts[k * SKETCH_PIECE : (k + 1) * SKETCH_PIECE]
