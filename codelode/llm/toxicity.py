@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from .common import own_names, small_batches, table
 
 #: Hashed features; weights are one float32 each, so what is broadcast has at most 4 * DIMS bytes.
-DIMS = 1 << 20
+DIM_BITS = 20
+DIMS = 1 << DIM_BITS
 #: The fit sees at most so many labelled documents, those whose hashed ids are smallest, and of each at most so many distinct features, the smallest hashes.
-SAMPLE, SAMPLE_FEATURES = 12_000, 4096
+SAMPLE, SAMPLE_FEATURES = 6000, 4096
 #: Chosen on a quarter of the training rows, never on held-out ones. A high L1 asks for evidence from several documents.
 EPOCHS, ALPHA, BETA, L1, L2 = 8, 1.0, 1.0, 9.0, 0.5
 THRESHOLD = 0.3
@@ -33,37 +35,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _seed(text: str) -> int:
-    """A 64-bit hash of a string (FNV-1a), the same on every machine."""
-    h = 0xCBF29CE484222325
-    for b in text.encode("utf-8", "surrogatepass"):
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
-class Features:
-    """Hashed features of texts: words, their heads, word pairs, triples and pairs that skip one word."""
+class Features(dict):
+    """Hashed features of texts: words, their heads, word pairs, triples and pairs that skip one word. The dictionary gives lately seen words their rows of hashes."""
 
     #: Words whose hashes are remembered at a time.
     KEPT = 200_000
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple] = {}
+        super().__init__()
+        self.rows = np.zeros((len(HEADS) + 1, self.KEPT), np.uint64)
+        self.new: list[list[int]] = []
 
-    def word(self, w: str) -> tuple:
-        if len(self.known) >= self.KEPT:
-            self.known.clear()
-        out = self.known[w] = (_seed(w), *(_seed(f"{n}:{w[:n]}") for n in HEADS))
-        return out
+    def __missing__(self, w: str) -> int:
+        self.new.append([xxhash.xxh64_intdigest(w), *[xxhash.xxh64_intdigest(w[:n], n) for n in HEADS]])
+        at = self[w] = len(self)
+        return at
 
     def of(self, text: str) -> np.ndarray:
         """The distinct features of a whole text, ascending; none for a text without words."""
-        words, known = _WORD.findall(text.lower()), self.known
+        words = _WORD.findall(text.lower())
         if not words:
             return np.zeros(0, np.int64)
-        rows = np.array([known.get(w) or self.word(w) for w in words], np.uint64)
-        one = _mix(rows[:, 0])
-        parts = [one, *(_mix(rows[:, j] + np.uint64(j)) for j in range(1, rows.shape[1]))]
+        if len(self) + len(words) > self.KEPT:
+            self.clear()
+            if len(words) > self.KEPT:  # a text of very many words may need more rows
+                self.rows = np.zeros((len(HEADS) + 1, len(words)), np.uint64)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self.rows[:, len(self) - len(self.new) : len(self)] = np.array(self.new, np.uint64).T
+            self.new.clear()
+        rows = self.rows[:, at]
+        one, parts = rows[0], [rows.ravel()]
         turned = (one << np.uint64(21)) | (one >> np.uint64(43))
         if len(one) > 1:
             pair = _mix(turned[:-1] + one[1:])
@@ -71,7 +73,9 @@ class Features:
         if len(one) > 2:
             parts.append(_mix(turned[:-2] + one[2:] + np.uint64(0x9E3779B97F4A7C15)))
             parts.append(_mix((pair[:-1] << np.uint64(7)) + one[2:]))
-        return np.unique((np.concatenate(parts) >> np.uint64(44)).astype(np.int64) % DIMS)
+        found = (np.concatenate(parts) >> np.uint64(64 - DIM_BITS)).astype(np.int32)
+        found.sort()
+        return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -125,9 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             packed = [maker.of(t)[:SAMPLE_FEATURES].astype(np.int32).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), b.column(3).cast(pa.int32())], ["_hash", "_id", "x", "y"])
 
-    found = texts.mapInArrow(features, "_hash long, _id long, x binary, y int").toLocalIterator()
-    rows = sorted((r[0], r[1], r[2], r[3]) for r in found)[: 2 * sample]
-    return fit([(np.frombuffer(bytes(x), np.int32).astype(np.int64), y) for _, _, x, y in rows])
+    found = texts.mapInArrow(features, "_hash long, _id long, x binary, y int").toArrow().to_pylist()  # SAMPLE rows, more only where ids repeat
+    rows = sorted((r["_hash"], r["_id"], r["x"], r["y"]) for r in found)[: 2 * sample]
+    return fit([(np.frombuffer(x, np.int32), y) for _, _, x, y in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, text: str = "text", prefix: str = "") -> DataFrame:
