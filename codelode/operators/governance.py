@@ -89,3 +89,28 @@ def authenticate(key: bytes, token: str, now: int) -> dict:
     if claims["issued"] > now + MAX_SKEW or claims["expires"] <= now or claims["expires"] - claims["issued"] > MAX_LIFETIME:
         raise PermissionError("invalid token")
     return claims
+
+
+def apply_retention(events: DataFrame, removals: DataFrame, workspaces: DataFrame, archived_before) -> tuple[DataFrame, DataFrame]:
+    """Events without the first ones that removals (tenant_id, remove) counts, and workspaces without those archived before a time."""
+    first = events.groupBy("tenant_id").agg(F.min("sequence").alias("low"))
+    cut = removals.join(first, "tenant_id").select("tenant_id", (F.col("low") + F.col("remove")).alias("keep_from"))
+    kept = events.join(cut, "tenant_id", "left").filter(F.col("keep_from").isNull() | (F.col("sequence") >= F.col("keep_from"))).drop("keep_from")
+    gone = (F.col("status") == "ARCHIVED") & (F.col("archived_at") < archived_before)
+    return kept, workspaces.filter(~F.coalesce(gone, F.lit(False)))
+
+
+def change_workspaces(workspaces: DataFrame, changes: DataFrame) -> DataFrame:
+    """workspaces (workspace_id, name, status, archived_at) after changes (workspace_id, name, action, at): CREATE a new one, ARCHIVE an active one. Anything else is an error when the result is read."""
+    both = workspaces.join(changes.select("workspace_id", F.col("name").alias("new_name"), "action", "at"), "workspace_id", "full_outer")
+    fine = F.col("action").isNull() | ((F.col("action") == "CREATE") & F.col("status").isNull()) | ((F.col("action") == "ARCHIVE") & (F.col("status") == "ACTIVE"))
+    status = F.when(F.col("action") == "CREATE", "ACTIVE").when(F.col("action") == "ARCHIVE", "ARCHIVED").otherwise(F.col("status"))
+    checked = F.when(fine, status).otherwise(F.raise_error(F.concat(F.lit("workspace can't be changed so: "), "workspace_id")))
+    return both.select("workspace_id", F.coalesce("name", "new_name").alias("name"), checked.alias("status"), F.when(F.col("action") == "ARCHIVE", F.col("at")).otherwise(F.col("archived_at")).alias("archived_at"))
+
+
+def bind(bindings: DataFrame, changes: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """bindings (workspace_id, project_id, snapshot_id) after changes of the same columns: one snapshot a project, a null one unbinds; only active workspaces change."""
+    open_ = changes.join(workspaces.filter("status = 'ACTIVE'").select("workspace_id"), "workspace_id", "left_semi")
+    kept = bindings.join(open_.select("workspace_id", "project_id"), ["workspace_id", "project_id"], "left_anti")
+    return kept.unionByName(open_.filter("snapshot_id IS NOT NULL").select(*bindings.columns))

@@ -90,3 +90,13 @@ def run_lifecycle(steps: dict, has_snapshot: bool) -> tuple[str, str]:
         except Exception:  # whatever a provider raises ends the run, not the service
             return name, "STALE" if has_snapshot else "FAILED"
     return "COMPLETED", "READY"
+
+
+#: What a level of support counts, of FULL's three.
+SUPPORT = {"FULL": 3, "PARTIAL": 2, "EXPERIMENTAL": 1, "UNSUPPORTED": 0}
+
+
+def conformance(support: DataFrame) -> DataFrame:
+    """Per provider the rounded percentage of full support over its capabilities. support: provider_id, capability, level."""
+    points = F.element_at(F.create_map(*[F.lit(x) for pair in SUPPORT.items() for x in pair]), F.col("level"))
+    return support.groupBy("provider_id").agg(F.count("*").alias("capabilities"), F.round(100.0 * F.sum(points) / (3 * F.count("*"))).cast("int").alias("percent"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import context, governance, projects
+from ..operators import context, governance, history, projects
 from .lookups import SYMBOL, occurrences
 from .projection import cte
 from .registry import Registry, Tables
@@ -100,3 +100,16 @@ R.add("i07_context_traversal", relation_walk)
 R.add("s02_truncated", lambda t: t.base("documents").select("doc_id", F.md5(text.truncated("text", F.lit(64))).alias("digest")), "SELECT doc_id, md5(substr(text, 1, (SELECT max(i) FROM range(0, 257) r(i) WHERE strlen(substr(text, 1, i)) <= 256)::INTEGER)) AS digest FROM documents")
 R.add("s10_hash_embedding", lambda t: t.base("benchmark").select("item_id", text.hash_embedding("text").alias("v")).select("item_id", F.size("v").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length")), "SELECT item_id, 384 AS dims, 1.0::DOUBLE AS length FROM benchmark")
 R.add("s15_sanitized_remote", lambda t: t.base("pages").select("page_id", text.sanitize_remote(F.replace("url", F.lit("://"), F.lit("://user:secret@"))).alias("remote")), "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', ''), '\\.git$', '') AS remote FROM pages")
+_LEVELS = list(projects.SUPPORT)
+R.add("e22_conformance", lambda t: projects.conformance(t.base("supplier").select(F.col("s_nationkey").cast("string").alias("provider_id"), F.col("s_name").alias("capability"), F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("level"))),
+      "SELECT s_nationkey::VARCHAR AS provider_id, count(*) AS capabilities, round(100.0::DOUBLE * sum(3 - s_suppkey % 4) / (3 * count(*)))::INTEGER AS percent FROM supplier GROUP BY 1")
+
+
+def retained(t: Tables) -> DataFrame:
+    none = t.spark.createDataFrame([], "workspace_id string, status string, archived_at timestamp")
+    plan = history.audit_prefix(t.audit, F.lit("2024-01-08").cast("timestamp"), 40)
+    return governance.apply_retention(t.audit, plan, none, F.current_timestamp())[0].groupBy("tenant_id").agg(F.count("*").alias("events"), F.min("sequence").alias("first"))
+
+
+R.add("v05_retention", retained,
+      f"{cte('audit')}, plan AS (SELECT tenant_id, greatest(coalesce(min(sequence) FILTER (WHERE occurred_at >= TIMESTAMP '2024-01-08') - 1, count(*)), count(*) - 40, 0) AS remove FROM audit GROUP BY tenant_id) SELECT tenant_id, count(*) AS events, min(sequence) AS first FROM audit JOIN plan USING (tenant_id) WHERE sequence > remove GROUP BY tenant_id")
