@@ -16,6 +16,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="codelode-")
         spark.conf.set("spark.checkpoint.dir", base)
+    if "://" not in base:  # a path of the cluster's default store
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = whole if "://" in whole else whole.replace(":", "://", 1)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
