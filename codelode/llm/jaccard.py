@@ -16,7 +16,7 @@ from .common import scratch, small_batches, stored, table
 from .components import components
 
 #: Different texts and shingles of one group at most; rows that may share a smallest hash before it is split, as a part of all rows at least.
-GROUP_SETS, GROUP_SHINGLES, HOT_ROWS, HOT_SHARE = 128, 1 << 21, 1000, 20_000
+GROUP_SETS, GROUP_SHINGLES, HOT_ROWS, HOT_SHARE = 128, 1 << 21, 256, 20_000
 #: Counters of the frequency sketch (4 bytes each), in pieces of SKETCH_PIECE.
 SKETCH, SKETCH_PIECE = 1 << 20, 1 << 14
 #: Bits of the filter that keeps texts out of a join: at most 2 ** FILTER_BITS, in words of 64 that are broadcast.
