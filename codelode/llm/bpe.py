@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import files
-from .common import scratch, small_batches, stored, table
+from .common import lean, scratch, small_batches, stored, table
 from .transducer import Lexicon, compile_lexicon
 
 #: Words of the lexicon, and words that a task counts or remembers at a time.
@@ -70,7 +70,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", most: in
         yield give()
 
     level = F.floor(F.log2("n") * 8).cast("int").alias("level")
-    counted = stored(docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).select("word", level), "word-counts")
+    counted = stored(docs.select(text).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).select("word", level), "word-counts")
     total, least = 0, None
     for row in sorted(counted.groupBy("level").count().collect(), reverse=True):
         total += row["count"]
@@ -159,12 +159,12 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(lexicon, tokenizer)
         for batch in batches:
-            rows = [(n, sha(ids), sha(out), *([[int(i) for i in ids.split()]] if with_ids else [])) for n, ids, out in (encoder.text(t or "") for t in batch.column(0).to_pylist())]
+            rows = [(n, sha(ids), sha(out), *([np.array(ids.split(), np.int32)] if with_ids else [])) for n, ids, out in (encoder.text(t or "") for t in batch.column(0).to_pylist())]
             made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)] or [pa.array([], k) for k in kinds[: 3 + with_ids]]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*(f.name for f in kept), *names[: len(made)]])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), added])
-    return docs.select(text, *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(text, *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(lean(run), schema)
 
 
 def vocabulary(name: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import scratch, small_batches, stored, table
+from .common import lean, scratch, small_batches, stored, table
 from .components import components
 
 #: Different texts and shingles of one group at most; rows that may share a smallest hash before it is split, as a part of all rows at least.
@@ -21,7 +21,7 @@ GROUP_SETS, GROUP_SHINGLES, HOT_ROWS, HOT_SHARE = 128, 1 << 21, 256, 20_000
 SKETCH, SKETCH_PIECE = 1 << 20, 1 << 14
 #: Bits of the filter that keeps texts out of a join: at most 2 ** FILTER_BITS, in words of 64 that are broadcast.
 FILTER_BITS = 25
-KEPT = 300_000
+KEPT = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,7 +114,7 @@ def _sketch(signed: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"])
 
     out = np.zeros(SKETCH, np.uint32)
-    for piece, counts in signed.filter("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(total, "piece int, counts binary").collect():
+    for piece, counts in signed.filter("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(lean(total), "piece int, counts binary").collect():
         out[piece * SKETCH_PIECE : (piece + 1) * SKETCH_PIECE] = np.frombuffer(bytes(counts), np.uint32)
     return out
 
@@ -140,7 +140,7 @@ def _sign(docs: DataFrame, n: int) -> DataFrame:
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
 
-    return stored(docs.select("text").mapInArrow(sign, "low long, piece int, counts binary"), "signed")
+    return stored(docs.select("text").mapInArrow(lean(sign), "low long, piece int, counts binary"), "signed")
 
 
 MATRIX = "doc_id long, n int, h1 long, h2 long, grp long, token long, lo int, hi int, rest int, short boolean"
@@ -162,6 +162,9 @@ def _groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     @F.pandas_udf("n int, h1 long, h2 long, low long, bucket long")
     def sign(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from lean(signed_rows)(batches)
+
+    def signed_rows(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         shingler, splits = Shingler(n), held.value
         for ids, texts in batches:
             out = []
@@ -246,7 +249,7 @@ def _groups(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     marked = docs.withColumn("s", sign("doc_id", "text"))
     dealt = marked.withColumn("_b", F.col("s.bucket")).repartition("_b").sortWithinPartitions("s.low", "_b", "s.n", "s.h1", "s.h2", "doc_id")
-    return stored(dealt.select("doc_id", "text", "s").mapInArrow(group, MATRIX), "token-groups")
+    return stored(dealt.select("doc_id", "text", "s").mapInArrow(lean(group), MATRIX), "token-groups")
 
 
 def maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -301,7 +304,7 @@ def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, n: int, num:
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     small_batches(spark)
-    return stored(both.mapInArrow(check, "a long, b long"), "links")
+    return stored(both.mapInArrow(lean(check), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -15,13 +15,13 @@ from tokenizers import Tokenizer
 
 from . import files
 from .bpe import Words, byte_symbols, vocabulary
-from .common import scratch, small_batches, table
+from .common import lean, scratch, small_batches, table
 from .transducer import Lexicon, compile_lexicon
 
 #: Characters of a chunk: all chunks of a batch advance together.
 CHUNK = 512
 #: Words whose counts a task remembers at a time.
-KEPT = 400_000
+KEPT = 200_000
 LIMIT = 1024
 
 #: Classes of characters: letters are told apart where a contraction needs it.
@@ -187,6 +187,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(counts)(batches)
+
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = Counter(compiled, tokenizer)
         for texts in batches:
             yield pd.Series(counter.texts([t or "" for t in texts]), dtype="int64")

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_names, small_batches, table
+from .common import lean, own_names, small_batches, table
 
 #: Hashed features; weights are one float32 each, so what is broadcast has at most 4 * DIMS bytes.
 DIM_BITS = 20
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             packed = [maker.of(t)[:SAMPLE_FEATURES].astype(np.int32).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), b.column(3).cast(pa.int32())], ["_hash", "_id", "x", "y"])
 
-    found = texts.mapInArrow(features, "_hash long, _id long, x binary, y int").toArrow().to_pylist()  # SAMPLE rows, more only where ids repeat
+    found = texts.mapInArrow(lean(features), "_hash long, _id long, x binary, y int").toArrow().to_pylist()  # SAMPLE rows, more only where ids repeat
     rows = sorted((r["_hash"], r["_id"], r["x"], r["y"]) for r in found)[: 2 * sample]
     return fit([(np.frombuffer(x, np.int32), y) for _, _, x, y in rows])
 
@@ -143,6 +143,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(scores)(batches)
+
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at, values, bias = held.value
         weights, maker = np.zeros(DIMS, np.float32), Features()
         weights[at] = values
