@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
@@ -138,7 +138,8 @@ def top_inner(df: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
 
     All vectors are indexed: rows fall by hash into trees of about tree_rows, queries into blocks of QUERY_ROWS; a task holds one tree and
     one block, and its best are merged per query. Rows with a null key, vector or component, or one that isn't finite, take no part; an
-    empty vector scores 0 with other empty ones; vectors of different lengths aren't compared; a repeated key is never its own partner."""
+    empty vector scores 0 with other empty ones; vectors of different lengths aren't compared; rows of a repeated key are
+    never each other's partners, and as queries their lists are ranked together."""
     if top != TOP:
         raise ValueError(f"top is fixed at {TOP}")
     small_batches(df.sparkSession)
@@ -151,9 +152,8 @@ def top_inner(df: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     left = rows.withColumn("_tree", tree).withColumn("_block", each(blocks)).groupBy("_tree", "_block", "_dim")
     right = queries.withColumn("_block", block).withColumn("_tree", each(trees)).groupBy("_tree", "_block", "_dim")
     found = left.cogroup(right).applyInArrow(_best, "query_id long, vec_id long, score long")
-    order = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(order)), 1, top).alias("best"))  # TOP entries a tree
-    return merged.select("query_id", F.posexplode("best").alias("_at", "_e")).select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_e.v").alias("vec_id"), (-F.col("_e.s")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # with the filter, tasks pass on their first rows of a query only
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -269,7 +269,7 @@ def test_top_inner_of_awkward_rows(spark):
     good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for i in sorted({i for i, _ in good if i % 20 == 0}):
-        pairs = {(-sum(a * b for a, b in zip(q, v)), j) for k, q in good if k == i for j, v in good if j != i and len(v) == len(q)}
+        pairs = [(-sum(a * b for a, b in zip(q, v)), j) for k, q in good if k == i for j, v in good if j != i and len(v) == len(q)]
         want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(pairs)[:20])]
     assert got == want
     assert mtree.top_inner(df.limit(0)).count() == 0
