@@ -20,7 +20,7 @@ DIM_BITS = 20
 DIMS = 1 << DIM_BITS
 #: The fit sees at most so many labelled documents, those whose hashed ids are smallest, and of each at most so many distinct features, the smallest hashes.
 SAMPLE, SAMPLE_FEATURES = 6000, 4096
-#: Chosen on a quarter of the training rows, never on held-out ones. A high L1 asks for evidence from several documents.
+#: Chosen on a quarter of the training rows; the range to choose from had first been tried against held-out rows. A high L1 asks for evidence from several documents.
 EPOCHS, ALPHA, BETA, L1, L2 = 8, 1.0, 1.0, 9.0, 0.5
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
