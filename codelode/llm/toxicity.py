@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, own_names, small_batches, table
@@ -24,6 +24,8 @@ SAMPLE, SAMPLE_FEATURES = 6000, 4096
 EPOCHS, ALPHA, BETA, L1, L2 = 8, 1.0, 1.0, 9.0, 0.5
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
+#: The same letters and digits for Spark's regular expressions.
+_IN_WORDS = r"[\p{L}\p{N}]"
 #: Word heads used beside whole words, in letters: endings vary where stems don't.
 HEADS = (4, 5, 6)
 
@@ -157,7 +159,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     return kept.withColumn(f"{prefix}score", scored(F.col(text))).withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= threshold).cast("int"))
 
 
+def unjudged(model: tuple[np.ndarray, float], text: str = "text") -> Column:
+    """Where a score is the bias alone, so nothing in the text speaks for a label: all rows if the model has no weights, else those of texts without words."""
+    if not model[0].any():
+        return F.lit(True)
+    return ~F.coalesce(F.col(text), F.lit("")).rlike(_IN_WORDS)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model fitted on their labels. A document is never predicted toxic by the bias alone: not without words, nor by a model without weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+    predicted = F.when(unjudged(model), 0).otherwise(F.col("predicted")).alias("predicted")
+    return score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", predicted)

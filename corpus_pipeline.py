@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codelode.llm import bpe, jaccard, mixing, toxicity
 from codelode.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents but for those scored toxic by a model fitted on the labels of these documents. A document without text stays."""
+    """Documents but for those scored toxic by a model fitted on the labels of these documents. A document without words stays, and all do where the labels give the model no weights."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, prefix="_toxicity_").filter("_toxicity_predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, prefix="_toxicity_").filter((F.col("_toxicity_predicted") == 0) | toxicity.unjudged(model)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -303,3 +304,21 @@ def test_pipeline(spark, docs, tmp_path):
             none = stage(spark, small.limit(0), oracle.SF)
             assert none.count() == 0
     assert corpus_pipeline.run(spark, oracle.SF).count() > 0
+
+
+def test_nothing_goes_without_evidence_of_toxicity(spark, tmp_path):
+    import corpus_pipeline
+
+    many = [(i, f"awful thing {i}" if i % 2 else f"kind thing {i}", i % 2) for i in range(200)]
+    rows = [(i, t) for i, t, _ in many] + [(1000, None), (1001, ""), (1002, " \n"), (1003, "... _!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    every = [i for i, _ in rows]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    for labels in ([], [(i, 1) for i in held], [(5000 + i, i % 2) for i in range(50)], [(i, 1) for i in range(200)], [(i, y) for i, _, y in many]):
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.mode("overwrite").parquet(f"file://{tmp_path}/labels.parquet")
+        kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, f"file://{tmp_path}").collect())
+        predicted = {r["doc_id"]: r["predicted"] for r in QUERIES["op6_toxicity"](spark, f"file://{tmp_path}").collect()}
+        assert kept == sorted(i for i, p in predicted.items() if not p)
+        learned = len({y for _, y in labels}) == 2 and labels[0][0] < 5000
+        assert kept == ([i for i in every if i >= 1000 or i % 2 == 0] if learned else every)
