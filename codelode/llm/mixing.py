@@ -11,6 +11,8 @@ from .common import let, literal_rows, own_names, stored, table
 
 #: Words of a block, and the most blocks of all sources together (more where there are more sources): their table is collected and broadcast.
 BLOCK_WORDS, MAX_BLOCKS = 4096, 131_072
+#: So many blocks on either side of the one in which a source's target falls may make up for what its rows miss, and more where that block is long.
+AROUND = 8
 #: A mix has at most so many sources: their totals are collected.
 MAX_SOURCES = 100_000
 #: No document is taken more often.
@@ -75,21 +77,71 @@ def plan(blocks: dict[int, np.ndarray], goals: list[float], shards: int, seed: i
     return list(taken.values())
 
 
+def around(blocks: dict[int, np.ndarray], rows: list[list]) -> list[list]:
+    """plan's rows, their dealt, and what _fill does with each: 0 (nothing), 1 (fit the rest), 2 (may give up rows of its last pass) or 3 (may add rows).
+
+    Beside the block with a source's rest lie those that may make up for what it misses: before it blocks taken once more than those after
+    it; on either side AROUND of them at least, and as many words as that block has. Rows that are added share the shard of the rest."""
+    where = {(s, b): i for i, (s, b, *_) in enumerate(rows)}
+    out = [[*r, 0] for r in rows]
+    for s, b, _, rest, dealt in rows:
+        if not rest:
+            continue
+        out[where[s, b]][5] = 1
+        for side, role in ((range(b - 1, -1, -1), 2), (range(b + 1, len(blocks[s])), 3)):
+            words = 0
+            for k, other in enumerate(side):
+                if k >= AROUND and words >= blocks[s][b]:
+                    break
+                words += int(blocks[s][other])
+                row = out[where[s, other]]
+                row[5] = role
+                if role == 3:
+                    row[4] = [*row[4], dealt[-1]]
+    return out
+
+
+def _settle(sizes: np.ndarray, order: np.ndarray, picked: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """picked and what it then misses (below zero: has too much), after rows were flipped, largest first, as long as one brings it nearer to zero."""
+    picked = picked.copy()
+    while left:
+        before = abs(left)
+        adds = left > 0
+        for i in order:  # from the largest
+            if picked[i] != adds and sizes[i] <= abs(left):
+                picked[i] = adds
+                left -= int(sizes[i]) if adds else -int(sizes[i])
+        if left:
+            more = order[(picked[order] != adds) & (sizes[order] > abs(left))]
+            if len(more) and sizes[more[-1]] - abs(left) < abs(left):
+                picked[more[-1]] = adds
+                left -= int(sizes[more[-1]]) if adds else -int(sizes[more[-1]])
+        if abs(left) >= before:
+            break
+    return picked, left
+
+
 def _fill(group: pa.Table) -> pa.Table:
-    """Of one block's rows, those that come nearest to its rest: largest first, each that still fits, then the one whose words are nearest to what is missing."""
-    sizes, rest = group.column("size").to_numpy(), int(group.column("rest")[0].as_py())
-    ids = group.column("_hash").to_numpy()
-    picked, left = np.zeros(len(sizes), bool), rest
-    for i in np.lexsort((ids, -sizes)):
-        if 0 < sizes[i] <= left:
-            picked[i] = True
-            left -= int(sizes[i])
-    open_ = np.flatnonzero(~picked & (sizes > 0))
-    if left and len(open_):
-        i = open_[np.lexsort((ids[open_], sizes[open_]))[0]]
-        if sizes[i] - left < left:
-            picked[i] = True
-    return group.drop_columns(["rest"]).append_column("_more", pa.array(picked.astype(np.int32)))
+    """Of the block with the rest, the rows that come nearest to it: largest first, each that still fits, then the one whose words are nearest to what is missing. What is then missing or too much is made up by rows of the blocks around, so the miss is at most half of the smallest row that could change it.
+
+    Where that isn't zero, flipping the next larger row and making up for it is tried too: a very long row may be the way to the target."""
+    sizes, ids, role = (group.column(c).to_numpy() for c in ("size", "_hash", "_role"))
+    rest, start = int(group.column("rest").to_numpy().max()), role == 2
+    order = np.lexsort((ids, -sizes))
+    order = order[sizes[order] > 0]
+    picked, left = _settle(sizes, order[role[order] == 1], start, rest)
+    picked, left = _settle(sizes, order, picked, left)
+    while left:
+        more = order[(picked[order] != (left > 0)) & (sizes[order] > abs(left))]
+        if not len(more):
+            break
+        other = picked.copy()
+        other[more[-1]] = left > 0
+        other, missed = _settle(sizes, order, other, left - int(np.sign(left)) * int(sizes[more[-1]]))
+        if abs(missed) >= abs(left):
+            break
+        picked, left = other, missed
+    return group.drop_columns(["rest", "_role"]).append_column("_more", pa.array(picked.astype(np.int32) - start))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 64, seed: int = 29, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -98,9 +150,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 6
     Size is the number of words of the text (null: 0). Sources in code point order, null last, get the weights in turn and share the words
     of the whole table; none gets more than MOST times its own. The rows of a source fall into blocks by a hash of their key. From the
     blocks' words, at most MAX_BLOCKS numbers and one a source, the driver sets how often each block is taken and, by the splitting tree,
-    the shard of each take. In the one block where a source's target falls, rows are fitted to the words missing.
+    the shard of each take. In the one block where a source's target falls, rows are fitted to the words missing, and rows of the blocks
+    around it make up for what that fit misses.
 
-    A source may hold most rows: no step gathers a source, only one of its blocks. Rows equal in key and size may swap places. A null key
+    A source may hold most rows: no step gathers a source, only AROUND blocks on either side of one, and as many words as that one has. Rows equal in key and size may swap places. A null key
     is a value like others; an empty table gives no rows. Reruns agree."""
     spark = docs.sparkSession
     sized = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
@@ -119,12 +172,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 6
     blocks = {i: np.zeros(n, np.int64) for i, n in enumerate(cut)}
     for s, b, words in counted:
         blocks[s][b] = words
-    planned_blocks = [pa.array(list(x), kind) for x, kind in zip(zip(*plan(blocks, goals, shards, seed), strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32())), strict=False)]
-    chosen = spark.createDataFrame(pa.table(planned_blocks or [pa.array([], k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()))], ["_s", "_block", "takes", "rest", "dealt"]))
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32())
+    found = around(blocks, plan(blocks, goals, shards, seed))
+    chosen = spark.createDataFrame(pa.table([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)], ["_s", "_block", "takes", "rest", "dealt", "_role"]))
     planned = placed.join(F.broadcast(chosen), ["_s", "_block"])
     columns = ["_key", "size", "_source", "_hash", "source_size", "target", "takes", "dealt"]
-    whole = planned.filter("rest = 0").select(*columns, F.lit(0).alias("_more"))
-    part = planned.filter("rest > 0").select("_s", *columns, "rest")
+    whole = planned.filter("_role = 0").select(*columns, F.lit(0).alias("_more"))
+    part = planned.filter("_role > 0").select("_s", *columns, "rest", "_role")
     schema = "_s int, " + ", ".join(f"{c} {dict(part.dtypes)[c]}" for c in columns) + ", _more int"
     fitted = part.groupBy("_s").applyInArrow(_fill, schema).select(*whole.columns)
     both = whole.unionByName(fitted)

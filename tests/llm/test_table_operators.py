@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,29 @@ def test_op3(spark):
     assert all(abs(taken[n] - goals[n]) <= 0.02 * goals[n] + 5 for n in names)
 
 
+def test_a_long_document_does_not_miss_the_target(spark):
+    pick = random.Random(6)
+    words = lambda n: "w " * n
+    for longest, most in ((20_000, 40), (9_000, 500), (3_000, 3_000)):
+        rows = [(i, "a" if i % 4 else "b", words(pick.randint(5, 60))) for i in range(800)] + [(1000 + i, "a", words(pick.randint(most // 2, most))) for i in range(12)] + [(2000, "a", words(longest)), (2001, "b", words(longest // 2))]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        for seed in range(3):
+            taken, target, out = {}, {}, mixing.mix(docs, weights=(3, 1), seed=seed).collect()
+            for r in out:
+                assert 0 <= r["takes"] <= 3 and len(r["shards"]) == r["takes"] and all(0 <= s < 64 for s in r["shards"])
+                taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["takes"]
+                target[r["source"]] = r["target"]
+            assert len(out) == len(rows) and all(abs(taken[s] - target[s]) <= 30 for s in target), (longest, seed, taken, target)
+
+
+def test_rows_make_up_for_a_long_one():
+    fill = lambda sizes, roles, rest: (lambda t: (t.column("size").to_numpy() * t.column("_more").to_numpy()).sum())(mixing._fill(pa.table({"size": sizes, "_hash": list(range(len(sizes))), "rest": [rest if r == 1 else 0 for r in roles], "_role": roles})))
+    assert fill([1000, *[10] * 80], [1, *[3] * 80], 400) == 400  # rows of later blocks
+    assert fill([1000, *[10] * 80], [1, *[2] * 80], 600) == 600  # rows of earlier blocks go
+    assert fill([1000, *[10] * 80], [1, *[2] * 80], 300) == 300  # the long row is farther off, but the way
+    assert fill([1000], [1], 400) == 0 and fill([1000], [1], 600) == 1000
+
+
 def test_mixing_awkward_rows(spark, docs, empty):
     out = mixing.mix(docs).collect()
     assert len(out) == docs.count() and all(0 <= r["takes"] <= 3 and len(r["shards"]) == r["takes"] for r in out)
