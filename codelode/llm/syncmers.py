@@ -20,8 +20,9 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """The closed syncmers of a text in their order: 32-bit hashes of those k-mers of tokens whose smallest s-mer stands first or last in them.
 
     Whether a k-mer is chosen depends on its own tokens alone, so an edit changes only anchors within k tokens of it. Of any k - s k-mers in
-    a row at least one is chosen. A text of fewer than k tokens has one anchor, the hash of all its tokens; a text without tokens (null,
-    empty, white space) has none. Equal texts have equal anchors."""
+    a row at least one is chosen. A text too short for that may have none: of k tokens or more, it gets as its one anchor the first k-mer
+    that has the text's smallest s-mer; of fewer, the hash of all its tokens. Only a text without tokens (null, empty, white space) has no
+    anchors. Equal texts have equal anchors."""
     window = k - s + 1
 
     def of(tokens: Column) -> Column:
@@ -30,7 +31,9 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
         def chosen(mers: Column) -> Column:
             edge = lambda i: let(F.array_min(F.slice(mers, i, window)), lambda least: (least == F.element_at(mers, i.cast("int"))) | (least == F.element_at(mers, (i + (window - 1)).cast("int"))))
-            starts = F.filter(F.sequence(F.lit(1), n - (k - 1)), edge)
+            first = lambda: F.greatest(F.array_position(mers, F.array_min(mers)).cast("int") - (window - 1), F.lit(1))
+            some = lambda starts: F.when(F.size(starts) > 0, starts).otherwise(F.array(first()))
+            starts = let(F.filter(F.sequence(F.lit(1), n - (k - 1)), edge), some)
             return F.transform(starts, lambda i: F.shiftright(F.xxhash64(F.slice(tokens, i, k)), 32).cast("int"))
 
         return F.when(n == 0, F.array().cast("array<int>")).when(n < k, F.array(F.shiftright(F.xxhash64(tokens), 32).cast("int"))).otherwise(let(inner, chosen))

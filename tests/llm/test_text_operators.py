@@ -45,6 +45,21 @@ def test_anchors_are_the_closed_syncmers(spark):
     assert max(np.diff([-1, *starts, len(hashes) - syncmers.K + 1])) <= syncmers.K - syncmers.S + 1  # no longer gap
 
 
+def test_short_texts_have_anchors(spark):
+    pick = random.Random(4)
+    texts = [" ".join(f"t{pick.randint(0, 10**6)}" for _ in range(n)) for n in range(1, 16) for _ in range(40)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"), syncmers.anchors(F.col("text")).alias("a")).collect()
+    pairs = spark.createDataFrame([p for r in rows for p in zip(r["h"], r["h"][1:])], "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    known = {(r["a"], r["b"]): r["h"] for r in pairs}
+    mers = {r["text"]: [known[p] for p in zip(r["h"], r["h"][1:])] for r in rows}
+    none = [r for r in rows if len(r["h"]) >= syncmers.K and not closed_syncmers(r["h"], syncmers.K, syncmers.S, lambda m: known[tuple(m)])]
+    assert {len(r["h"]) for r in none} >= set(range(9, 12)) and max(len(r["h"]) for r in none) <= 14
+    least = {r["text"]: max(0, mers[r["text"]].index(min(mers[r["text"]])) - (syncmers.K - syncmers.S)) for r in none}
+    want = spark.createDataFrame([(r["text"], r["h"][least[r["text"]] :][: syncmers.K]) for r in none], "text string, k array<long>").select("text", F.shiftright(F.xxhash64("k"), 32).cast("int").alias("h")).collect()
+    assert {r["text"]: r["a"] for r in none} == {r["text"]: [r["h"]] for r in want}
+    assert all(r["a"] for r in rows) and len({tuple(r["a"]) for r in rows}) == len(rows)  # no two alike
+
+
 def test_fingerprints_of_awkward_rows(spark, docs, empty):
     text = lambda t: spark.range(1).select(syncmers.anchors(F.lit(t).cast("string")).alias("a")).first()["a"]
     assert [text(t) for t in (None, "", " \n")] == [[], [], []] and len(text("one two")) == 1
