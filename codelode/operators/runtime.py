@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CANDIDATES = 1000
 
 
-def resolve(references: DataFrame, symbols: DataFrame) -> DataFrame:
-    """references (ref_id, key, name, file, line) with status, symbol_id and candidates.
-
-    A key decides, else a qualified name, else the file (and the line that a symbol spans). One symbol is RESOLVED, none UNRESOLVED,
-    several AMBIGUOUS with their first ids. Each kind of reference is an equality join; a line is a range check behind its file."""
+def hits_of(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """ref_id and id of every symbol that a reference may mean: by its key, else its qualified name, else its file (and the line that a symbol spans)."""
     s = symbols.select("id", "symbol_key", "qualified_name", "file_id", "start_line", "end_line")
     by_key = references.filter("key IS NOT NULL").join(s, F.col("key") == F.col("symbol_key"))
     by_name = references.filter("key IS NULL AND name IS NOT NULL").join(s, F.col("name") == F.col("qualified_name"))
     inside = F.col("line").isNull() | ((F.col("start_line") <= F.col("line")) & (F.col("end_line") >= F.col("line")))
     by_file = references.filter("key IS NULL AND name IS NULL").join(s, (F.col("file") == F.col("file_id")) & inside)
-    hits = by_key.select("ref_id", "id").union(by_name.select("ref_id", "id")).union(by_file.select("ref_id", "id"))
+    return by_key.select("ref_id", "id").union(by_name.select("ref_id", "id")).union(by_file.select("ref_id", "id"))
+
+
+def resolve(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """references (ref_id, key, name, file, line) with status, symbol_id and candidates.
+
+    A key decides, else a qualified name, else the file (and the line that a symbol spans). One symbol is RESOLVED, none UNRESOLVED,
+    several AMBIGUOUS with their first ids. Each kind of reference is an equality join; a line is a range check behind its file."""
+    hits = hits_of(references, symbols)
     counts = hits.groupBy("ref_id").agg(F.count("*").alias("candidates"), F.min("id").alias("first"))
     status = F.when(F.col("candidates").isNull(), "UNRESOLVED").when(F.col("candidates") == 1, "RESOLVED").otherwise("AMBIGUOUS")
     return references.join(counts, "ref_id", "left").select(*references.columns, status.alias("status"), F.when(F.col("candidates") == 1, F.col("first")).alias("symbol_id"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
 def candidate_ids(references: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The ids of ambiguous references, first ids first, at most MAX_CANDIDATES each."""
-    from pyspark.sql import Window
+    """The ids of ambiguous references of every kind, first ids first, at most MAX_CANDIDATES each. A reference with a single hit is resolved and has none."""
+    own = Window.partitionBy("ref_id")
+    ranked = hits_of(references, symbols).select("ref_id", "id", F.row_number().over(own.orderBy("id")).alias("k"), F.count("*").over(own).alias("n"))
+    return ranked.filter((F.col("n") > 1) & (F.col("k") <= MAX_CANDIDATES)).select("ref_id", "id", F.col("k").cast("int").alias("k"))
+
 
+def named_ids(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The ids of the symbols that references by qualified name alone may mean, one or more, first ids first, at most MAX_CANDIDATES each."""
     name = references.filter("key IS NULL AND name IS NOT NULL").join(symbols.select("id", "qualified_name"), F.col("name") == F.col("qualified_name"))
     return name.withColumn("k", F.row_number().over(Window.partitionBy("ref_id").orderBy("id"))).filter(F.col("k") <= MAX_CANDIDATES).select("ref_id", "id", F.col("k").cast("int").alias("k"))
 

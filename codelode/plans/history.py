@@ -28,7 +28,8 @@ _BOTH = f"""{cte('symbols', 'observations', 'sessions')}{_RESOLVE}, obs AS (SELE
   coalesce(source_key, source_name, source_file || coalesce(':' || source_line, '')) AS shown FROM observations o JOIN resolved a ON a.ref_id = 's' || observation_id LEFT JOIN resolved b ON b.ref_id = 't' || observation_id
   WHERE session_id IN (SELECT session_id FROM sessions WHERE snapshot_id = '{ACTIVE}'))"""
 R.add("d06_reference_resolution", lambda t: runtime.resolve(runtime.sources(t.observations).union(runtime.targets(t.observations)), t.symbols).select("ref_id", "status", "symbol_id", "candidates"), f"{cte('symbols', 'observations')}{_RESOLVE} SELECT ref_id, status, symbol_id, candidates FROM resolved")
-R.add("d06_candidate_ids", lambda t: runtime.candidate_ids(runtime.sources(t.observations), t.symbols), f"{cte('symbols', 'observations')}{_RESOLVE} SELECT ref_id, id, k FROM (SELECT ref_id, id, row_number() OVER (PARTITION BY ref_id ORDER BY id)::INTEGER AS k FROM refs JOIN symbols ON refs.name = qualified_name WHERE refs.key IS NULL) WHERE k <= 1000")
+R.add("d06_candidate_ids", lambda t: runtime.named_ids(runtime.sources(t.observations), t.symbols), f"{cte('symbols', 'observations')}{_RESOLVE} SELECT ref_id, id, k FROM (SELECT ref_id, id, row_number() OVER (PARTITION BY ref_id ORDER BY id)::INTEGER AS k FROM refs JOIN symbols ON refs.name = qualified_name WHERE refs.key IS NULL) WHERE k <= 1000")
+R.add("d06_ambiguous_ids", lambda t: runtime.candidate_ids(runtime.sources(t.observations).union(runtime.targets(t.observations)), t.symbols), f"{cte('symbols', 'observations')}{_RESOLVE} SELECT ref_id, id, k FROM (SELECT ref_id, id, row_number() OVER (PARTITION BY ref_id ORDER BY id)::INTEGER AS k, count(*) OVER (PARTITION BY ref_id) AS n FROM hits) WHERE n > 1 AND k <= 1000")
 R.add("d07_line_containment", lambda t: runtime.resolve(runtime.sources(t.observations).filter("line IS NOT NULL"), t.symbols).select("ref_id", "line", "status", "candidates"), f"{cte('symbols', 'observations')}{_RESOLVE} SELECT ref_id, line, status, candidates FROM resolved WHERE line IS NOT NULL")
 R.add("e13_runtime_report", lambda t: rounded(runtime.report(both(t), t.symbols)),
       f"""{_BOTH} SELECT sum(hits)::BIGINT AS total_hits, sum(nanos)::BIGINT AS total_nanos, count(DISTINCT CASE WHEN type = 'LINE_COVERAGE' THEN coalesce(source_file, 'null') || ':' || coalesce(source_line::VARCHAR, 'null') END) AS covered_lines,

@@ -173,3 +173,14 @@ def test_scalar_kernels(spark):
     v = text.hash_vector("alpha beta")
     assert len(v) == 384 and (v**2).sum() == pytest.approx(1)
     assert get(text.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
+
+
+def test_candidates_of_every_kind_of_ambiguous_reference(spark):
+    rows = [symbol("a", "A", qualified="x.A"), symbol("b", "B", qualified="x.A"), symbol("c", "C", file="C.java", qualified="x.C")]
+    symbols = spark.createDataFrame([*rows, ("d", *rows[0][1:])], SYMBOL)
+    refs = spark.createDataFrame([("key", "ka", None, None, None), ("name", None, "x.A", None, None), ("single", None, "x.C", None, None), ("file", None, None, "src/main/java/a/A.java", None), ("line", None, None, "src/main/java/a/A.java", 4), ("past", None, None, "src/main/java/a/A.java", 40), ("none", "z", "x.A", None, None)], "ref_id string, key string, name string, file string, line int")
+    got = sorted(tuple(r) for r in runtime.candidate_ids(refs, symbols).collect())
+    want = {"key": "ad", "name": "abd", "file": "abd", "line": "abd"}
+    assert got == sorted((r, i, k + 1) for r, ids in want.items() for k, i in enumerate(ids))
+    status = {r["ref_id"]: r["candidates"] for r in runtime.resolve(refs, symbols).filter("status = 'AMBIGUOUS'").collect()}
+    assert status == {r: len(ids) for r, ids in want.items()}
