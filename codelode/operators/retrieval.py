@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import cosine, estimate, lexical_score, token_estimate, truncate
+from ..sources.files import excerpt
 
 MAX_RESULTS, RESPONSE_TOKENS = 1000, 32
 #: Fixed weights: semantic, lexical, graph; and lexical, graph where there is no semantic index.
@@ -102,8 +104,15 @@ def index_size(documents: DataFrame, dims: int) -> DataFrame:
     return documents.agg(F.sum(F.coalesce(F.octet_length("content"), F.lit(0)) + 4 * dims).alias("bytes"), F.count("*").alias("documents"))
 
 
-def semantic_documents(symbols: DataFrame) -> DataFrame:
-    """A SYMBOL document for every symbol that isn't external, and a FILE document listing those of each file; cut to 768 and 2048 tokens."""
+@F.udf(T.StringType())
+def _excerpts(lines, start, end):
+    return excerpt([t or "" for t in lines], start, end, 2, 768)[2]
+
+
+def semantic_documents(symbols: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """A SYMBOL document for every symbol that isn't external, a CHUNK document for each of them that has a place, and a FILE document listing those of each file; cut to 768, 768 and 2048 tokens.
+
+    A chunk is the symbol's source with two lines around it, from lines (file_id, line from 1, text). Where no such line is given, or all are blank, it has the symbol's own content."""
     from ..functions.text import truncated
 
     own = symbols.filter("NOT external")
@@ -111,7 +120,17 @@ def semantic_documents(symbols: DataFrame) -> DataFrame:
     single = own.select(F.concat(F.lit("symbol:"), "id").alias("stable_key"), F.lit("SYMBOL").alias("kind"), F.col("id").alias("source_id"), "file_id", line.alias("content"), F.lit(768).alias("most"))
     listed = own.filter("file_id IS NOT NULL").groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))  # the symbols of one source file
     whole = listed.select(F.concat(F.lit("file:"), "file_id").alias("stable_key"), F.lit("FILE").alias("kind"), F.col("file_id").alias("source_id"), "file_id", "content", F.lit(2048).alias("most"))
-    return single.unionByName(whole).withColumn("content", truncated("content", "most")).drop("most").withColumn("tokens", token_estimate("content")).withColumn("checksum", F.sha2("content", 256))
+    placed = own.filter("file_id IS NOT NULL AND start_line IS NOT NULL").select("id", "file_id", "start_line", F.coalesce("end_line", "start_line").alias("end_line"), line.alias("content"))
+    if lines is None:
+        chunks = placed.withColumn("source", F.lit(None).cast("string"))
+    else:
+        near = placed.select("id", "file_id", "start_line", "end_line").join(lines, "file_id").filter(F.col("line").between(F.col("start_line") - 2, F.col("end_line") + 2))
+        near = near.groupBy("id", "start_line", "end_line").agg(F.min("line").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("around"))
+        cut = _excerpts("around", (F.col("start_line") - F.col("first") + 1).cast("int"), (F.col("end_line") - F.col("first") + 1).cast("int"))
+        chunks = placed.join(near.select("id", cut.alias("source")), "id", "left")
+    chunk = F.when(F.col("source").rlike(r"\S"), F.col("source")).otherwise(F.col("content"))
+    chunks = chunks.select(F.concat_ws(":", F.lit("chunk"), "id", "start_line", "end_line").alias("stable_key"), F.lit("CHUNK").alias("kind"), F.col("id").alias("source_id"), "file_id", chunk.alias("content"), F.lit(768).alias("most"))
+    return single.unionByName(chunks).unionByName(whole).withColumn("content", truncated("content", "most")).drop("most").withColumn("tokens", token_estimate("content")).withColumn("checksum", F.sha2("content", 256))
 
 
 def rank_rows(scored: DataFrame, query: str = "query_id", key: str = "key") -> DataFrame:

@@ -184,3 +184,12 @@ def test_candidates_of_every_kind_of_ambiguous_reference(spark):
     assert got == sorted((r, i, k + 1) for r, ids in want.items() for k, i in enumerate(ids))
     status = {r["ref_id"]: r["candidates"] for r in runtime.resolve(refs, symbols).filter("status = 'AMBIGUOUS'").collect()}
     assert status == {r: len(ids) for r, ids in want.items()}
+
+
+def test_chunks_are_excerpts_of_placed_symbols(spark):
+    rows = [symbol("a", "A", file="A.java"), symbol("b", "B", file="B.java"), symbol("c", "C", file=None), symbol("x", "X", external=True)]
+    symbols = spark.createDataFrame(rows, SYMBOL).withColumns({"start_line": F.lit(4), "end_line": F.lit(5)})
+    lines = spark.createDataFrame([("A.java", i, f"line {i}") for i in range(1, 20)], "file_id string, line int, text string")
+    for given, want in ((lines, "\n".join(f"line {i}" for i in range(2, 8))), (None, "CLASS A")):
+        got = {r["stable_key"]: r["content"] for r in retrieval.semantic_documents(symbols, given).filter("kind = 'CHUNK'").collect()}
+        assert got == {"chunk:a:4:5": want, "chunk:b:4:5": "CLASS B"}
