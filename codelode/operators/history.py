@@ -132,10 +132,17 @@ def reject_duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
-def negotiate(languages: DataFrame, indexers: DataFrame) -> DataFrame:
-    """Every indexer for every language with a status, and the one chosen: of the compatible ones the highest priority, then the first id. Two small tables."""
+def negotiate(languages: DataFrame, indexers: DataFrame, build_systems: tuple[str, ...] = (), capabilities: tuple[str, ...] = ()) -> DataFrame:
+    """Every indexer for every language with a status, and the one chosen: of the compatible ones the highest priority, then the first id. Two small tables.
+
+    build_systems are those of the project: an indexer whose own list (its column build_systems, where there is one) isn't empty must have one of them. It must
+    have all the capabilities (its column of that name). A null list counts as empty."""
+    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    own = lambda name: F.coalesce(F.col(name), texts(())) if name in indexers.columns else texts(())
+    unfit = (F.size(own("build_systems")) > 0) & ~F.arrays_overlap(own("build_systems"), texts(build_systems))
+    lacking = F.size(F.array_except(texts(capabilities), own("capabilities"))) > 0
     pairs = languages.crossJoin(F.broadcast(indexers))
-    status = F.when(~F.array_contains("languages", F.col("language")), "UNSUPPORTED_LANGUAGE").when(~F.col("qualified"), "NOT_QUALIFIED").otherwise("COMPATIBLE")
+    status = F.when(~F.array_contains("languages", F.col("language")), "UNSUPPORTED_LANGUAGE").when(~F.col("qualified"), "NOT_QUALIFIED").when(unfit, "BUILD_SYSTEM").when(lacking, "MISSING_CAPABILITIES").otherwise("COMPATIBLE")
     rated = pairs.withColumn("status", status)
     order = Window.partitionBy("language", "status").orderBy(F.desc("priority"), "indexer_id")
     return rated.withColumn("chosen", (F.col("status") == "COMPATIBLE") & (F.row_number().over(order) == 1)).select("language", "indexer_id", "status", "chosen")

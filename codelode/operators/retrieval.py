@@ -72,8 +72,12 @@ def hybrid_context(ranked: DataFrame, max_documents: int = 20, max_tokens: int =
     return out
 
 
-def reuse_vectors(documents: DataFrame, index: DataFrame) -> DataFrame:
-    """Each document of either side: REUSED (same checksum), CHANGED, ADDED or REMOVED."""
+def reuse_vectors(documents: DataFrame, index: DataFrame, model: tuple[str, str, int] | None = None, indexed: tuple[str, str, int] | None = None) -> DataFrame:
+    """Each document of either side: REUSED (same checksum), CHANGED, ADDED or REMOVED.
+
+    model and indexed: provider, model and dimensions now and of the index. Where they differ nothing is reused: every document is ADDED and every indexed one REMOVED."""
+    if model != indexed:
+        return documents.select("stable_key", F.lit("ADDED").alias("status")).union(index.select("stable_key", F.lit("REMOVED")))
     old = index.select("stable_key", F.col("checksum").alias("old"))
     both = documents.select("stable_key", "checksum").join(old, "stable_key", "full_outer")
     status = F.when(F.col("checksum").isNull(), "REMOVED").when(F.col("old").isNull(), "ADDED").when(F.col("checksum") == F.col("old"), "REUSED").otherwise("CHANGED")

@@ -193,3 +193,18 @@ def test_chunks_are_excerpts_of_placed_symbols(spark):
     for given, want in ((lines, "\n".join(f"line {i}" for i in range(2, 8))), (None, "CLASS A")):
         got = {r["stable_key"]: r["content"] for r in retrieval.semantic_documents(symbols, given).filter("kind = 'CHUNK'").collect()}
         assert got == {"chunk:a:4:5": want, "chunk:b:4:5": "CLASS B"}
+
+
+def test_an_indexer_must_fit_the_build_and_have_the_capabilities(spark):
+    rows = [("gradle", ["gradle"], ["calls", "types"], 9), ("weak", [], ["calls"], 8), ("fit", ["maven", "ant"], ["types", "calls"], 7), ("any", None, ["calls", "types"], 6)]
+    indexers = spark.createDataFrame(rows, "indexer_id string, build_systems array<string>, capabilities array<string>, priority int").withColumns({"languages": F.array(F.lit("java")), "qualified": F.lit(True)})
+    languages = spark.createDataFrame([("java",)], "language string")
+    got = {r["indexer_id"]: (r["status"], r["chosen"]) for r in history.negotiate(languages, indexers, ("maven",), ("calls", "types")).collect()}
+    assert got == {"gradle": ("BUILD_SYSTEM", False), "weak": ("MISSING_CAPABILITIES", False), "fit": ("COMPATIBLE", True), "any": ("COMPATIBLE", False)}
+
+
+def test_another_models_vectors_are_not_reused(spark):
+    documents, index = (spark.createDataFrame(rows, "stable_key string, checksum string") for rows in ([("a", "1"), ("b", "2")], [("a", "1"), ("c", "3")]))
+    status = lambda *models: sorted(tuple(r) for r in retrieval.reuse_vectors(documents, index, *models).collect())
+    assert status(("p", "m", 64), ("p", "m", 64)) == [("a", "REUSED"), ("b", "ADDED"), ("c", "REMOVED")]
+    assert status(("p", "m", 64), ("p", "m", 32)) == [("a", "ADDED"), ("a", "REMOVED"), ("b", "ADDED"), ("c", "REMOVED")]
