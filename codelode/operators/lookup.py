@@ -60,10 +60,18 @@ def usages(occurrences: DataFrame, project: str, symbol: str, limit: int = 200)
     return positioned(found, ["file_id", "start_line", "start_column", "id"], limit)
 
 
-def relationships(rows: DataFrame, project: str, anchor: str, direction: str = "ANY", kinds: list[str] | None = None, resolution: str | None = None, nature: str | None = None, limit: int = 200) -> DataFrame:
-    """Relationships of an anchor. Filters come before the limit; with ANY, outgoing rows come first, and a loop is outgoing."""
-    out, into = F.col("source_id") == anchor, F.coalesce(F.col("target_id") == anchor, F.lit(False))
-    found = rows.filter((F.col("project_id") == project) & {"OUT": out, "IN": into, "ANY": out | into}[direction])
+def relationships(rows: DataFrame, project: str, anchor: str, direction: str = "ANY", kinds: list[str] | None = None, resolution: str | None = None, nature: str | None = None, limit: int = 200, by_target: DataFrame | None = None) -> DataFrame:
+    """Relationships of an anchor. Filters come before the limit; with ANY, outgoing rows come first, and a loop is outgoing.
+
+    by_target: the same rows as a table in the order of their targets. With it each direction reads the table whose row groups its anchor's rows lie in."""
+    out, into = F.col("source_id") == anchor, F.col("target_id") == anchor
+    if by_target is None:
+        found = rows.filter({"OUT": out, "IN": into, "ANY": out | into}[direction])
+    else:
+        found = by_target.filter(into) if direction == "IN" else rows.filter(out)
+        if direction == "ANY":
+            found = found.unionByName(by_target.filter(into & ~out))
+    found = found.filter(F.col("project_id") == project)
     for column, value in (("resolution_status", resolution), ("nature", nature)):
         if value is not None:
             found = found.filter(F.col(column) == value)
@@ -83,9 +91,9 @@ PRESETS = {
 }
 
 
-def preset(name: str, rows: DataFrame, project: str, anchor: str, limit: int = 200) -> DataFrame:
+def preset(name: str, rows: DataFrame, project: str, anchor: str, limit: int = 200, by_target: DataFrame | None = None) -> DataFrame:
     direction, kinds = PRESETS[name]
-    return relationships(rows, project, anchor, direction, kinds, limit=limit)
+    return relationships(rows, project, anchor, direction, kinds, limit=limit, by_target=by_target)
 
 
 def is_test_path(path: Column | str) -> Column:

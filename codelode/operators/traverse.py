@@ -5,7 +5,7 @@ needed to say which path came first."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import EDGE_KINDS, FLOW_KINDS, NATURES, PROPAGATING_KINDS, ordinal
@@ -29,33 +29,69 @@ def traversable(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return kept.select("id", "kind", "source_id", "target_id", F.coalesce("confidence", F.lit(1.0)).alias("edge_confidence"))
 
 
-def impact(symbols: DataFrame, rows: DataFrame, root: str, depth: int = 4, results: int = 200) -> tuple[DataFrame, DataFrame]:
+def entered(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges whose source impact may enter: no external and no generated symbol."""
+    return edges.join(symbols.filter("NOT external AND NOT generated").select(F.col("id").alias("source_id")), "source_id", "left_semi")
+
+
+#: A frontier of so many nodes at most is pushed into the scan of the edges; one of so many is broadcast; a larger one is joined.
+PUSHED, BROADCAST = 200, 100_000
+
+
+def _meet(frontier: DataFrame, nodes: list[str], more: bool, edges: DataFrame, key: str) -> DataFrame:
+    """frontier joined with edges on key. nodes: the frontier's first PUSHED nodes; more: whether it has others."""
+    if not more:
+        return F.broadcast(frontier).join(edges.filter(F.col(key).isin(nodes)), key)
+    return (F.broadcast(frontier) if frontier.count() <= BROADCAST else frontier).join(edges, key)
+
+
+def _front(level: DataFrame, key: str) -> tuple[list[str], bool]:
+    """The first PUSHED nodes of a written level, and whether it has more."""
+    nodes = [r[0] for r in level.select(key).distinct().limit(PUSHED + 1).collect()]
+    return nodes[:PUSHED], len(nodes) > PUSHED
+
+
+def _longer() -> Column:
+    """A path with one edge more."""
+    return F.when(F.col("path") == "", F.col("id")).otherwise(F.concat_ws(SEP, "path", "id"))
+
+
+def impact(symbols: DataFrame, rows: DataFrame, root: str, depth: int = 4, results: int = 200, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What a change of root may reach against the direction of relations, and the tests among it.
 
     impacts: symbol_id, depth, confidence (the least of its path), path; the shortest path, then the surest, then the first by ids.
     tests: the best way to each impacted test over a RELATED_TEST relation. External and generated symbols aren't entered. Depth leads the
-    order, so a level's best is final and the loop is exact."""
+    order, so a level's best is final and the loop is exact. edges: a written table of traversable edges that may be entered, if there is one.
+
+    A level is one aggregation, written once: the best way to each symbol it finds, and the best over a RELATED_TEST relation."""
     _bounded(depth, results)
     spark = symbols.sparkSession
-    edges = stored(traversable(rows, symbols), "impact-edges")
-    enter = symbols.filter("NOT external AND NOT generated").select(F.col("id").alias("source_id"))
-    frontier = spark.range(1).select(F.lit(root).alias("symbol_id"), F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"), F.lit("").alias("path"))
-    seen, tests = frontier, None
+    if edges is None:
+        edges = stored(entered(traversable(rows, symbols), symbols), "impact-edges")
+    frontier = spark.range(1).select(F.lit(root).alias("symbol_id"), F.lit(1.0).alias("confidence"), F.lit("").alias("path"))
+    nodes, more, levels = [root], False, []
     for level in range(1, depth + 1):
-        step = frontier.select(F.col("symbol_id").alias("target_id"), "confidence", "path").join(edges, "target_id").join(enter, "source_id", "left_semi").filter(F.col("source_id") != root)
-        path = F.when(F.col("path") == "", F.col("id")).otherwise(F.concat_ws(SEP, "path", "id"))
-        found = step.select(F.col("source_id").alias("symbol_id"), F.lit(level).alias("depth"), F.least("confidence", "edge_confidence").alias("confidence"), path.alias("path"), "kind")
-        best = lambda df: df.groupBy("symbol_id").agg(F.min(F.struct(F.col("depth"), (-F.col("confidence")).alias("c"), F.col("path"))).alias("b")).select("symbol_id", F.col("b.depth").alias("depth"), (-F.col("b.c")).alias("confidence"), F.col("b.path").alias("path"))
-        found = stored(found, "impact-level")
-        some = best(found.filter("kind = 'RELATED_TEST'"))
-        tests = some if tests is None else tests.union(some)
-        frontier = stored(best(found).join(seen.select("symbol_id"), "symbol_id", "left_anti"), "impact-front")
-        seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
+        step = _meet(frontier.withColumnRenamed("symbol_id", "target_id"), nodes, more, edges, "target_id").filter(F.col("source_id") != root)
+        way = F.struct((-F.least("confidence", "edge_confidence")).alias("c"), _longer().alias("path"))
+        found = step.groupBy(F.col("source_id").alias("symbol_id")).agg(F.min(way).alias("b"), F.min(F.when(F.col("kind") == "RELATED_TEST", way)).alias("t"))
+        if levels:
+            seen = levels[0].select("symbol_id")
+            for before in levels[1:]:
+                seen = seen.union(before.select("symbol_id"))
+            found = found.join(seen.distinct().withColumn("known", F.lit(True)), "symbol_id", "left")
+        else:
+            found = found.withColumn("known", F.lit(None).cast("boolean"))
+        levels.append(stored(found.withColumn("depth", F.lit(level)), "impact-level"))
+        frontier = levels[-1].filter("known IS NULL").select("symbol_id", (-F.col("b.c")).alias("confidence"), F.col("b.path").alias("path"))
+        nodes, more = _front(frontier, "symbol_id")
+        if not nodes:
             break
-    impacts = seen.filter(F.col("depth") > 0).orderBy("depth", F.desc("confidence"), "path", "symbol_id").limit(results)
-    impacts = stored(impacts, "impacts")
-    tests = best(tests).join(impacts.select("symbol_id"), "symbol_id", "left_semi")
+    every = levels[0]
+    for after in levels[1:]:
+        every = every.unionByName(after)
+    impacts = every.filter("known IS NULL").select("symbol_id", "depth", (-F.col("b.c")).alias("confidence"), F.col("b.path").alias("path")).orderBy("depth", F.desc("confidence"), "path", "symbol_id").limit(results)
+    best = every.filter("t IS NOT NULL").groupBy("symbol_id").agg(F.min(F.struct("depth", "t.c", "t.path")).alias("b"))
+    tests = best.select("symbol_id", F.col("b.depth").alias("depth"), (-F.col("b.c")).alias("confidence"), F.col("b.path").alias("path")).join(impacts.select("symbol_id"), "symbol_id", "left_semi")
     return impacts, tests
 
 
@@ -85,75 +121,87 @@ def program_graph(symbols: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataF
     return nodes, edges
 
 
+def _steps(edges: DataFrame, forward: Column | bool = True) -> DataFrame:
+    """Edges as steps: node, next, id, edge_confidence and edge_nature. Those that aren't forward go from target to source."""
+    ahead = F.lit(forward) if isinstance(forward, bool) else forward
+    return edges.select(F.when(ahead, F.col("source_node_id")).otherwise(F.col("target_node_id")).alias("node"), F.when(ahead, F.col("target_node_id")).otherwise(F.col("source_node_id")).alias("next"), "id", F.coalesce("confidence", F.lit(1.0)).alias("edge_confidence"), ordinal("nature", NATURES).alias("edge_nature"))
+
+
+def _nature() -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in NATURES]), F.col("nature") + 1)
+
+
 def advanced_impact(nodes: DataFrame, edges: DataFrame, root: str, baseline: DataFrame, depth: int = 4, results: int = 200) -> DataFrame:
     """Symbols reached on the program graph beyond the baseline (symbol_id): calls backwards, other flows forwards, control flow not at all.
 
     Breadth first; the path that comes first stays, with its least confidence and worst nature."""
     _bounded(depth, results)
-    call = F.col("kind") == "CALL"
-    steps = edges.filter("kind <> 'CONTROL_FLOW'").select(F.when(call, F.col("target_node_id")).otherwise(F.col("source_node_id")).alias("node"), F.when(call, F.col("source_node_id")).otherwise(F.col("target_node_id")).alias("next"), "id", F.coalesce("confidence", F.lit(1.0)).alias("edge_confidence"), ordinal("nature", NATURES).alias("edge_nature"))
-    steps = stored(steps, "advanced-edges")
+    steps = stored(_steps(edges.filter("kind <> 'CONTROL_FLOW'"), F.col("kind") != "CALL").repartitionByRange("node"), "advanced-steps")
     frontier = nodes.sparkSession.range(1).select(F.lit(f"symbol:{root}").alias("node"), F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"), F.lit(0).alias("nature"))
-    seen = frontier
+    seen, front, more = frontier, [f"symbol:{root}"], False
     for level in range(1, depth + 1):
-        moved = frontier.join(steps, "node")
-        path = F.when(F.col("path") == "", F.col("id")).otherwise(F.concat_ws(SEP, "path", "id"))
-        found = moved.select(F.col("next").alias("node"), path.alias("path"), F.lit(level).alias("depth"), F.least("confidence", "edge_confidence").alias("confidence"), F.greatest("nature", "edge_nature").alias("nature"))
+        moved = _meet(frontier, front, more, steps, "node")
+        found = moved.select(F.col("next").alias("node"), _longer().alias("path"), F.lit(level).alias("depth"), F.least("confidence", "edge_confidence").alias("confidence"), F.greatest("nature", "edge_nature").alias("nature"))
         first = found.groupBy("node").agg(F.min(F.struct("path", "depth", "confidence", "nature")).alias("b")).select("node", "b.*")
         frontier = stored(first.join(seen.select("node"), "node", "left_anti"), "advanced-front")
         seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
+        front, more = _front(frontier, "node")
+        if not front:
             break
-    names = F.element_at(F.array(*[F.lit(n) for n in NATURES]), F.col("nature") + 1)
     added = seen.filter("depth > 0").join(nodes.select(F.col("id").alias("node"), "symbol_id"), "node").join(baseline.select("symbol_id"), "symbol_id", "left_anti")
-    return added.orderBy("depth", "path").limit(results).select("symbol_id", "depth", "confidence", names.alias("nature"), "path")
+    return added.orderBy("depth", "path").limit(results).select("symbol_id", "depth", "confidence", _nature().alias("nature"), "path")
 
 
 def flow_paths(edges: DataFrame, start: str, depth: int = 4, results: int = 200) -> DataFrame:
     """Every simple path from start over the flow kinds, breadth first by edge ids. An edge that closes a cycle ends its path, marked as such."""
     _bounded(depth, results)
-    steps = stored(edges.filter(F.col("kind").isin(FLOW_KINDS)).select(F.col("source_node_id").alias("node"), F.col("target_node_id").alias("next"), "id"), "flow-edges")
+    steps = stored(edges.filter(F.col("kind").isin(FLOW_KINDS)).select(F.col("source_node_id").alias("node"), F.col("target_node_id").alias("next"), "id").repartitionByRange("node"), "flow-steps")
     frontier = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("nodes"), F.lit("").alias("path"))
-    out = None
+    out, front, more = None, [start], False
     for level in range(1, depth + 1):
-        moved = frontier.join(steps, "node")
-        path = F.when(F.col("path") == "", F.col("id")).otherwise(F.concat_ws(SEP, "path", "id"))
-        found = moved.select(F.col("next").alias("node"), F.array_append("nodes", F.col("next")).alias("nodes"), path.alias("path"), F.array_contains("nodes", F.col("next")).alias("cycle"), F.lit(level).alias("depth"))
+        moved = _meet(frontier, front, more, steps, "node")
+        found = moved.select(F.col("next").alias("node"), F.array_append("nodes", F.col("next")).alias("nodes"), _longer().alias("path"), F.array_contains("nodes", F.col("next")).alias("cycle"), F.lit(level).alias("depth"))
         found = stored(found.orderBy("path").limit(results), "flow-level")  # what comes later in this level is cut off by the limit in any case
         out = found if out is None else out.unionByName(found)
         frontier = found.filter("NOT cycle").select("node", "nodes", "path")
-        if frontier.isEmpty():
+        front, more = _front(frontier, "node")
+        if not front:
             break
     return out.orderBy("depth", "path").limit(results)
 
 
 def security_paths(nodes: DataFrame, edges: DataFrame, depth: int = 8, results: int = 200) -> DataFrame:
-    """Paths from sources to sinks with the sanitizers on them. Sources by id, each breadth first; a state is a node with the sanitizers passed, entered once, after what it finds is reported; cycles are dropped."""
+    """Paths from sources to sinks with the sanitizers on them. Sources by id, each breadth first; a state is a node with the sanitizers passed, entered once, after what it finds is reported; cycles are dropped.
+
+    Once the first sources have results paths among them, later sources can't add any and are left."""
     _bounded(depth, results, 1000)
-    steps = stored(edges.filter(F.col("kind").isin(FLOW_KINDS)).select(F.col("source_node_id").alias("node"), F.col("target_node_id").alias("next"), "id", F.coalesce("confidence", F.lit(1.0)).alias("edge_confidence"), ordinal("nature", NATURES).alias("edge_nature")), "security-edges")
     kinds = nodes.select(F.col("id").alias("next"), F.col("kind").alias("next_kind"))
+    steps = stored(_steps(edges.filter(F.col("kind").isin(FLOW_KINDS))).join(kinds, "next").repartitionByRange("node"), "security-steps")
     begin = nodes.filter("kind = 'SOURCE'")
     frontier = begin.select(F.col("id").alias("source"), F.col("id").alias("node"), F.array("id").alias("nodes"), F.lit("").alias("path"), F.lit("").alias("sanitizers"), F.lit(1.0).alias("confidence"), F.lit(0).alias("nature"))
+    state = ["source", "node", "sanitizers"]
+    front, more = _front(frontier, "node")
     seen, out = None, None
     for level in range(1, depth + 1):
-        moved = frontier.join(steps, "node").join(kinds, "next").filter(~F.array_contains("nodes", F.col("next")))
-        path = F.when(F.col("path") == "", F.col("id")).otherwise(F.concat_ws(SEP, "path", "id"))
+        moved = _meet(frontier, front, more, steps, "node").filter(~F.array_contains("nodes", F.col("next")))
         clean = F.when(F.col("next_kind") == "SANITIZER", F.concat("sanitizers", F.lit("|"), "next")).otherwise(F.col("sanitizers"))
-        found = moved.select("source", F.col("next").alias("node"), F.array_append("nodes", F.col("next")).alias("nodes"), path.alias("path"), clean.alias("sanitizers"), F.least("confidence", "edge_confidence").alias("confidence"), F.greatest("nature", "edge_nature").alias("nature"), "next_kind")
+        found = moved.select("source", F.col("next").alias("node"), F.array_append("nodes", F.col("next")).alias("nodes"), _longer().alias("path"), clean.alias("sanitizers"), F.least("confidence", "edge_confidence").alias("confidence"), F.greatest("nature", "edge_nature").alias("nature"), "next_kind")
+        found = found.withColumn("first", F.row_number().over(Window.partitionBy(*state).orderBy("path")) == 1)
+        if seen is not None:
+            found = found.join(seen.withColumn("known", F.lit(True)), state, "left").withColumn("first", F.col("first") & F.col("known").isNull()).drop("known")
         found = stored(found, "security-level")
-        hits = found.filter("next_kind = 'SINK'").withColumn("depth", F.lit(level)).drop("next_kind", "nodes")
+        hits = found.filter("next_kind = 'SINK'").withColumn("depth", F.lit(level)).drop("next_kind", "nodes", "first")
         out = hits if out is None else out.unionByName(hits)
-        first = Window.partitionBy("source", "node", "sanitizers").orderBy("path")
-        new = found.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k", "next_kind")
-        if seen is not None:
-            new = new.join(seen, ["source", "node", "sanitizers"], "left_anti")
-        frontier = stored(new, "security-front").select("source", "node", "nodes", "path", "sanitizers", "confidence", "nature")
-        states = frontier.select("source", "node", "sanitizers")
+        enough, last = out.select("source").orderBy("source").limit(results).agg(F.count("*"), F.max("source")).first()
+        frontier = found.filter("first").select("source", "node", "nodes", "path", "sanitizers", "confidence", "nature")
+        if enough == results:
+            frontier = frontier.filter(F.col("source") <= last)
+        states = frontier.select(*state)
         seen = states if seen is None else seen.union(states)
-        if frontier.isEmpty():
+        front, more = _front(frontier, "node")
+        if not front:
             break
-    names = F.element_at(F.array(*[F.lit(n) for n in NATURES]), F.col("nature") + 1)
-    return out.orderBy("source", "depth", "path").limit(results).select("source", F.col("node").alias("sink"), "depth", "path", "sanitizers", (F.col("sanitizers") != "").alias("sanitized"), "confidence", names.alias("nature"))
+    return out.orderBy("source", "depth", "path").limit(results).select("source", F.col("node").alias("sink"), "depth", "path", "sanitizers", (F.col("sanitizers") != "").alias("sanitized"), "confidence", _nature().alias("nature"))
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int) -> tuple[DataFrame, DataFrame]:

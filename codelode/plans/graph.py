@@ -33,7 +33,7 @@ _IMPACT = f"{_EDGES}{_levels()}, impacts AS (SELECT * FROM seen{DEPTH} WHERE dep
 
 
 def impact(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return traverse.impact(t.symbols, t.relationships, ROOT, DEPTH, 10_000)
+    return traverse.impact(t.symbols, t.relationships, ROOT, DEPTH, 10_000, t.impact_edges)
 
 
 def readable(df: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ R.add("i03_impact_limitations", lambda t: traverse.impact_limitations(t.symbols,
       f"{cte('symbols', 'relationships')} SELECT bool_or(resolution_status = 'UNRESOLVED') AS unresolved_relationships_ignored, coalesce(bool_or(target_id IS NOT NULL AND (a.id IS NULL OR b.id IS NULL)), false) AS external_targets_not_traversed FROM relationships r LEFT JOIN symbols a ON a.id = r.source_id LEFT JOIN symbols b ON b.id = r.target_id WHERE r.kind IN ({quoted(PROPAGATING_KINDS)})")
 R.add("d12_traversable_edges", lambda t: traverse.traversable(t.relationships, t.symbols).select("id", "kind", "source_id", "target_id"), f"{_EDGES} SELECT id, kind, source_id, target_id FROM edges")
 R.add("d13_impacted_tests_semi_join", lambda t: impact(t)[1].select("symbol_id"), f"{_IMPACT}, tests AS ({_TESTS}) SELECT DISTINCT symbol_id FROM tests WHERE symbol_id IN (SELECT symbol_id FROM impacts)")
-R.add("g11_impact_order", lambda t: readable(traverse.impact(t.symbols, t.relationships, ROOT, 2, 50)[0]).select("symbol_id", "depth", "path"), f"{_IMPACT} SELECT symbol_id, depth, {_PATH} FROM impacts WHERE depth <= 2 ORDER BY depth, confidence DESC, impacts.path LIMIT 50")
+R.add("g11_impact_order", lambda t: readable(traverse.impact(t.symbols, t.relationships, ROOT, 2, 50, t.impact_edges)[0]).select("symbol_id", "depth", "path"), f"{_IMPACT} SELECT symbol_id, depth, {_PATH} FROM impacts WHERE depth <= 2 ORDER BY depth, confidence DESC, impacts.path LIMIT 50")
 
 _GRAPH = """, graph AS (SELECT CASE kind WHEN 'CALLS' THEN 'call:' WHEN 'READS' THEN 'read-flow:' ELSE 'write-flow:' END || r.id AS id, 'symbol:' || CASE WHEN kind = 'READS' THEN target_id ELSE source_id END AS source_node_id,
   'symbol:' || CASE WHEN kind = 'READS' THEN source_id ELSE target_id END AS target_node_id, CASE WHEN kind = 'CALLS' THEN 'CALL' ELSE 'DATA_FLOW' END AS kind, CASE WHEN kind = 'CALLS' THEN nature ELSE 'DERIVED' END AS nature,
@@ -59,11 +59,11 @@ _GRAPH = """, graph AS (SELECT CASE kind WHEN 'CALLS' THEN 'call:' WHEN 'READS'
 
 
 def graph(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return traverse.program_graph(t.symbols, t.relationships)
+    return t.graph_nodes, t.graph_edges
 
 
-R.add("i08_program_graph_edges", lambda t: rounded(graph(t)[1]), f"{cte('symbols', 'relationships')}{_GRAPH} SELECT id, source_node_id, target_node_id, kind, nature, round(confidence, 9) AS confidence FROM graph")
-R.add("i08_program_graph_nodes", lambda t: graph(t)[0], f"{cte('symbols', 'relationships')}{_GRAPH} SELECT 'symbol:' || s.id AS id, s.id AS symbol_id, s.name AS label, 'SYMBOL' AS kind FROM symbols s WHERE 'symbol:' || s.id IN (SELECT source_node_id FROM graph UNION SELECT target_node_id FROM graph)")
+R.add("i08_program_graph_edges", lambda t: rounded(traverse.program_graph(t.symbols, t.relationships)[1]), f"{cte('symbols', 'relationships')}{_GRAPH} SELECT id, source_node_id, target_node_id, kind, nature, round(confidence, 9) AS confidence FROM graph")
+R.add("i08_program_graph_nodes", lambda t: traverse.program_graph(t.symbols, t.relationships)[0], f"{cte('symbols', 'relationships')}{_GRAPH} SELECT 'symbol:' || s.id AS id, s.id AS symbol_id, s.name AS label, 'SYMBOL' AS kind FROM symbols s WHERE 'symbol:' || s.id IN (SELECT source_node_id FROM graph UNION SELECT target_node_id FROM graph)")
 
 
 def _advanced() -> str:

@@ -1,4 +1,4 @@
-"""Where the modules of queries are gathered."""
+"""The tables that queries read, and where the modules of queries are gathered."""
 
 from __future__ import annotations
 
@@ -6,17 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .projection import load
+from ..functions.text import normalized_text
+from ..operators import architecture, derive, retrieval, traverse
+from ..store import files_mark, published
+from .projection import VIEWS, load
+
+#: The order in which projected tables are published; the others are projected for each query.
+ORDER: dict[str, list[str]] = {"symbols": ["id"], "occurrences": ["symbol_id", "file_id"], "relationships": ["source_id"], "commit_files": ["commit_id"]}
+#: What an index derives from them once, with its order.
+DERIVED: dict[str, tuple[Callable[[Tables], DataFrame], list[str]]] = {
+    "relationships_by_target": (lambda t: t.relationships, ["target_id"]),
+    "dependencies": (lambda t: derive.dependencies(t.relationships), ["source_id"]),
+    "impact_edges": (lambda t: traverse.entered(traverse.traversable(t.relationships, t.symbols), t.symbols), ["target_id"]),
+    "graph_edges": (lambda t: traverse.program_graph(t.symbols, t.relationships)[1], ["source_node_id"]),
+    "graph_nodes": (lambda t: traverse.program_graph(t.symbols, t.relationships)[0], ["id"]),
+    "placed_symbols": (lambda t: architecture.assign_modules(t.symbols, t.modules), ["id"]),
+    "degrees": (lambda t: retrieval.graph_degree(t.relationships), ["source_id"]),
+    "semantic_index": (lambda t: t.semantic_documents.withColumn("normalized", normalized_text("content")), ["stable_key"]),
+}
 
 
 class Tables:
-    """The projected tables of one folder, read when asked for."""
+    """The projected tables of one folder. Facts and what is derived from them are published once, in the order in which lookups ask for them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, view: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, view)
+        if view in DERIVED:
+            make, order = DERIVED[view]
+        elif view in ORDER:
+            make, order = (lambda t: load(t.spark, t.sf_dir, view)), ORDER[view]
+        elif view in VIEWS:
+            return load(self.spark, self.sf_dir, view)
+        else:
+            raise AttributeError(view)
+        return published(self.spark, files_mark(self.spark, self.sf_dir), view, lambda: make(self), order)
 
     def base(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")

@@ -74,11 +74,11 @@ R.add("e25_ingestion_report", lambda t: t.occurrences.agg(F.count("*").alias("oc
 
 
 def placed(t: Tables) -> DataFrame:
-    return architecture.assign_modules(t.symbols, t.modules)
+    return t.placed_symbols
 
 
 def classified(t: Tables) -> DataFrame:
-    return architecture.classify_dependencies(derive.dependencies(t.relationships), placed(t))
+    return architecture.classify_dependencies(t.dependencies, placed(t))
 
 
 _PLACED = """, placed AS (SELECT symbols.*, m.module_key, m.module_root FROM symbols LEFT JOIN (SELECT file_id, arg_min(module_id, (root_kind = 'MODULE', -length(root), module_id)) AS module_key, arg_min(root, (root_kind = 'MODULE', -length(root), module_id)) AS module_root
@@ -88,7 +88,7 @@ _SCOPES = """, classified AS (SELECT d.*, x.module_key AS source_module, y.modul
 edges AS (SELECT source_module, target_module, count(*) AS dependency_count, count(DISTINCT source_id) AS source_symbols, count(DISTINCT target_id) AS target_symbols, 1.0::DOUBLE AS confidence,
   array_to_string(list_sort(list(id))[1:5], ',') AS sample_ids, 'module-dependency:' || sha256(source_module || chr(31) || target_module) AS id FROM classified WHERE scope = 'INTER' GROUP BY source_module, target_module)"""
 _ARCH = f"{cte('symbols', 'modules', 'relationships')}{_DEPS}{_PLACED}{_SCOPES}"
-R.add("d05_module_assignment", lambda t: placed(t).select("id", "module_key"), f"{cte('symbols', 'modules')}{_PLACED} SELECT id, module_key FROM placed")
+R.add("d05_module_assignment", lambda t: architecture.assign_modules(t.symbols, t.modules).select("id", "module_key"), f"{cte('symbols', 'modules')}{_PLACED} SELECT id, module_key FROM placed")
 R.add("d04_dependency_scopes", lambda t: classified(t).groupBy("scope").agg(F.count("*").alias("dependencies")), f"{_ARCH} SELECT scope, count(*) AS dependencies FROM classified GROUP BY scope")
 R.add("e07_module_edges", lambda t: architecture.module_edges(classified(t)), f"{_ARCH} SELECT * FROM edges")
 R.add("f09_bounded_sample", lambda t: derive.top_per_group(classified(t).filter("scope = 'INTER'"), ["source_module", "target_module"], ["id"], 5).select("source_module", "target_module", "id", "k"),

@@ -1,35 +1,94 @@
-"""Tables in the shared folder: written steps of iterative operators, and snapshots with an active pointer."""
+"""Tables in the shared folder: written steps of iterative operators, published projections, and snapshots with an active pointer."""
 
 from __future__ import annotations
 
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks for each core of the cluster that write a step: more would make many small files and run no sooner.
+WAVES = 4
+#: Bytes of a row group of a published table: a lookup reads those whose range holds its key.
+ROW_GROUP = 4 << 20
+_folders: dict[str, str] = {}
+_tables: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application below the cluster's spark.checkpoint.dir, a URI; it is removed when the application ends.
+
+    Where the setting is unset a local session makes a folder; on a cluster that is an error, since executors would write to their own disks."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", "")
+        if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="codelode-")
+            spark.conf.set("spark.checkpoint.dir", base)
+        if "://" not in base:  # a path of the cluster's default store
+            fs, at = _fs(spark, base)
+            whole = fs.makeQualified(at).toString()
+            base = whole if "://" in whole else whole.replace(":", "://", 1)
+        fs, at = _fs(spark, f"{base.rstrip('/')}/codelode-{app}")
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _folders[app] = f"{base.rstrip('/')}/codelode-{app}"
+    return _folders[app]
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's spark.checkpoint.dir; where that is unset, as in local tests, a folder is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codelode-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base:  # a path of the cluster's default store
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        base = whole if "://" in whole else whole.replace(":", "://", 1)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove every step and published table of this application now, not only when it ends. DataFrames made of them can't be read any more."""
+    folder = shared_folder(spark)
+    for key in [k for k in _tables if k[0] == folder]:
+        del _tables[key]
+    fs, at = _fs(spark, folder)
+    fs.delete(at, True)
+    fs.mkdirs(at)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends here, and a lost executor costs no step before it."""
+    """df written to the shared folder and read back: lineage ends here, and a lost executor costs no step before it. At most WAVES tasks a core write, each one partition after another."""
     path, schema = scratch(df.sparkSession, name), df.schema
-    df.write.parquet(path)
+    df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def files_mark(spark: SparkSession, folder: str) -> str:
+    """What the files of a folder are now: their number, bytes and latest change. A table published from them is made anew once this changes."""
+    fs, at = _fs(spark, folder)
+    found = [(s.getPath().getName(), s.getLen() if s.isFile() else fs.getContentSummary(s.getPath()).getLength(), s.getModificationTime()) for s in fs.listStatus(at)]
+    return f"{folder} {len(found)} {sum(n for _, n, _ in found)} {max((t for *_, t in found), default=0)}"
+
+
+def published(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], order: list[str | Column]) -> DataFrame:
+    """make()'s rows, written once for an application and a source, in files and row groups that follow an order, so that a lookup by its first column reads few of them."""
+    key = (shared_folder(spark), source, name)
+    if key not in _tables:
+        df, path = make(), scratch(spark, f"published-{name}")
+        if order:
+            parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            df = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        _tables[key] = path, df.schema
+    path, schema = _tables[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def unique_ids(df: DataFrame, keys: list[str]) -> None:
     """Raise where two rows share a key."""
     twice = df.groupBy(*keys).count().filter("count > 1").limit(1).collect()
@@ -40,19 +99,23 @@ def unique_ids(df: DataFrame, keys: list[str]) -> None:
 class SnapshotStore:
     """Immutable snapshots of named tables below a folder, and the one that is active of each project.
 
-    A snapshot's tables are Parquet folders, written before the pointer moves. The pointer is a new file for each promotion; the last by
-    sequence counts, so readers see either the old or the new snapshot."""
+    A snapshot's tables are Parquet folders, written before the pointer moves. A project's pointer is a file for each promotion, named by its
+    sequence and created only if no file has that name: of two writers one fails, and readers see either the old or the new snapshot."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointers(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+    def _pointer(self, project: str) -> tuple[int, dict] | None:
+        fs, at = _fs(self.spark, f"{self.root}/pointers/{project}")
+        if not fs.exists(at):
             return None
-        return self.spark.read.schema("project_id string, snapshot_id string, sequence long, counts string").json(f"{self.root}/pointers")
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        if not (numbers := [int(n) for n in names if n.isdigit()]):
+            return None
+        (row,) = self.spark.read.text(f"{self.root}/pointers/{project}/{max(numbers):012d}").collect()
+        return max(numbers), json.loads(row[0])
 
-    def publish(self, project: str, snapshot: str, tables: dict[str, DataFrame]) -> None:
+    def publish(self, project: str, snapshot: str, tables: dict[str, DataFrame], expected: str | None = None) -> None:
         """Write every table sorted by id, refuse duplicate ids and an existing snapshot, then promote."""
         counts = {}
         for name, df in tables.items():
@@ -61,20 +124,29 @@ class SnapshotStore:
             ordered = df.repartitionByRange("id").sortWithinPartitions("id") if "id" in df.columns else df
             ordered.write.mode("error").parquet(f"{self.root}/{project}/{snapshot}/{name}")
             counts[name] = self.spark.read.parquet(f"{self.root}/{project}/{snapshot}/{name}").count()
-        self.promote(project, snapshot, counts)
-
-    def promote(self, project: str, snapshot: str, counts: dict[str, int] | None = None) -> None:
-        known = self._pointers()
-        last = known.filter(F.col("project_id") == project).agg(F.max("sequence")).first()[0] if known is not None else None
-        row = self.spark.range(1).select(F.lit(project).alias("project_id"), F.lit(snapshot).alias("snapshot_id"), F.lit((last or 0) + 1).cast("long").alias("sequence"), F.lit(json.dumps(counts or {})).alias("counts"))
-        row.coalesce(1).write.mode("append").json(f"{self.root}/pointers")
+        self.promote(project, snapshot, counts, expected)
+
+    def promote(self, project: str, snapshot: str, counts: dict[str, int] | None = None, expected: str | None = None) -> None:
+        """Make a snapshot active. With expected, only while that one is; an error if it isn't, or if another writer moved the pointer meanwhile."""
+        last, row = self._pointer(project) or (0, {})
+        if expected is not None and row.get("snapshot_id") != expected:
+            raise RuntimeError(f"the active snapshot of {project} is {row.get('snapshot_id')}, not {expected}")
+        fs, at = _fs(self.spark, f"{self.root}/pointers/{project}/{last + 1:012d}")
+        try:
+            out = fs.create(at, False)
+        except Exception as e:
+            raise RuntimeError(f"another writer moved the pointer of {project}") from e
+        out.write(bytearray(json.dumps({"snapshot_id": snapshot, "counts": counts or {}}).encode()))
+        out.close()
 
     def active(self, project: str) -> str | None:
-        known = self._pointers()
-        if known is None:
-            return None
-        row = known.filter(F.col("project_id") == project).orderBy(F.desc("sequence")).limit(1).collect()
-        return row[0]["snapshot_id"] if row else None
+        found = self._pointer(project)
+        return found[1]["snapshot_id"] if found else None
+
+    def counts(self, project: str) -> dict[str, int]:
+        """Rows of each table of the active snapshot, as they were promoted."""
+        found = self._pointer(project)
+        return found[1]["counts"] if found else {}
 
     def load(self, project: str, table: str) -> DataFrame:
         """A table of the active snapshot; the pointer is read again after and the load repeated if it moved."""
@@ -87,13 +159,32 @@ class SnapshotStore:
                 return df
 
     def append_session(self, session: DataFrame, folder: str = "sessions") -> bool:
-        """Add a runtime session (one session_id and source_sha256). False if it is there already; an error if it is there with other content."""
-        (key,) = session.select("project_id", "session_id", "source_sha256").distinct().limit(2).collect()
+        """Add a runtime session (one project_id, session_id and source_sha256; else an error). False if it is there already; an error if it is there with other content.
+
+        It is written aside and renamed, so of two writers one finds the other's."""
+        keys = session.select("project_id", "session_id", "source_sha256").distinct().limit(2).collect()
+        if len(keys) != 1:
+            raise ValueError("a session has rows of exactly one project, session and source")
+        key = keys[0]
         path = f"{self.root}/{folder}/project_id={key[0]}/session_id={key[1]}"
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+        fs, at = _fs(self.spark, path)
+
+        def there() -> bool:
+            if not fs.exists(at):
+                return False
             if self.spark.read.parquet(path).filter(F.col("source_sha256") != key[2]).limit(1).count():
                 raise ValueError(f"session {key[1]} is stored with other content")
+            return True
+
+        if there():
             return False
-        session.drop("project_id", "session_id").write.parquet(path)
-        return True
+        _, aside = _fs(self.spark, f"{self.root}/aside/{uuid.uuid4().hex}")
+        session.drop("project_id", "session_id").write.parquet(aside.toString())
+        fs.mkdirs(at.getParent())
+        moved = not fs.exists(at) and fs.rename(aside, at)
+        _, inside = _fs(self.spark, f"{path}/{aside.getName()}")
+        if moved and not fs.exists(inside):
+            return True
+        fs.delete(inside if moved else aside, True)
+        there()
+        return False
