@@ -55,14 +55,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: it is computed once, and survives the loss of any executor."""
+#: Tasks for each core of the cluster that write a step: more would make many small files and run no sooner.
+WAVES = 4
+
+
+def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: it is computed once, and survives the loss of any executor. At most so many tasks write, each one partition after another."""
     path = scratch(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.coalesce(tasks or WAVES * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
+    """df whose join on keys (bigint) is dealt anew: Spark splits skewed partitions only where both sides come straight from an exchange of the join."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("bigint")) for k in keys})
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for a row, however often body uses it."""
     return F.transform(F.array(value), body)[0]

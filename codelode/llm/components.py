@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import own_exchange, stored
+
+
+#: Edges that one task writes.
+TASK_EDGES = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     while last[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(own_exchange(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
-        now = stored(small, "edges")
+        small = large.join(own_exchange(low, "a"), "a").select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
+        now = stored(small, "edges", tasks=1 + last[0] // TASK_EDGES)
         if (this := sign(now)) == last:
             break
         last = this

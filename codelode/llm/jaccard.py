@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import lean, scratch, small_batches, stored, table
+from .common import lean, own_exchange, scratch, small_batches, stored, table
 from .components import components
 
 #: Different texts and shingles of one group at most; texts that may share a smallest hash before it is split, as a part of all rows at least.
@@ -263,27 +262,29 @@ def _groups(docs: DataFrame, signed: DataFrame, n: int, num: int, den: int) -> D
     has from that token on at most, and whether a member has it in its short prefix."""
     spark = docs.sparkSession
     files.publish(counts := f"{scratch(spark, 'sketch')}/counts", _sketch(signed).tobytes())
-    rows = signed.filter("n > 0 AND doc_id IS NOT NULL").select("low", "h1", "h2").distinct()
-    lows = stored(rows.groupBy("low").agg(F.count("*").alias("k")), "lows")
-    least = max(HOT_ROWS, (lows.agg(F.sum("k")).first()[0] or 0) // HOT_SHARE)
-    hot = {r[0]: -(-r[1] * 2 // least) for r in lows.filter(F.col("k") > least).collect()}  # at most HOT_SHARE rows
+    rows = signed.filter("n > 0 AND doc_id IS NOT NULL")
+    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    lows = rows.select("low", "h1", "h2").distinct().groupBy("low").agg(F.count("*").alias("k")).filter(F.col("k") > least)
+    hot = {r[0]: -(-r[1] * 2 // least) for r in lows.collect()}  # at most HOT_SHARE rows
     held = spark.sparkContext.broadcast(hot)
 
-    @F.pandas_udf("n int, h1 long, h2 long, low long, bucket long, again boolean")
-    def sign(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n int, h1 long, h2 long, low long, bucket long, again boolean")
+    def sign(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from lean(signed_rows)(texts)
 
-    def signed_rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def signed_rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler, splits, seen = Shingler(n), held.value, set()
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         for texts in batches:
             out = []
-            for size, h1, h2, low in map(signature, shingler.sets(pa.Array.from_pandas(texts, type=pa.large_string()))):
+            for size, h1, h2, low in map(signature, shingler.sets(texts)):
                 part = h1 % splits.get(low, 1)
                 out.append((size, h1, h2, low, (low + part * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63, (h1, h2) in seen))
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add((h1, h2))
-            yield pd.DataFrame(out, columns=["n", "h1", "h2", "low", "bucket", "again"])
+            columns = zip(*out, strict=True) if out else [()] * 6
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n", "h1", "h2", "low", "bucket", "again"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sketch, schema = Shingler(n), files.mapped(counts).view(np.uint32), _schema(MATRIX)
@@ -371,7 +372,7 @@ def maybe_among(docs: DataFrame, ids: DataFrame, key: str = "doc_id", hit: str =
 
 
 def _qualifying(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of groups whose unions share enough tokens for a link of their smallest members: neither group is opened for the others.
+    """Those pairs (a, b, block) of groups whose unions share enough tokens for a link of their smallest members: neither group is opened for the others.
 
     Only unions of groups in pairs are read. They are shuffled to the pairs once for b, whose groups are in few pairs; those of a, which
     may be in very many, are joined where the pairs then are."""
@@ -383,29 +384,29 @@ def _qualifying(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataF
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), *(batch.column(k) for k in (6, 7)), strict=True)
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3, 7)), *(batch.column(k) for k in (7, 8)), strict=True)
             for a_lo, b_lo, a_size, b_size, a_bits, b_bits in rows:
                 most = most_shared(a_size, np.frombuffer(a_bits.as_buffer(), np.uint8), b_size, np.frombuffer(b_bits.as_buffer(), np.uint8))
                 kept.append((num + den) * most >= num * (a_lo + b_lo))
-            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select([0, 1, 2]).filter(pa.array(kept, pa.bool_()))
 
     small_batches(pairs.sparkSession)
-    return both.select("a", "b", "a_lo", "b_lo", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(lean(bound), "a long, b long").distinct()
+    return both.select("a", "b", "block", "a_lo", "b_lo", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(lean(bound), "a long, b long, block int")
 
 
 def _links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of groups that a link joins.
+    """Those pairs (a, b) of groups, a written table, that a link joins.
 
     Qualifying groups are opened: one text of each kind of their members is fetched, those of a once for a block of OPEN_BLOCK partners,
     those of b once for a pair. A task holds the sets of a; each set of b is bounded by what it shares with the union of a's tokens before
     it is compared with a's members."""
     spark = docs.sparkSession
-    pairs = stored(_qualifying(stored(pairs, "pairs"), texts, num, den), "qualifying")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / OPEN_BLOCK).cast("int").alias("blocks"))
-    dealt = stored(pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks"), "opened")
+    blocked = pairs.join(own_exchange(blocks, "a"), "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks")
+    dealt = stored(_qualifying(blocked, texts, num, den), "qualifying")
     sides = dealt.select("a", "block").distinct().select("a", "block", F.col("a").alias("grp"), F.lit(0).alias("side")).union(dealt.select("a", "block", F.col("b").alias("grp"), F.lit(1)))
     wanted = stored(texts.select("grp", "doc_id").join(sides, "grp"), "opened-texts")
-    fetched = maybe_among(docs, wanted.select("doc_id").distinct()).filter("_hit").drop("_hit").join(wanted, "doc_id")
+    fetched = maybe_among(docs, wanted.select("doc_id")).filter("_hit").drop("_hit").join(wanted, "doc_id")
     both = fetched.repartition("a", "block").sortWithinPartitions("a", "block", "side", "grp", "doc_id").select("a", "block", "side", "grp", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +433,7 @@ def _links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, n: int, num: int
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     small_batches(spark)
-    return stored(both.mapInArrow(lean(check), "a long, b long").distinct(), "links")
+    return both.mapInArrow(lean(check), "a long, b long")
 
 
 def _could(x: str, y: str, num: int, den: int) -> Column:
@@ -460,35 +461,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     marks = signed.filter("piece IS NULL").select("doc_id", "n", "h1", "h2")
     both = _groups(docs, signed, n, num, den)
     texts = both.filter("token IS NULL").select("doc_id", "n", "h1", "h2", "grp", "lo", "size", "bits")
-    members = stored(marks.filter("n > 0 AND doc_id IS NOT NULL").join(texts.select("n", "h1", "h2", "grp"), ["n", "h1", "h2"]).select("doc_id", "grp").distinct(), "members")
-    several = members.groupBy("doc_id").agg(F.min("grp").alias("b"), F.max("grp").alias("a")).filter("a <> b").select("doc_id", "b")
-    edges = stored(members.join(several, "doc_id").select(F.col("grp").alias("a"), "b").filter("a <> b"), "repeated")
+    members = marks.filter("n > 0 AND doc_id IS NOT NULL").join(texts.select("n", "h1", "h2", "grp"), ["n", "h1", "h2"]).select("doc_id", "grp")
+    several = marks.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("doc_id")
+    again = members.join(several, "doc_id")
+    again = again.join(again.groupBy("doc_id").agg(F.min("grp").alias("b")), "doc_id").select(F.col("grp").alias("a"), "b")
 
     entries = both.filter("token IS NOT NULL").select("token", "grp", "lo", "hi", "rest", "short")
     early = F.floor((F.col("lo") - F.col("rest")) * 20 / F.col("lo")) + 1024  # twentieths of the smallest member before the token; below 0 for a larger one
     place = F.shiftleft(early.cast("bigint"), 44) + F.shiftrightunsigned(F.xxhash64("grp"), 20)
     leads = entries.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min(place).alias("lead")).filter("low <> high").select("token", "lead")
-    shared = stored(entries.join(leads, "token").select("token", "grp", "lo", "hi", "rest", "short", (place == F.col("lead")).alias("leads")), "shared-tokens")
+    shared = stored(entries.join(own_exchange(leads, "token"), "token").select("token", "grp", "lo", "hi", "rest", "short", (place == F.col("lead")).alias("leads")), "shared-tokens")
     x, y = shared.filter("leads").alias("x"), shared.filter("NOT leads").alias("y")
     stars = stored(x.join(y, "token").filter(_could("x", "y", num, den)).select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).filter("a <> b").distinct(), "stars")
-    edges = stored(edges.union(_links(docs, texts, stars, n, num, den)), "links")
+    edges = stored(again.union(_links(docs, texts, stars, n, num, den)), "links")
 
     placed = shared.join(components(edges), F.col("grp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "grp")).drop("node", "component", "leads")
-    placed = stored(placed, "placed-tokens")
+    apart = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+    placed = stored(placed.join(own_exchange(apart, "token"), "token"), "tokens-apart")
     parts = placed.groupBy("token", "comp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), F.max("short").alias("short"))
-    apart = parts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-    parts = stored(parts.join(apart, "token"), "parts-apart")
     x, y = parts.filter("short").alias("x"), parts.alias("y")
     met = x.join(y, "token").filter((F.col("x.comp") < F.col("y.comp")) | (~F.col("y.short") & (F.col("x.comp") != F.col("y.comp")))).filter(_could("x", "y", num, den))
     met = met.select("token", F.col("x.comp").alias("comp"), F.col("y.comp").alias("other"))
     x, y = placed.alias("x"), placed.withColumnRenamed("comp", "other").alias("y")
     pairs = met.join(x, ["token", "comp"]).join(y, ["token", "other"]).filter(_could("x", "y", num, den)).select(F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = _links(docs, texts, pairs.join(done, ["a", "b"], "left_anti"), n, num, den)
+    pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    found = components(edges.union(_links(docs, texts, pairs, n, num, den)))
 
-    found = members.join(components(edges.union(links)), F.col("grp") == F.col("node"), "left").select("doc_id", F.coalesce("component", "grp").alias("comp"))
-    least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    moved = found.join(least, "comp").filter("component_id <> doc_id").select("doc_id", "component_id").distinct()
+    ends = members.join(found, F.col("grp") == F.col("node"), "left").select("doc_id", F.coalesce("component", "grp").alias("comp"))
+    least = ends.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    moved = ends.join(own_exchange(least, "comp"), "comp").filter("component_id <> doc_id").select("doc_id", "component_id").distinct()
     return marks.join(moved, "doc_id", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
