@@ -18,10 +18,12 @@ from .common import scratch, small_batches, stored, table
 
 #: Fixed values of the format: the skippable frame that holds a dictionary, and a Zstandard frame's first bytes.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
-#: A dictionary is trained on the first records of its archive, as many bytes as SAMPLE_BYTES and RECORD_BYTES of each at most.
+#: A dictionary is trained on the first records of its archive (which come in the order of their digests, so at random), as many bytes as SAMPLE_BYTES and RECORD_BYTES of each at most.
 SAMPLE_BYTES, RECORD_BYTES, DICTIONARY_BYTES = 2 << 20, 16 << 10, 64 << 10
 #: An archive is closed once its records have so many bytes before compression.
 ARCHIVE_BYTES = 64 << 20
+#: Tasks that read archives at most.
+READ_TASKS = 100_000
 
 WRITTEN = "archive string, records long, bytes long, with_dictionary boolean"
 READ = "record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long"
@@ -151,7 +153,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
 
 
 def read_archives(listed: DataFrame, with_payload: bool = False) -> DataFrame:
-    """A row per record of the listed archives; every response's digest is computed anew. with_payload: the bytes held, too (a revisit has none)."""
+    """A row per record of the listed archives; every response's digest is computed anew. with_payload: the bytes held, too (a revisit has none).
+
+    Each archive is a task of its own, up to READ_TASKS: the list is small, so Spark would otherwise read all archives in one."""
     schema = READ + ", payload binary" * with_payload
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in schema.split(", "))])
@@ -171,12 +175,13 @@ def read_archives(listed: DataFrame, with_payload: bool = False) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return listed.select("archive").repartition("archive").mapInArrow(read, schema)
+    return listed.select("archive").repartition(max(1, min(listed.count(), READ_TASKS))).mapInArrow(read, schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, read back: a row per page. Null, empty and very long html, null and repeated page_ids and an empty table are as write_archives has them."""
     listed = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
-    return read_archives(listed).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return read_archives(listed).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Base 32 is spelt out from the digest's hexadecimal digits: five of them make four letters.
@@ -189,6 +194,6 @@ b AS (SELECT page_id, payload_bytes, h,
   max(page_id) OVER (PARTITION BY h) AS last_id FROM d)
 SELECT b.page_id, b.payload_bytes, b.payload_digest,
   CASE WHEN b.page_id = b.last_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN b.page_id <> b.last_id THEN b.last_id END AS refers_to, pages.url
-FROM b JOIN pages ON pages.page_id = b.page_id
+  CASE WHEN b.page_id <> b.last_id THEN b.last_id END AS refers_to
+FROM b
 """
