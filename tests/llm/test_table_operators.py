@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -46,6 +47,7 @@ def test_archives_hold_what_was_written(spark, tmp_path):
         first = r["page_id"] == last[h] or last[h] == -1
         assert (r["record_type"], r["refers_to"], r["payload_bytes"]) == (("response", None) if first else ("revisit", last[h])) + (len(h.encode()),)
         assert r["payload"] == (h.encode() if first else b"")
+    assert warc.read_archives(listed).rdd.getNumPartitions() == listed.count()  # a task for each archive
     none = warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archives(none).count() == 0
 
@@ -148,7 +150,36 @@ def test_the_matrix_has_its_sums():
     assert (m.sum(1) == counts).all() and (m.sum(0) == sizes).all() and (m >= 0).all()
     mean = np.mean([sharding.communication_matrix(counts, sizes, i) for i in range(300)], axis=0)
     assert mean == pytest.approx(counts[:, None] * sizes / sizes.sum(), abs=1.5)
-    assert 0 <= sharding._hypergeometric(np.random.default_rng(1), 10**10, 3 * 10**10, 10**8) <= 10**8
+
+
+@pytest.mark.parametrize(("good", "bad", "draws"), [(6, 5, 4), (40, 3, 20), (3, 400, 30), (1000, 900, 50), (10**10, 3 * 10**10, 5), (5, 7, 12), (0, 9, 3)])
+def test_draws_follow_the_hypergeometric_law(good, bad, draws):
+    rng, n = np.random.default_rng(good % 97), 4000
+    got = np.bincount([sharding._hypergeometric(rng, good, bad, draws) for _ in range(n)], minlength=draws + 1)
+    ways = [math.comb(good, k) * math.comb(bad, draws - k) if draws - k <= bad else 0 for k in range(draws + 1)]
+    want = np.array([w / sum(ways) for w in ways]) * n
+    assert not got[want == 0].any()
+    assert (np.abs(got - want) <= 5 * np.sqrt(want + 1)).all()
+
+
+def test_large_draws_have_their_spread():
+    rng, good, bad, draws = np.random.default_rng(3), 10**11, 3 * 10**11, 10**8
+    got = np.array([sharding._hypergeometric(rng, good, bad, draws) for _ in range(2000)])
+    sd = (draws * 0.25 * 0.75 * (1 - draws / (good + bad))) ** 0.5
+    assert abs(got.mean() - draws / 4) < 5 * sd / 2000**0.5 and got.std() == pytest.approx(sd, rel=0.08)
+
+
+def test_rows_of_one_key_are_spread(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, None).otherwise(F.col("id")).alias("k"), "id").repartition(5)
+    out = sharding.shard_rows(rows, ["k"], 4, part_rows=100)
+    parts = sharding._spread(rows, ["k"], [0], F.when(F.col("k").isNull(), 0).otherwise(1))
+    assert sorted(r["_copy"] for r in parts.filter("k IS NULL").collect()) == list(range(4000)) and {r["_copy"] for r in parts.filter("k IS NOT NULL").collect()} == {0}
+    got = out.toPandas()
+    assert sorted(got.id) == list(range(6000)) and sorted(got.groupby("shard").size()) == [1500] * 4
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    slim = rows.select("k")
+    again = [sorted((r["k"] or -1, r["shard"], r["slot"]) for r in sharding.shard_rows(slim.repartition(n), ["k"], 4, part_rows=100).collect()) for n in (2, 7)]
+    assert again[0] == again[1]
 
 
 def test_shards_are_even_and_slots_gapless(spark, docs, empty):
@@ -178,6 +209,8 @@ def test_op4(spark):
     rows = QUERIES["op4_hypergeometric_shards"](spark, oracle.SF).collect()
     assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text[r["doc_id"]]) + 1, zlib.crc32(text[r["doc_id"]]), "rows", None) for r in rows)
     assert {r["shard"] for r in rows} == set(range(8)) and len(rows) == len(text)
+    slots = {k: sorted(r["slot"] for r in rows if r["shard"] == k) for k in range(8)}
+    assert all(s == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
 # --- near duplicates -------------------------------------------------------------------------------------------------
@@ -286,18 +319,52 @@ def test_search_is_exact_and_prunes():
     assert computed < 0.7 * len(queries) * len(vectors)
 
 
+def by_all_products(rows):
+    """(query, rank, other, score) in Python's whole numbers."""
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for i in sorted({i for i, _ in good if i % 20 == 0}):
+        pairs = [(-min(max(sum(a * b for a, b in zip(q, v)), mtree.LOW), mtree.HIGH), j) for k, q in good if k == i for j, v in good if j != i and len(v) == len(q)]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(pairs)[:20])]
+    return want
+
+
+def top_rows(df, **options):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_inner(df, **options).collect())
+
+
 def test_top_inner_of_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(i, [float(i % 5), 1.0, -0.03]) for i in range(60)] + [(60, None), (None, [1.0, 1.0, 1.0]), (61, [1.0, None, 1.0]), (62, [nan, 1.0, 1.0]), (63, [inf, 0.0, 0.0]), (64, [1.0]), (80, [2.0]), (40, [9.0, 9.0, 9.0]), (100, [])]
+    rows = [(i, [float(i % 5), 1.0, -0.03]) for i in range(60)] + [(60, None), (None, [1.0, 1.0, 1.0]), (61, [1.0, None, 1.0]), (62, [nan, 1.0, 1.0]), (63, [inf, 0.0, 0.0]), (64, [1.0]), (80, [2.0]), (40, [9.0, 9.0, 9.0]), (100, []), (40, [9.0, 9.0, 9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_inner(df, tree_rows=16).collect())
-    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    assert top_rows(df, tree_rows=16) == by_all_products(rows)
+    assert mtree.top_inner(df.limit(0)).count() == 0 and top_rows(df, tree_rows=16, top=3) == [r for r in by_all_products(rows) if r[1] <= 3]
+
+
+def test_large_components_are_exact(spark):
+    pick = random.Random(8)
+    rows = [(0, [33333333.0, 1 / 64]), (1, [33333333.0, 3 / 64]), (2, [1e200, 1.0]), (20, [1e200, -1.0]), (21, [-1e200, 0.5]), (22, [1.7e308, -1.7e308])]
+    rows += [(100 + i, [pick.uniform(-1e8, 1e8), pick.uniform(-1e8, 1e8)]) for i in range(700)]
+    rows = [(i, [min(max(x, -1.7e308 / 64), 1.7e308 / 64) for x in v]) for i, v in rows]
+    got = top_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tree_rows=300)
+    assert got == by_all_products(rows) and (0, 1, 1) not in {(q, r, v) for q, r, v, _ in got if v == 22}
+    assert {s for q, _, v, s in by_all_products(rows[:2])} == {4551111020088889347}
+
+
+def test_clusters_and_thresholds_lose_nothing(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8)) * 30
+    vectors = centres[rng.integers(12, size=3000)] + rng.normal(size=(3000, 8))
+    vectors[500:1500] = vectors[500]  # a third of all rows are one vector
+    rows = [(i, v) for i, v in enumerate(vectors.tolist())]
+    got = top_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tree_rows=400)
+    whole = np.floor(64 * vectors)
     want = []
-    for i in sorted({i for i, _ in good if i % 20 == 0}):
-        pairs = [(-sum(a * b for a, b in zip(q, v)), j) for k, q in good if k == i for j, v in good if j != i and len(v) == len(q)]
-        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(pairs)[:20])]
+    for q in range(0, 3000, 20):
+        scores = (whole @ whole[q]).astype(np.int64)
+        order = [i for i in np.lexsort((np.arange(3000), -scores)) if i != q][:20]
+        want += [(q, r + 1, int(i), int(scores[i])) for r, i in enumerate(order)]
     assert got == want
-    assert mtree.top_inner(df.limit(0)).count() == 0
 
 
 # --- pipeline --------------------------------------------------------------------------------------------------------
