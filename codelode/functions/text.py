@@ -93,15 +93,15 @@ def normalized_text(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
-def lexical_score(content: Column, query: str) -> Column:
-    """The share of the query's terms (two characters or more) found as whole terms, and 0.25 if the normalised content holds the whole query; 1 at most."""
+def lexical_score(content: Column, query: str, normalized: Column | None = None) -> Column:
+    """The share of the query's terms (two characters or more) found as whole terms, and 0.25 if the normalised content holds the whole query; 1 at most. normalized: the content's, if it is stored."""
     import re
 
     norm = " ".join(re.findall(r"\w+", query.lower()))
     terms = list(dict.fromkeys(t for t in norm.split(" ") if len(t) >= 2))
     if not terms:
         return F.lit(0.0)
-    text = normalized_text(content)
+    text = normalized_text(content) if normalized is None else normalized
     matched = F.size(F.array_intersect(F.split(text, " "), F.array(*[F.lit(t) for t in terms])))
     return F.least(F.lit(1.0), matched / F.lit(float(len(terms))) + F.when(text.contains(norm), 0.25).otherwise(0.0))
 
@@ -113,28 +113,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / norms)))
 
 
-def hash_vector(text: str, dims: int = 384) -> np.ndarray:
-    """A hashed bag of words (weight 1) and of their 3- to 5-letter pieces with ends marked (weight 0.35), of length 1. Index and sign come from FNV-1a."""
+#: Fixed values of the hash embedding: the weight of a word and of its pieces, their lengths in characters, and the 32-bit FNV-1a hash's start and factor.
+WORD_WEIGHT, PIECE_WEIGHT, PIECE_LENGTHS, FNV_START, FNV_PRIME = 1.0, 0.35, (3, 4, 5), 0x811C9DC5, 0x01000193
+
+
+def _fnv(pieces: list[bytes]) -> np.ndarray:
+    """FNV-1a of every piece, all pieces advancing byte by byte together."""
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    data, starts = np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], lengths.cumsum()[:-1]])
+    order = np.argsort(-lengths, kind="stable")  # longest first, so those still running are a prefix
+    h, alive = np.full(len(pieces), FNV_START, np.uint32), len(pieces)
+    lengths, starts, state = lengths[order], starts[order], h.copy()
+    for k in range(int(lengths[0]) if len(lengths) else 0):
+        alive = int(np.searchsorted(-lengths, -k, "left"))
+        state[:alive] = (state[:alive] ^ data[starts[:alive] + k]) * np.uint32(FNV_PRIME)
+    h[order] = state
+    return h
+
+
+def hash_vectors(texts: list[str], dims: int = 384) -> np.ndarray:
+    """Hashed bags of words and of their pieces with ends marked, each of length 1; zero for a text without words. Index and sign come from FNV-1a."""
     import re
 
-    out = np.zeros(dims)
-    for word in re.findall(r"\w+", text.lower()):
-        marked = f"^{word}$"
-        pieces = [(word, 1.0)] + [(marked[i : i + n], 0.35) for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
-        for piece, weight in pieces:
-            h = 0x811C9DC5
-            for b in piece.encode():
-                h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
-            signed = h - (1 << 32) if h >> 31 else h
-            out[signed % dims] += weight if not h >> 30 & 1 else -weight
-    length = np.sqrt((out**2).sum())
-    return out / length if length else out
+    known: dict[str, int] = {}
+    pieces, weights, first = [], [], []
+    owner, word_of = [], []
+    for i, text in enumerate(texts):
+        for word in re.findall(r"\w+", text.lower()):
+            k = known.get(word)
+            if k is None:
+                k = known[word] = len(first)
+                first.append(len(pieces))
+                marked = f"^{word}$"
+                own = [word] + [marked[j : j + n] for n in PIECE_LENGTHS for j in range(len(marked) - n + 1)]
+                pieces += [p.encode() for p in own]
+                weights += [WORD_WEIGHT] + [PIECE_WEIGHT] * (len(own) - 1)
+            owner.append(i)
+            word_of.append(k)
+    out = np.zeros((len(texts), dims))
+    if not pieces:
+        return out
+    h = _fnv(pieces)
+    index = h.astype(np.int32).astype(np.int64) % dims
+    value = np.where(h >> np.uint32(30) & np.uint32(1), -1.0, 1.0) * np.array(weights)
+    starts, ends = np.array(first), np.array([*first[1:], len(pieces)])
+    words = np.array(word_of)
+    sizes = (ends - starts)[words]
+    flat = np.repeat(starts[words] - np.concatenate([[0], sizes.cumsum()[:-1]]), sizes) + np.arange(sizes.sum())
+    np.add.at(out, (np.repeat(np.array(owner), sizes), index[flat]), value[flat])
+    length = np.sqrt((out**2).sum(1, keepdims=True))
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+
+
+def hash_vector(text: str, dims: int = 384) -> np.ndarray:
+    return hash_vectors([text], dims)[0]
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([hash_vector(t or "").tolist() for t in texts], dtype=object)
+        yield pd.Series(list(hash_vectors([t or "" for t in texts])), dtype=object)
 
 
 @F.pandas_udf(T.StringType())

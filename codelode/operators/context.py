@@ -20,18 +20,20 @@ def _cost(base: int, row, *names: str) -> int:
     return base + sum(estimate(row[n] if n in row.asDict() else None) for n in names)
 
 
-def neighbourhood(relations: DataFrame, project: str, root: str, depth: int, per_node: int, budget: int) -> tuple[list[dict], int, bool]:
-    """Relations around a symbol, breadth first in either direction: the first per_node of each node, each relation once, until the budget is spent. One query a level."""
+def neighbourhood(relations: DataFrame, project: str, root: str, depth: int, per_node: int, budget: int, by_target: DataFrame | None = None) -> tuple[list[dict], int, bool]:
+    """Relations around a symbol, breadth first in either direction: the first per_node of each node, each relation once, until the budget is spent.
+
+    One query a level, for all its nodes; at most per_node + 1 rows of each come to the driver."""
     out, used, cut = [], 0, False
     seen, known, frontier = {root}, set(), [root]
     for level in range(1, depth + 1):
         if not frontier or not per_node or budget <= 0:
             return out, used, cut or bool(frontier)
-        mine = relations.filter(F.col("project_id") == project).withColumn("node", F.explode(F.array_distinct(F.array_compact(F.array("source_id", "target_id"))))).filter(F.col("node").isin(frontier))
-        # each node's rows have its own order; per_node + 1 of them at most
-        found = {}
-        for node in frontier:
-            found[node] = lookup.relationships(mine.filter(F.col("node") == node).drop("node"), project, node, "ANY", limit=per_node + 1).orderBy("position").collect()
+        found = {node: [] for node in frontier}
+        for r in lookup.around(relations, project, frontier, per_node + 1, by_target).collect():
+            found[r["node"]].append(r)
+        for rows in found.values():
+            rows.sort(key=lambda r: r["position"])
         following = []
         for node in frontier:
             cut |= len(found[node]) > per_node
@@ -53,18 +55,28 @@ def neighbourhood(relations: DataFrame, project: str, root: str, depth: int, per
     return out, used, cut
 
 
-def search(symbols: DataFrame, occurrences: DataFrame, relations: DataFrame, project: str, text: str | None = None, qualified_name: str | None = None, limit: int = 5, depth: int = 1, per_node: int = 10, usages: int = 5, max_tokens: int = 4096, source: Callable[[str, int, int, int], str | None] | None = None) -> dict:
+def search(symbols: DataFrame, occurrences: DataFrame, relations: DataFrame, project: str, text: str | None = None, qualified_name: str | None = None, limit: int = 5, depth: int = 1, per_node: int = 10, usages: int = 5, max_tokens: int = 4096, source: Callable[[str, int, int, int], str | None] | None = None, by_target: DataFrame | None = None) -> dict:
     """Roots that match, each with what the budget still takes. source(file, first line, last line, tokens) gives an excerpt."""
     if not 256 <= max_tokens <= 32_768 or not 0 <= depth <= MAX_DEPTH or not 0 <= per_node <= MAX_PER_NODE:
         raise ValueError("256 to 32768 tokens, depth up to 3, up to 50 relations a node")
     roots = lookup.search_symbols(symbols, project, text, qualified_name=qualified_name, limit=limit + 1).orderBy("position").collect()
+    return _contexts(roots, occurrences, relations, project, limit, depth, per_node, usages, max_tokens, source, by_target)
+
+
+def symbol_context(symbols: DataFrame, occurrences: DataFrame, relations: DataFrame, project: str, symbol: str, depth: int = 1, per_node: int = 10, usages: int = 5, max_tokens: int = 4096, source: Callable[[str, int, int, int], str | None] | None = None, by_target: DataFrame | None = None) -> dict:
+    """The context of one symbol by id: that of a search whose only root it is. An unknown symbol gives no context."""
+    roots = lookup.symbol_by_id(symbols, project, symbol).limit(1).collect()
+    return _contexts(roots, occurrences, relations, project, 1, depth, per_node, usages, max_tokens, source, by_target)
+
+
+def _contexts(roots: list, occurrences: DataFrame, relations: DataFrame, project: str, limit: int, depth: int, per_node: int, usages: int, max_tokens: int, source: Callable[[str, int, int, int], str | None] | None, by_target: DataFrame | None) -> dict:
     used, out, cut = RESPONSE_TOKENS, [], len(roots) > limit
     for root in roots[:limit]:
         tokens = _cost(SYMBOL_TOKENS, root, "id", "symbol_key", "module_id", "file_id", "name", "qualified_name", "signature", "language")
         if used + tokens > max_tokens:
             cut = True
             break
-        around, spent, short = neighbourhood(relations, project, root["id"], depth, per_node, max_tokens - used - tokens)
+        around, spent, short = neighbourhood(relations, project, root["id"], depth, per_node, max_tokens - used - tokens, by_target)
         tokens += spent
         uses = []
         if usages:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import zone
+from ..functions.text import stable_id, zone
 
 #: Fixed names: files that say what is ignored, and build descriptors.
 IGNORE_FILES = [".gitignore"]
@@ -61,11 +65,71 @@ def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def aggregate_hash(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """SHA-256 over the ordered lines path, NUL, size, NUL, hash. The lines of one project are a value of one row; callers bound their number."""
-    line = F.concat("path", F.lit("\0"), F.col("size").cast("string"), F.lit("\0"), "sha", F.lit("\n"))
-    entry = F.struct("path", line.alias("line"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"]), "")
-    return files.groupBy(*(keys or [])).agg(F.sha2(lines, 256).alias("sha256"), F.count("*").alias("files"))
+    """SHA-256 over the ordered lines path, NUL, size, NUL, hash, and their number; of each key if there are keys (strings).
+
+    The hash of a sequence can't be split, so a key's lines pass through one task: sorted (on disk where they are many) and hashed as they
+    stream by, never gathered. Lines are hashed files, not their content. Without rows there is none without keys, too."""
+    own = keys or []
+    line = F.concat("path", F.lit("\0"), F.col("size").cast("string"), F.lit("\0"), "sha", F.lit("\n")).alias("line")
+    dealt = files.select(*own, "path", line)
+    dealt = (dealt.repartition(*own) if own else dealt.repartition(1)).sortWithinPartitions(*own, "path").select(*own, "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, count = None, None, 0
+        done: list[tuple] = []
+        for batch in batches:
+            marks = list(zip(*(batch.column(i).to_pylist() for i in range(len(own))), strict=True)) if own else [()] * batch.num_rows
+            for mark, text in zip(marks, batch.column(len(own)).to_pylist(), strict=True):
+                if digest is None or mark != now:
+                    if digest is not None:
+                        done.append((*now, digest.hexdigest(), count))
+                    now, digest, count = mark, hashlib.sha256(), 0
+                digest.update(text.encode())
+                count += 1
+        if digest is not None:
+            done.append((*now, digest.hexdigest(), count))
+        kinds = [*[pa.string()] * (len(own) + 1), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [()] * len(kinds), kinds, strict=True)], [*own, "sha256", "files"])
+
+    return dealt.mapInArrow(run, ", ".join([*(f"{k} string" for k in own), "sha256 string", "files long"]))
+
+
+def verified_sources(stored_files: DataFrame, found: DataFrame) -> DataFrame:
+    """Whether all .java files of a snapshot (path, size, sha) are found unchanged: one row with their number, those that differ, and the limitation that a graph of them then has."""
+    java = stored_files.filter(F.endswith("path", F.lit(".java")))
+    met = java.join(found.select("path", F.col("size").alias("size_"), F.col("sha").alias("sha_")), "path", "left")
+    same = F.coalesce((F.col("size") == F.col("size_")) & (F.col("sha") == F.col("sha_")), F.lit(False))
+    sums = met.agg(F.count("*").alias("files"), F.count_if(~same).alias("different"))
+    return sums.select("files", "different", (F.col("different") == 0).alias("exact"), F.when(F.col("different") > 0, "SOURCE_FINGERPRINT_MISMATCH").alias("limitation"))
+
+
+def file_ids(paths: DataFrame, project: str) -> DataFrame:
+    """paths (path) with the ids that facts name files by."""
+    return paths.withColumn("file_id", stable_id("file", F.lit(project), F.col("path")))
+
+
+def resolve_paths(facts: DataFrame, paths: DataFrame, project: str) -> DataFrame:
+    """facts (file_id) with the path whose hashed id that is, null where no candidate path has it. An equality join of digests."""
+    return facts.join(file_ids(paths.select("path").distinct(), project), "file_id", "left")
+
+
+def export_facts(symbols: DataFrame, rows: DataFrame, paths: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What another tool is given: local symbols with a place in a known file (paths: file_id, path), relations between them, and a row for each kind of omission with its count.
+
+    At most so many symbols and relations, the first by id; what that cuts off is an omission, too."""
+    local = symbols.filter("NOT external")
+    placed = local.filter("file_id IS NOT NULL AND start_line IS NOT NULL")
+    known = placed.join(paths.select("file_id", "path"), "file_id")
+    kept = known.orderBy("id").limit(most).select("id", "kind", "name", "qualified_name", "language", "path", "start_line", "end_line")
+    between = rows.filter("source_type = 'SYMBOL' AND target_type = 'SYMBOL' AND target_id IS NOT NULL")
+    ids = kept.select("id")
+    inside = between.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    edges = inside.orderBy("id").limit(most).select("id", "source_id", "target_id", "kind", "nature")
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    counts = n(symbols, "all").crossJoin(n(local, "local")).crossJoin(n(placed, "placed")).crossJoin(n(known, "known")).crossJoin(n(kept, "kept")).crossJoin(n(rows, "relations")).crossJoin(n(between, "between")).crossJoin(n(inside, "inside")).crossJoin(n(edges, "edges"))  # one row each
+    gap = lambda name, a, b: F.struct(F.lit(name).alias("omission"), (F.col(a) - F.col(b)).alias("rows"))
+    gaps = F.array(gap("EXTERNAL_SYMBOLS", "all", "local"), gap("SYMBOLS_WITHOUT_PLACE", "local", "placed"), gap("SYMBOLS_WITHOUT_PATH", "placed", "known"), gap("SYMBOLS_BEYOND_LIMIT", "known", "kept"), gap("RELATIONS_NOT_BETWEEN_SYMBOLS", "relations", "between"), gap("RELATIONS_WITHOUT_BOTH_ENDS", "between", "inside"), gap("RELATIONS_BEYOND_LIMIT", "inside", "edges"))
+    return kept, edges, counts.select(F.inline(gaps)).filter("rows > 0")
 
 
 def classify_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:
@@ -120,11 +184,15 @@ def audit_prefix(events: DataFrame, cutoff: Column, most: int) -> DataFrame:
 
 
 def chain_breaks(events: DataFrame) -> DataFrame:
-    """Events whose sequence or previous hash doesn't follow from the one before (of their tenant)."""
-    before = Window.partitionBy("tenant_id").orderBy("sequence")
-    linked = events.withColumns({"last": F.lag("hash").over(before), "lasts": F.lag("sequence").over(before)})
-    broken = (F.col("lasts").isNotNull() & (F.col("sequence") != F.col("lasts") + 1)) | ~F.coalesce("last", F.lit("")).eqNullSafe(F.col("previous_hash"))
-    return linked.filter(broken).select("tenant_id", "sequence")
+    """Events whose sequence or previous hash doesn't follow from the one before (of their tenant). A tenant's first event must follow nothing.
+
+    Each event meets the one with the sequence before it by equality, so a tenant with very many events is no task of its own."""
+    one = events.select("tenant_id", (F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("last"))
+    first = events.groupBy("tenant_id").agg(F.min("sequence").alias("low"))
+    met = events.join(one, ["tenant_id", "sequence"], "left").join(first, "tenant_id")
+    begins = F.col("sequence") == F.col("low")
+    broken = F.when(begins, ~F.col("previous_hash").eqNullSafe(F.lit(""))).otherwise(F.col("last").isNull() | ~F.col("last").eqNullSafe(F.col("previous_hash")))
+    return met.filter(broken).select("tenant_id", "sequence")
 
 
 def reject_duplicates(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -78,11 +78,23 @@ def relationships(rows: DataFrame, project: str, anchor: str, direction: str = "
     if kinds:
         found = found.filter(F.col("kind").isin(kinds))
     found = found.withColumn("direction_rank", F.when(out, 0).otherwise(1) if direction == "ANY" else F.lit(0))
-    order = [
+    return positioned(found, relation_order(), limit)
+
+
+def relation_order() -> list:
+    """The order of an anchor's relationships: direction_rank, kind, resolved targets first, ends, place, id."""
+    return [
         "direction_rank", ordinal("kind", RELATIONSHIP_KINDS), F.col("target_id").isNull(), ordinal("source_type", ENTITY_TYPES), "source_id", F.asc_nulls_last(ordinal("target_type", ENTITY_TYPES)),
         F.asc_nulls_last("target_id"), F.asc_nulls_last("unresolved_target"), F.asc_nulls_last("file_id"), F.asc_nulls_last("start_line"), "id",
     ]
-    return positioned(found, order, limit)
+
+
+def around(rows: DataFrame, project: str, anchors: list[str], each: int, by_target: DataFrame | None = None) -> DataFrame:
+    """The first relationships in either direction of every anchor (node), each of them at most, in one pass over rows: a rank filter, which is cut in each task before the shuffle."""
+    out = rows.filter(F.col("source_id").isin(anchors)).withColumns({"node": F.col("source_id"), "direction_rank": F.lit(0)})
+    into = (rows if by_target is None else by_target).filter(F.col("target_id").isin(anchors) & (F.col("source_id") != F.col("target_id"))).withColumns({"node": F.col("target_id"), "direction_rank": F.lit(1)})
+    both = out.unionByName(into).filter(F.col("project_id") == project)
+    return both.withColumn("position", F.row_number().over(Window.partitionBy("node").orderBy(*relation_order())).cast("int")).filter(F.col("position") <= each)
 
 
 #: Named relationship questions: direction and kinds.

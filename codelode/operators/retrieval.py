@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +24,32 @@ def cosine_top_k(vectors: DataFrame, query: list[float], limit: int, least: floa
     return vectors.select(key, score.alias("score")).filter(F.col("score") >= least).orderBy(F.desc("score"), key).limit(limit)
 
 
+def distance_top_k(vectors: DataFrame, query: list[float], limit: int, key: str = "stable_key", vector: str = "vector") -> DataFrame:
+    """The nearest vectors by cosine distance, as a vector database ranks them: distance first, then key, the score one minus it; no index, so exact."""
+    if not 1 <= limit <= MAX_RESULTS:
+        raise ValueError(f"limit is 1 to {MAX_RESULTS}")
+    distance = 1 - cosine(F.transform(vector, lambda x: x.cast("double")), F.array(*[F.lit(float(x)) for x in query]))
+    return vectors.select(key, distance.alias("distance")).orderBy("distance", key).limit(limit).withColumn("score", 1 - F.col("distance"))
+
+
+def semantic_search(index: DataFrame, state: str, query: list[float], limit: int, least: float = -1.0) -> DataFrame:
+    """Hits of a READY index with their nature and what limits them; an index in any other state is not searched and gives no rows."""
+    hits = cosine_top_k(index, query, limit, least)
+    tagged = hits.withColumns({"nature": F.lit("HEURISTIC"), "limitation": F.lit("EXACT_LINEAR_SCAN")})
+    return tagged if state == "READY" else tagged.limit(0)
+
+
+def synchronize(index: DataFrame, documents: DataFrame, embed: Callable[[Column], Column], model: tuple[str, str, int] | None = None, indexed: tuple[str, str, int] | None = None) -> DataFrame:
+    """The index (stable_key, checksum, vector) of documents (stable_key, content, checksum): vectors of unchanged documents are taken over, only the others are embedded, and what is gone is left out.
+
+    reused says which. Where provider, model or dimensions differ nothing is taken over."""
+    old = index.select("stable_key", F.col("checksum").alias("old"), F.col("vector").alias("known"))
+    both = documents.select("stable_key", "content", "checksum").join(old if model == indexed else old.limit(0), "stable_key", "left")
+    same = F.coalesce(F.col("old") == F.col("checksum"), F.lit(False))
+    kept = both.filter(same).select("stable_key", "checksum", F.col("known").alias("vector"), F.lit(True).alias("reused"))
+    return kept.unionByName(both.filter(~same).select("stable_key", "checksum", embed(F.col("content")).alias("vector"), F.lit(False).alias("reused")))
+
+
 def lexical_baseline(documents: DataFrame, query: str, limit: int) -> DataFrame:
     scored = documents.select("stable_key", lexical_score(F.col("content"), query).alias("score"))
     return scored.filter("score > 0").orderBy(F.desc("score"), "stable_key").limit(limit)
@@ -32,11 +60,15 @@ def graph_degree(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array_compact(F.array("source_id", "target_id"))).alias("source_id")).groupBy("source_id").agg(F.count("*").alias("degree"))
 
 
-def hybrid_search(documents: DataFrame, rows: DataFrame, query: str, limit: int, semantic: DataFrame | None = None, least: float = 0.0) -> DataFrame:
-    """Documents by a mix of semantic score (stable_key, score: the probe's hits, others 0), lexical score and the degree of their symbol; those without either text signal are left out."""
-    degrees = graph_degree(rows)
+def hybrid_search(documents: DataFrame, rows: DataFrame | None, query: str, limit: int, semantic: DataFrame | None = None, least: float = 0.0, degrees: DataFrame | None = None) -> DataFrame:
+    """Documents by a mix of semantic score (stable_key, score: the probe's hits, others 0), lexical score and the degree of their symbol; those without either text signal are left out.
+
+    degrees: what graph_degree gives, if it is stored. documents may have their normalized text in a column of that name."""
+    degrees = graph_degree(rows) if degrees is None else degrees
     most = degrees.agg(F.max("degree").alias("most"))
-    found = documents.withColumn("lexical", lexical_score(F.col("content"), query)).join(degrees, "source_id", "left").crossJoin(F.broadcast(most))  # one row
+    normal = F.col("normalized") if "normalized" in documents.columns else None
+    found = documents.withColumn("lexical", lexical_score(F.col("content"), query, normal)).filter(F.col("lexical") > 0) if semantic is None else documents.withColumn("lexical", lexical_score(F.col("content"), query, normal))
+    found = found.join(degrees, "source_id", "left").crossJoin(F.broadcast(most))  # one row
     graph = F.when((F.col("kind") == "SYMBOL") & (F.col("most") > 0), F.coalesce("degree", F.lit(0)) / F.col("most")).otherwise(0.0)
     if semantic is None:
         found = found.withColumn("semantic", F.lit(0.0))
@@ -104,6 +136,15 @@ def metric_gain(a: DataFrame, b: DataFrame, query: str = "query_id") -> DataFram
     return one.select(*[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"{c}_gain") for c in ("recall", "mrr", "ndcg")])
 
 
+def signal_export(ranked: DataFrame, limit: int = 500) -> DataFrame:
+    """Hybrid hits with the signals behind them, for another tool: at most 500, best first, each with the limitations of what it came from."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit is 1 to 500")
+    limits = F.array_compact(F.array(F.when(F.col("semantic") == 0, "NO_SEMANTIC_SIGNAL"), F.when(F.col("graph") == 0, "NO_GRAPH_SIGNAL"), F.when(F.col("lexical") == 0, "NO_LEXICAL_SIGNAL")))
+    best = ranked.orderBy(F.desc("score"), "stable_key").limit(limit)
+    return best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "stable_key")).cast("int")).select("position", "stable_key", "kind", "score", "lexical", "graph", "semantic", F.array_join(limits, ",").alias("limitations"))
+
+
 def index_size(documents: DataFrame, dims: int) -> DataFrame:
     return documents.agg(F.sum(F.coalesce(F.octet_length("content"), F.lit(0)) + 4 * dims).alias("bytes"), F.count("*").alias("documents"))
 
@@ -122,7 +163,12 @@ def semantic_documents(symbols: DataFrame, lines: DataFrame | None = None) -> Da
     own = symbols.filter("NOT external")
     line = F.concat_ws(" ", "kind", F.coalesce("qualified_name", "name"), "signature")
     single = own.select(F.concat(F.lit("symbol:"), "id").alias("stable_key"), F.lit("SYMBOL").alias("kind"), F.col("id").alias("source_id"), "file_id", line.alias("content"), F.lit(768).alias("most"))
-    listed = own.filter("file_id IS NOT NULL").groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))  # the symbols of one source file
+    # a file's lines in order, up to the first beyond its budget: what stands later would be cut in any case
+    own_file = Window.partitionBy("file_id").orderBy("line")
+    lines_of = own.filter("file_id IS NOT NULL").select("file_id", line.alias("line")).withColumn("k", F.row_number().over(own_file)).filter(F.col("k") <= 4 * 2048)  # a line has a byte at least, and so has its end
+    before = F.sum(F.octet_length("line") + 1).over(own_file.rowsBetween(Window.unboundedPreceding, -1))
+    lines_of = lines_of.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= 4 * 2048)
+    listed = lines_of.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("content"))
     whole = listed.select(F.concat(F.lit("file:"), "file_id").alias("stable_key"), F.lit("FILE").alias("kind"), F.col("file_id").alias("source_id"), "file_id", "content", F.lit(2048).alias("most"))
     placed = own.filter("file_id IS NOT NULL AND start_line IS NOT NULL").select("id", "file_id", "start_line", F.coalesce("end_line", "start_line").alias("end_line"), line.alias("content"))
     if lines is None:
@@ -137,5 +183,6 @@ def semantic_documents(symbols: DataFrame, lines: DataFrame | None = None) -> Da
     return single.unionByName(chunks).unionByName(whole).withColumn("content", truncated("content", "most")).drop("most").withColumn("tokens", token_estimate("content")).withColumn("checksum", F.sha2("content", 256))
 
 
-def rank_rows(scored: DataFrame, query: str = "query_id", key: str = "key") -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key)))
+def rank_rows(scored: DataFrame, query: str = "query_id", key: str = "key", most: int = MAX_RESULTS) -> DataFrame:
+    """The result list of each query: its first rows by score, then key, most of them at most, ranked from 1. The rank filter cuts in each task before the shuffle."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))).filter(F.col("rank") <= most)

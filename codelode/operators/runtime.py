@@ -18,15 +18,45 @@ def hits_of(references: DataFrame, symbols: DataFrame) -> DataFrame:
     return by_key.select("ref_id", "id").union(by_name.select("ref_id", "id")).union(by_file.select("ref_id", "id"))
 
 
+def _spans(symbols: DataFrame) -> DataFrame:
+    """For each file its lines where the number of symbols that span them changes: from that line on so many (n), whose ids sum to ids and of which the least is unknown.
+
+    Each symbol adds one at its first line and takes one behind its last; running sums over a file's change points, of which a file has at most two for each line."""
+    ends = F.array(F.struct(F.col("start_line").cast("long").alias("line"), F.lit(1).alias("d")), F.struct((F.col("end_line") + 1).cast("long").alias("line"), F.lit(-1).alias("d")))
+    points = symbols.filter("start_line IS NOT NULL AND end_line >= start_line").select("file_id", "id", F.inline(ends))
+    # the sums of hashed ids tell which symbol is the only one
+    mark = F.xxhash64("id").cast("decimal(38,0)")
+    changed = points.groupBy("file_id", "line").agg(F.sum("d").alias("d"), F.sum(mark * F.col("d")).alias("m"))
+    so_far = Window.partitionBy("file_id").orderBy("line")
+    return changed.select("file_id", "line", F.sum("d").over(so_far).alias("n"), F.sum("m").over(so_far).alias("marks"), F.coalesce(F.lead("line").over(so_far), F.lit(2**62)).alias("until"))
+
+
 def resolve(references: DataFrame, symbols: DataFrame) -> DataFrame:
     """references (ref_id, key, name, file, line) with status, symbol_id and candidates.
 
     A key decides, else a qualified name, else the file (and the line that a symbol spans). One symbol is RESOLVED, none UNRESOLVED,
-    several AMBIGUOUS with their first ids. Each kind of reference is an equality join; a line is a range check behind its file."""
-    hits = hits_of(references, symbols)
-    counts = hits.groupBy("ref_id").agg(F.count("*").alias("candidates"), F.min("id").alias("first"))
-    status = F.when(F.col("candidates").isNull(), "UNRESOLVED").when(F.col("candidates") == 1, "RESOLVED").otherwise("AMBIGUOUS")
-    return references.join(counts, "ref_id", "left").select(*references.columns, status.alias("status"), F.when(F.col("candidates") == 1, F.col("first")).alias("symbol_id"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    several AMBIGUOUS. Symbols are reduced to a count and a least id per key, name or file before references meet them, so a name that very
+    many symbols share costs one row a reference; for lines, a file's spans are reduced to the lines where their number changes."""
+    kind = F.when(F.col("key").isNotNull(), "key").when(F.col("name").isNotNull(), "name").when(F.col("line").isNull(), "file").otherwise("line")
+    asked = references.withColumn("kind_", kind).withColumn("value_", F.coalesce("key", "name", "file"))
+    per = lambda c, k: symbols.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value_")).agg(F.count("*").alias("n_"), F.min("id").alias("first_")).withColumn("kind_", F.lit(k))
+    whole = per("symbol_key", "key").unionByName(per("qualified_name", "name")).unionByName(per("file_id", "file"))
+    plain = asked.filter("kind_ <> 'line' OR kind_ IS NULL").join(whole, ["kind_", "value_"], "left").select(*references.columns, "n_", "first_")
+    lines = asked.filter("kind_ = 'line'").select(*references.columns)
+    # a reference at a line and the change points of its file, ordered together: the last point before it holds
+    spans = _spans(symbols)
+    points = spans.select("file_id", F.col("line").alias("at"), F.lit(0).alias("side"), "n", "marks").withColumn("ref_id", F.lit(None).cast(dict(references.dtypes)["ref_id"]))
+    places = lines.select(F.col("file").alias("file_id"), F.col("line").cast("long").alias("at")).distinct().withColumns({"side": F.lit(1), "n": F.lit(None).cast("long"), "marks": F.lit(None).cast("decimal(38,0)")})
+    both = points.drop("ref_id").unionByName(places.select("file_id", "at", "side", F.col("n"), F.col("marks")))
+    before = Window.partitionBy("file_id").orderBy("at", "side")
+    held = both.withColumns({"n": F.last("n", ignorenulls=True).over(before), "marks": F.last("marks", ignorenulls=True).over(before)}).filter("side = 1").select(F.col("file_id").alias("file"), F.col("at").alias("line"), "n", "marks")
+    ids = symbols.select(F.col("file_id").alias("file"), F.xxhash64("id").cast("decimal(38,0)").alias("marks"), "id")
+    single = held.filter("n = 1").join(ids, ["file", "marks"]).groupBy("file", "line").agg(F.min("id").alias("first_"))
+    counted = held.join(single, ["file", "line"], "left").select(F.col("file"), F.col("line").cast("int").alias("line"), F.col("n").alias("n_"), "first_")
+    met = lines.join(counted, ["file", "line"], "left").select(*references.columns, "n_", "first_")
+    found = plain.unionByName(met).withColumn("n_", F.coalesce("n_", F.lit(0)))
+    status = F.when(F.col("n_") == 0, "UNRESOLVED").when(F.col("n_") == 1, "RESOLVED").otherwise("AMBIGUOUS")
+    return found.select(*references.columns, status.alias("status"), F.when(F.col("n_") == 1, F.col("first_")).alias("symbol_id"), F.col("n_").alias("candidates"))
 
 
 def candidate_ids(references: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ R.add("n04_lexical_baseline", lambda t: rounded(retrieval.lexical_baseline(t.sem
 
 def hybrid(t: Tables, semantic: bool) -> DataFrame:
     probe = retrieval.cosine_top_k(vectors(t), VECTOR, 500) if semantic else None
-    return retrieval.hybrid_search(t.semantic_documents, t.relationships, QUERY, 50, probe)
+    return retrieval.hybrid_search(t.semantic_index, None, QUERY, 50, probe, degrees=t.degrees)
 
 
 _HYBRID = f"""{cte('semantic_documents', 'relationships')}, {_LEX}, {_TOP}, probe AS (SELECT * FROM sem ORDER BY score DESC, stable_key LIMIT 500),
@@ -66,18 +66,18 @@ R.add("e26_index_size", lambda t: retrieval.index_size(t.semantic_documents, 64)
 
 
 def judged(t: Tables, worse: bool = False) -> DataFrame:
-    """Per label the other vectors of the label are relevant; lists are ranked by one component."""
-    e = t.base("embeddings").select(F.col("label").alias("query_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("key"), F.element_at("embedding", 2 if worse else 1).cast("double").alias("score"), "vec_id")
-    pairs = e.select("query_id").distinct().join(e.select("key", "score", F.col("query_id").alias("label")), F.col("query_id") <= F.col("label"))
-    ranked = retrieval.rank_rows(pairs.select("query_id", "key", "score"))
-    return retrieval.retrieval_metrics(ranked, e.select("query_id", "key"), 10)
+    """Ten bounded result lists, one a label: the first 200 vectors by one component among those of the label and the next; the label's own are relevant."""
+    e = t.base("embeddings").select(F.col("label").alias("query_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("key"), F.element_at("embedding", 2 if worse else 1).cast("double").alias("score"))
+    seen = e.select(F.explode(F.array(F.col("query_id"), F.col("query_id") - 1)).alias("query_id"), "key", "score").join(F.broadcast(e.select("query_id").distinct()), "query_id", "left_semi")
+    return retrieval.retrieval_metrics(retrieval.rank_rows(seen, most=200), e.select("query_id", "key"), 10)
 
 
 def _judged(name: str, place: int) -> str:
     return f"""e{name} AS (SELECT label AS query_id, 'v' || vec_id AS key, embedding[{place}]::DOUBLE AS score FROM embeddings),
-r{name} AS (SELECT l.query_id, e.key, e.query_id = l.query_id AS hit, row_number() OVER (PARTITION BY l.query_id ORDER BY e.score DESC, e.key) AS rank FROM (SELECT DISTINCT query_id FROM e{name}) l JOIN e{name} e ON l.query_id <= e.query_id),
-m{name} AS (SELECT query_id, count_if(hit)::BIGINT AS relevant, count_if(hit AND rank <= 10)::BIGINT AS found, count_if(hit AND rank <= 10)::BIGINT / count_if(hit)::DOUBLE AS recall, 1.0::DOUBLE / min(rank) FILTER (WHERE hit) AS mrr,
-  sum(CASE WHEN hit AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(10, count_if(hit)::BIGINT) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM r{name} GROUP BY query_id)"""
+n{name} AS (SELECT query_id, count(DISTINCT key) AS relevant FROM e{name} GROUP BY query_id),
+r{name} AS (SELECT * FROM (SELECT l.query_id, e.key, e.query_id = l.query_id AS hit, row_number() OVER (PARTITION BY l.query_id ORDER BY e.score DESC, e.key) AS rank FROM (SELECT DISTINCT query_id FROM e{name}) l JOIN e{name} e ON e.query_id IN (l.query_id, l.query_id + 1)) WHERE rank <= 200),
+s{name} AS (SELECT query_id, count_if(hit AND rank <= 10)::BIGINT AS found, 1.0::DOUBLE / min(rank) FILTER (WHERE hit) AS mrr, sum(CASE WHEN hit AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM r{name} GROUP BY query_id),
+m{name} AS (SELECT n{name}.query_id, relevant, coalesce(found, 0) AS found, coalesce(found, 0) / relevant::DOUBLE AS recall, coalesce(mrr, 0) AS mrr, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, relevant) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM n{name} LEFT JOIN s{name} USING (query_id))"""
 
 
 R.add("e19_retrieval_metrics", lambda t: rounded(judged(t)), f"WITH {_judged('a', 1)} SELECT query_id, relevant, found, round(recall, 9) AS recall, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg FROM ma")

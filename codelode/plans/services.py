@@ -86,12 +86,12 @@ R.add("i11_interprocedural_edges", lambda t: projects.interprocedural_edges(meth
 
 
 def code_search(t: Tables) -> DataFrame:
-    found = context.search(t.symbols, occurrences(t), t.relationships, "proj", "small ring", limit=3, per_node=5, usages=3, max_tokens=4096)
+    found = context.search(t.symbols, occurrences(t), t.relationships, "proj", "small ring", limit=3, per_node=5, usages=3, max_tokens=4096, by_target=t.relationships_by_target)
     return t.spark.createDataFrame([(i + 1, c["symbol"], len(c["relations"]), len(c["usages"]), c["tokens"], c["truncated"]) for i, c in enumerate(found["contexts"])], "position int, symbol_id string, relations int, usages int, tokens int, truncated boolean")
 
 
 def relation_walk(t: Tables) -> DataFrame:
-    rows, _, _ = context.neighbourhood(t.relationships, "proj", SYMBOL, 2, 3, 8192)
+    rows, _, _ = context.neighbourhood(t.relationships, "proj", SYMBOL, 2, 3, 8192, t.relationships_by_target)
     return t.spark.createDataFrame([(i + 1, r["depth"], r["from"], r["direction"], r["id"]) for i, r in enumerate(rows)], "position int, depth int, node string, direction string, id string")
 
 

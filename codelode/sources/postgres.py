@@ -1,0 +1,121 @@
+"""Snapshots and vectors in PostgreSQL: the tables, and readers and writers over JDBC. A driver on the class path is needed to run them; the statements are plain SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SCHEMA_VERSION, BATCH = 1, 500
+_TYPES = {"string": "text", "int": "integer", "bigint": "bigint", "double": "double precision", "boolean": "boolean", "timestamp": "timestamptz", "binary": "bytea", "array<string>": "text[]", "array<float>": "vector"}
+
+#: The stored tables: columns in Spark's types, and the primary key.
+TABLES: dict[str, tuple[str, list[str]]] = {
+    "schema_version": ("version int", ["version"]),
+    "snapshots": ("project_id string, snapshot_id string, sha256 string, created_at timestamp, symbols bigint, occurrences bigint, relationships bigint", ["project_id", "snapshot_id"]),
+    "active_snapshots": ("project_id string, snapshot_id string", ["project_id"]),
+    "symbols": ("project_id string, snapshot_id string, id string, symbol_key string, module_id string, file_id string, kind string, name string, qualified_name string, signature string, language string, start_line int, start_column int, end_line int, external boolean, generated boolean", ["project_id", "snapshot_id", "id"]),
+    "occurrences": ("project_id string, snapshot_id string, id string, symbol_id string, file_id string, start_line int, start_column int, role string, resolution_status string", ["project_id", "snapshot_id", "id"]),
+    "relationships": ("project_id string, snapshot_id string, id string, source_type string, source_id string, target_type string, target_id string, unresolved_target string, kind string, resolution_status string, nature string, confidence double, file_id string, start_line int", ["project_id", "snapshot_id", "id"]),
+    "semantic_indexes": ("project_id string, snapshot_id string, provider string, model string, dims int", ["project_id"]),
+    "semantic_vectors": ("project_id string, stable_key string, kind string, checksum string, vector array<float>", ["project_id", "stable_key"]),
+    "runtime_sessions": ("project_id string, session_id string, snapshot_id string, source_sha256 string", ["project_id", "session_id"]),
+    "runs": ("id string, project_id string, status string, created_at timestamp, completed_at timestamp", ["id"]),
+    "audit": ("tenant_id string, sequence bigint, occurred_at timestamp, action string, previous_hash string, hash string", ["tenant_id", "sequence"]),
+}
+INDEXES = {"symbols": ["file_id", "qualified_name"], "occurrences": ["symbol_id"], "relationships": ["source_id", "target_id"], "runs": ["project_id"]}
+
+
+def columns(table: str) -> list[tuple[str, str]]:
+    """Names and Spark types."""
+    return [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(TABLES[table][0])]
+
+
+def ddl(schema: str, dims: int = 384) -> list[str]:
+    """The statements that make every table and index where there is none; a later version is never downgraded."""
+    out = ["CREATE EXTENSION IF NOT EXISTS vector", f"CREATE SCHEMA IF NOT EXISTS {schema}"]
+    for table, (_, key) in TABLES.items():
+        types = [(c, _TYPES[k] + (f"({dims})" if _TYPES[k] == "vector" else "")) for c, k in columns(table)]
+        cells = ", ".join(f"{c} {k}{' NOT NULL' if c in key else ''}" for c, k in types)
+        out.append(f"CREATE TABLE IF NOT EXISTS {schema}.{table} ({cells}, PRIMARY KEY ({', '.join(key)}))")
+    for table, names in INDEXES.items():
+        out += [f"CREATE INDEX IF NOT EXISTS {table}_{c} ON {schema}.{table} ({', '.join([*TABLES[table][1][:-1], c])})" for c in names]
+    return [*out, f"INSERT INTO {schema}.schema_version SELECT {SCHEMA_VERSION} WHERE NOT EXISTS (SELECT 1 FROM {schema}.schema_version WHERE version >= {SCHEMA_VERSION})"]
+
+
+def merge_sql(schema: str, table: str, staging: str) -> str:
+    """From a staging table into a table: rows whose key is new are added; one that is there already stays as it is."""
+    names = [c for c, _ in columns(table)]
+    cells = ", ".join(f"CAST({c} AS vector)" if k == "array<float>" else c for c, k in columns(table))
+    return f"INSERT INTO {schema}.{table} ({', '.join(names)}) SELECT {cells} FROM {schema}.{staging} ON CONFLICT ({', '.join(TABLES[table][1])}) DO NOTHING"
+
+
+def conflict_sql(schema: str, staging: str) -> str:
+    """Snapshots that are stored already with another hash: a publish must stop where there is one."""
+    return f"SELECT s.project_id, s.snapshot_id FROM {schema}.{staging} s JOIN {schema}.snapshots t ON t.project_id = s.project_id AND t.snapshot_id = s.snapshot_id WHERE t.sha256 <> s.sha256"
+
+
+def promote_sql(schema: str) -> str:
+    return f"INSERT INTO {schema}.active_snapshots (project_id, snapshot_id) VALUES (?, ?) ON CONFLICT (project_id) DO UPDATE SET snapshot_id = EXCLUDED.snapshot_id"
+
+
+def vector_text(vector: str) -> F.Column:
+    """A vector as the text that the vector type reads."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def staged(df: DataFrame, table: str) -> DataFrame:
+    """df's rows with exactly a table's columns and types, vectors as text; a column that is missing is an error."""
+    cells = [vector_text(c).alias(c) if kind == "array<float>" else F.col(c).cast(kind).alias(c) for c, kind in columns(table)]
+    return df.select(*cells)
+
+
+def _options(url: str, **more) -> dict[str, str]:
+    return {"url": url, "batchsize": str(BATCH), "stringtype": "unspecified"} | {k: str(v) for k, v in more.items()}
+
+
+def _run(spark: SparkSession, url: str, statements: list[tuple[str, tuple]]) -> None:
+    """Statements in one transaction."""
+    link = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        link.setAutoCommit(False)
+        for sql, values in statements:
+            call = link.prepareStatement(sql)
+            for i, v in enumerate(values, 1):
+                call.setString(i, v)
+            call.execute()
+            call.close()
+        link.commit()
+    except Exception:
+        link.rollback()
+        raise
+    finally:
+        link.close()
+
+
+def migrate(spark: SparkSession, url: str, schema: str) -> None:
+    _run(spark, url, [(s, ()) for s in ddl(schema)])
+
+
+def publish_snapshot(url: str, schema: str, project: str, snapshot: str, tables: dict[str, DataFrame]) -> None:
+    """Tasks write the rows into staging tables; one transaction then merges them and moves the pointer."""
+    spark = next(iter(tables.values())).sparkSession
+    statements = []
+    for name, df in tables.items():
+        rows = df.withColumns({"project_id": F.lit(project), "snapshot_id": F.lit(snapshot)})
+        staged(rows, name).write.format("jdbc").options(**_options(url, dbtable=f"{schema}.staging_{name}")).mode("overwrite").save()
+        statements += [(merge_sql(schema, name, f"staging_{name}"), ()), (f"DROP TABLE {schema}.staging_{name}", ())]
+    _run(spark, url, [*statements, (promote_sql(schema), (project, snapshot))])
+
+
+def replace_vectors(url: str, schema: str, project: str, index: DataFrame) -> None:
+    """The project's vectors deleted and those of index (stable_key, kind, checksum, vector) inserted, in one transaction behind a staging table."""
+    rows = index.withColumn("project_id", F.lit(project))
+    staged(rows, "semantic_vectors").write.format("jdbc").options(**_options(url, dbtable=f"{schema}.staging_vectors")).mode("overwrite").save()
+    _run(index.sparkSession, url, [(f"DELETE FROM {schema}.semantic_vectors WHERE project_id = ?", (project,)), (merge_sql(schema, "semantic_vectors", "staging_vectors"), ()), (f"DROP TABLE {schema}.staging_vectors", ())])
+
+
+def load_snapshot(spark: SparkSession, url: str, schema: str, project: str, table: str, parts: int = 16) -> DataFrame:
+    """A table of the project's active snapshot. Parts of it by a hash of the id are read at once; the filter runs in the database."""
+    mine = f"SELECT t.*, mod(abs(hashtext(t.id)), {parts}) AS part_ FROM {schema}.{table} t JOIN {schema}.active_snapshots a ON a.project_id = t.project_id AND a.snapshot_id = t.snapshot_id WHERE a.project_id = '{project.replace(chr(39), chr(39) * 2)}'"
+    return spark.read.format("jdbc").options(**_options(url, dbtable=f"({mine}) q", partitionColumn="part_", lowerBound=0, upperBound=parts, numPartitions=parts)).load().drop("part_")
