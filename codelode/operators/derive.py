@@ -13,6 +13,11 @@ from .lookup import is_test_path
 WEIGHTS = {"TEST_LOCATION": 0.10, "PACKAGE_PROXIMITY": 0.20, "NAMING_CONVENTION": 0.55, "DIRECT_REFERENCE": 0.65, "DIRECT_CALL": 0.80}
 
 
+def fact_order() -> list:
+    """The order of facts: their source, kind, resolved ones first, target, unresolved text, id."""
+    return ["project_id", "source_type", "source_id", ordinal("kind", RELATIONSHIP_KINDS), F.col("target_id").isNull(), F.asc_nulls_last("target_id"), F.asc_nulls_last("unresolved_target"), "id"]
+
+
 def dependencies(rows: DataFrame) -> DataFrame:
     """One DEPENDS_ON a source and target (or unresolved text), of all factual dependency facts but self-references.
 
@@ -100,8 +105,8 @@ def related_tests(symbols: DataFrame, occurrences: DataFrame, rows: DataFrame) -
 
 
 def noisy_or(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """1 - product(1 - weight) of each group, half-up to three decimals."""
-    return rows.groupBy(*keys).agg(F.round(1 - F.product(1 - F.col(weight)), 3).alias("confidence"))
+    """1 - product(1 - weight) of each group, half-up to three decimals; first to nine, so that the order of factors can't tip a half."""
+    return rows.groupBy(*keys).agg(F.round(F.round(1 - F.product(1 - F.col(weight)), 9), 3).alias("confidence"))
 
 
 def distinct_evidence(rows: DataFrame) -> DataFrame:
@@ -112,3 +117,14 @@ def distinct_evidence(rows: DataFrame) -> DataFrame:
 def top_per_group(rows: DataFrame, keys: list[str], order: list, n: int, name: str = "k") -> DataFrame:
     """The first n rows of each group."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int")).filter(F.col(name) <= n)
+
+
+def ingestion_report(symbols: DataFrame, occurrences: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of sixteen counters: rows, repeated ids, rows without a file, resolved and other rows of each table, and external symbols."""
+    out = None
+    for name, df in (("symbols", symbols), ("occurrences", occurrences), ("relationships", rows)):
+        state = F.col("resolution_status") if "resolution_status" in df.columns else F.lit("RESOLVED")
+        more = [F.count_if("external").alias("symbols_external")] if name == "symbols" else []
+        one = df.agg(F.count("*").alias(f"{name}_rows"), (F.count("*") - F.countDistinct("id")).alias(f"{name}_repeated"), F.count_if(F.col("file_id").isNull()).alias(f"{name}_without_file"), F.count_if(state == "RESOLVED").alias(f"{name}_resolved"), F.count_if(state != "RESOLVED").alias(f"{name}_other"), *more)
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out

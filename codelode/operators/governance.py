@@ -91,6 +91,11 @@ def authenticate(key: bytes, token: str, now: int) -> dict:
     return claims
 
 
+def cutoff(now, days: int):
+    """The time before which so many days of history end."""
+    return now - F.make_interval(days=F.lit(days))
+
+
 def apply_retention(events: DataFrame, removals: DataFrame, workspaces: DataFrame, archived_before) -> tuple[DataFrame, DataFrame]:
     """Events without the first ones that removals (tenant_id, remove) counts, and workspaces without those archived before a time."""
     first = events.groupBy("tenant_id").agg(F.min("sequence").alias("low"))

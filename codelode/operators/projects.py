@@ -78,6 +78,27 @@ def refresh(spark: SparkSession, capture, assess, execute, promote) -> str:
     return scope
 
 
+def refresh_outcomes(refreshes: DataFrame) -> DataFrame:
+    """What each refresh (project_id, scope, before, after: aggregate hashes of its tree) did, and the baseline that holds then: NONE leaves the old one, a tree that moved under the run is UNSTABLE and leaves it, else before becomes it."""
+    stood = F.col("before").eqNullSafe(F.col("after"))
+    outcome = F.when(F.col("scope") == "NONE", "NONE").when(~stood, "UNSTABLE").otherwise(F.col("scope"))
+    return refreshes.select("project_id", outcome.alias("outcome"), F.when((F.col("scope") == "NONE") | ~stood, F.col("baseline")).otherwise(F.col("before")).alias("baseline"))
+
+
+def scopes(modules: DataFrame, roots: DataFrame, indexers: DataFrame) -> DataFrame:
+    """Where each indexer runs (indexer_id, scope: a module path, "" the root): at the root alone if it handles several modules and has one of the root's builds, else in each module that has one of its languages and, where it names builds, one of them.
+
+    modules: module_path, build_systems; roots: module_path, language; indexers: indexer_id, languages, build_systems, multi_module. An indexer without a scope has no row."""
+    spoken = roots.groupBy("module_path").agg(F.collect_set("language").alias("spoken"))
+    fits = F.arrays_overlap("spoken", "languages")
+    able = modules.join(spoken, "module_path").crossJoin(F.broadcast(indexers.select("indexer_id", "languages", F.col("build_systems").alias("builds"), "multi_module"))).filter(fits)
+    owned = F.arrays_overlap("builds", "build_systems")
+    root = modules.filter("module_path = ''").select(F.col("build_systems").alias("root_builds"))
+    whole = able.select("indexer_id", "builds", "multi_module").distinct().crossJoin(F.broadcast(root.limit(1))).filter(F.col("multi_module") & F.arrays_overlap("builds", "root_builds")).select("indexer_id")
+    each = able.filter((F.size("builds") == 0) | owned).join(whole, "indexer_id", "left_anti").select("indexer_id", F.col("module_path").alias("scope"))
+    return whole.select("indexer_id", F.lit("").alias("scope")).unionByName(each)
+
+
 #: Steps of an indexing run, and what a failure at any of them leaves: the old snapshot as STALE, or FAILED without one.
 LIFECYCLE = ["PROVIDER_EXECUTION", "STAGING", "PROMOTION", "COMPLETED"]
 
@@ -92,6 +113,13 @@ def run_lifecycle(steps: dict, has_snapshot: bool) -> tuple[str, str]:
     return "COMPLETED", "READY"
 
 
+def lifecycle_states(runs: DataFrame) -> DataFrame:
+    """runs (id, failed_step: null where none failed, snapshot_id: the active one before) with the last step each reached, its project's state and the snapshot that is active after: a failure keeps the old one, as STALE."""
+    failed = F.col("failed_step").isNotNull()
+    state = F.when(~failed, "READY").when(F.col("snapshot_id").isNotNull(), "STALE").otherwise("FAILED")
+    return runs.select("id", F.coalesce("failed_step", F.lit(LIFECYCLE[-1])).alias("last_step"), state.alias("state"), F.when(failed, F.col("snapshot_id")).otherwise(F.concat(F.lit("snap:"), "id")).alias("active_snapshot"))
+
+
 #: What a level of support counts, of FULL's three.
 SUPPORT = {"FULL": 3, "PARTIAL": 2, "EXPERIMENTAL": 1, "UNSUPPORTED": 0}
 

@@ -12,6 +12,8 @@ from ..model import EDGE_KINDS, FLOW_KINDS, NATURES, PROPAGATING_KINDS, ordinal
 from ..store import stored
 
 SEP = "\u0001"
+#: What facts of each edge kind make a graph able to answer.
+CAPABILITY_OF = dict(zip(EDGE_KINDS, ["CALL_GRAPH", "CONTROL_FLOW_GRAPH", "LOCAL_DATA_FLOW", "LOCAL_DATA_FLOW", "INTERPROCEDURAL_FLOW", "INTERPROCEDURAL_FLOW", "TAINT_ANALYSIS"], strict=True))
 MAX_DEPTH, MAX_RESULTS = 32, 10_000
 
 
@@ -214,8 +216,7 @@ def induced_subgraph(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edg
 
 def missing_capabilities(edges: DataFrame, declared: list[str]) -> DataFrame:
     """Edge kinds whose capability isn't declared, and declared ones without facts."""
-    names = dict(zip(EDGE_KINDS, ["CALL_GRAPH", "CONTROL_FLOW_GRAPH", "LOCAL_DATA_FLOW", "LOCAL_DATA_FLOW", "INTERPROCEDURAL_FLOW", "INTERPROCEDURAL_FLOW", "TAINT_ANALYSIS"], strict=True))
-    got = edges.select(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("kind")).alias("capability")).distinct()
+    got = edges.select(F.element_at(F.create_map(*[F.lit(x) for pair in CAPABILITY_OF.items() for x in pair]), F.col("kind")).alias("capability")).distinct()
     want = edges.sparkSession.createDataFrame([(c,) for c in declared], "capability string")
     return got.subtract(want).select("capability", F.lit("UNDECLARED").alias("problem")).union(want.subtract(got).select("capability", F.lit("WITHOUT_FACTS")))
 
@@ -231,6 +232,27 @@ def compose(parts: list[DataFrame], key: str = "id") -> DataFrame:
     return rows.select(key, same.alias("a")).select(key, "a.*").select(*columns)
 
 
+def conflicts(parts: list[DataFrame], key: str = "id") -> DataFrame:
+    """The keys under which parts have rows that differ, and how many different rows each has."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.distinct().groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1")
+
+
+def assemble(fragments: list, providers: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and what is declared about them (what: CAPABILITY or LIMITATION, name) of fragments, None for a provider that is not at hand.
+
+    Rows of one id must be equal. Capabilities are the fragments' own and those that edge kinds give; a provider without a fragment is a limitation."""
+    there = [f for f in fragments if f is not None]
+    nodes, edges = compose([f.nodes for f in there]), compose([f.edges for f in there])
+    spark = nodes.sparkSession
+    declared = [("CAPABILITY", c) for f in there for c in f.capabilities] + [("LIMITATION", x) for f in there for x in f.limitations] + [("LIMITATION", f"{name.upper()}_UNAVAILABLE") for name, f in zip(providers, fragments, strict=True) if f is None]
+    names = F.create_map(*[F.lit(x) for pair in CAPABILITY_OF.items() for x in pair])
+    found = edges.select(F.lit("CAPABILITY").alias("what"), F.element_at(names, F.col("kind")).alias("name"))
+    return nodes, edges, found.unionByName(spark.createDataFrame(declared, "what string, name string")).distinct()
+
+
 def edge_quality(observed: DataFrame, expected: DataFrame) -> DataFrame:
     """Precision and recall of edges (source_node_id, target_node_id, kind): both 1 if nothing is expected and nothing found; precision 0 if only nothing is found."""
     key = ["source_node_id", "target_node_id", "kind"]

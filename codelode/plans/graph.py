@@ -42,8 +42,8 @@ def readable(df: DataFrame) -> DataFrame:
 
 _PATH = "replace(path, chr(1), ' > ') AS path"
 R.add("i01_impact", lambda t: rounded(readable(impact(t)[0])), f"{_IMPACT} SELECT symbol_id, depth, round(confidence, 9) AS confidence, {_PATH} FROM impacts ORDER BY depth, confidence DESC, impacts.path LIMIT 10000")
-R.add("f07_best_candidate", lambda t: impact(t)[0].groupBy("depth").agg(F.count("*").alias("symbols"), F.round(F.min("confidence"), 9).alias("least"), F.round(F.max("confidence"), 9).alias("most")),
-      f"{_IMPACT} SELECT depth, count(*) AS symbols, round(min(confidence), 9) AS least, round(max(confidence), 9) AS most FROM impacts GROUP BY depth")
+R.add("f07_best_candidate", lambda t: rounded(impact(t)[0].select("symbol_id", "depth", "confidence", F.element_at(F.split("path", traverse.SEP), -1).alias("last_edge"))),
+      f"{_IMPACT} SELECT symbol_id, depth, round(confidence, 9) AS confidence, list_extract(string_split(path, chr(1)), -1) AS last_edge FROM impacts ORDER BY depth, impacts.confidence DESC, impacts.path LIMIT 10000")
 _TESTS = " UNION ALL ".join(f"SELECT * FROM c{i} WHERE kind = 'RELATED_TEST'" for i in range(1, DEPTH + 1))
 R.add("i02_impacted_tests", lambda t: rounded(readable(impact(t)[1])), f"{_IMPACT}, tests AS ({_TESTS}) SELECT symbol_id, depth, round(confidence, 9) AS confidence, {_PATH} FROM (SELECT * FROM tests QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY depth, confidence DESC, path) = 1) WHERE symbol_id IN (SELECT symbol_id FROM impacts)")
 R.add("i03_impact_limitations", lambda t: traverse.impact_limitations(t.symbols, t.relationships),
@@ -123,4 +123,3 @@ R.add("d19_edge_ground_truth", lambda t: graph(t)[1].filter("nature <> 'HEURISTI
       f"{cte('symbols', 'relationships')}{_GRAPH} SELECT source_node_id, target_node_id, kind FROM graph WHERE nature <> 'HEURISTIC' INTERSECT SELECT source_node_id, target_node_id, kind FROM graph WHERE kind = 'CALL'")
 R.add("h05_set_intersection", lambda t: graph(t)[1].select("source_node_id").intersect(graph(t)[1].select("target_node_id")), f"{cte('symbols', 'relationships')}{_GRAPH} SELECT source_node_id FROM graph INTERSECT SELECT target_node_id FROM graph")
 R.add("a20_capability_check", lambda t: traverse.missing_capabilities(graph(t)[1], ["CALL_GRAPH", "TAINT_ANALYSIS"]), f"{cte('symbols', 'relationships')}{_GRAPH} SELECT 'LOCAL_DATA_FLOW' AS capability, 'UNDECLARED' AS problem WHERE EXISTS (SELECT 1 FROM graph WHERE kind = 'DATA_FLOW') UNION ALL SELECT 'TAINT_ANALYSIS', 'WITHOUT_FACTS'")
-R.add("i13_capabilities", lambda t: graph(t)[1].agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")), f"{cte('symbols', 'relationships')}{_GRAPH} SELECT array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds FROM graph")

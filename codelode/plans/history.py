@@ -92,8 +92,19 @@ R.add("d09_fingerprint_diff", changes, f"{_CHANGES} SELECT * FROM changes")
 R.add("t02_path_classification", areas, f"{_WITH_MODULES}{_AREAS} SELECT * FROM areas")
 R.add("t01_invalidation", lambda t: history.invalidation(changes(t), areas(t)),
       f"{_WITH_MODULES}{_AREAS} SELECT *, CASE WHEN changed = 0 THEN 'NONE' WHEN ignore_policy + build + unqualified > 0 THEN 'FULL_REQUIRED' ELSE 'PARTIAL_CANDIDATE' END AS scope FROM (SELECT count(*) AS changed, count_if(area = 'IGNORE_POLICY')::BIGINT AS ignore_policy, count_if(area = 'BUILD')::BIGINT AS build, count_if(area = 'SOURCE')::BIGINT AS source, count_if(area = 'TEST')::BIGINT AS test, count_if(area = 'UNQUALIFIED')::BIGINT AS unqualified FROM changes JOIN areas USING (path) WHERE status <> 'unchanged')")
-R.add("t03_incremental_plan", lambda t: history.incremental_plan(history.invalidation(changes(t), areas(t)).select("scope"), t.base("nation").select(F.col("n_name").alias("id"), (F.col("n_regionkey") >= 0).alias("incremental"))),
-      f"{_WITH_MODULES}{_AREAS} SELECT scope, able, CASE WHEN scope = 'NONE' THEN 'NONE' WHEN scope = 'PARTIAL_CANDIDATE' AND able THEN 'INCREMENTAL' ELSE 'FULL' END AS plan FROM (SELECT CASE WHEN count(*) = 0 THEN 'NONE' WHEN count_if(area IN ('IGNORE_POLICY', 'BUILD', 'UNQUALIFIED')) > 0 THEN 'FULL_REQUIRED' ELSE 'PARTIAL_CANDIDATE' END AS scope FROM changes JOIN areas USING (path) WHERE status <> 'unchanged'), (SELECT bool_and(n_regionkey >= 0) AS able FROM nation)")
+def plans(t: Tables) -> DataFrame:
+    """Each scope with indexers that all can work incrementally, some that can't, and none at all."""
+    every = t.spark.createDataFrame([("NONE",), ("PARTIAL_CANDIDATE",), ("FULL_REQUIRED",)], "scope string").union(history.invalidation(changes(t), areas(t)).select("scope"))
+    own = t.base("nation").select(F.col("n_name").alias("id"), (F.col("n_regionkey") != 3).alias("incremental"), "n_regionkey")
+    sets = [own.filter("n_regionkey <> 3"), own, own.limit(0)]
+    out = [history.incremental_plan(every, s.drop("n_regionkey")).withColumn("indexers", F.lit(i)) for i, s in enumerate(sets)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+R.add("t03_incremental_plan", plans,
+      f"""{_WITH_MODULES}{_AREAS}, found AS (SELECT CASE WHEN count(*) = 0 THEN 'NONE' WHEN count_if(area IN ('IGNORE_POLICY', 'BUILD', 'UNQUALIFIED')) > 0 THEN 'FULL_REQUIRED' ELSE 'PARTIAL_CANDIDATE' END AS scope FROM changes JOIN areas USING (path) WHERE status <> 'unchanged'),
+      every AS (SELECT unnest(['NONE', 'PARTIAL_CANDIDATE', 'FULL_REQUIRED']) AS scope UNION ALL SELECT scope FROM found), ables AS (SELECT 0 AS indexers, true AS able UNION ALL SELECT 1, false UNION ALL SELECT 2, false)
+      SELECT scope, able, CASE WHEN scope = 'NONE' THEN 'NONE' WHEN scope = 'PARTIAL_CANDIDATE' AND able THEN 'INCREMENTAL' ELSE 'FULL' END AS plan, indexers FROM every, ables""")
 R.add("e23_aggregate_hash", lambda t: history.aggregate_hash(t.files_after), f"{cte('files_after')} SELECT sha256(string_agg(path || chr(0) || size || chr(0) || sha || chr(10), '' ORDER BY path)) AS sha256, count(*) AS files FROM files_after")
 R.add("f02_snapshot_retention", lambda t: history.keep_snapshots(t.snapshot_files).select("project_id", "file_name", "keep"), f"{cte('snapshot_files')} SELECT project_id, file_name, active OR row_number() OVER (PARTITION BY project_id, active ORDER BY modified_at DESC, file_name) <= 2 AS keep FROM snapshot_files")
 R.add("f03_run_retention", lambda t: history.keep_runs(t.runs).select("id", "keep"), f"{cte('runs')} SELECT id, row_number() OVER (PARTITION BY project_id, status = 'SUCCEEDED' ORDER BY coalesce(completed_at, created_at) DESC, id DESC) <= CASE WHEN status = 'SUCCEEDED' THEN 20 ELSE 10 END AS keep FROM runs")
@@ -110,8 +121,9 @@ def chained(t: Tables) -> DataFrame:
 
 
 R.add("f05_audit_chain", lambda t: history.chain_breaks(chained(t)), f"{cte('audit')} SELECT tenant_id, sequence FROM audit WHERE event_id % 101 = 5")
-R.add("s19_hmac", lambda t: t.audit.select("event_id", text.hmac_sha256(F.lit("key"), F.concat_ws("|", "tenant_id", F.col("sequence").cast("string"))).alias("mac")))
-R.add("h02_snapshot_union", lambda t: t.symbols.filter("language = 'java'").unionByName(t.symbols.filter("language <> 'java'")).select("id", "language"), f"{cte('symbols')} SELECT id, language FROM symbols")
+_PAD = lambda x: bytes(b ^ x for b in b"key".ljust(64, b"\0")).hex()
+R.add("s19_hmac", lambda t: t.audit.select("event_id", text.hmac_sha256(F.lit("key"), F.concat_ws("|", "tenant_id", F.col("sequence").cast("string"))).alias("mac")),
+      f"{cte('audit')} SELECT event_id, sha256(unhex('{_PAD(0x5C)}') || unhex(sha256(unhex('{_PAD(0x36)}') || encode(tenant_id || '|' || sequence)))) AS mac FROM audit")
 R.add("h03_distinct_union", lambda t: t.relationships.filter("source_id = 'sym:42'").unionByName(t.relationships.filter("target_id = 'sym:42'")).dropDuplicates(["project_id", "id"]).select("id", "kind"), f"{cte('relationships')} SELECT id, kind FROM relationships WHERE source_id = 'sym:42' UNION SELECT id, kind FROM relationships WHERE target_id = 'sym:42'")
 R.add("h06_duplicate_rejection", lambda t: history.reject_duplicates(t.base("lineitem").select(F.col("l_orderkey"), F.col("l_linenumber")), ["l_orderkey", "l_linenumber"]), 'SELECT l_orderkey, l_linenumber, count(*) AS "rows" FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1')
 R.add("s03_stable_ids", lambda t: t.symbols.select("id", text.stable_id("sym", F.col("project_id"), F.col("qualified_name"), F.col("signature")).alias("stable_id")), f"{cte('symbols')} SELECT id, 'sym:' || sha256(project_id || chr(31) || coalesce(qualified_name, '') || chr(31) || coalesce(signature, '')) AS stable_id FROM symbols")

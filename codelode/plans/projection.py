@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The given tables.
@@ -16,6 +18,13 @@ def _file(p: str) -> str:
     )
 
 
+def _raw(p: str) -> str:
+    """A part's symbol as an index spells it: a type, a method or a local one."""
+    k, doc = f"CAST({p}.p_partkey AS STRING)", f"CAST({p}.p_partkey - {p}.p_partkey % 20 AS STRING)"
+    head = "'scip-java maven g 1.0 a/b/T'"
+    return f"CASE {p}.p_size % 3 WHEN 0 THEN {head} || {k} || '#' WHEN 1 THEN {head} || {doc} || '#m' || {k} || '().' ELSE 'local ' || {k} END"
+
+
 _KINDS = "CALLS REFERENCES IMPORTS EXTENDS IMPLEMENTS READS WRITES INSTANTIATES DEPENDS_ON RELATED_TEST RETURNS DECLARES".split()
 
 VIEWS = {
@@ -68,15 +77,19 @@ VIEWS = {
     "snapshot_files": """SELECT 'p' || CAST(o_custkey AS STRING) AS project_id, 's' || CAST(o_orderkey AS STRING) AS file_name, o_orderdate AS modified_at, (o_orderkey % 20 = 0) AS active FROM orders""",
     "audit": """SELECT 't' || CAST(user_id AS STRING) AS tenant_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS sequence, ts AS occurred_at, event_id, event_type AS action FROM events""",
 }
-#: Views that read other views.
-NEEDS: dict[str, list[str]] = {}
+#: Indexes as flat rows, twenty parts a document: its symbols, and their uses.
+VIEWS["index_symbols"] = f"""SELECT 'ix' || CAST((p_partkey - p_partkey % 20) % 60 AS STRING) AS idx, CAST(p_partkey - p_partkey % 20 AS INT) AS doc, p_partkey AS k, CAST(p_size AS INT) AS size,
+        'src/main/D' || CAST(p_partkey - p_partkey % 20 AS STRING) || CASE WHEN (p_partkey - p_partkey % 20) % 40 = 0 THEN '.kt' ELSE '.java' END AS path, CASE WHEN (p_partkey - p_partkey % 20) % 3 = 0 THEN '' ELSE 'java' END AS lang, {_raw("part")} AS raw,
+        CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_size % 3 = 0 THEN 7 WHEN p_size % 3 = 1 THEN 26 ELSE 61 END AS kind, CASE WHEN p_partkey % 31 = 0 THEN ' ' ELSE p_name END AS display, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '(' || CAST(p_size AS STRING) || ')' END AS signature,
+        CASE WHEN p_partkey % 4 = 0 THEN 'scip-java maven g 1.0 a/b/T' || CAST(p_partkey + 3 AS STRING) || '#' END AS target, (p_partkey % 8 = 0) AS implementing FROM part"""
+VIEWS["index_uses"] = f"""SELECT 'ix' || CAST((f.p_partkey - f.p_partkey % 20) % 60 AS STRING) AS idx, CAST(f.p_partkey - f.p_partkey % 20 AS INT) AS doc, l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, l_suppkey,
+        CASE WHEN l_linenumber = 6 THEN ' ' WHEN l_linenumber % 5 = 0 THEN 'scip-java maven g 1.0 x/y/Ext' || CAST(l_partkey % 50 AS STRING) || '#' ELSE {_raw("f")} END AS raw,
+        CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 0 ELSE 8 END + CASE WHEN l_linenumber = 3 THEN 16 ELSE 0 END AS bits, CAST(l_orderkey % 500 AS INT) AS line, CAST(l_quantity AS INT) AS col, (CAST(l_quantity AS INT) % 9 <> 0) AS readable FROM lineitem JOIN part f ON f.p_partkey = l_partkey"""
 
 
 def load(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """A projected table. The given tables come in as named views of this call only."""
     sql = VIEWS[view]
-    import re
-
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
     for t in frames:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b( [a-z]\b)?", lambda m, t=t: f"{m[1]} {{{t}}} AS {(m[2] or ' ' + t).strip()}", sql)

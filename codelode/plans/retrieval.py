@@ -57,7 +57,10 @@ def context(t: Tables) -> DataFrame:
 
 
 R.add("n05_hybrid_context", context)
-R.add("n01_semantic_documents", lambda t: retrieval.semantic_documents(t.symbols).select("stable_key", "kind", "tokens", "checksum"))
+R.add("n01_semantic_documents", lambda t: retrieval.semantic_documents(t.symbols).select("stable_key", "kind", "tokens", "checksum"),
+      f"""{cte('symbols')}, own AS (SELECT *, kind || ' ' || coalesce(qualified_name, name) || coalesce(' ' || signature, '') AS line FROM symbols WHERE NOT external),
+      made AS (SELECT 'symbol:' || id AS stable_key, 'SYMBOL' AS kind, substr(line, 1, 3072) AS content FROM own UNION ALL SELECT 'chunk:' || id || ':' || start_line || ':' || end_line, 'CHUNK', substr(line, 1, 3072) FROM own UNION ALL SELECT 'file:' || file_id, 'FILE', substr(string_agg(line, chr(10) ORDER BY line), 1, 8192) FROM own GROUP BY file_id)
+      SELECT stable_key, kind, ceil(strlen(content) / 4.0)::INTEGER AS tokens, sha256(content) AS checksum FROM made""")
 _INDEXED = "SELECT stable_key, CASE WHEN length(content) % 11 = 0 THEN sha256(content || '!') ELSE checksum END AS checksum FROM semantic_documents WHERE length(content) % 13 <> 5"
 R.add("d10_vector_reuse", lambda t: retrieval.reuse_vectors(t.semantic_documents.filter("length(content) % 17 <> 3"), t.semantic_documents.filter("length(content) % 13 <> 5").withColumn("checksum", F.when(F.length("content") % 11 == 0, F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("checksum")))),
       f"{cte('semantic_documents')}, old AS ({_INDEXED}), new AS (SELECT stable_key, checksum FROM semantic_documents WHERE length(content) % 17 <> 3) SELECT coalesce(new.stable_key, old.stable_key) AS stable_key, CASE WHEN new.checksum IS NULL THEN 'REMOVED' WHEN old.checksum IS NULL THEN 'ADDED' WHEN new.checksum = old.checksum THEN 'REUSED' ELSE 'CHANGED' END AS status FROM new FULL JOIN old ON new.stable_key = old.stable_key")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..model import ENTITY_TYPES, RELATIONSHIP_KINDS, ordinal_sql
 from ..operators import context, governance, history, projects
 from .lookups import SYMBOL, occurrences
 from .projection import cte
@@ -96,9 +97,14 @@ def relation_walk(t: Tables) -> DataFrame:
 
 
 R.add("n06_code_search", code_search)
-R.add("i07_context_traversal", relation_walk)
+_ROLL = f"direction_rank, {ordinal_sql('kind', RELATIONSHIP_KINDS)}, target_id IS NULL, {ordinal_sql('source_type', ENTITY_TYPES)}, source_id, {ordinal_sql('target_type', ENTITY_TYPES)} NULLS LAST, target_id NULLS LAST, unresolved_target NULLS LAST, file_id NULLS LAST, start_line NULLS LAST, id"
+R.add("i07_context_traversal", relation_walk,
+      f"""{cte('relationships')}, ends AS (SELECT *, source_id AS node, 0 AS direction_rank FROM relationships UNION ALL SELECT *, target_id, 1 FROM relationships WHERE target_id <> source_id),
+      one AS (SELECT *, row_number() OVER (ORDER BY {_ROLL}) AS k FROM ends WHERE node = '{SYMBOL}' QUALIFY k <= 3), others AS (SELECT CASE WHEN direction_rank = 0 THEN target_id ELSE source_id END AS node, min(k) AS place FROM one GROUP BY 1 HAVING node IS NOT NULL AND node <> '{SYMBOL}'),
+      two AS (SELECT ends.*, place, row_number() OVER (PARTITION BY ends.node ORDER BY {_ROLL}) AS k FROM ends JOIN others USING (node) QUALIFY k <= 3), fresh AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place, k) AS nth FROM two WHERE id NOT IN (SELECT id FROM one)),
+      every AS (SELECT 1 AS depth, 0 AS place, k, node, direction_rank, id FROM one UNION ALL SELECT 2, place, k, node, direction_rank, id FROM fresh WHERE nth = 1)
+      SELECT row_number() OVER (ORDER BY depth, place, k)::INTEGER AS position, depth, node, CASE WHEN direction_rank = 0 THEN 'OUTGOING' ELSE 'INCOMING' END AS direction, id FROM every""")
 R.add("s02_truncated", lambda t: t.base("documents").select("doc_id", F.md5(text.truncated("text", F.lit(64))).alias("digest")), "SELECT doc_id, md5(substr(text, 1, (SELECT max(i) FROM range(0, 257) r(i) WHERE strlen(substr(text, 1, i)) <= 256)::INTEGER)) AS digest FROM documents")
-R.add("s10_hash_embedding", lambda t: t.base("benchmark").select("item_id", text.hash_embedding("text").alias("v")).select("item_id", F.size("v").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length")), "SELECT item_id, 384 AS dims, 1.0::DOUBLE AS length FROM benchmark")
 R.add("s15_sanitized_remote", lambda t: t.base("pages").select("page_id", text.sanitize_remote(F.replace("url", F.lit("://"), F.lit("://user:secret@"))).alias("remote")), "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', ''), '\\.git$', '') AS remote FROM pages")
 _LEVELS = list(projects.SUPPORT)
 R.add("e22_conformance", lambda t: projects.conformance(t.base("supplier").select(F.col("s_nationkey").cast("string").alias("provider_id"), F.col("s_name").alias("capability"), F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("level"))),

@@ -59,8 +59,8 @@ near AS (SELECT p.*, (x.ns = y.ns AND x.ns <> '')::INT AS d FROM pairs p JOIN sp
 SELECT 'rel:' || sha256(project_id || {_U} || test_id || {_U} || 'RELATED_TEST' || {_U} || production_id) AS id, project_id, test_id, production_id, CASE WHEN b + c > 0 THEN 'DERIVED' ELSE 'HEURISTIC' END AS nature,
 round(1 - 0.9::DOUBLE * (CASE WHEN a = 1 THEN 0.45::DOUBLE ELSE 1 END) * (CASE WHEN b = 1 THEN 0.35::DOUBLE ELSE 1 END) * (CASE WHEN c = 1 THEN 0.2::DOUBLE ELSE 1 END) * (CASE WHEN d = 1 THEN 0.8::DOUBLE ELSE 1 END), 3) AS confidence, 1 + a + b + c + d AS evidence_types FROM near"""
 R.add("e02_related_tests", lambda t: derive.related_tests(t.symbols, occurrences(t), t.relationships), f"{cte('symbols', 'occurrences', 'relationships')}{_ANCHORS}{_NAMING}{_USES}{_CALLS}{_RELATED}")
-R.add("e03_noisy_or", lambda t: derive.noisy_or(t.relationships.filter("confidence IS NOT NULL"), ["source_id"], "confidence").withColumn("confidence", F.round("confidence", 2)),
-      f"{cte('relationships')} SELECT source_id, round(round(1 - product(1 - confidence), 3), 2) AS confidence FROM relationships WHERE confidence IS NOT NULL GROUP BY source_id")
+R.add("e03_noisy_or", lambda t: derive.noisy_or(t.relationships.filter("confidence IS NOT NULL"), ["source_id"], "confidence"),
+      f"{cte('relationships')} SELECT source_id, round(round(1 - product(1 - confidence), 9)::DECIMAL(18, 9), 3)::DOUBLE AS confidence FROM relationships WHERE confidence IS NOT NULL GROUP BY source_id")
 R.add("e05_context_evidence", lambda t: t.symbols.filter("NOT external").select("id", text.namespace(F.col("qualified_name"), F.col("kind")).alias("namespace")),
       f"{cte('symbols')}, known AS (SELECT * FROM symbols WHERE NOT external){_NSTABLE} SELECT id, ns AS namespace FROM spaces")
 R.add("e06_distinct_evidence", lambda t: derive.distinct_evidence(t.relationships.select(F.col("source_id").alias("relationship_id"), F.col("kind").alias("type"), F.coalesce("target_id", F.lit("-")).alias("description"), "file_id", "start_line")),
@@ -69,8 +69,8 @@ R.add("e12_graph_degree", lambda t: t.relationships.select(F.explode(F.array_com
       f"{cte('relationships')} SELECT symbol_id, count(*) AS degree FROM (SELECT source_id AS symbol_id FROM relationships UNION ALL SELECT target_id FROM relationships WHERE target_id IS NOT NULL) GROUP BY symbol_id")
 R.add("e24_index_metrics", lambda t: t.symbols.agg(F.countDistinct("id").alias("ids"), F.countDistinct("qualified_name").alias("qualified_names"), F.countDistinct("name").alias("names"), F.countDistinct("file_id").alias("files"), F.count("*").alias("total")),
       f"{cte('symbols')} SELECT count(DISTINCT id) AS ids, count(DISTINCT qualified_name) AS qualified_names, count(DISTINCT name) AS names, count(DISTINCT file_id) AS files, count(*) AS total FROM symbols")
-R.add("e25_ingestion_report", lambda t: t.occurrences.agg(F.count("*").alias("occurrences"), F.count_if(F.expr("resolution_status = 'RESOLVED'")).alias("resolved"), F.count_if(F.expr("resolution_status <> 'RESOLVED'")).alias("unresolved"), F.countDistinct("file_id").alias("files")),
-      f"{cte('occurrences')} SELECT count(*) AS occurrences, count_if(resolution_status = 'RESOLVED')::BIGINT AS resolved, count_if(resolution_status <> 'RESOLVED')::BIGINT AS unresolved, count(DISTINCT file_id) AS files FROM occurrences")
+R.add("e25_ingestion_report", lambda t: derive.ingestion_report(t.symbols, t.occurrences, t.relationships),
+      f"{cte('symbols', 'occurrences', 'relationships')} SELECT " + ", ".join(f"(SELECT {what} FROM {table}) AS {table}_{name}" for table, state in (("symbols", "'RESOLVED'"), ("occurrences", "resolution_status"), ("relationships", "resolution_status")) for name, what in (("rows", "count(*)"), ("repeated", "count(*) - count(DISTINCT id)"), ("without_file", "count_if(file_id IS NULL)::BIGINT"), ("resolved", f"count_if({state} = 'RESOLVED')::BIGINT"), ("other", f"count_if({state} <> 'RESOLVED')::BIGINT"))) + ", (SELECT count_if(external)::BIGINT FROM symbols) AS symbols_external")
 
 
 def placed(t: Tables) -> DataFrame:

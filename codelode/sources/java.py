@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r'\s+|//[^\n]*|/\*.*?\*/|(?P<text>"""(?:\\.|.)*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<op>->|::|\+\+|--|[-+*/%&|^]=|>>>?=|<<=|==|!=|<=|>=|&&|\|\||[^\s\w])', re.S)
 #: Words that are no variables, and those that begin something other than a method's header.
@@ -391,3 +392,15 @@ def graph_of(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     methods_ = facts.filter("what = 'method'").selectExpr("id AS method_id", "name", "members AS parameters", "others AS returns")
     calls_ = facts.filter("what = 'call'").selectExpr("id AS call_id", "name", "members AS arguments", "label AS result")
     return nodes, edges.unionByName(interprocedural_edges(methods_, calls_))
+
+
+#: What a workspace may hold.
+MOST_FILES, MOST_FILE_BYTES, MOST_BYTES = 2000, 4 << 20, 64 << 20
+
+
+def workspace(symbols: DataFrame, files: DataFrame, most_files: int = MOST_FILES, most_file_bytes: int = MOST_FILE_BYTES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """One row for the Java files that symbols lie in (files: path, size): their number and bytes, those that are missing, and the limitation that keeps them from being analysed, null where there is none."""
+    named = symbols.filter(F.endswith("file_id", F.lit(".java"))).select(F.col("file_id").alias("path")).distinct()
+    sums = named.join(files.select("path", "size"), "path", "left").agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.count_if(F.col("size").isNull()).alias("missing"))
+    limit = F.when(F.col("files") > most_files, "TOO_MANY_SOURCE_FILES").when(F.col("largest") > most_file_bytes, "SOURCE_FILE_TOO_LARGE").when(F.col("bytes") > most_bytes, "SOURCES_TOO_LARGE").when(F.col("missing") > 0, "SOURCE_FILE_MISSING")
+    return sums.select("files", "bytes", "missing", limit.alias("limitation"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -127,10 +129,67 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, DOCUMENTS)
 
 
+def _varint_bytes(n: int) -> bytes:
+    out = bytearray()
+    n &= (1 << 64) - 1
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(number: int, value: int | str | bytes) -> bytes:
+    """A field as it is written; nothing for zero and empty values."""
+    if not value:
+        return b""
+    if isinstance(value, int):
+        return _varint_bytes(number << 3) + _varint_bytes(value)
+    raw = value.encode() if isinstance(value, str) else value
+    return _varint_bytes(number << 3 | 2) + _varint_bytes(len(raw)) + raw
+
+
+def _symbol_bytes(s: dict) -> bytes:
+    flags = ("is_reference", "is_implementation", "is_type_definition", "is_definition")
+    related = b"".join(_field(4, _field(1, r["symbol"]) + b"".join(_field(k, int(bool(r[f]))) for k, f in enumerate(flags, 2))) for r in s["relationships"] or [])
+    signature = _field(4, s["signature_language"] or "") + _field(5, s["signature"] or "")
+    return _field(1, s["symbol"]) + related + _field(5, s["kind"] or 0) + _field(6, s["display_name"] or "") + _field(7, signature) + _field(8, s["enclosing_symbol"] or "")
+
+
+def encode(documents: list[dict]) -> bytes:
+    """An index of documents as decode gives them, in their order."""
+    out = []
+    for d in sorted(documents, key=lambda d: d["position"]):
+        if d["external"]:
+            out += [_field(3, _symbol_bytes(s)) for s in d["symbols"]]
+            continue
+        uses = b"".join(_field(2, _field(1, b"".join(map(_varint_bytes, o["range"]))) + _field(2, o["symbol"] or "") + _field(3, o["roles"] or 0)) for o in d["occurrences"])
+        cells = _field(1, d["relative_path"]) + uses + b"".join(_field(3, _symbol_bytes(s)) for s in d["symbols"]) + _field(4, d["language"] or "") + _field(6, d["encoding"] or 0)
+        out.append(_varint_bytes(2 << 3 | 2) + _varint_bytes(len(cells)) + cells)
+    return b"".join(out)
+
+
+def write_index(documents: DataFrame, folder: str) -> None:
+    """An index file below folder, a URI that tasks reach, for each index of documents. A task writes the indexes whose rows it has, under their hashed names."""
+    from pyarrow import fs
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        name = hashlib.sha256(rows[0]["index"].encode()).hexdigest()
+        with store.open_output_stream(part := f"{path}/.{name}.{uuid.uuid4().hex}") as out:
+            out.write(encode(rows))
+        store.move(part, f"{path}/{name}.scip")
+        return pa.table({"written": [name]})
+
+    documents.groupBy("index").applyInArrow(run, "written string").count()
+
+
 # --- names -----------------------------------------------------------------------------------------------------------
 
 _NAME = r"(?:`(?:[^`]|``)+`|[A-Za-z0-9_+\-$]+)"
 _DESCRIPTOR = re.compile(rf"\[(?P<tparam>{_NAME})\]|\((?P<param>{_NAME})\)|(?P<name>{_NAME})(?P<end>[/#.:!]|\((?:`(?:[^`]|``)*`|[^)`])*\)\.|$)")
+#: A fixed value: the endings of ECMAScript module files.
 _MODULE = re.compile(r"\.([mc]?[jt]s|[jt]sx)$", re.I)
 
 
