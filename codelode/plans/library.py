@@ -16,6 +16,7 @@ from ..store import SnapshotStore, scratch
 from .lookups import FILE, SYMBOL, occurrences
 from .projection import cte
 from .registry import Registry, Tables
+from .retrieval import _HYBRID as HYBRID
 from .retrieval import VECTOR, hybrid, vectors
 from .structure import rounded
 
@@ -222,7 +223,8 @@ R.add("b09_exported_symbols", lambda t: exported(t)[0], f"{_EXPORT} SELECT id, k
 R.add("b09_exported_relations", lambda t: exported(t)[1], f"{_EXPORT} SELECT id, source_id, target_id, kind, nature FROM edges")
 R.add("b09_omissions", lambda t: exported(t)[2],
       f"{_EXPORT}, n AS (SELECT (SELECT count(*) FROM symbols) AS a, (SELECT count(*) FROM symbols WHERE NOT external) AS b, (SELECT count(*) FROM known) AS d, (SELECT count(*) FROM kept) AS e, (SELECT count(*) FROM relationships) AS f, (SELECT count(*) FROM relationships WHERE target_id IS NOT NULL) AS g, (SELECT count(*) FROM inside) AS h, (SELECT count(*) FROM edges) AS i) SELECT omission, \"rows\" FROM (SELECT unnest(['EXTERNAL_SYMBOLS', 'SYMBOLS_WITHOUT_PATH', 'SYMBOLS_BEYOND_LIMIT', 'RELATIONS_NOT_BETWEEN_SYMBOLS', 'RELATIONS_WITHOUT_BOTH_ENDS', 'RELATIONS_BEYOND_LIMIT']) AS omission, unnest([a - b, b - d, d - e, f - g, g - h, h - i]) AS \"rows\" FROM n) WHERE \"rows\" > 0")
-R.add("b10_signal_export", lambda t: rounded(retrieval.signal_export(hybrid(t, True), 40).select("position", "stable_key", "kind", "limitations", "lexical"), 8), None)
+R.add("b10_signal_export", lambda t: rounded(retrieval.signal_export(hybrid(t, True), 40).select("position", "stable_key", "kind", "limitations", "lexical"), 8),
+      f"{HYBRID} SELECT position, stable_key, kind, concat_ws(',', CASE WHEN semantic = 0 THEN 'NO_SEMANTIC_SIGNAL' END, CASE WHEN graph = 0 THEN 'NO_GRAPH_SIGNAL' END, CASE WHEN lexical = 0 THEN 'NO_LEXICAL_SIGNAL' END) AS limitations, round(lexical, 8) AS lexical FROM (SELECT *, row_number() OVER (ORDER BY score DESC, stable_key)::INTEGER AS position FROM (SELECT *, least(1, greatest(0, 0.5::DOUBLE * greatest(0, least(1, semantic)) + 0.35::DOUBLE * lexical + 0.15::DOUBLE * graph)) AS score FROM sig WHERE lexical > 0 OR semantic > 0)) WHERE position <= 40")
 _EDGE_ROWS = ", e AS (SELECT 'B' || (p_size % 4) AS s, 'B' || (p_size % 7) AS t, count(*) AS n FROM part WHERE p_size % 4 <> p_size % 7 GROUP BY ALL), m AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT s AS x FROM e UNION SELECT t FROM e))"
 
 
