@@ -13,13 +13,14 @@ def _git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, text=True, errors="replace").stdout
 
 
-def read_history(spark: SparkSession, root: str, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """commits and commit_files (commit_id, path) of HEAD's history, changes against the first parent, renames under their new path."""
+def read_history(spark: SparkSession, root: str, most: int = 100_000) -> tuple[DataFrame, DataFrame, list[str]]:
+    """commits, commit_files (commit_id, path) and limitations of HEAD's history, changes against the first parent, renames under their new path. Of more than most commits the newest are read, and HISTORY_TRUNCATED says so."""
     import datetime
 
-    raw = _git(root, "log", f"-{most}", "-z", "-M", "--first-parent", "--root", "-m", "--name-status", "--format=%x01%H%x02%ct%x02%an%x02%ae%x02%s%x02")
+    raw = _git(root, "log", f"-{most + 1}", "-z", "-M", "--first-parent", "--root", "-m", "--name-status", "--format=%x01%H%x02%ct%x02%an%x02%ae%x02%s%x02")
     commits, files = [], []
-    for pos, block in enumerate(raw.split("\x01")[1:]):
+    blocks = raw.split("\x01")[1:]
+    for pos, block in enumerate(blocks[:most]):
         sha, when, name, mail, subject, rest = block.split("\x02", 5)
         commits.append((sha, pos, datetime.datetime.fromtimestamp(int(when), datetime.UTC), name, mail or None, subject))
         cells = [c for c in rest.replace("\n", "").split("\0") if c]
@@ -28,7 +29,7 @@ def read_history(spark: SparkSession, root: str, most: int = 100_000) -> tuple[D
             renamed = cells[k][0] in "RC"
             files.append((sha, cells[k + 2] if renamed else cells[k + 1]))
             k += 3 if renamed else 2
-    return spark.createDataFrame(commits, COMMITS), spark.createDataFrame(sorted(set(files)), "commit_id string, path string")
+    return spark.createDataFrame(commits, COMMITS), spark.createDataFrame(sorted(set(files)), "commit_id string, path string"), ["HISTORY_TRUNCATED"] if len(blocks) > most else []
 
 
 def repository_facts(root: str) -> dict:

@@ -122,7 +122,8 @@ def test_git_history(spark, tmp_path):
     run("add", "."), run("commit", "-qm", "first")
     (tmp_path / "a.txt").rename(tmp_path / "b.txt")
     run("add", "-A"), run("commit", "-qm", "second")
-    commits, changed = git.read_history(spark, str(tmp_path))
+    commits, changed, limits = git.read_history(spark, str(tmp_path))
+    assert limits == [] and git.read_history(spark, str(tmp_path), 1)[2] == ["HISTORY_TRUNCATED"] and git.read_history(spark, str(tmp_path), 1)[0].count() == 1
     assert [r["message"] for r in commits.orderBy("scan_pos").collect()] == ["second", "first"]
     assert sorted(r["path"] for r in changed.collect()) == ["a.txt", "b.txt"]
     assert git.repository_facts(str(tmp_path))["clean"]
