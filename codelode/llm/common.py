@@ -6,14 +6,14 @@ import contextlib
 import ctypes
 import gc
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import scratch
+
 #: Bytes of one Arrow batch sent to a Python worker, so that very long texts don't pile up there.
 ARROW_BATCH_BYTES = 4 << 20
 
@@ -27,6 +27,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Give what this process no longer holds back to the machine, not only to its allocators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for a Python worker that other tasks use later: what it held goes back to the machine at its end, not only to the worker's allocators."""
 
@@ -34,29 +42,13 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not with every C library
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return whole
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the cluster's shared spark.checkpoint.dir. Where that is unset, as in local tests, one is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codelode-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base:  # a path of the cluster's default store
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        base = whole if "://" in whole else whole.replace(":", "://", 1)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 #: Tasks for each core of the cluster that write a step: more would make many small files and run no sooner.
-WAVES = 4
+WAVES = 2
 
 
 def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:

@@ -13,15 +13,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, own_names, small_batches, table
+from .common import give_back, lean, own_names, small_batches, stored, table
 
 #: Hashed features; weights are one float32 each, so what is broadcast has at most 4 * DIMS bytes.
 DIM_BITS = 20
 DIMS = 1 << DIM_BITS
-#: The fit sees at most so many labelled documents, those whose hashed ids are smallest, and of each at most so many distinct features, the smallest hashes.
-SAMPLE, SAMPLE_FEATURES = 6000, 4096
-#: Chosen on a quarter of the training rows; the range to choose from had first been tried against held-out rows. A high L1 asks for evidence from several documents.
-EPOCHS, ALPHA, BETA, L1, L2 = 8, 1.0, 1.0, 9.0, 0.5
+#: The fit sees at most so many labelled documents, those whose hashed ids are smallest, with all their features; at most so many features together, so that very long texts don't fill the driver: one that would go beyond is passed over.
+SAMPLE, SAMPLE_FEATURES = 6000, 40_000_000
+#: Settings: the best that choose() finds in GRID by three folds of training rows (of sf0.1) alone. A high L1 asks for evidence from several documents.
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 9.0, 0.5
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
 #: The same letters and digits for Spark's regular expressions.
@@ -80,7 +80,7 @@ class Features(dict):
         return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
-def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, float]:
     """Weights (mostly zero) and bias. rows: distinct features and the label, 0 or 1.
 
     Each coordinate has its own rate, alpha / (beta + root of its summed squared gradients); L1 holds a weight at zero until its evidence
@@ -91,49 +91,94 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray,
     if not 0 < sum(y for _, y in rows) < len(rows):
         return np.zeros(DIMS, np.float32), start
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         rng.shuffle(order)
         for r in order:
             x, y = rows[r]
             at = np.append(x, DIMS)
             zi, ni = z[at], n[at]
-            shrink = np.full(len(at), L1)
+            shrink = np.full(len(at), l1)
             shrink[-1] = 0.0
-            wi = np.where(np.abs(zi) <= shrink, 0.0, -(zi - np.sign(zi) * shrink) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+            wi = np.where(np.abs(zi) <= shrink, 0.0, -(zi - np.sign(zi) * shrink) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(start + wi.sum(), -35, 35)))
             g = p - y
-            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * wi
+            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * wi
             n[at] = ni + g * g
-    live = np.abs(z) > L1
+    live = np.abs(z) > l1
     live[-1] = True
-    limit = np.full(DIMS + 1, L1)
+    limit = np.full(DIMS + 1, l1)
     limit[-1] = 0.0
-    w[live] = (-(z - np.sign(z) * limit) / ((BETA + np.sqrt(n)) / ALPHA + L2))[live]
+    w[live] = (-(z - np.sign(z) * limit) / ((beta + np.sqrt(n)) / alpha + l2))[live]
     return w[:-1].astype(np.float32), start + float(w[-1])
 
 
+#: What choose() chooses from: epochs, rates and penalties around the usual ones.
+GRID = [(epochs, alpha, l1, l2) for epochs in (2, 4, 8) for alpha in (0.1, 0.3, 1.0) for l1 in (1.0, 3.0, 9.0, 15.0, 25.0) for l2 in (0.5, 2.0)]
+
+
+def choose(rows: list[tuple[np.ndarray, int]], grid: list[tuple] = GRID, folds: int = 3) -> list[tuple[float, float, tuple]]:
+    """Settings (epochs, alpha, l1, l2) by cross-validation inside the rows given, best first: F1 at THRESHOLD and mean log loss over all folds. Row k is of fold k % folds."""
+    out = []
+    for epochs, alpha, l1, l2 in grid:
+        p = np.zeros(len(rows))
+        for k in range(folds):
+            weights, bias = fit([r for i, r in enumerate(rows) if i % folds != k], epochs=epochs, alpha=alpha, l1=l1, l2=l2)
+            for i in range(k, len(rows), folds):
+                p[i] = 1 / (1 + np.exp(-np.clip(bias + float(weights[rows[i][0]].sum(dtype=np.float64)), -35, 35)))
+        y = np.array([y for _, y in rows])
+        found = p >= THRESHOLD
+        f1 = 2 * (found & (y == 1)).sum() / max(found.sum() + y.sum(), 1)
+        held = np.clip(p, 1e-9, 1 - 1e-9)
+        out.append((float(f1), float(-(y * np.log(held) + (1 - y) * np.log(1 - held)).mean()), (epochs, alpha, l1, l2)))
+    return sorted(out, key=lambda r: (-r[0], r[1]))
+
+
 def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Fit on at most sample labelled documents outside the held-out quarter; rows with a null id, label or text don't count as labelled.
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = SAMPLE_FEATURES) -> list[tuple[np.ndarray, int]]:
+    """Features and labels of at most sample labelled documents outside the held-out quarter, in the order of their hashed ids.
 
-    A bounded fit: the sample is drawn by hashed id from all labelled rows; its hashed features, not the texts, come to the driver."""
-    small_batches(docs.sparkSession)
+    Rows with a null id, label or text don't count as labelled; of labels that contradict each other 1 counts; of texts that share an id
+    the one with the fewest features, then the smallest hash. The sample is drawn by hashed id from all labelled rows; hashed features,
+    not texts, come to the driver, at most so many as features says: a document that would go beyond is passed over whole."""
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).filter("_id IS NOT NULL AND _toxic IN (0, 1)").filter(~held_out("_id")).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     chosen = known.withColumn("_hash", F.xxhash64(F.lit(11), "_id")).orderBy("_hash", "_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).filter("text IS NOT NULL").select("_hash", "_id", "text", "_toxic")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Features()
         for b in batches:
-            packed = [maker.of(t)[:SAMPLE_FEATURES].astype(np.int32).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), b.column(3).cast(pa.int32())], ["_hash", "_id", "x", "y"])
+            packed = [maker.of(t).astype(np.int32).tobytes() for t in b.column(2).to_pylist()]
+            marks = [xxhash.xxh64_intdigest(x) >> 1 for x in packed]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(marks, pa.int64()), b.column(3).cast(pa.int32())], ["_hash", "_id", "x", "n", "mark", "y"])
+
+    found = stored(texts.mapInArrow(lean(made), "_hash long, _id long, x binary, n long, mark long, y int"), "toxicity-sample")
+    one = found.groupBy("_hash", "_id").agg(F.min(F.struct("n", "mark")).alias("m")).select("_hash", "_id", "m.*")
+    room, kept = features, []
+    for r in sorted(map(tuple, one.collect())):  # at most sample rows
+        if r[2] <= room:
+            kept.append(r)
+            room -= r[2]
+    if not kept:
+        return []
+    taken = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["_hash", "_id", "n", "mark"]))
+    rows = found.join(F.broadcast(taken), ["_hash", "_id", "n", "mark"]).select("_hash", "_id", "x", "y").toArrow()
+    x, y = rows.column("x"), rows.column("y").to_pylist()
+    order = {}
+    for i, key in enumerate(zip(rows.column("_hash").to_pylist(), rows.column("_id").to_pylist(), strict=True)):
+        order.setdefault(key, i)  # equal texts of an id
+    return [(np.frombuffer(x[i].as_buffer(), np.int32), y[i]) for _, i in sorted(order.items())]
 
-    found = texts.mapInArrow(lean(features), "_hash long, _id long, x binary, y int").toArrow().to_pylist()  # SAMPLE rows, more only where ids repeat
-    rows = sorted((r["_hash"], r["_id"], r["x"], r["y"]) for r in found)[: 2 * sample]
-    return fit([(np.frombuffer(x, np.int32), y) for _, _, x, y in rows])
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """Weights and bias fitted on a bounded sample of labelled documents (see sampled); no weights where it has no labels of both kinds."""
+    model = fit(sampled(docs, labels, sample))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, text: str = "text", prefix: str = "") -> DataFrame:
@@ -167,7 +212,7 @@ def unjudged(model: tuple[np.ndarray, float], text: str = "text") -> Column:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model fitted on their labels. A document is never predicted toxic by the bias alone: not without words, nor by a model without weights."""
+    """Scores of all documents by a model fitted on their labels. A null or empty text scores as the bias does; rows of a repeated or null doc_id each have a score (a null one isn't held out); very long texts are scored whole; an empty table gives no rows. A document is never predicted toxic by the bias alone: not without words, nor by a model without weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     predicted = F.when(unjudged(model), 0).otherwise(F.col("predicted")).alias("predicted")
