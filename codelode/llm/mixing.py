@@ -2,40 +2,56 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, literal_rows, own_names, stored, table
+from .common import literal_rows, own_names, stored, table
 
-#: Words of a block, and the most blocks of all sources together (more where there are more sources): their table is collected and broadcast.
+#: Words of a block, and the most blocks of all sources together (more where there are more sources).
 BLOCK_WORDS, MAX_BLOCKS = 4096, 131_072
 #: So many blocks on either side of the one in which a source's target falls may make up for what its rows miss, and more where that block is long.
 AROUND = 8
-#: A mix has at most so many sources: their totals are collected.
-MAX_SOURCES = 100_000
+#: Sources are dealt over so many families; the driver knows the families' blocks only, and a task deals those of a family's sources.
+FAMILIES = 1024
+#: Tables of so many rows at most are broadcast to the documents, larger ones are joined.
+BROADCAST = 200_000
+#: Sources that one task numbers, and words' takes of a slice of a shard.
+NUMBERED, SLICE_ROWS, MAX_SLICES = 100_000, 4096, 16_384
 #: No document is taken more often.
 MOST = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
+def level(total: float, sums: Callable[[float], tuple[float, float]]) -> float:
+    """The words that a weight of 1 gets, so that all sources get total together and none more than it has. sums(x): what sources have that x a weight would overfill, and the weight of the others.
+
+    The level rises from round to round, as the excess of full sources is reshared, until no further source is full; infinite if all are."""
+    now = -math.inf
+    while True:
+        full, weight = sums(now)
+        if weight <= 0:
+            return math.inf
+        after = (total - full) / weight
+        if after <= now:
+            return now
+        now = after
+
+
+def targets(sizes: list[float], weights: list[float], most: int = MOST) -> list[float]:
     """Words per source: all words shared by weight, no source above most times its size, the excess reshared by weight."""
-    left, total, out = set(range(len(sizes))), float(sum(sizes)), [0.0] * len(sizes)
-    while left:
-        weight = sum(weights[i] for i in sorted(left))
-        share = {i: total * weights[i] / weight for i in left}
-        full = {i for i in left if share[i] > most * sizes[i]}
-        if not full:
-            for i in left:
-                out[i] = share[i]
-            break
-        for i in sorted(full):
-            out[i] = float(most * sizes[i])
-            total -= out[i]
-        left -= full
-    return out
+    caps, weight = most * np.array(sizes, np.float64), np.array(weights, np.float64)
+
+    def sums(x: float) -> tuple[float, float]:
+        full = x * weight > caps
+        return float(caps[full].sum()), float(weight[~full].sum())
+
+    x = level(float(sum(sizes)), sums)
+    return np.where(x * weight > caps, caps, np.minimum(x, 1e300) * weight).tolist() if len(caps) else []
 
 
 def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -50,54 +66,47 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.vstack([split_quotas(here, low, rng), split_quotas(quotas - here, shards - low, rng)])
 
 
-def plan(blocks: dict[int, np.ndarray], goals: list[float], shards: int, seed: int) -> list[list]:
-    """blocks[s]: words of each block of source s. Rows: source, block, takes (whole passes of its rows), rest (further words to take from its rows), shards of the takes and last of the rest.
-
-    Blocks are random sets of rows, so their numbers are a random order. Each pass takes a source's blocks in that order until the target
-    is met; the block in which it is met gets the rest."""
-    taken: dict[tuple[int, int], list] = {}
-    draws: list[list[tuple[int, int]]] = [[] for _ in goals]
-    for s, words in blocks.items():
-        total, goal = int(words.sum()), round(goals[s])
-        passes, rest = divmod(goal, total) if total else (0, 0)
-        ends = words.cumsum()
-        whole = int(np.searchsorted(ends, rest, "right")) if rest else 0
-        for b in range(len(words)):
-            more = rest - int(ends[whole - 1] if whole else 0) if b == whole else 0
-            taken[s, b] = [s, b, passes + (b < whole), more, []]
-            draws[s] += [(s, b)] * (passes + (b < whole) + (more > 0))
-    rng = np.random.default_rng(seed)
-    dealt = split_quotas(np.array([len(x) for x in draws], np.int64), shards, rng)
-    for s, own in enumerate(draws):
-        order, at = rng.permutation(len(own)), 0
-        for shard, n in enumerate(dealt[:, s]):  # disjoint runs of the permuted blocks
-            for i in order[at : at + n]:
-                taken[own[i]][4].append(shard)
-            at += n
-    return list(taken.values())
-
-
-def around(blocks: dict[int, np.ndarray], rows: list[list]) -> list[list]:
-    """plan's rows, their dealt, and what _fill does with each: 0 (nothing), 1 (fit the rest), 2 (may give up rows of its last pass) or 3 (may add rows).
-
-    Beside the block with a source's rest lie those that may make up for what it misses: before it blocks taken once more than those after
-    it; on either side AROUND of them at least, and as many words as that block has. Rows that are added share the shard of the rest."""
-    where = {(s, b): i for i, (s, b, *_) in enumerate(rows)}
-    out = [[*r, 0] for r in rows]
-    for s, b, _, rest, dealt in rows:
-        if not rest:
-            continue
-        out[where[s, b]][5] = 1
-        for side, role in ((range(b - 1, -1, -1), 2), (range(b + 1, len(blocks[s])), 3)):
-            words = 0
+def plan(words: np.ndarray, goal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a source takes of its blocks, whose words are given: takes (whole passes of a block's rows), rest (further words to take from its rows), what _fill does with it, and how many shards it is dealt to.
+
+    Blocks are random sets of rows, so their numbers are a random order. Each pass takes the blocks in that order until the target is met;
+    the block in which it is met gets the rest (role 1). Beside it lie those that may make up for what its rows miss: before it blocks taken
+    once more (role 2, may give up rows) than those after it (role 3, may add rows, to the shard of the rest); on either side AROUND of them
+    at least, and as many words as that block has. The others have role 0."""
+    total = int(words.sum())
+    passes, rest = divmod(goal, total) if total else (0, 0)
+    ends = words.cumsum()
+    whole = int(np.searchsorted(ends, rest, "right")) if rest else 0
+    takes = np.full(len(words), passes, np.int64)
+    takes[:whole] += 1
+    more, role = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    if rest and whole < len(words):
+        more[whole] = rest - int(ends[whole - 1] if whole else 0)
+    draws = takes + (more > 0)
+    if more.any():
+        role[whole] = 1
+        for side, kind in ((range(whole - 1, -1, -1), 2), (range(whole + 1, len(words)), 3)):
+            near = 0
             for k, other in enumerate(side):
-                if k >= AROUND and words >= blocks[s][b]:
+                if k >= AROUND and near >= words[whole]:
                     break
-                words += int(blocks[s][other])
-                row = out[where[s, other]]
-                row[5] = role
-                if role == 3:
-                    row[4] = [*row[4], dealt[-1]]
+                near += int(words[other])
+                role[other] = kind
+    return takes, more, role, draws
+
+
+def deal(draws: list[np.ndarray], quotas: np.ndarray, rng: np.random.Generator) -> list[list[list[int]]]:
+    """The shards of each block of each source of a family, whose shards have quotas blocks together: for each source one multivariate hypergeometric draw from what the shards have left, then disjoint runs of its permuted blocks."""
+    left, out = quotas.copy(), []
+    for own in draws:
+        n = int(own.sum())
+        mine = rng.multivariate_hypergeometric(left, n, method="marginals") if n else np.zeros_like(left)
+        left = left - mine
+        flat = np.repeat(np.arange(len(own)), own)[rng.permutation(n)]
+        dealt: list[list[int]] = [[] for _ in own]
+        for block, shard in zip(flat.tolist(), np.repeat(np.arange(len(mine)), mine).tolist(), strict=True):
+            dealt[block].append(shard)
+        out.append(dealt)
     return out
 
 
@@ -144,61 +153,136 @@ def _fill(group: pa.Table) -> pa.Table:
     return group.drop_columns(["rest", "_role"]).append_column("_more", pa.array(picked.astype(np.int32) - start))
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources (_source) with _s, their place by code point from 0, null last. Ranges of them are numbered apart; the driver knows how many each has."""
+    parts = max(1, -(-sources.count() // NUMBERED))
+    cut = stored(sources.repartitionByRange(parts, F.col("_source").isNull(), "_source").withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    counts = dict(cut.groupBy("_range").count().collect())  # a row for each range
+    before = literal_rows(sources.sparkSession, [[r, sum(n for q, n in counts.items() if q < r)] for r in sorted(counts)], "_range int, _before bigint")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last("_source")))
+    return cut.withColumn("_s", inside - 1).join(F.broadcast(before), "_range").withColumn("_s", (F.col("_s") + F.col("_before")).cast("bigint")).drop("_range", "_before")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+_BLOCKS = "_s long, _block int, _family int, takes int, rest long, _role int, draws int"
+
+
+def _planned(blocks: DataFrame) -> DataFrame:
+    """Every block (_s, _block, words, _cut, target) with what its source takes of it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("_block")
+        words = np.zeros(rows.column("_cut")[0].as_py(), np.int64)
+        words[rows.column("_block").to_numpy()] = rows.column("words").to_numpy()
+        takes, rest, role, draws = plan(words, round(rows.column("target")[0].as_py()))
+        s = rows.column("_s")[0].as_py()
+        n = len(words)
+        columns = [np.full(n, s), np.arange(n), np.full(n, s % FAMILIES), takes, rest, role, draws]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
+
+    return stored(blocks.groupBy("_s").applyInArrow(run, _BLOCKS), "mix-plan")
+
+
+def _dealt(planned: DataFrame, shards: int, seed: int) -> DataFrame:
+    """planned with dealt, the shards of each block's takes and, last, of its rest."""
+    counts = dict(planned.groupBy("_family").agg(F.sum("draws")).collect())  # at most FAMILIES rows
+    families = sorted(counts)
+    quotas = dict(zip(families, split_quotas(np.array([counts[f] for f in families], np.int64), shards, np.random.default_rng(seed)).T, strict=True)) if families else {}
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("_s", "ascending"), ("_block", "ascending")])
+        family, s, draws = rows.column("_family")[0].as_py(), rows.column("_s").to_numpy(), rows.column("draws").to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        given = [x for own in deal(np.split(draws, cuts[1:]), quotas[family], np.random.default_rng([seed, family])) for x in own]
+        role, rest, at = rows.column("_role").to_numpy(), rows.column("rest").to_numpy(), np.searchsorted(cuts, np.arange(len(s)), "right") - 1
+        last = {int(at[i]): given[i][-1] for i in np.flatnonzero(rest > 0).tolist()}
+        given = [[*g, last[int(at[i])]] if role[i] == 3 else g for i, g in enumerate(given)]
+        return rows.append_column("dealt", pa.array(given, pa.list_(pa.int32())))
+
+    return stored(planned.groupBy("_family").applyInArrow(run, _BLOCKS + ", dealt array<int>"), "mix-dealt")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 64, seed: int = 29, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """key, size, source, source_size, target, takes (how often the mix has the document), shards (the output shard of each take).
+    """key, size, source, source_size, target, takes (how often the mix has the document), shards (the output shard of each take), slots (its place in that shard's random order, from 0).
 
     Size is the number of words of the text (null: 0). Sources in code point order, null last, get the weights in turn and share the words
-    of the whole table; none gets more than MOST times its own. The rows of a source fall into blocks by a hash of their key. From the
-    blocks' words, at most MAX_BLOCKS numbers and one a source, the driver sets how often each block is taken and, by the splitting tree,
-    the shard of each take. In the one block where a source's target falls, rows are fitted to the words missing, and rows of the blocks
-    around it make up for what that fit misses.
+    of the whole table; none gets more than MOST times its own. The rows of a source fall into blocks by a hash of their key. A task sets
+    how often each block of a source is taken; the splitting tree deals the blocks of families of sources over the shards, and a task those
+    of a family to its sources. In the one block where a source's target falls, rows are fitted to the words missing, and rows of the
+    blocks around it make up for what that fit misses. Last, each shard's takes are shuffled: a slot is a rank inside one of many slices of
+    a random key plus the slice's offset.
 
-    A source may hold most rows: no step gathers a source, only AROUND blocks on either side of one, and as many words as that one has. Rows equal in key and size may swap places. A null key
-    is a value like others; an empty table gives no rows. Reruns agree."""
+    Any number of sources can be mixed, and one may hold most rows: no step gathers a source, only AROUND blocks on either side of one, and
+    as many words as that one has. Rows equal in key and size may swap places. A null key is a value like others; an empty table gives no
+    rows; other columns are left out. Reruns agree."""
     spark = docs.sparkSession
     sized = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
-    slim = stored(sized.withColumn("_hash", F.xxhash64(F.lit(seed), "_key", "size")), "mix-sizes")
-    totals = slim.groupBy("_source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"the mix has more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    sizes = [int(r["words"]) for r in totals]
-    goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
-    step = max(BLOCK_WORDS, -(-sum(sizes) // MAX_BLOCKS))
-    cut = [max(1, -(-n // step)) for n in sizes]
-    names = literal_rows(spark, [[r[0], i, cut[i], sizes[i], goals[i]] for i, r in enumerate(totals)], "_name string, _s int, _cut bigint, source_size bigint, target double")
-    placed = slim.join(F.broadcast(names), F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_block", F.pmod("_hash", "_cut").cast("int"))
-    counted = placed.groupBy("_s", "_block").agg(F.sum("size").alias("words")).collect()  # at most MAX_BLOCKS + MAX_SOURCES rows
-    blocks = {i: np.zeros(n, np.int64) for i, n in enumerate(cut)}
-    for s, b, words in counted:
-        blocks[s][b] = words
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32())
-    found = around(blocks, plan(blocks, goals, shards, seed))
-    chosen = spark.createDataFrame(pa.table([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)], ["_s", "_block", "takes", "rest", "dealt", "_role"]))
-    planned = placed.join(F.broadcast(chosen), ["_s", "_block"])
-    columns = ["_key", "size", "_source", "_hash", "source_size", "target", "takes", "dealt"]
+    slim = stored(sized.withColumns({"_hash": F.xxhash64(F.lit(seed), "_key", "size"), "_row": F.monotonically_increasing_id()}), "mix-sizes")
+    sources = stored(_numbered(slim.groupBy("_source").agg(F.sum("size").alias("source_size"))).withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_s") % len(weights) + 1).cast("int"))), "mix-sources")
+    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    cap = MOST * F.col("source_size")
+
+    def sums(x: float) -> tuple[float, float]:
+        full = F.lit(x) * F.col("_weight") > cap
+        return tuple(float(v or 0) for v in sources.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("_weight")))).first())
+
+    x = level(float(total), sums)
+    step = max(BLOCK_WORDS, -(-total // MAX_BLOCKS))
+    goal = F.when(F.lit(x) * F.col("_weight") > cap, cap.cast("double")).otherwise(F.lit(min(x, 1e300)) * F.col("_weight"))
+    names = sources.select(F.col("_source").alias("_name"), "_s", F.greatest(F.lit(1), F.ceil(F.col("source_size") / step)).alias("_cut"), "source_size", goal.alias("target"))
+    placed = slim.join(_small(names), F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_block", F.pmod("_hash", "_cut").cast("int")).drop("_name")
+    blocks = placed.groupBy("_s", "_block").agg(F.sum("size").alias("words"), F.max("_cut").alias("_cut"), F.max("target").alias("target"))
+    chosen = _dealt(_planned(blocks), shards, seed).select("_s", "_block", "takes", "rest", "dealt", "_role")
+    planned = placed.join(_small(chosen), ["_s", "_block"])
+    columns = ["_key", "size", "_source", "_hash", "_row", "source_size", "target", "takes", "dealt"]
     whole = planned.filter("_role = 0").select(*columns, F.lit(0).alias("_more"))
     part = planned.filter("_role > 0").select("_s", *columns, "rest", "_role")
-    schema = "_s int, " + ", ".join(f"{c} {dict(part.dtypes)[c]}" for c in columns) + ", _more int"
+    schema = "_s long, " + ", ".join(f"{c} {dict(part.dtypes)[c]}" for c in columns) + ", _more int"
     fitted = part.groupBy("_s").applyInArrow(_fill, schema).select(*whole.columns)
-    both = whole.unionByName(fitted)
-    takes = F.col("takes") + F.col("_more")
-    return both.select(F.col("_key").alias(key), "size", F.col("_source").alias(source), "source_size", "target", takes.alias("takes"), let(takes, lambda n: F.slice("dealt", F.lit(1), n)).alias("shards"))
+    both = whole.unionByName(fitted).withColumn("takes", F.col("takes") + F.col("_more"))
+    both = stored(both.withColumn("shards", F.slice("dealt", F.lit(1), F.col("takes"))).drop("dealt", "_more"), "mix-takes")
+    slots = _shuffled(both.select("_row", "_hash", F.posexplode("shards").alias("_take", "_shard")), shards, seed)
+    shown = both.join(slots, "_row", "left")
+    return shown.select(F.col("_key").alias(key), "size", F.col("_source").alias(source), "source_size", "target", "takes", "shards", F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"))
+
+
+def _shuffled(taken: DataFrame, shards: int, seed: int) -> DataFrame:
+    """_row and slots, the place of each of its takes (_row, _hash, _take, _shard) in the random order of its shard."""
+    rows = taken.count()
+    slices = max(1, min(MAX_SLICES // shards, -(-rows // (shards * SLICE_ROWS))))
+    mixed = taken.withColumns({"_order": F.xxhash64(F.lit(seed + 1), "_hash", "_take"), "_slice": F.pmod(F.xxhash64(F.lit(seed + 2), "_hash", "_take"), F.lit(slices)).cast("int")})
+    before = Window.partitionBy("_shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = mixed.groupBy("_shard", "_slice").count().select("_shard", "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # at most MAX_SLICES rows
+    inside = mixed.withColumn("_rank", F.row_number().over(Window.partitionBy("_shard", "_slice").orderBy("_order", "_hash", "_take", "_row")) - 1)
+    placed = inside.join(F.broadcast(starts), ["_shard", "_slice"]).select("_row", F.struct("_take", (F.col("_start") + F.col("_rank")).cast("bigint").alias("slot")).alias("x"))
+    return placed.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["slot"]).alias("slots"))  # at most MOST takes a row
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows, each as often as the mix takes it, with _mix_shard and _mix_order; written by shard in that order, every shard is a uniform sample of the mix in random order.
+    """docs' rows, each as often as the mix takes it, with _mix_shard and _mix_slot, its place in the shard.
 
-    Rows that share a key share its decisions: of rows equal in key and size, each gets the first one's takes."""
+    Rows that share a key share its decisions: of rows equal in key and size, each gets the first one's takes, and so shares their slots.
+    Columns of docs whose names begin with _mix_ are replaced."""
     key = options.get("key", "doc_id")
-    docs = own_names(docs, "_mix_id", "_mix_size", "_mix_take", "_mix_shard", "_mix_order")
+    docs = own_names(docs, "_mix_id", "_mix_size", "_mix_words", "_mix_takes", "_mix_take", "_mix_shard", "_mix_slot")
     words = F.regexp_count(F.coalesce(options.get("text", "text"), F.lit("")), F.lit(WORD)).cast("bigint")
-    taken = mix(docs, **options).filter("takes > 0").groupBy(F.col(key).alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max("shards").alias("_mix_shard"))
+    taken = mix(docs, **options).filter("takes > 0").groupBy(F.col(key).alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max(F.arrays_zip("shards", "slots")).alias("_mix_takes"))
     both = docs.withColumn("_mix_words", words).join(taken, F.col(key).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")))
-    kept = both.select(*docs.columns, F.posexplode("_mix_shard").alias("_mix_take", "_shard"))
-    return kept.withColumn("_mix_order", F.xxhash64(F.lit(31), key, "_mix_take")).withColumnRenamed("_shard", "_mix_shard").drop("_mix_take")
+    kept = both.select(*docs.columns, F.explode("_mix_takes").alias("_mix_take"))
+    return kept.select(*docs.columns, F.col("_mix_take.shards").alias("_mix_shard"), F.col("_mix_take.slots").alias("_mix_slot"))
+
+
+def in_order(mixed: DataFrame, parts_per_shard: int = 1) -> DataFrame:
+    """mixed_rows' rows, dealt so that each output file holds one shard, or a run of its slots, in the shard's order."""
+    parts = 64 * parts_per_shard
+    return mixed.repartition(parts, "_mix_shard").sortWithinPartitions("_mix_shard", "_mix_slot")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """All documents mixed; shards and slots say where each take stands. A null text has no words and is never missed; rows of a null or repeated doc_id each have their own takes; very long texts are counted whole; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("takes")).alias("taken"), "shards")
+    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("takes")).alias("taken"), "shards", "slots")
