@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, own_names
+from .common import let, own_names, table
 
 #: Tokens of a k-mer and of the inner substrings compared in it: a quarter of all k-mers are closed syncmers.
 K, S = 9, 2
 #: A token: up to 16 letters, digits or marks, or up to 16 other characters that aren't white space.
 TOKEN = r"[\p{L}\p{N}\p{M}]{1,16}|[^\p{L}\p{N}\p{M}\s]{1,16}"
-#: Rows of a bucket of neighbouring ids, and the most buckets: their heads (16 bytes each) are broadcast.
-BUCKET_ROWS, MAX_BUCKETS = 64, 65_536
+#: Rows of a bucket of neighbouring ids, and the most buckets: their heads (28 bytes each) are broadcast. Beyond 64 million rows buckets hold more rows, which their tasks sort on disk.
+BUCKET_ROWS, MAX_BUCKETS = 64, 1 << 20
 QUANTILES = 64
 
 
@@ -59,36 +59,47 @@ def with_next(df: DataFrame, add: dict[str, Column], lead: list[str]) -> DataFra
 
     The texts move once: ids are cut into buckets of neighbours by quantiles (and evenly within), and the head of each bucket, a row of a
     table of at most MAX_BUCKETS, is also sent to the bucket above as the one that follows its last row. Rows of equal doc_id are ordered by
-    a hash of lead's columns. A single row follows itself."""
-    spark = df.sparkSession
+    a hash of lead's columns; those without an id, and of an id that falls on a quantile, are cut into buckets by that hash, so such rows are
+    no bucket of their own unless they are equal in all of these columns. A single row follows itself. Columns of df called _bucket, _hash,
+    _head, _least, _above, _to or _ghost are left out."""
+    df = own_names(df, "_bucket", "_hash", "_head", "_least", "_above", "_to", "_ghost")
+    order_by = F.xxhash64(*[c for c in lead if c in df.columns])
     bounds, rows = df.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)]), F.lit(10_000)), F.count("*")).first()  # QUANTILES + 1 ids
     cuts = sorted(set(bounds or [0]))
-    steps = max(1, min(MAX_BUCKETS // QUANTILES, -(-rows // (BUCKET_ROWS * len(cuts)))))
+    steps = max(1, min(MAX_BUCKETS // (2 * len(cuts) + 1), -(-rows // (BUCKET_ROWS * len(cuts)))))
     known = F.array(*[F.lit(x).cast("bigint") for x in cuts])
+    doc_id = F.col("doc_id")
 
-    def place(i: Column) -> Column:
-        low, high = F.element_at(known, i), F.element_at(known, F.least(i + 1, F.lit(len(cuts))))
-        share = (F.col("doc_id").cast("double") - low.cast("double")) / F.greatest(high.cast("double") - low.cast("double"), F.lit(1.0))
-        return i * steps + F.least(F.greatest(F.floor(share * steps), F.lit(0)), F.lit(steps - 1)).cast("int")
+    def among(share: Column) -> Column:
+        return F.least(F.greatest(F.floor(share * steps), F.lit(0)), F.lit(steps - 1)).cast("int")
+
+    def by_hash() -> Column:  # a greater hash follows later, so it is below
+        return among(F.lit(0.5) - F.col("_hash").cast("double") / F.lit(2.0**64))
 
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(let(F.greatest(F.size(F.filter(known, lambda c: c <= F.col("doc_id"))), F.lit(1)), place))
-    placed = df.withColumn("_bucket", bucket)
-    heads = placed.groupBy("_bucket").agg(F.max("doc_id").alias("_head"))
+    def place(i: Column) -> Column:
+        low, high = F.element_at(known, F.greatest(i, F.lit(1))), F.element_at(known, F.least(i + 1, F.lit(len(cuts))))
+        share = (doc_id.cast("double") - low.cast("double")) / F.greatest(high.cast("double") - low.cast("double"), F.lit(1.0))
+        return F.when((i > 0) & (doc_id == low), (2 * i - 1) * steps + by_hash()).otherwise(2 * i * steps + among(share))
+
+    # ranges from below: null ids, then those at each cut and those between it and the next
+    cut = F.array_contains(known, doc_id)
+    hashed = df.withColumn("_hash", F.when(doc_id.isNull() | cut, order_by).otherwise(F.lit(0)))
+    bucket = F.when(doc_id.isNull(), by_hash() - steps).otherwise(let(F.size(F.filter(known, lambda c: c <= doc_id)), place))
+    placed = hashed.withColumn("_bucket", bucket.cast("int"))
+    heads = placed.groupBy("_bucket").agg(F.max("doc_id").alias("_head"), F.min("_hash").alias("_least"))
     ordered = Window.orderBy("_bucket")  # over at most MAX_BUCKETS rows
-    heads = heads.select("_bucket", "_head", F.coalesce(F.lead("_bucket").over(ordered), F.min("_bucket").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_above"))
-    marked = placed.join(F.broadcast(heads), "_bucket").withColumn("_head", F.col("_head").eqNullSafe(F.col("doc_id")))
+    heads = heads.select("_bucket", "_head", "_least", F.coalesce(F.lead("_bucket").over(ordered), F.min("_bucket").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_above"))
+    marked = placed.join(F.broadcast(heads), "_bucket").withColumn("_head", F.col("_head").eqNullSafe(doc_id) & (F.col("_hash") == F.col("_least")))
     here = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("ghost"))
     sent = marked.withColumn("_to", F.explode(F.when(F.col("_head"), F.array(here, F.struct(F.col("_above").alias("b"), F.lit(True).alias("ghost")))).otherwise(F.array(here))))
     near = sent.select(*df.columns, F.col("_to.b").alias("_bucket"), F.col("_to.ghost").alias("_ghost")).repartition("_bucket").withColumns(add)
-    order = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64(*lead))
+    order = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), order_by)
     return near.withColumns({f"next_{c}": F.lead(c).over(order) for c in lead}).filter(~F.col("_ghost")).drop("_bucket", "_ghost")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of documents and of their edited texts. A null text counts as empty; rows of a repeated doc_id each keep their own row."""
-    from .common import table
-
-    docs = (table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    """Fingerprints of documents and of their edited texts. A null text counts as empty; rows of a repeated or null doc_id each keep their own row, ordered by a hash of their texts; very long texts are taken whole; an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     paired = with_next(docs, {"anchors": anchors(F.col("text"))}, ["text", "anchors"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
