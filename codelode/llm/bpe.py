@@ -18,8 +18,8 @@ from . import files
 from .common import lean, scratch, small_batches, stored, table
 from .transducer import Lexicon, compile_lexicon
 
-#: Words of the lexicon, and words that a task counts or remembers at a time.
-LEXICON_WORDS, KEPT = 65_536, 300_000
+#: Words of the lexicon, words that a task counts at a time, and words whose ids it remembers; when these are too many, those outside the lexicon are forgotten.
+LEXICON_WORDS, COUNTED, KEPT = 65_536, 150_000, 150_000
 #: Fixed values of the tokenizer file: its split pattern, and the strings that are tokens wherever they stand.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: In texts of these characters alone, normalising is lower-casing and a split by plain sets of them is the same; others take the library's own normaliser.
@@ -53,7 +53,7 @@ class Words:
 def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
     """The most frequent words of all texts, at most most of them: all that are as frequent as the rarest one taken (to an eighth of a power of two).
 
-    Tasks count in batches of at most KEPT different words. The driver gets a histogram of a few hundred frequencies, and then the words
+    Tasks count in batches of at most COUNTED different words. The driver gets a histogram of a few hundred frequencies, and then the words
     above the one at which they would be too many, whatever the number of tasks."""
     small_batches(docs.sparkSession)
 
@@ -64,7 +64,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", most: in
             for t in batch.column(0).to_pylist():
                 for segment in words.parts(t or "")[::2]:
                     seen.update(words.of(segment))
-                if len(seen) > KEPT:
+                if len(seen) > COUNTED:
                     yield give()
                     seen.clear()
         yield give()
@@ -81,9 +81,10 @@ def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", most: in
 
 
 class Encoder(dict):
-    """Words to ids: by the lexicon, else by the merges of the tokenizer's own model. The dictionary remembers lately found words."""
+    """Words to ids: by the lexicon, else by the merges of the tokenizer's own model. The dictionary remembers lately found words, and all found in the lexicon."""
 
     def __init__(self, lexicon: str, tokenizer: str):
+        self.frequent: dict[str, tuple[int, str, str]] = {}
         self.words = Words(tokenizer)
         self.model = self.words.tokenizer.model
         self.lexicon = Lexicon(files.mapped(lexicon))
@@ -91,18 +92,16 @@ class Encoder(dict):
         self.spelling = [self.words.tokenizer.id_to_token(i) for i in range(self.words.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.symbols = byte_symbols()
 
-    def ids(self, word: str) -> list[int]:
-        k = self.lexicon.get(word.encode())
-        if k >= 0:
-            return self._ids[self._at[k] : self._at[k + 1]].tolist()
-        return merge(self.model, self.symbols, word)
-
     def __missing__(self, word: str) -> tuple[int, str, str]:
         """How many ids, the ids in decimal, and their tokens, each joined by a space."""
         if len(self) >= KEPT:
             self.clear()
-        own = self.ids(word)
+            self.update(self.frequent)
+        k = self.lexicon.get(word.encode())
+        own = self._ids[self._at[k] : self._at[k + 1]].tolist() if k >= 0 else merge(self.model, self.symbols, word)
         out = self[word] = (len(own), " ".join(map(str, own)), " ".join(self.spelling[i] for i in own))
+        if k >= 0:
+            self.frequent[word] = out
         return out
 
     def text(self, text: str) -> tuple[int, str, str]:
