@@ -10,8 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tasks for each core of the cluster that write a step: more would make many small files and run no sooner.
-WAVES = 4
 #: Bytes of a row group of a published table: a lookup reads those whose range holds its key.
 ROW_GROUP = 4 << 20
 _folders: dict[str, str] = {}
@@ -62,9 +60,12 @@ def discard(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends here, and a lost executor costs no step before it. At most WAVES tasks a core write, each one partition after another."""
+    """df written to the shared folder and read back: lineage ends here, and a lost executor costs no step before it.
+
+    A task for each core, or for two shuffle partitions where these are more, writes at most, each one partition after another: small steps don't become very many tiny files."""
     path, schema = scratch(df.sparkSession, name), df.schema
-    df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    spark = df.sparkSession
+    df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)).write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
