@@ -47,15 +47,16 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
-#: Tasks for each core of the cluster that write a step: more would make many small files and run no sooner.
-WAVES = 2
+def writers(spark: SparkSession) -> int:
+    """Tasks that write a step at most: one for each core, or for two shuffle partitions where these are more. Other than a task a partition, small steps don't become thousands of tiny files, and tasks grow with the cores or with what spark.sql.shuffle.partitions is set to, not with the data."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
 
 
 def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: it is computed once, and survives the loss of any executor. At most so many tasks write, each one partition after another."""
+    """Write df to the shared folder and read it back: it is computed once, and survives the loss of any executor. At most so many tasks write (see writers), each one partition after another."""
     path = scratch(df.sparkSession, name)
     schema = df.schema
-    df.coalesce(tasks or WAVES * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    df.coalesce(tasks or writers(df.sparkSession)).write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

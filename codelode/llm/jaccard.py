@@ -372,14 +372,15 @@ def maybe_among(docs: DataFrame, ids: DataFrame, key: str = "doc_id", hit: str =
 
 
 def _qualifying(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b, block) of groups whose unions share enough tokens for a link of their smallest members: neither group is opened for the others.
+    """Those pairs (a, b, block) of groups whose unions share enough tokens for a link of their smallest members: neither group is opened for the others. A block of a has about OPEN_BLOCK partners.
 
     Only unions of groups in pairs are read. They are shuffled to the pairs once for b, whose groups are in few pairs; those of a, which
     may be in very many, are joined where the pairs then are."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("grp"))
     unions = maybe_among(texts.filter("bits IS NOT NULL").select("grp", "lo", "size", "bits"), ids, "grp").filter("_hit").drop("_hit")
     side = lambda s: unions.select(F.col("grp").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("lo", "size", "bits")])
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    partners = F.count("*").over(Window.partitionBy("a"))
+    both = pairs.join(side("b"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(partners / OPEN_BLOCK)).cast("int")).join(side("a"), "a")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,9 +402,7 @@ def _links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, n: int, num: int
     those of b once for a pair. A task holds the sets of a; each set of b is bounded by what it shares with the union of a's tokens before
     it is compared with a's members."""
     spark = docs.sparkSession
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / OPEN_BLOCK).cast("int").alias("blocks"))
-    blocked = pairs.join(own_exchange(blocks, "a"), "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks")
-    dealt = stored(_qualifying(blocked, texts, num, den), "qualifying")
+    dealt = stored(_qualifying(pairs, texts, num, den), "qualifying")
     sides = dealt.select("a", "block").distinct().select("a", "block", F.col("a").alias("grp"), F.lit(0).alias("side")).union(dealt.select("a", "block", F.col("b").alias("grp"), F.lit(1)))
     wanted = stored(texts.select("grp", "doc_id").join(sides, "grp"), "opened-texts")
     fetched = maybe_among(docs, wanted.select("doc_id")).filter("_hit").drop("_hit").join(wanted, "doc_id")
@@ -462,9 +461,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     both = _groups(docs, signed, n, num, den)
     texts = both.filter("token IS NULL").select("doc_id", "n", "h1", "h2", "grp", "lo", "size", "bits")
     members = marks.filter("n > 0 AND doc_id IS NOT NULL").join(texts.select("n", "h1", "h2", "grp"), ["n", "h1", "h2"]).select("doc_id", "grp")
-    several = marks.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("doc_id")
+    several = marks.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("doc_id")  # ids of different texts
     again = members.join(several, "doc_id")
     again = again.join(again.groupBy("doc_id").agg(F.min("grp").alias("b")), "doc_id").select(F.col("grp").alias("a"), "b")
+    repeated = not several.isEmpty()
 
     entries = both.filter("token IS NOT NULL").select("token", "grp", "lo", "hi", "rest", "short")
     early = F.floor((F.col("lo") - F.col("rest")) * 20 / F.col("lo")) + 1024  # twentieths of the smallest member before the token; below 0 for a larger one
@@ -473,9 +473,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     shared = stored(entries.join(own_exchange(leads, "token"), "token").select("token", "grp", "lo", "hi", "rest", "short", (place == F.col("lead")).alias("leads")), "shared-tokens")
     x, y = shared.filter("leads").alias("x"), shared.filter("NOT leads").alias("y")
     stars = stored(x.join(y, "token").filter(_could("x", "y", num, den)).select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).filter("a <> b").distinct(), "stars")
-    edges = stored(again.union(_links(docs, texts, stars, n, num, den)), "links")
+    edges = _links(docs, texts, stars, n, num, den)
+    edges = stored(again.union(edges) if repeated else edges, "links")
 
-    placed = shared.join(components(edges), F.col("grp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "grp")).drop("node", "component", "leads")
+    placed = shared.join(components(edges, written=True), F.col("grp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "grp")).drop("node", "component", "leads")
     apart = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
     placed = stored(placed.join(own_exchange(apart, "token"), "token"), "tokens-apart")
     parts = placed.groupBy("token", "comp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), F.max("short").alias("short"))
@@ -486,7 +487,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     pairs = met.join(x, ["token", "comp"]).join(y, ["token", "other"]).filter(_could("x", "y", num, den)).select(F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    found = components(edges.union(_links(docs, texts, pairs, n, num, den)))
+    found = components(edges, written=True) if pairs.isEmpty() else components(edges.union(_links(docs, texts, pairs, n, num, den)))
 
     ends = members.join(found, F.col("grp") == F.col("node"), "left").select("doc_id", F.coalesce("component", "grp").alias("comp"))
     least = ends.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).filter("k > 1").drop("k")
