@@ -1,4 +1,4 @@
-"""Token counts by finite-state transducers: one cuts texts into words, one maps words to how many tokens they emit."""
+"""Token counts by finite-state transducers: a word splitter whose transitions emit the tokens of the words that begin there, run over chunks from every state and composed by a prefix scan, and a lexicon from words to how many tokens they are."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from .bpe import Words, byte_symbols, vocabulary
 from .common import lean, scratch, small_batches, table
 from .transducer import Lexicon, compile_lexicon
 
-#: Characters of a chunk: all chunks of a batch advance together.
+#: Characters of a chunk: all chunks of a batch advance together. A text begins a chunk of its own.
 CHUNK = 512
 #: Words whose counts a task remembers at a time.
 KEPT = 200_000
@@ -89,60 +89,125 @@ def character_classes(tokenizer: Tokenizer) -> np.ndarray:
     return out
 
 
-def boundaries(kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """Where words begin in a sequence of classes whose last is END; an END is a word of its own.
-
-    Each chunk is first run from every state at once, giving the map from its start state to its end state; a parallel prefix scan composes
-    the maps, and so gives each chunk's true start state; then all chunks emit their boundaries together."""
-    nxt, out = splitter()
-    flat = nxt.ravel()
-    n = len(kinds)
-    lanes = -(-n // chunk)
-    steps = np.full(lanes * chunk, END, np.intp)
-    steps[:n] = kinds
-    steps = np.ascontiguousarray(steps.reshape(lanes, chunk).T)
-    now = np.broadcast_to(np.arange(STATES, dtype=np.intp), (lanes, STATES))
-    for j in range(chunk):
-        now = flat[now * CLASSES + steps[j][:, None]]
-        if now.shape[1] > 1 and j % 8 == 7 and (now == now[:, :1]).all():
-            now = now[:, :1]  # whatever the start, the state is the same
-    maps = np.array(np.broadcast_to(now, (lanes, STATES)))
-    step = 1
-    while step < lanes:
-        maps[step:] = np.take_along_axis(maps[step:], maps[:-step].copy(), 1)
-        step *= 2
-    state = np.concatenate([[FRESH], maps[:-1, FRESH]]).astype(np.intp)
-    bits = np.empty((chunk, lanes), np.uint8)
-    emitted = out.ravel()
-    for j in range(chunk):
-        at = state * CLASSES + steps[j]
-        bits[j] = emitted[at]
-        state = flat[at]
-    line = np.ascontiguousarray(bits.T).ravel()[:n]
-    begins = (line & HERE) > 0
-    begins[:-1] |= (line[1:] & BEFORE) > 0
-    return np.flatnonzero(begins)
-
-
-class Counter:
-    """Counts tokens of whole texts."""
+class Chunks:
+    """Chunks of segments as maps: what each does from each state it may begin in.
+
+    kinds: the classes of all characters, the last of each segment an END; ends: where those are. to[l, s] is the state in which chunk l
+    ends if it begins in s. Paths from different states soon meet: from step head on there is one path a chunk, and its words are common
+    to all states; words that begin before belong to one state each. A word reaches to the next that begins, which may lie in a later
+    chunk. Words are given as (chunk, begin, end), and those of one state with their state; the word of an END is left out."""
+
+    def __init__(self, kinds: np.ndarray, ends: np.ndarray, chunk: int = CHUNK):
+        nxt, out = splitter()
+        flat, emitted = nxt.ravel(), out.ravel()
+        first = np.concatenate([[0], ends[:-1] + 1])
+        lanes_of = -(-(ends + 1 - first) // chunk)
+        self.last = lanes_of.cumsum() - 1  # the last chunk of each segment
+        lanes = int(lanes_of.sum())
+        within = np.arange(lanes) - np.repeat(self.last + 1 - lanes_of, lanes_of)
+        start = np.repeat(first, lanes_of) + within * chunk
+        length = np.minimum(chunk, np.repeat(ends + 1, lanes_of) - start)
+        steps = np.full((lanes, chunk), END, np.intp)
+        inside = np.arange(chunk) < length[:, None]
+        steps[inside] = kinds
+        steps = np.ascontiguousarray(steps.T)
+        now = np.broadcast_to(np.arange(STATES, dtype=np.intp), (lanes, STATES))
+        heads, tails = [], []
+        for j in range(chunk):
+            at = now * CLASSES + steps[j][:, None]
+            (heads if now.shape[1] > 1 else tails).append(emitted[at])
+            now = flat[at]
+            if now.shape[1] > 1 and (j % 4 == 3 or j == chunk - 1) and (now == now[:, :1]).all():
+                now = now[:, :1]  # whatever the start, the state is the same
+        self.to = np.array(np.broadcast_to(now, (lanes, STATES)))
+        head = len(heads)
+        # where words begin: chunk, state and place of the heads, chunk and place of what is common
+        lane, state, place = self._begins(np.array(heads).transpose(1, 2, 0), start, 0, length)
+        if tails:
+            tail_lane, _, tail_place = self._begins(np.array(tails).transpose(1, 2, 0), start, head, length)
+        else:
+            tail_lane = tail_place = np.zeros(0, np.int64)
+        # the first word of each chunk by state, that of a later chunk where it has none
+        opens = np.full((lanes, STATES), -1, np.int64)
+        if len(tail_lane):
+            firsts = np.flatnonzero(np.concatenate([[True], tail_lane[1:] != tail_lane[:-1]]))
+            opens[tail_lane[firsts]] = tail_place[firsts][:, None]
+        common = opens[:, 0].copy() if head else np.full(lanes, -1, np.int64)
+        if len(lane):
+            firsts = np.flatnonzero(np.concatenate([[True], (lane[1:] != lane[:-1]) | (state[1:] != state[:-1])]))
+            opens[lane[firsts], state[firsts]] = place[firsts]
+        for l in np.flatnonzero((opens < 0).any(1))[::-1].tolist():
+            if l + 1 < lanes:
+                none = opens[l] < 0
+                opens[l, none] = opens[l + 1, self.to[l, none]]
+        whole = len(kinds)
+        after = np.full((lanes, STATES), whole, np.int64)  # where the first word behind the chunk begins
+        after[:-1] = np.take_along_axis(opens[1:], self.to[:-1], 1)
+        after[after < 0] = whole
+        end = np.append(tail_place[1:], whole)
+        if len(tail_lane):
+            closing = np.append(tail_lane[1:] != tail_lane[:-1], True)
+            end[closing] = after[tail_lane[closing], 0]
+        self.common = self._words(tail_lane, tail_place, end, ends)[0]
+        end = np.append(place[1:], whole)
+        if len(lane):
+            closing = np.append((lane[1:] != lane[:-1]) | (state[1:] != state[:-1]), True)
+            end[closing] = np.where(common[lane[closing]] >= 0, common[lane[closing]], after[lane[closing], state[closing]])
+        self.own, kept = self._words(lane, place, end, ends)
+        self.own_state = state[kept]
+
+    @staticmethod
+    def _begins(bits: np.ndarray, start: np.ndarray, head: int, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk, state and place of the words that begin in steps from head on, in that order; what lies behind a chunk's own characters is left out. bits: by chunk, state and step."""
+        bits = np.where((np.arange(bits.shape[2]) + head < length[:, None])[:, None, :], bits, 0)
+        cells = [np.nonzero(bits & bit) for bit in (HERE, BEFORE)]
+        lane, state, step = (np.concatenate([c[k] for c in cells]) for k in range(3))
+        place = start[lane] + head + step - np.repeat([0, 1], [len(c[0]) for c in cells])
+        order = np.lexsort((place, state, lane))
+        return lane[order], state[order], place[order]
+
+    @staticmethod
+    def _words(lane: np.ndarray, begin: np.ndarray, end: np.ndarray, ends: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        kept = ~np.isin(begin, ends)
+        return (lane[kept], begin[kept], end[kept]), kept
+
+    def totals(self, common: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The tokens of each segment. common, own: tokens of the words.
+
+        Each chunk becomes a map from the state it begins in to its last state and the tokens it emits. A parallel prefix scan composes the
+        maps, adding tokens along the way; from the state in which a text begins, a segment has what its last chunk's composition emits
+        beyond that of the segment before."""
+        lanes = len(self.to)
+        emit = np.zeros((lanes, STATES), np.int64)
+        np.add.at(emit, (self.own[0], self.own_state), own)
+        emit += np.bincount(self.common[0], common, lanes).astype(np.int64)[:, None]
+        to, step = self.to.copy(), 1
+        while step < lanes:
+            emit[step:] = emit[:-step] + np.take_along_axis(emit[step:], to[:-step], 1)
+            to[step:] = np.take_along_axis(to[step:], to[:-step].copy(), 1)
+            step *= 2
+        return np.diff(emit[self.last, FRESH], prepend=0)
+
+
+class Counter(dict):
+    """Counts tokens of whole texts. The dictionary remembers those of lately found words."""
 
     def __init__(self, compiled: str, tokenizer: str):
+        super().__init__()
         self.words = Words(tokenizer)
         self.model, self.symbols = self.words.tokenizer.model, byte_symbols()
         self.lexicon = Lexicon(files.mapped(compiled))
         self.kinds = self.lexicon.arrays["kinds"].astype(np.uint8)
-        self.known: dict[str, int] = {}
 
-    def word(self, word: str) -> int:
+    def __missing__(self, word: str) -> int:
         """Tokens of a word: by the transducer, else by the model's merges."""
         raw = word.encode()
         n = self.lexicon.get(raw)
         if n < 0:
             n = len(self.model.tokenize("".join([self.symbols[b] for b in raw])))
-        if len(self.known) >= KEPT:
-            self.known.clear()
-        self.known[word] = n
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = n
         return n
 
     def texts(self, texts: list[str]) -> list[int]:
@@ -159,13 +224,18 @@ class Counter:
         kinds = self.kinds[np.frombuffer(line.encode("utf-32-le"), np.uint32)]
         ends = np.cumsum([len(s) + 1 for s in segments]) - 1
         kinds[ends] = END
-        begins = boundaries(kinds)
-        known, word = self.known, self.word
-        at = begins.tolist()
-        counts = np.array([known[w] if w in known else word(w) for w in map(line.__getitem__, map(slice, at, [*at[1:], len(line)]))], np.int64)
-        counts[np.isin(begins, ends, assume_unique=True)] = 0
-        total = np.concatenate([[0], counts.cumsum()])[np.searchsorted(begins, ends)]
-        return (np.bincount(owner, np.diff(total, prepend=0), len(texts)).astype(np.int64) + special).tolist()
+        chunks = Chunks(kinds, ends)
+        total = chunks.totals(self.emitted(line, *chunks.common[1:]), self.emitted(line, *chunks.own[1:]))
+        return (np.bincount(owner, total, len(texts)).astype(np.int64) + special).tolist()
+
+    def emitted(self, line: str, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The tokens of the words between places of a line."""
+        where = None
+        if len(begins) and (np.diff(begins) <= 0).any():  # paths from several states have words in common
+            pairs, where = np.unique(begins << 32 | ends, return_inverse=True)
+            begins, ends = pairs >> 32, pairs & 0xFFFFFFFF
+        found = np.fromiter(map(self.__getitem__, map(line.__getitem__, map(slice, begins.tolist(), ends.tolist()))), np.int64, len(begins))
+        return found if where is None else found[where]
 
 
 def compile_counter(spark: SparkSession, tokenizer: str) -> str:
