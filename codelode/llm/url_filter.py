@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import ascii_lower, own_names, scratch, table
+from .common import ascii_lower, scratch, table
 
 #: The rules of the registered query: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -94,10 +94,10 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url
 
     A rule fits its host and all subdomains if the URL's path starts with the rule's. The longest fitting rule (host and path together,
     then host) wins; without one, rule is null and verdict is DEFAULT. A URL that is null or has no :// has an empty host and path, which
-    no rule fits. Columns of df with these names are replaced; an empty df gives no rows. Nothing is shuffled: each row is judged where it
+    no rule fits. Columns of df with these names, and _judged, are replaced; an empty df gives no rows. Nothing is shuffled: each row is judged where it
     is read, and the digest file, in the shared folder, is mapped by each worker."""
     files.publish(name := f"{scratch(df.sparkSession, 'url-rules')}/digests", compile_rules(rules))
-    df = df.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    host, path = host_of(F.col(url)), path_of(F.col(url))
 
     @F.pandas_udf("rule string, verdict string")
     def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -106,11 +106,13 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url
             rule, verdict = known.judge(hosts.tolist(), paths.tolist())
             yield pd.DataFrame({"rule": pd.Series(rule, dtype=object), "verdict": verdict})
 
-    out = own_names(df, "host", "path", "rule", "verdict", "_judged").withColumn("_judged", judged("_host", "_path"))
-    return out.withColumns({"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_host", "_path", "_judged")
+    own = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict", "_judged")]
+    out = df.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"), judged(host, path).alias("_judged"))
+    return out.select("*", F.col("_judged.rule").alias("rule"), F.col("_judged.verdict").alias("verdict")).drop("_judged")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url; awkward urls as judge_urls has them, an empty table gives no rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
