@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,11 +104,43 @@ def test_op3(spark):
     sizes = [sum(n for s, n in source.values() if s == name) for name in names]
     goals = dict(zip(names, mixing.targets(sizes, [1 + i % 3 for i in range(len(names))])))
     taken = dict.fromkeys(names, 0)
-    for doc, size, source_size, target, words, shards in rows:
+    places: dict[int, list[int]] = {}
+    for doc, size, source_size, target, words, shards, slots in rows:
+        for shard, slot in zip(shards, slots, strict=True):
+            places.setdefault(shard, []).append(slot)
         name = source[doc][0]
         assert source_size == sizes[names.index(name)] and target == pytest.approx(goals[name]) and words in (0, size, 2 * size, 3 * size) and len(shards) * size == words
         taken[name] += words
     assert all(abs(taken[n] - goals[n]) <= 0.02 * goals[n] + 5 for n in names)
+    assert all(sorted(s) == list(range(len(s))) for s in places.values())  # a gapless order in each shard
+
+
+def test_any_number_of_sources_can_be_mixed(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NUMBERED", 40)
+    monkeypatch.setattr(mixing, "FAMILIES", 7)
+    monkeypatch.setattr(mixing, "BROADCAST", 10)
+    pick = random.Random(4)
+    rows = [(i, f"s{i % 150:03d}", "w " * pick.randint(0, 30)) for i in range(1500)] + [(5000 + i, None, "w " * 9) for i in range(20)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), shards=5).collect()
+    names = [*sorted({s for _, s, _ in rows if s is not None}), None]
+    sizes = [sum(len(t.split()) for _, s, t in rows if s == name) for name in names]
+    goals = dict(zip(names, mixing.targets(sizes, [1 + i % 3 for i in range(len(names))])))
+    taken = dict.fromkeys(names, 0)
+    for r in out:
+        assert r["target"] == pytest.approx(goals[r["source"]]) and len(r["shards"]) == len(r["slots"]) == r["takes"] and all(0 <= x < 5 for x in r["shards"])
+        taken[r["source"]] += r["size"] * r["takes"]
+    assert len(out) == len(rows) and all(abs(taken[n] - goals[n]) <= 15 for n in names)
+
+
+def test_mixed_rows_stand_in_their_shards_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", "w " * (i % 17)) for i in range(600)], "doc_id long, source string, text string")
+    mixing.in_order(mixing.mixed_rows(docs)).write.parquet(f"file://{tmp_path}/mixed")
+    for part in tmp_path.glob("mixed/*.parquet"):
+        rows = pq.read_table(part).to_pylist()
+        order = [(r["_mix_shard"], r["_mix_slot"]) for r in rows]
+        assert order == sorted(order)
+    got = spark.read.parquet(f"file://{tmp_path}/mixed")
+    assert got.select("_mix_shard", "_mix_slot").distinct().count() == got.count()
 
 
 def test_a_long_document_does_not_miss_the_target(spark):
@@ -137,7 +170,7 @@ def test_mixing_awkward_rows(spark, docs, empty):
     out = mixing.mix(docs).collect()
     assert len(out) == docs.count() and all(0 <= r["takes"] <= 3 and len(r["shards"]) == r["takes"] for r in out)
     rows = mixing.mixed_rows(docs)
-    assert {"shard", "takes", "_mix_shard", "_mix_order"} <= set(rows.columns)
+    assert {"shard", "takes", "_mix_shard", "_mix_slot"} <= set(rows.columns)
     assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
 
 
@@ -261,6 +294,45 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, n, num, rows_hot,
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got) == by_all_pairs(rows, n, num, 100)
 
 
+def test_op7_is_that_of_all_pairs(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{oracle.SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(tuple(r) for r in QUERIES["op7_jaccard_groups"](spark, oracle.SF).collect())
+    assert got == by_all_pairs(rows, 4, 85, 100)
+
+
+def test_large_groups_and_common_lines(spark, monkeypatch):
+    """One line in every row, a third of all rows one text, a sixth near copies of another, and rows that are little but a common passage."""
+    monkeypatch.setattr(jaccard, "OPEN_BLOCK", 4)
+    pick = random.Random(12)
+    line = " ".join(f"line{i}" for i in range(12))
+    passage = " ".join(f"p{i}" for i in range(40))
+    unique = lambda n: " ".join(f"u{pick.randint(0, 10**9)}" for _ in range(n))
+    texts = [f"{line} {unique(30)}" for _ in range(120)] + [f"{line} same {passage} text"] * 150 + [f"{t} {line}" for t in family(pick, 90, 75, 5)]
+    texts += [f"{passage} {unique(k)} {line}" for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15) for _ in range(6)]
+    rows = list(zip(pick.sample(range(10_000), len(texts)), texts))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 4, 85, 100).collect()
+    assert sorted(tuple(r) for r in got) == by_all_pairs(rows, 4, 85, 100)
+
+
+@pytest.mark.parametrize("texts", [["", "a", "A b", None, "a  b\tc\nd e f g", "q" * 700 + " w", "é É 漢 " * 9, "z" * 300 + " tail"], [" x" * 300, "\v a\fb\rc "]])
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch, texts):
+    alone = [next(jaccard.Shingler(3).sets(pa.array([t]))) for t in texts]
+    for piece in (1 << 18, 1024, 600):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
+        for one, got, t in zip(alone, jaccard.Shingler(3).sets(pa.array(texts)), texts, strict=True):
+            w = (t or "").encode().lower().split()
+            assert (one == got).all() and len(got) == (len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}) if w else 0)
+
+
+def test_unions_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for n, m, shared in ((50, 60, 30), (500, 90, 80), (1000, 1100, 1000), (3, 900, 2), (700, 700, 0)):
+        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+        a, b = pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])
+        most = jaccard.most_shared(len(a), jaccard.union_bits(a), len(b), jaccard.union_bits(b))
+        assert shared <= most <= shared + 0.3 * min(n, m) + 3
+
+
 def test_one_of_each_group_stays(spark, docs, empty):
     kept = jaccard.one_of_each(docs)
     assert set(kept.columns) == set(docs.columns)
@@ -269,7 +341,9 @@ def test_one_of_each_group_stays(spark, docs, empty):
     assert jaccard.one_of_each(empty).count() == 0 and jaccard.jaccard_components(empty).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("task_edges", [500_000, 20])
+def test_components_of_chains_and_stars(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 150)] + [(200, 200), (301, 300), (300, 301)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 150)} | {300: 300, 301: 300}
@@ -397,6 +471,49 @@ def test_pipeline(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, oracle.SF).count() > 0
 
 
+def test_stages_are_their_plain_versions(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from codelode.llm import bpe, toxicity
+    from test_text_operators import plain_ftrl
+
+    folder = "/root/testdata/sf0.001"
+    write = lambda df, name: (df.write.parquet(f"file://{tmp_path}/{name}"), spark.read.parquet(f"file://{tmp_path}/{name}"))[1]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    # toxicity: plain FTRL over plain features, in the order of hashed ids
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(11), "doc_id").alias("h")).collect()}
+    maker = toxicity.Features()
+    known = [(maker.of(t), labels[i]) for i, t, *_ in sorted(rows, key=lambda r: order[r[0]]) if i in labels and t is not None]
+    weights, bias = plain_ftrl(known, toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2, 7)
+    score = lambda t: 1 / (1 + math.exp(-(bias + sum(weights.get(int(x), 0.0) for x in maker.of(t or "")))))
+    at = write(corpus_pipeline.drop_toxic(spark, docs, folder), "toxicity")
+    learned = any(abs(w) > 1e-9 for w in weights.values())
+    assert sorted(r["doc_id"] for r in at.collect()) == sorted(i for i, t, *_ in rows if not learned or not (t or "").strip() or score(t) < toxicity.THRESHOLD)
+    # near duplicates: all pairs
+    rows = [(r["doc_id"], r["text"]) for r in at.collect()]
+    at = write(corpus_pipeline.drop_near_duplicates(spark, at, folder), "duplicates")
+    assert sorted(r["doc_id"] for r in at.collect()) == [i for i, _, c in by_all_pairs(rows, 5, 80, 100) if i == c]
+    # mixing: targets, whole rows, at most three times
+    before = {r["doc_id"]: r for r in at.collect()}
+    size = lambda r: len([w for w in (r["text"] or "").replace("\x0b", " ").split() if w])
+    names = sorted({r["source"] for r in before.values()}, key=lambda n: (n is None, n))
+    goals = mixing.targets([sum(size(r) for r in before.values() if r["source"] == n) for n in names], [1 + i % 3 for i in range(len(names))])
+    at = write(corpus_pipeline.mix_sources(spark, at, folder), "mixed")
+    mixed = at.collect()
+    times = {i: sum(r["doc_id"] == i for r in mixed) for i in before}
+    assert all(r == before[r["doc_id"]] for r in mixed) and max(times.values()) <= 3
+    for name, goal in zip(names, goals):
+        own = [r for r in before.values() if r["source"] == name]
+        assert abs(sum(size(r) * times[r["doc_id"]] for r in own) - goal) <= 0.02 * goal + 5
+    # encoding: the library's ids
+    library = Tokenizer.from_file(bpe.vocabulary("word_bpe_49k.json"))
+    want = sorted((r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids) for r in mixed)
+    assert sorted((r["doc_id"], r["ids"]) for r in corpus_pipeline.encode(spark, at, folder).collect()) == want
+
+
 def test_nothing_goes_without_evidence_of_toxicity(spark, tmp_path):
     import corpus_pipeline
 
