@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a row group of a published table: a lookup reads those whose range holds its key.
 ROW_GROUP = 4 << 20
+#: Bytes of a step's sources for each task that writes it.
+STEP_BYTES = 64 << 20
 _folders: dict[str, str] = {}
 _tables: dict[tuple[str, str, str], tuple[str, object]] = {}
 
@@ -59,13 +61,26 @@ def discard(spark: SparkSession) -> None:
     fs.mkdirs(at)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the sources of a DataFrame, as Spark knows them before anything runs: files by their size; very many where a source has none (rows of the driver, RDDs)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def step_tasks(df: DataFrame) -> int:
+    """How many tasks write df as a step at most: one for STEP_BYTES of its sources, so they grow with the data; of small steps one for each core, or for two shuffle partitions where these are more, so that they don't become very many tiny files."""
+    spark = df.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    return min(max(least, -(-source_bytes(df) // STEP_BYTES)), (1 << 31) - 1)
+
+
+def stored(df: DataFrame, name: str, tasks: int | None = None, compression: str | None = None) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here, and a lost executor costs no step before it.
 
-    A task for each core, or for two shuffle partitions where these are more, writes at most, each one partition after another: small steps don't become very many tiny files."""
+    So many tasks write at most (see step_tasks), each one partition after another."""
     path, schema = scratch(df.sparkSession, name), df.schema
-    spark = df.sparkSession
-    df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)).write.parquet(path)
+    writer = df.coalesce(tasks or step_tasks(df)).write
+    (writer.option("compression", compression) if compression else writer).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
