@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import scratch
+from ..store import scratch, source_bytes, stored
+
+__all__ = ["scratch", "source_bytes", "stored"]
 
 #: Bytes of one Arrow batch sent to a Python worker, so that very long texts don't pile up there.
 ARROW_BATCH_BYTES = 4 << 20
@@ -47,19 +49,6 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
-def writers(spark: SparkSession) -> int:
-    """Tasks that write a step at most: one for each core, or for two shuffle partitions where these are more. Other than a task a partition, small steps don't become thousands of tiny files, and tasks grow with the cores or with what spark.sql.shuffle.partitions is set to, not with the data."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-
-
-def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: it is computed once, and survives the loss of any executor. At most so many tasks write (see writers), each one partition after another."""
-    path = scratch(df.sparkSession, name)
-    schema = df.schema
-    df.coalesce(tasks or writers(df.sparkSession)).write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
     """df whose join on keys (bigint) is dealt anew: Spark splits skewed partitions only where both sides come straight from an exchange of the join."""
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("bigint")) for k in keys})
@@ -83,6 +72,18 @@ def own_names(df: DataFrame, *added: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns called in0, in1, ..., so that none can clash with an operator's own, and the new name of each."""
+    at = {c: f"in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), at
+
+
+def with_names(df: DataFrame, at: dict[str, str], added: dict[str, Column]) -> DataFrame:
+    """The columns that renamed() renamed under their names again, but for those (in any letter case) of the added ones, which follow."""
+    taken = {x.lower() for x in added}
+    return df.select(*[F.col(new).alias(old) for old, new in at.items() if old.lower() not in taken], *[c.alias(name) for name, c in added.items()])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
