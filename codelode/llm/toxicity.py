@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, lean, own_names, small_batches, stored, table
@@ -23,9 +23,9 @@ SAMPLE, SAMPLE_FEATURES = 6000, 40_000_000
 #: Settings: the best that choose() finds in GRID by three folds of training rows (of sf0.1) alone. A high L1 asks for evidence from several documents.
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 9.0, 0.5
 THRESHOLD = 0.3
+#: The most that a text without evidence scores, as a share of the threshold.
+WITHOUT = 0.99
 _WORD = re.compile(r"[^\W_]+")
-#: The same letters and digits for Spark's regular expressions.
-_IN_WORDS = r"[\p{L}\p{N}]"
 #: Word heads used beside whole words, in letters: endings vary where stems don't.
 HEADS = (4, 5, 6)
 
@@ -182,7 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from threshold on), their names after prefix. A null or empty text gets the bias alone. Columns of those names are replaced; an empty df gives no rows. Nothing is shuffled."""
+    """docs with score (0 to 1) and predicted (1 from threshold on, else 0), their names after prefix.
+
+    Where nothing in a text speaks for a label, because it has no words or the model no weights, the score is the bias's or, if that is less,
+    WITHOUT of the threshold: no document is called toxic for what the sample's labels happen to be. Columns of those names are replaced;
+    an empty df gives no rows. Nothing is shuffled."""
     spark = docs.sparkSession
     small_batches(spark)
     at = np.flatnonzero(model[0])
@@ -197,23 +201,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
         weights, maker = np.zeros(DIMS, np.float32), Features()
         weights[at] = values
         for texts in batches:
-            raw = np.array([bias + float(weights[maker.of(t or "")].sum(dtype=np.float64)) for t in texts])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(raw, -35, 35))) if len(raw) else raw)
+            found = [maker.of(t or "") for t in texts]
+            raw = np.array([bias + float(weights[x].sum(dtype=np.float64)) for x in found], np.float64)
+            p = 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
+            unjudged = np.array([not len(x) or not len(at) for x in found], bool)
+            yield pd.Series(np.where(unjudged, np.minimum(p, WITHOUT * threshold), p))
 
     kept = own_names(docs, f"{prefix}score", f"{prefix}predicted")
     return kept.withColumn(f"{prefix}score", scored(F.col(text))).withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= threshold).cast("int"))
 
 
-def unjudged(model: tuple[np.ndarray, float], text: str = "text") -> Column:
-    """Where a score is the bias alone, so nothing in the text speaks for a label: all rows if the model has no weights, else those of texts without words."""
-    if not model[0].any():
-        return F.lit(True)
-    return ~F.coalesce(F.col(text), F.lit("")).rlike(_IN_WORDS)
-
-
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model fitted on their labels. A null or empty text scores as the bias does; rows of a repeated or null doc_id each have a score (a null one isn't held out); very long texts are scored whole; an empty table gives no rows. A document is never predicted toxic by the bias alone: not without words, nor by a model without weights."""
+    """Scores of all documents by a model fitted on their labels. A null, empty or wordless text scores as the bias does, but below the threshold, and so do all texts where the labels give no weights; rows of a repeated or null doc_id each have a score (a null one isn't held out); very long texts are scored whole; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    predicted = F.when(unjudged(model), 0).otherwise(F.col("predicted")).alias("predicted")
-    return score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", predicted)
+    return score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
