@@ -379,8 +379,10 @@ def _qualifying(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataF
     ids = pairs.select(F.explode(F.array("a", "b")).alias("grp"))
     unions = maybe_among(texts.filter("bits IS NOT NULL").select("grp", "lo", "size", "bits"), ids, "grp").filter("_hit").drop("_hit")
     side = lambda s: unions.select(F.col("grp").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("lo", "size", "bits")])
-    partners = F.count("*").over(Window.partitionBy("a"))
-    both = pairs.join(side("b"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(partners / OPEN_BLOCK)).cast("int")).join(side("a"), "a")
+    partners = pairs.groupBy("a").agg(F.ceil(F.count("*") / OPEN_BLOCK).alias("blocks"))
+    dealt = pairs.join(own_exchange(partners, "a"), "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int")).drop("blocks")
+    both = own_exchange(dealt, "b").join(side("b"), "b")
+    both = own_exchange(both, "a").join(side("a"), "a")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -492,14 +494,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     ends = members.join(found, F.col("grp") == F.col("node"), "left").select("doc_id", F.coalesce("component", "grp").alias("comp"))
     least = ends.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).filter("k > 1").drop("k")
     moved = ends.join(own_exchange(least, "comp"), "comp").filter("component_id <> doc_id").select("doc_id", "component_id").distinct()
-    return marks.join(moved, "doc_id", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    shown = lambda component: ("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
+    whole = marks.filter("doc_id IS NOT NULL").join(moved, "doc_id", "left").select(*shown(F.coalesce("component_id", "doc_id")))
+    return whole.union(marks.filter("doc_id IS NULL").select(*shown(F.col("doc_id"))))  # not all to the one task of the null key
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs (doc_id, text and more) with one row of each group of near duplicates, that with the smallest doc_id.
+    """docs (doc_id, text and any others) with one row of each group of near duplicates, that with the smallest doc_id.
 
-    Rows of a null doc_id stay. Of rows with the same doc_id one stays (the first by text, null first). Only rows whose id may be dropped
+    All columns stay, whatever their names. Rows of a null doc_id stay. Of rows with the same doc_id one stays (the first by text, null first). Only rows whose id may be dropped
     or repeated are shuffled with their texts; the others pass straight through."""
+    names, docs = docs.columns, docs.toDF(*[c if c in ("doc_id", "text") else f"in{i}" for i, c in enumerate(docs.columns)])
     found = stored(jaccard_components(docs, n, num, den), "near-duplicates").filter("doc_id IS NOT NULL")
     per = found.groupBy("doc_id").agg((F.min("component_id") < F.col("doc_id")).alias("_cl_drop"), (F.count("*") > 1).alias("_cl_again")).filter("_cl_drop OR _cl_again")
     per = stored(per, "drops")
@@ -507,8 +512,9 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     rest = seen.filter("_hit").drop("_hit").join(per, "doc_id", "left").filter("_cl_drop IS NULL OR NOT _cl_drop").drop("_cl_drop")
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
     once = rest.filter("_cl_again").withColumn("_cl_k", F.row_number().over(order)).filter("_cl_k = 1").drop("_cl_k")
-    return seen.filter("NOT _hit").drop("_hit").unionByName(rest.filter("_cl_again IS NULL OR NOT _cl_again").drop("_cl_again")).unionByName(once.drop("_cl_again"))
+    return seen.filter("NOT _hit").drop("_hit").unionByName(rest.filter("_cl_again IS NULL OR NOT _cl_again").drop("_cl_again")).unionByName(once.drop("_cl_again")).select(*docs.columns).toDF(*names)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """Links of all documents on four-word shingles. A null, empty or wordless text is linked with nothing; rows of a repeated doc_id share its links, those of a null one have none; very long texts are compared whole; an empty table gives no rows."""
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85, 100)
