@@ -28,7 +28,7 @@ def path_of(url: Column) -> Column:
 
 
 def compile_rules(rules: list[tuple[str, str, str]]) -> bytes:
-    """The file: counts, the lengths (in characters) that paths have, the sorted digests, the rules' order, verdicts and spans, then their strings.
+    """The file: counts and the length of the longest host, the lengths (in characters) that paths have, the sorted digests, the rules' order, verdicts and spans, then their strings.
 
     A rule's key is host, a line feed, path. A later rule with the same host and path replaces an earlier one."""
     kept = {f"{host}\n{path}": (verdict, host, path) for verdict, host, path in rules}
@@ -39,7 +39,7 @@ def compile_rules(rules: list[tuple[str, str, str]]) -> bytes:
     ends = np.cumsum([0, *map(len, spelt)]).astype(np.int64)
     lengths = np.array(sorted({len(p) for _, _, p in kept.values()}), np.int64)
     blocks = np.array([kept[keys[i]][0] == "block" for i in order], np.uint8)
-    head = np.array([len(keys), len(lengths)], np.int64)
+    head = np.array([len(keys), len(lengths), max((len(h) for _, h, _ in kept.values()), default=0)], np.int64)
     return b"".join(x.tobytes() for x in (head, lengths, digests[order], ends)) + blocks.tobytes() + b"".join(spelt)
 
 
@@ -47,8 +47,8 @@ class Rules:
     """A view of the mapped file."""
 
     def __init__(self, data: np.ndarray):
-        n, m = map(int, data[:16].view(np.int64))
-        cut = np.cumsum([16, 8 * m, 8 * n, 8 * (n + 1), n])
+        n, m, self.longest = map(int, data[:24].view(np.int64))
+        cut = np.cumsum([24, 8 * m, 8 * n, 8 * (n + 1), n])
         part = lambda i, kind: data[cut[i] : cut[i + 1]].view(kind)
         self.lengths, self.digests, self.ends, self.blocks, self.spelt = part(0, np.int64), part(1, np.uint64), part(2, np.int64), part(3, np.uint8), data[cut[4] :]
 
@@ -72,6 +72,8 @@ class Rules:
         lengths = self.lengths.tolist()
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             fit = [path[:n] for n in lengths if n <= len(path)]
+            if len(host) > self.longest:  # longer ends are no rule's: only what may be one is spelt out, however long a url is
+                host = host[len(host) - self.longest - 1 :].partition(".")[2]
             while host:
                 for p in fit:
                     keys.append(f"{host}\n{p}".encode())
