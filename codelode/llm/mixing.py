@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import literal_rows, own_names, stored, table
+from .common import literal_rows, own_names, renamed, stored, table, with_names
 
 #: Words of a block, and the most blocks of all sources together (more where there are more sources).
 BLOCK_WORDS, MAX_BLOCKS = 4096, 131_072
@@ -22,9 +22,22 @@ FAMILIES = 1024
 BROADCAST = 200_000
 #: Sources that one task numbers, and words' takes of a slice of a shard.
 NUMBERED, SLICE_ROWS, MAX_SLICES = 100_000, 4096, 16_384
+#: Smallest rows that are decided together where a fit still misses its words, and their words together.
+DECIDED, DECIDED_WORDS = 64, 1 << 22
 #: No document is taken more often.
 MOST = 3
 WORD = r"[^\x20\x09-\x0D]+"
+#: Slots of a shard in one partition of ordered rows.
+SLOTS_PER_PART = 50_000
+
+
+def _words(text: str) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")
+
+
+def _text_hash(text: str) -> Column:
+    """Tells rows apart that share a key, so that those of a null one don't all fall into one block."""
+    return F.xxhash64(F.col(text))
 
 
 def level(total: float, sums: Callable[[float], tuple[float, float]]) -> float:
@@ -130,10 +143,29 @@ def _settle(sizes: np.ndarray, order: np.ndarray, picked: np.ndarray, left: int)
     return picked, left
 
 
+def _decide(sizes: np.ndarray, order: np.ndarray, picked: np.ndarray, left: int) -> np.ndarray:
+    """picked with the DECIDED smallest rows decided anew, so that what is missing is as near to zero as they allow: by all sums that they can have, as bits of a number."""
+    small = order[::-1][:DECIDED]
+    small = small[sizes[small].cumsum() <= DECIDED_WORDS]
+    sums = [1]
+    for n in sizes[small].tolist():
+        sums.append(sums[-1] | sums[-1] << n)
+    want = int(sizes[small][picked[small]].sum()) + left
+    for miss in range(abs(left)):
+        for goal in (want - miss, want + miss):
+            if goal >= 0 and sums[-1] >> goal & 1:
+                picked = picked.copy()
+                for k in range(len(small) - 1, -1, -1):
+                    picked[small[k]] = not sums[k] >> goal & 1
+                    goal -= int(sizes[small[k]]) * int(picked[small[k]])
+                return picked
+    return picked
+
+
 def _fill(group: pa.Table) -> pa.Table:
     """Of the block with the rest, the rows that come nearest to it: largest first, each that still fits, then the one whose words are nearest to what is missing. What is then missing or too much is made up by rows of the blocks around, so the miss is at most half of the smallest row that could change it.
 
-    Where that isn't zero, flipping the next larger row and making up for it is tried too: a very long row may be the way to the target."""
+    Where that isn't zero, flipping the next larger row and making up for it is tried too: a very long row may be the way to the target. Last, the smallest rows are decided anew together."""
     sizes, ids, role = (group.column(c).to_numpy() for c in ("size", "_hash", "_role"))
     rest, start = int(group.column("rest").to_numpy().max()), role == 2
     order = np.lexsort((ids, -sizes))
@@ -150,6 +182,8 @@ def _fill(group: pa.Table) -> pa.Table:
         if abs(missed) >= abs(left):
             break
         picked, left = other, missed
+    if left:
+        picked = _decide(sizes, order, picked, left)
     return group.drop_columns(["rest", "_role"]).append_column("_more", pa.array(picked.astype(np.int32) - start))
 
 
@@ -207,21 +241,21 @@ def _dealt(planned: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 64, seed: int = 29, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """key, size, source, source_size, target, takes (how often the mix has the document), shards (the output shard of each take), slots (its place in that shard's random order, from 0).
+    """key, size, text_hash, source, source_size, target, takes (how often the mix has the document), shards (the output shard of each take), slots (its place in that shard's random order, from 0).
 
     Size is the number of words of the text (null: 0). Sources in code point order, null last, get the weights in turn and share the words
-    of the whole table; none gets more than MOST times its own. The rows of a source fall into blocks by a hash of their key. A task sets
+    of the whole table; none gets more than MOST times its own. The rows of a source fall into blocks by a hash of their key and text. A task sets
     how often each block of a source is taken; the splitting tree deals the blocks of families of sources over the shards, and a task those
     of a family to its sources. In the one block where a source's target falls, rows are fitted to the words missing, and rows of the
     blocks around it make up for what that fit misses. Last, each shard's takes are shuffled: a slot is a rank inside one of many slices of
     a random key plus the slice's offset.
 
     Any number of sources can be mixed, and one may hold most rows: no step gathers a source, only AROUND blocks on either side of one, and
-    as many words as that one has. Rows equal in key and size may swap places. A null key is a value like others; an empty table gives no
+    as many words as that one has. Rows equal in key and text may swap places. A null key is a value like others; an empty table gives no
     rows; other columns are left out. Reruns agree."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
-    slim = stored(sized.withColumns({"_hash": F.xxhash64(F.lit(seed), "_key", "size"), "_row": F.monotonically_increasing_id()}), "mix-sizes")
+    sized = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), _words(text).alias("size"), _text_hash(text).alias("text_hash"))
+    slim = stored(sized.withColumns({"_hash": F.xxhash64(F.lit(seed), "_key", "size", "text_hash"), "_row": F.monotonically_increasing_id()}), "mix-sizes")
     sources = stored(_numbered(slim.groupBy("_source").agg(F.sum("size").alias("source_size"))).withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_s") % len(weights) + 1).cast("int"))), "mix-sources")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     cap = MOST * F.col("source_size")
@@ -238,7 +272,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 6
     blocks = placed.groupBy("_s", "_block").agg(F.sum("size").alias("words"), F.max("_cut").alias("_cut"), F.max("target").alias("target"))
     chosen = _dealt(_planned(blocks), shards, seed).select("_s", "_block", "takes", "rest", "dealt", "_role")
     planned = placed.join(_small(chosen), ["_s", "_block"])
-    columns = ["_key", "size", "_source", "_hash", "_row", "source_size", "target", "takes", "dealt"]
+    columns = ["_key", "size", "_source", "text_hash", "_hash", "_row", "source_size", "target", "takes", "dealt"]
     whole = planned.filter("_role = 0").select(*columns, F.lit(0).alias("_more"))
     part = planned.filter("_role > 0").select("_s", *columns, "rest", "_role")
     schema = "_s long, " + ", ".join(f"{c} {dict(part.dtypes)[c]}" for c in columns) + ", _more int"
@@ -247,7 +281,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 6
     both = stored(both.withColumn("shards", F.slice("dealt", F.lit(1), F.col("takes"))).drop("dealt", "_more"), "mix-takes")
     slots = _shuffled(both.select("_row", "_hash", F.posexplode("shards").alias("_take", "_shard")), shards, seed)
     shown = both.join(slots, "_row", "left")
-    return shown.select(F.col("_key").alias(key), "size", F.col("_source").alias(source), "source_size", "target", "takes", "shards", F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"))
+    return shown.select(F.col("_key").alias(key), "size", "text_hash", F.col("_source").alias(source), "source_size", "target", "takes", "shards", F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"))
 
 
 def _shuffled(taken: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -262,24 +296,46 @@ def _shuffled(taken: DataFrame, shards: int, seed: int) -> DataFrame:
     return placed.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["slot"]).alias("slots"))  # at most MOST takes a row
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows, each as often as the mix takes it, with _mix_shard and _mix_slot, its place in the shard.
+def _takes(docs: DataFrame, **options) -> DataFrame:
+    """_mix_id, _mix_size, _mix_hash (of the text) and _mix_takes, the shards and slots of what the mix takes of such a row."""
+    taken = mix(docs, **options).filter("takes > 0").groupBy(F.col(options.get("key", "doc_id")).alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("text_hash").alias("_mix_hash"))
+    return taken.agg(F.max(F.arrays_zip("shards", "slots")).alias("_mix_takes"))
+
 
-    Rows that share a key share its decisions: of rows equal in key and size, each gets the first one's takes, and so shares their slots.
-    Columns of docs whose names begin with _mix_ are replaced."""
-    key = options.get("key", "doc_id")
-    docs = own_names(docs, "_mix_id", "_mix_size", "_mix_words", "_mix_takes", "_mix_take", "_mix_shard", "_mix_slot")
-    words = F.regexp_count(F.coalesce(options.get("text", "text"), F.lit("")), F.lit(WORD)).cast("bigint")
-    taken = mix(docs, **options).filter("takes > 0").groupBy(F.col(key).alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max(F.arrays_zip("shards", "slots")).alias("_mix_takes"))
-    both = docs.withColumn("_mix_words", words).join(taken, F.col(key).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")))
+def _taken_rows(docs: DataFrame, taken: DataFrame, **options) -> DataFrame:
+    key, text = options.get("key", "doc_id"), options.get("text", "text")
+    sized = docs.withColumns({"_mix_words": _words(text), "_mix_text": _text_hash(text)})
+    both = sized.join(taken, F.col(key).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")) & (F.col("_mix_text") == F.col("_mix_hash")))
     kept = both.select(*docs.columns, F.explode("_mix_takes").alias("_mix_take"))
     return kept.select(*docs.columns, F.col("_mix_take.shards").alias("_mix_shard"), F.col("_mix_take.slots").alias("_mix_slot"))
 
 
-def in_order(mixed: DataFrame, parts_per_shard: int = 1) -> DataFrame:
-    """mixed_rows' rows, dealt so that each output file holds one shard, or a run of its slots, in the shard's order."""
-    parts = 64 * parts_per_shard
-    return mixed.repartition(parts, "_mix_shard").sortWithinPartitions("_mix_shard", "_mix_slot")
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """docs' rows, each as often as the mix takes it, with _mix_shard and _mix_slot, its place in the shard.
+
+    Rows equal in key and text share one row's takes and so its slots. Columns of docs whose names begin with _mix_ are replaced; mixed_in_order keeps all."""
+    docs = own_names(docs, "_mix_id", "_mix_size", "_mix_hash", "_mix_text", "_mix_words", "_mix_takes", "_mix_take", "_mix_shard", "_mix_slot")
+    return _taken_rows(docs, _takes(docs, **options), **options)
+
+
+def in_order(mixed: DataFrame, shards: int = 64, slots_per_part: int = SLOTS_PER_PART, longest: int | None = None) -> DataFrame:
+    """mixed_rows' rows in partitions that each hold a run of slots_per_part slots of one shard, in the shard's order: so does each file written of them.
+
+    longest: the slots of the longest shard, if known; else they are found first. Partitions, not their rows, grow with the data."""
+    if longest is None:
+        longest = (mixed.agg(F.max("_mix_slot")).first()[0] or 0) + 1
+    runs = max(1, -(-longest // slots_per_part))
+    part = F.col("_mix_shard") * runs + F.floor(F.col("_mix_slot") / slots_per_part)
+    return mixed.repartitionById(shards * runs, part.cast("int")).sortWithinPartitions("_mix_shard", "_mix_slot")
+
+
+def mixed_in_order(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
+    """docs' rows, each as often as the mix takes it, in partitions that follow the shards' random orders. All columns stay and none is added."""
+    df, at = renamed(docs)
+    options = {name: at[options.get(name, default)] for name, default in (("key", "doc_id"), ("source", "source"), ("text", "text"))} | {"shards": shards, **{k: v for k, v in options.items() if k not in ("key", "source", "text")}}
+    taken = stored(_takes(df, **options), "mix-places")
+    longest = (taken.agg(F.max(F.array_max("_mix_takes.slots"))).first()[0] or 0) + 1
+    return with_names(in_order(_taken_rows(df, taken, **options), shards, longest=longest), at, {})
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -134,11 +134,14 @@ def test_any_number_of_sources_can_be_mixed(spark, monkeypatch):
 
 def test_mixed_rows_stand_in_their_shards_order(spark, tmp_path):
     docs = spark.createDataFrame([(i, "a" if i % 3 else "b", "w " * (i % 17)) for i in range(600)], "doc_id long, source string, text string")
-    mixing.in_order(mixing.mixed_rows(docs)).write.parquet(f"file://{tmp_path}/mixed")
+    mixing.in_order(mixing.mixed_rows(docs, shards=8), shards=8, slots_per_part=20).write.parquet(f"file://{tmp_path}/mixed")
+    runs = []
     for part in tmp_path.glob("mixed/*.parquet"):
         rows = pq.read_table(part).to_pylist()
         order = [(r["_mix_shard"], r["_mix_slot"]) for r in rows]
-        assert order == sorted(order)
+        assert order == sorted(order) and len({shard for shard, _ in order}) <= 1 and len(rows) <= 20  # a run of one shard in each file
+        runs.append(order)
+    assert len(runs) > 16 and sorted(x for run in runs for x in run) == [x for run in sorted(runs) for x in run]
     got = spark.read.parquet(f"file://{tmp_path}/mixed")
     assert got.select("_mix_shard", "_mix_slot").distinct().count() == got.count()
 
@@ -164,6 +167,7 @@ def test_rows_make_up_for_a_long_one():
     assert fill([1000, *[10] * 80], [1, *[2] * 80], 600) == 600  # rows of earlier blocks go
     assert fill([1000, *[10] * 80], [1, *[2] * 80], 300) == 300  # the long row is farther off, but the way
     assert fill([1000], [1], 400) == 0 and fill([1000], [1], 600) == 1000
+    assert fill([5, 136, 224, 233, 233, 377, 395, 933, 2933], [1] * 9, 1775) == 1776  # no flip of one row leads there
 
 
 def test_mixing_awkward_rows(spark, docs, empty):
@@ -172,6 +176,19 @@ def test_mixing_awkward_rows(spark, docs, empty):
     rows = mixing.mixed_rows(docs)
     assert {"shard", "takes", "_mix_shard", "_mix_slot"} <= set(rows.columns)
     assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
+    assert mixing.mixed_in_order(empty).count() == 0 and mixing.mixed_in_order(docs).columns == docs.columns
+
+
+def test_rows_without_an_id_are_mixed_each_by_its_text(spark):
+    rows = [(None, "a" if i % 5 else "b", " ".join(f"w{i}x{k}" for k in range(20))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    out = mixing.mix(docs, shards=8).collect()
+    shards = [s for r in out for s in r["shards"]]
+    assert max(shards.count(s) for s in range(8)) < 2 * len(shards) / 8  # not all in one block and shard
+    taken = {s: sum(r["size"] * r["takes"] for r in out if r["source"] == s) for s in "ab"}
+    assert all(abs(taken[r["source"]] - r["target"]) <= 20 for r in out)
+    mixed = mixing.mixed_rows(docs, shards=8).groupBy("source").count().collect()
+    assert {r["source"]: 20 * r["count"] for r in mixed} == taken
 
 
 # --- sharding --------------------------------------------------------------------------------------------------------
@@ -367,6 +384,16 @@ def test_urls_are_judged_by_the_longest_rule(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
 
 
+def test_a_host_is_judged_at_the_cost_of_the_rules(monkeypatch):
+    rules = url_filter.Rules(np.frombuffer(url_filter.compile_rules([("block", "b.example", "/"), ("allow", "a.b.example", "/x")]), np.uint8))
+    seen = []
+    find = rules.find
+    rules.find = lambda keys: (seen.extend(keys), find(keys))[1]
+    hosts = ["l." * 200_000 + "a.b.example", "l" * 300_000, "xa.b.example", ".b.example", "b.example", ""]
+    assert rules.judge(hosts, ["/x"] * 6) == (["a.b.example/x", None, "b.example/", "b.example/", "b.example/", None], ["allow", "allow", "block", "block", "block", "allow"])
+    assert sum(map(len, seen)) < 1000
+
+
 def test_strings_decide_where_digests_collide(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda k: 7)
     rules = url_filter.Rules(np.frombuffer(url_filter.compile_rules(url_filter.RULES), np.uint8))
@@ -530,3 +557,17 @@ def test_nothing_goes_without_evidence_of_toxicity(spark, tmp_path):
         assert kept == sorted(i for i, p in predicted.items() if not p)
         learned = len({y for _, y in labels}) == 2 and labels[0][0] < 5000
         assert kept == ([i for i in every if i >= 1000 or i % 2 == 0] if learned else every)
+        assert all(r["predicted"] == (r["score"] >= 0.3) for r in QUERIES["op6_toxicity"](spark, f"file://{tmp_path}").collect())
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    own = ["_hit", "_cl_word", "_cl_drop", "_mix_size", "_mix_shard", "_toxicity_score", "score", "predicted", "size", "bucket", "in0", "s"]
+    texts = ["one two three four five six seven"] * 3 + [None, "", "eight nine ten"]
+    docs = spark.createDataFrame([(i, t, f"s{i % 2}", *range(len(own))) for i, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in own))
+    spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        assert out.columns == docs.columns
+        assert out.count() and all([r[c] for c in own] == list(range(len(own))) for r in out.collect())
