@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codelode.llm import bpe, jaccard, mixing, toxicity
-from codelode.llm.common import stored, table
+from codelode.llm.common import renamed, stored, table, with_names
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null, empty or wordless text stays, and all rows do where the labels give the model no weights; very long texts are scored whole.
     Rows that repeat a doc_id or have none are each scored by their own text. An empty table gives no rows; all columns stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, prefix="_toxicity_").filter((F.col("_toxicity_predicted") == 0) | toxicity.unjudged(model)).select(*docs.columns)
+    df, at = renamed(docs)
+    return with_names(toxicity.score(df, model, text=at["text"]).filter("predicted = 0"), at, {})
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +23,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null, empty and wordless texts are like no other and stay, as do rows without a doc_id; of rows that repeat one the first by text stays.
     Very long texts are compared whole. An empty table gives no rows; all columns stay."""
-    return jaccard.one_of_each(docs).select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times or not at all, in the random order of its output shard.
 
-    A null or empty text has no words: the mix takes it as often as its block. Rows equal in doc_id and number of words share their takes;
-    a null source is a source of its own, a null doc_id a value like others. An empty table gives no rows; all columns stay."""
-    return mixing.in_order(mixing.mixed_rows(docs)).select(*docs.columns)
+    A null or empty text has no words: the mix takes it as often as its block. Rows equal in doc_id and text share their takes; a null
+    source is a source of its own, a null doc_id a value like others. An empty table gives no rows; all columns stay. The order is that of
+    the files' rows, a run of a shard in each file; no column holds it."""
+    return mixing.mixed_in_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
