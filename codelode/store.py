@@ -7,13 +7,20 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .commits import CommitLog, Conflict
 
 #: Bytes of a row group of a published table: a lookup reads those whose range holds its key.
 ROW_GROUP = 4 << 20
 #: Bytes of a step's sources for each task that writes it.
 STEP_BYTES = 64 << 20
+#: Snapshots whose counts and digests a pointer holds.
+KNOWN = 64
+#: Sessions of a project, bytes of them together and of one.
+MOST_SESSIONS, MOST_PROJECT_BYTES, MOST_SESSION_BYTES = 128, 1 << 30, 64 << 20
 _folders: dict[str, str] = {}
 _tables: dict[tuple[str, str, str], tuple[str, object]] = {}
 
@@ -112,65 +119,88 @@ def unique_ids(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"duplicate {', '.join(keys)}: {tuple(twice[0][:-1])}")
 
 
+def content(df: DataFrame) -> list[Column]:
+    """Aggregates that tell what a table holds, whatever the order of its rows: their number and the sum of their hashes (maps by their JSON)."""
+    cells = [F.to_json(f.name) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema]
+    row = F.xxhash64(*cells) if cells else F.lit(0).cast("bigint")
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")]
+
+
 class SnapshotStore:
     """Immutable snapshots of named tables below a folder, and the one that is active of each project.
 
-    A snapshot's tables are Parquet folders, written before the pointer moves. A project's pointer is a file for each promotion, named by its
-    sequence and created only if no file has that name: of two writers one fails, and readers see either the old or the new snapshot."""
+    A snapshot's tables are Parquet folders, written before the pointer moves. The pointer is the newest entry of the project's commit log:
+    of two writers one fails, readers see the old or the new snapshot, and a writer that dies leaves what was active. The entry holds each
+    table's rows and digest, taken while it was written; a table is held against them when it is first loaded."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._checked: set[tuple[str, str, str]] = set()
+
+    def log(self, project: str) -> CommitLog:
+        return CommitLog(self.spark, f"{self.root}/pointers/{project}")
 
     def _pointer(self, project: str) -> tuple[int, dict] | None:
-        fs, at = _fs(self.spark, f"{self.root}/pointers/{project}")
-        if not fs.exists(at):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        if not (numbers := [int(n) for n in names if n.isdigit()]):
-            return None
-        (row,) = self.spark.read.text(f"{self.root}/pointers/{project}/{max(numbers):012d}").collect()
-        return max(numbers), json.loads(row[0])
+        return self.log(project).last()
 
     def publish(self, project: str, snapshot: str, tables: dict[str, DataFrame], expected: str | None = None) -> None:
-        """Write every table sorted by id, refuse duplicate ids and an existing snapshot, then promote."""
-        counts = {}
+        """Write every table sorted by id, refuse duplicate ids and an existing snapshot, then promote. A table's rows are counted and hashed as they are written."""
+        held = {}
         for name, df in tables.items():
-            if "id" in df.columns:
-                unique_ids(df, ["id"])
             ordered = df.repartitionByRange("id").sortWithinPartitions("id") if "id" in df.columns else df
-            ordered.write.mode("error").parquet(f"{self.root}/{project}/{snapshot}/{name}")
-            counts[name] = self.spark.read.parquet(f"{self.root}/{project}/{snapshot}/{name}").count()
-        self.promote(project, snapshot, counts, expected)
-
-    def promote(self, project: str, snapshot: str, counts: dict[str, int] | None = None, expected: str | None = None) -> None:
-        """Make a snapshot active. With expected, only while that one is; an error if it isn't, or if another writer moved the pointer meanwhile."""
+            seen, path = Observation(), f"{self.root}/{project}/{snapshot}/{name}"
+            ordered.observe(seen, *content(df)).write.mode("error").parquet(path)
+            if "id" in df.columns:
+                try:
+                    unique_ids(self.spark.read.parquet(path), ["id"])
+                except ValueError:
+                    fs, at = _fs(self.spark, f"{self.root}/{project}/{snapshot}")
+                    fs.delete(at, True)
+                    raise
+            held[name] = seen.get
+        self.promote(project, snapshot, {name: x["rows"] for name, x in held.items()}, expected, {name: x["digest"] for name, x in held.items()})
+
+    def promote(self, project: str, snapshot: str, counts: dict[str, int] | None = None, expected: str | None = None, digests: dict[str, str] | None = None) -> None:
+        """Make a snapshot active. With expected, only while that one is; an error if it isn't, or if another writer moved the pointer meanwhile.
+
+        A snapshot that was active before keeps the counts and digests of then, as far as the log still has them."""
         last, row = self._pointer(project) or (0, {})
         if expected is not None and row.get("snapshot_id") != expected:
             raise RuntimeError(f"the active snapshot of {project} is {row.get('snapshot_id')}, not {expected}")
-        fs, at = _fs(self.spark, f"{self.root}/pointers/{project}/{last + 1:012d}")
+        known = row.get("known", {})
+        if counts is not None:
+            known = known | {snapshot: {"counts": counts, "digests": digests or {}}}
+        kept = dict(list(known.items())[-KNOWN:])
         try:
-            out = fs.create(at, False)
-        except Exception as e:
+            self.log(project).append({"snapshot_id": snapshot, "known": kept | ({snapshot: known[snapshot]} if snapshot in known else {})}, last)
+        except Conflict as e:
             raise RuntimeError(f"another writer moved the pointer of {project}") from e
-        out.write(bytearray(json.dumps({"snapshot_id": snapshot, "counts": counts or {}}).encode()))
-        out.close()
 
     def active(self, project: str) -> str | None:
         found = self._pointer(project)
         return found[1]["snapshot_id"] if found else None
 
     def counts(self, project: str) -> dict[str, int]:
-        """Rows of each table of the active snapshot, as they were promoted."""
+        """Rows of each table of the active snapshot, as they were written."""
         found = self._pointer(project)
-        return found[1]["counts"] if found else {}
+        return found[1]["known"].get(found[1]["snapshot_id"], {}).get("counts", {}) if found else {}
 
-    def load(self, project: str, table: str) -> DataFrame:
-        """A table of the active snapshot; the pointer is read again after and the load repeated if it moved."""
+    def load(self, project: str, table: str, verify: bool = True) -> DataFrame:
+        """A table of the active snapshot; the pointer is read again after and the load repeated if it moved.
+
+        verify: at its first load by this store the table must have the rows and the digest that the pointer holds, else an error."""
         while True:
-            snapshot = self.active(project)
-            if snapshot is None:
+            found = self._pointer(project)
+            if found is None:
                 raise LookupError(f"project {project} has no active snapshot")
+            snapshot = found[1]["snapshot_id"]
             df = self.spark.read.parquet(f"{self.root}/{project}/{snapshot}/{table}")
+            held = found[1]["known"].get(snapshot, {})
+            if verify and table in held.get("digests", {}) and (project, snapshot, table) not in self._checked:
+                rows, digest = df.agg(*content(df)).first()
+                if (rows, digest) != (held["counts"][table], held["digests"][table]):
+                    raise ValueError(f"{table} of snapshot {snapshot} isn't what was published: {rows} rows of {held['counts'][table]}, digest {digest} of {held['digests'][table]}")
+                self._checked.add((project, snapshot, table))
             if self.active(project) == snapshot:
                 return df
 
@@ -204,3 +234,60 @@ class SnapshotStore:
         fs.delete(inside if moved else aside, True)
         there()
         return False
+
+
+class SessionLog:
+    """Runtime sessions appended in batches, each session once, within a project's bounds.
+
+    A batch is a Parquet folder that counts once the commit log names it: a batch of a writer that died is never read. All checks of a
+    batch are one aggregation of its rows and one join with the sessions that are stored, whatever the number of sessions."""
+
+    def __init__(self, spark: SparkSession, root: str, most_sessions: int = MOST_SESSIONS, most_bytes: int = MOST_PROJECT_BYTES, most_session_bytes: int = MOST_SESSION_BYTES):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.log = CommitLog(spark, f"{self.root}/commits")
+        self.bounds = most_sessions, most_bytes, most_session_bytes
+
+    def _at(self, kind: str, last: tuple[int, dict] | None, schema) -> DataFrame:
+        paths = [f"{self.root}/{kind}/{b}" for b in (last[1]["batches"] if last else [])]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def append(self, sessions: DataFrame) -> DataFrame:
+        """project_id, session_id, rows and already_present of each session of a batch, whose new ones are added.
+
+        A session has one source_sha256. One that is stored with another, or with which a project would go beyond its bounds, is an error
+        that adds nothing. Of two writers one repeats its checks against what the other added."""
+        schema, listed = sessions.schema, "project_id string, session_id string, source_sha256 string, rows long, bytes long"
+        keys = ["project_id", "session_id"]
+        size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sessions.columns])))
+        here = stored(sessions.groupBy(*keys).agg(F.min("source_sha256").alias("source_sha256"), F.max("source_sha256").alias("_other"), F.count("*").alias("rows"), F.sum(size).alias("bytes")), "session-batch")
+        if odd := here.filter("source_sha256 <> _other OR source_sha256 IS NULL OR project_id IS NULL OR session_id IS NULL").select(*keys).limit(1).collect():
+            raise ValueError(f"session {odd[0][1]} of {odd[0][0]} has no single project, session and source")
+        while True:
+            last, batch = self.log.last(), uuid.uuid4().hex
+            known = self._at("sessions", last, listed)
+            both = here.drop("_other").join(known.select(*keys, F.col("source_sha256").alias("_stored")), keys, "left")
+            if clash := both.filter("_stored <> source_sha256").select("session_id").limit(1).collect():
+                raise ValueError(f"session {clash[0][0]} is stored with other content")
+            new = both.filter("_stored IS NULL").drop("_stored")
+            total = known.select("project_id", "bytes").union(new.select("project_id", "bytes")).groupBy("project_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"))
+            over = total.join(new.select("project_id").distinct(), "project_id").filter((F.col("n") > self.bounds[0]) | (F.col("bytes") > self.bounds[1]) | (F.col("most") > self.bounds[2])).orderBy("project_id").limit(1).collect()
+            if over:
+                raise ValueError(f"project {over[0][0]} would have {over[0][1]} sessions of {over[0][2]} bytes, the largest of {over[0][3]}")
+            new.select("project_id", "session_id", "source_sha256", "rows", "bytes").write.parquet(f"{self.root}/sessions/{batch}")
+            sessions.join(self.spark.read.parquet(f"{self.root}/sessions/{batch}").select(*keys), keys, "left_semi").select(*sessions.columns).write.parquet(f"{self.root}/rows/{batch}")
+            try:
+                self.log.append({"batches": [*(last[1]["batches"] if last else []), batch], "schema": schema.json()}, last[0] if last else 0)
+            except Conflict:
+                for kind in ("sessions", "rows"):
+                    fs, at = _fs(self.spark, f"{self.root}/{kind}/{batch}")
+                    fs.delete(at, True)
+                continue
+            added = self.spark.read.schema(listed).parquet(f"{self.root}/sessions/{batch}").select(*keys, F.lit(True).alias("_new"))
+            return here.join(added, keys, "left").select(*keys, "rows", F.col("_new").isNull().alias("already_present"))
+
+    def load(self) -> DataFrame:
+        """The rows of all committed sessions."""
+        last = self.log.last()
+        if last is None:
+            raise LookupError("no session is stored")
+        return self._at("rows", last, T.StructType.fromJson(json.loads(last[1]["schema"])))

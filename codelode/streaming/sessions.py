@@ -7,29 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.envelopes import OBSERVATIONS
+from ..store import SessionLog
 
 
 def session_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Observations, as JSON lines with the columns of a session file, that arrive in a folder."""
-    return spark.readStream.schema(OBSERVATIONS + ", source_sha256 string").json(folder)
-
-
-def add_new(batch: DataFrame, path: str) -> DataFrame:
-    """The rows of a batch whose session isn't at path yet. A session there with another hash is an error when the result is written."""
-    spark = batch.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return batch
-    known = spark.read.parquet(path).select("project_id", "session_id", F.col("source_sha256").alias("known")).distinct()
-    both = batch.join(known, ["project_id", "session_id"], "left")
-    clash = F.col("known").isNotNull() & (F.col("known") != F.col("source_sha256"))
-    checked = both.withColumn("source_sha256", F.when(clash, F.raise_error(F.concat(F.lit("session is stored with other content: "), "session_id"))).otherwise(F.col("source_sha256")))
-    return checked.filter("known IS NULL OR source_sha256 IS NULL").drop("known").select(*batch.columns)
-
-
-def ingest(spark: SparkSession, folder: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Append sessions from folder to the table at path, as long as there are new files."""
-    return session_stream(spark, folder).writeStream.foreachBatch(lambda batch, _: add_new(batch, path).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Observations, as JSON lines with the columns of a session file, that arrive in a folder; delivered_in is the file that each came in."""
+    return spark.readStream.schema(OBSERVATIONS + ", source_sha256 string").json(folder).withColumn("delivered_in", F.col("_metadata.file_path"))
+
+
+def one_delivery(batch: DataFrame) -> DataFrame:
+    """The rows of each session of a batch from the first of the files that bring it: one delivered twice is there once."""
+    keys = ["project_id", "session_id", "source_sha256"]
+    first = batch.groupBy(*keys).agg(F.min("delivered_in").alias("delivered_in"))
+    return batch.join(first, [*keys, "delivered_in"], "left_semi").drop("delivered_in")
+
+
+def ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, **bounds) -> StreamingQuery:
+    """Append sessions from folder to the session log at root, as long as there are new files.
+
+    A batch that is run again after a failure, or a file that is delivered again, finds its sessions in the log; a session with other
+    content than the stored one, or beyond a project's bounds, stops the stream."""
+    log = SessionLog(spark, root, **bounds)
+    return session_stream(spark, folder).writeStream.foreachBatch(lambda batch, _: log.append(one_delivery(batch)) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def hits_by_window(observations: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
