@@ -31,9 +31,14 @@ def truncate(text: str, most: int) -> str:
     return text.encode()[: 4 * max(most, 0)].decode(errors="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def truncated(texts: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else truncate(t, int(m)) for t, m in zip(texts, most, strict=True)], dtype=object)
+def truncated(text: Column | str, most: Column) -> Column:
+    """The longest prefix whose estimate is at most most; characters are never cut. A null text stays null."""
+    c = F.col(text) if isinstance(text, str) else text
+    limit = 4 * F.greatest(most, F.lit(0)).cast("int")
+    # a character has up to four bytes: of four prefixes in bytes one ends between characters
+    prefixes = [F.substring(F.encode(c, "UTF-8"), F.lit(1), limit - k).cast("string") for k in range(4)]
+    cut = F.coalesce(*[F.when(F.is_valid_utf8(p), p) for p in prefixes])
+    return F.when(F.octet_length(c) <= limit, c).when(limit == 0, F.when(c.isNotNull(), F.lit(""))).otherwise(cut)
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import cosine, estimate, lexical_score, token_estimate, truncate
+from ..functions.text import cosine, lexical_score, token_estimate, truncated
 from ..sources.files import excerpt
 
 MAX_RESULTS, RESPONSE_TOKENS = 1000, 32
@@ -85,23 +85,36 @@ def probe_size(limit: int, documents: int) -> int:
     return min(MAX_RESULTS, max(limit * 10, min(documents, 200)))
 
 
-def hybrid_context(ranked: DataFrame, max_documents: int = 20, max_tokens: int = 4096, per_document: int = 1024) -> list[dict]:
-    """Documents that fill a token budget in rank order, cut where they exceed their share. A sequential fold over at most 3 * max_documents rows on the driver."""
+def hybrid_contexts(ranked: DataFrame, by: list[str], max_documents: int = 20, max_tokens: int = 4096, per_document: int = 1024) -> DataFrame:
+    """Documents that fill each query's token budget in rank order, cut where they exceed their share: by's columns, position, stable_key, content, score, tokens, truncated.
+
+    ranked: by's columns (those that tell queries apart), stable_key, content and score; ties by key. A document takes what is left of the
+    budget or of its share at most, an empty one is passed over, and of a query's documents the first 3 * max_documents are looked at. The
+    fold runs in an expression over these few of each query, whose contents are cut to their share before they are gathered."""
     if not 1 <= max_documents <= 100 or not 128 <= max_tokens <= 65_536:
         raise ValueError("1 to 100 documents, 128 to 65536 tokens")
-    out, used = [], RESPONSE_TOKENS
-    for row in ranked.orderBy(F.desc("score"), "stable_key").limit(min(500, 3 * max_documents)).collect():
-        room = min(per_document, max_tokens - used)
-        if len(out) >= max_documents or room <= 0:
-            break
-        text = row["content"] or ""
-        cut = estimate(text) > room
-        text = truncate(text, room) if cut else text
-        if not text.strip() and not estimate(text):
-            continue
-        out.append({"stable_key": row["stable_key"], "content": text, "score": row["score"], "tokens": estimate(text), "truncated": cut})
-        used += estimate(text)
-    return out
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("score"), "stable_key")
+    best = ranked.withColumn("rank_", F.row_number().over(order)).filter(F.col("rank_") <= min(500, 3 * max_documents))
+    item = F.struct("rank_", "stable_key", "score", token_estimate("content").alias("size"), truncated("content", F.lit(per_document)).alias("content"))
+    grouped = best.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items_"))
+    start = F.expr(f"CAST(named_struct('used', {RESPONSE_TOKENS}, 'stopped', false, 'out', array()) AS struct<used: int, stopped: boolean, out: array<struct<at: int, tokens: int>>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        room = F.least(F.lit(per_document), F.lit(max_tokens) - acc["used"])
+        tokens = F.least(x["size"], room).cast("int")
+        stop = (F.size(acc["out"]) >= max_documents) | (room <= 0) | acc["stopped"]
+        taken = F.struct((acc["used"] + tokens).alias("used"), F.lit(False).alias("stopped"), F.concat(acc["out"], F.array(F.struct(x["rank_"].alias("at"), tokens.alias("tokens")))).alias("out"))
+        return F.when(stop, F.struct(acc["used"].alias("used"), F.lit(True).alias("stopped"), acc["out"].alias("out"))).when(x["size"] == 0, acc).otherwise(taken)
+
+    folded = grouped.withColumn("fold_", F.aggregate("items_", start, step))
+    each = folded.select(*by, "items_", F.posexplode("fold_.out").alias("i_", "o_")).withColumn("x_", F.element_at("items_", F.col("o_.at")))
+    return each.select(*by, (F.col("i_") + 1).alias("position"), "x_.stable_key", truncated("x_.content", F.col("o_.tokens")).alias("content"), "x_.score", "o_.tokens", (F.col("o_.tokens") < F.col("x_.size")).alias("truncated"))
+
+
+def hybrid_context(ranked: DataFrame, max_documents: int = 20, max_tokens: int = 4096, per_document: int = 1024) -> DataFrame:
+    """The context of one query, whose hits ranked holds (see hybrid_contexts)."""
+    one = hybrid_contexts(ranked.withColumn("query_", F.lit(0)), ["query_"], max_documents, max_tokens, per_document)
+    return one.drop("query_")
 
 
 def reuse_vectors(documents: DataFrame, index: DataFrame, model: tuple[str, str, int] | None = None, indexed: tuple[str, str, int] | None = None) -> DataFrame:

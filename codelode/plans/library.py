@@ -332,8 +332,8 @@ R.add("n02_stale_search", lambda t: retrieval.semantic_search(vectors(t), "STALE
 
 
 def one_context(t: Tables) -> DataFrame:
-    found = context.symbol_context(t.symbols, occurrences(t), t.relationships, "proj", SYMBOL, depth=1, per_node=4, usages=3, by_target=t.relationships_by_target)["contexts"]
-    return t.spark.createDataFrame([(c["symbol"], r["id"], r["direction"], i + 1) for c in found for i, r in enumerate(c["relations"])], "symbol_id string, id string, direction string, position int")
+    found = context.symbol_contexts(lookup.symbol_by_id(t.symbols, "proj", SYMBOL), occurrences(t), t.relationships, depth=1, per_node=4, usages=3, by_target=t.relationships_by_target)
+    return found.select("symbol_id", F.posexplode("relations").alias("i", "r")).select("symbol_id", "r.id", "r.direction", (F.col("i") + 1).alias("position"))
 
 
 _REL_ORDER = f"direction_rank, {ordinal_sql('kind', RELATIONSHIP_KINDS)}, target_id IS NULL, {ordinal_sql('source_type', ENTITY_TYPES)}, source_id, {ordinal_sql('target_type', ENTITY_TYPES)} NULLS LAST, target_id NULLS LAST, unresolved_target NULLS LAST, file_id NULLS LAST, start_line NULLS LAST, id"

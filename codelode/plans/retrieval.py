@@ -51,12 +51,25 @@ R.add("d11_hybrid_fallback", lambda t: rounded(hybrid(t, False).select(*_SHOWN),
       f"{_HYBRID} SELECT stable_key, kind, round(score, 8) AS score, round(lexical, 8) AS lexical, round(graph, 8) AS graph FROM (SELECT *, least(1, greatest(0, 0.7::DOUBLE * lexical + 0.3::DOUBLE * graph)) AS score FROM sig WHERE lexical > 0) w ORDER BY w.score DESC, stable_key LIMIT 50")
 
 
-def context(t: Tables) -> DataFrame:
-    found = retrieval.hybrid_context(hybrid(t, True), 10, 2048, 512)
-    return t.spark.createDataFrame([(i + 1, f["stable_key"], f["tokens"], f["truncated"]) for i, f in enumerate(found)], "position int, stable_key string, tokens int, truncated boolean")
+_SCORE = "least(1, greatest(0, 0.5::DOUBLE * greatest(0, least(1, semantic)) + 0.35::DOUBLE * lexical + 0.15::DOUBLE * graph))"
 
 
-R.add("n05_hybrid_context", context)
+def budget_sql(by: str, documents: int, tokens: int, share: int) -> str:
+    """Recursive expressions that take documents (by, k, stable_key, size) in the order of k while a budget of theirs lasts."""
+    return f"""f AS (
+      SELECT {by}, 0::BIGINT AS k, 32 AS used, 0 AS n, false AS stopped, NULL::VARCHAR AS stable_key, 0 AS tokens, 0 AS size FROM (SELECT DISTINCT {by} FROM r)
+      UNION ALL
+      SELECT {by}, r.k, used + CASE WHEN go THEN least(r.size, room) ELSE 0 END, n + go::INTEGER, stop, r.stable_key, CASE WHEN go THEN least(r.size, room) ELSE 0 END, r.size
+      FROM (SELECT f.{by}, f.k + 1 AS k, f.used, f.n, f.stopped OR f.n >= {documents} OR least({share}, {tokens} - f.used) <= 0 AS stop, least({share}, {tokens} - f.used) AS room FROM f) s JOIN r USING ({by}, k), LATERAL (SELECT NOT stop AND r.size > 0 AS go))
+    SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY k)::INTEGER AS position, stable_key, tokens, tokens < size AS truncated FROM f WHERE tokens > 0"""
+
+
+_SHOWN_CONTEXT = ["position", "stable_key", "tokens", "truncated"]
+R.add("n05_hybrid_context", lambda t: retrieval.hybrid_context(hybrid(t, True), 10, 2048, 512).select(*_SHOWN_CONTEXT),
+      f"""{_HYBRID.replace('WITH', 'WITH RECURSIVE', 1)}, r AS (SELECT 1 AS q, row_number() OVER (ORDER BY {_SCORE} DESC, stable_key) AS k, stable_key, ceil(strlen(content) / 4.0)::INTEGER AS size FROM sig JOIN (SELECT stable_key, content FROM lex) USING (stable_key) WHERE lexical > 0 OR semantic > 0 QUALIFY k <= 30), {budget_sql('q', 10, 2048, 512).replace('SELECT q, row_number()', 'SELECT row_number()')}""")
+R.add("n05_source_contexts", lambda t: retrieval.hybrid_contexts(t.base("documents").select("source", F.col("doc_id").cast("string").alias("stable_key"), F.col("text").alias("content"), text.lexical_score(F.col("text"), QUERY).alias("score")), ["source"], 12, 4096, 400).select("source", *_SHOWN_CONTEXT),
+      f"""WITH RECURSIVE scored AS (SELECT source, doc_id, text, least(1.0, len(list_filter({_TERMS}, lambda w: list_contains(string_split(norm, ' '), w))) / 5.0::DOUBLE + CASE WHEN contains(norm, '{QUERY}') THEN 0.25 ELSE 0 END) AS score FROM (SELECT *, {_NORMAL.format('text')} AS norm FROM documents)),
+      r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id::VARCHAR) AS k, doc_id::VARCHAR AS stable_key, ceil(strlen(text) / 4.0)::INTEGER AS size FROM scored QUALIFY k <= 36), {budget_sql('source', 12, 4096, 400)}""")
 R.add("n01_semantic_documents", lambda t: retrieval.semantic_documents(t.symbols).select("stable_key", "kind", "tokens", "checksum"),
       f"""{cte('symbols')}, own AS (SELECT *, kind || ' ' || coalesce(qualified_name, name) || coalesce(' ' || signature, '') AS line FROM symbols WHERE NOT external),
       made AS (SELECT 'symbol:' || id AS stable_key, 'SYMBOL' AS kind, substr(line, 1, 3072) AS content FROM own UNION ALL SELECT 'chunk:' || id || ':' || start_line || ':' || end_line, 'CHUNK', substr(line, 1, 3072) FROM own UNION ALL SELECT 'file:' || file_id, 'FILE', substr(string_agg(line, chr(10) ORDER BY line), 1, 8192) FROM own GROUP BY file_id)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import ENTITY_TYPES, RELATIONSHIP_KINDS, ordinal_sql
 from ..operators import context, governance, history, projects
-from .lookups import SYMBOL, occurrences
+from .lookups import _ORDER, _RANK, SYMBOL, occurrences
 from .projection import cte
 from .registry import Registry, Tables
 
@@ -86,18 +86,75 @@ R.add("i11_interprocedural_edges", lambda t: projects.interprocedural_edges(meth
       SELECT 'a' || ck || '_' || i AS source_node_id, 'p' || mk || '_' || i AS target_node_id, 'ARGUMENT_FLOW' AS kind FROM met, range(1, 4) r(i) WHERE i <= arity UNION ALL SELECT 'r' || mk, 'x' || ck, 'RETURN_FLOW' FROM met""")
 
 
+def counted(contexts: DataFrame, *keys: str) -> DataFrame:
+    return contexts.select(*keys, "position", "symbol_id", F.size("relations").alias("relations"), F.size("usages").alias("usages"), "tokens", "truncated")
+
+
 def code_search(t: Tables) -> DataFrame:
-    found = context.search(t.symbols, occurrences(t), t.relationships, "proj", "small ring", limit=3, per_node=5, usages=3, max_tokens=4096, by_target=t.relationships_by_target)
-    return t.spark.createDataFrame([(i + 1, c["symbol"], len(c["relations"]), len(c["usages"]), c["tokens"], c["truncated"]) for i, c in enumerate(found["contexts"])], "position int, symbol_id string, relations int, usages int, tokens int, truncated boolean")
+    return counted(context.search(t.symbols, occurrences(t), t.relationships, "proj", "small ring", limit=3, per_node=5, usages=3, max_tokens=4096, by_target=t.relationships_by_target))
+
+
+def file_contexts(t: Tables) -> DataFrame:
+    """What a budget shows of the first three symbols of every file."""
+    order = Window.partitionBy("file_id").orderBy(F.desc("start_line"), "id")
+    roots = t.symbols.withColumn("position", F.row_number().over(order)).filter("position <= 4").withColumn("query", F.col("file_id"))
+    found = context.contexts(roots, occurrences(t), t.relationships, 3, depth=2, per_node=3, usages=2, max_tokens=900, by_target=t.relationships_by_target)
+    return found.select(F.col("query").alias("file_id"), "position", "symbol_id", F.transform("relations", lambda r: r["id"]).alias("r"), F.array_join("usages", ",").alias("usages"), "tokens", "truncated", "response_truncated").withColumn("relations", F.array_join("r", ",")).drop("r")
+
+
+def walked(t: Tables, roots: DataFrame) -> DataFrame:
+    """The relations around roots, at most two levels and three of each node."""
+    steps = context.walks(t.relationships, roots, 2, 3, t.relationships_by_target)
+    return steps.select("root", F.posexplode("steps").alias("i", "x")).select("root", (F.col("i") + 1).alias("position"), F.col("x.level").alias("depth"), F.col("x.from_node").alias("node"), "x.direction", "x.id")
 
 
 def relation_walk(t: Tables) -> DataFrame:
-    rows, _, _ = context.neighbourhood(t.relationships, "proj", SYMBOL, 2, 3, 8192, t.relationships_by_target)
-    return t.spark.createDataFrame([(i + 1, r["depth"], r["from"], r["direction"], r["id"]) for i, r in enumerate(rows)], "position int, depth int, node string, direction string, id string")
+    return walked(t, t.symbols.filter(F.col("id") == SYMBOL).select(F.col("id").alias("root"))).drop("root")
 
 
-R.add("n06_code_search", code_search)
 _ROLL = f"direction_rank, {ordinal_sql('kind', RELATIONSHIP_KINDS)}, target_id IS NULL, {ordinal_sql('source_type', ENTITY_TYPES)}, source_id, {ordinal_sql('target_type', ENTITY_TYPES)} NULLS LAST, target_id NULLS LAST, unresolved_target NULLS LAST, file_id NULLS LAST, start_line NULLS LAST, id"
+_EST = lambda *names: " + ".join(f"ceil(coalesce(strlen({n}), 0) / 4.0)::INTEGER" for n in names)
+#: Every node's first four relations, and the usages of every symbol.
+_NEAR = f"""ranked AS (SELECT node, id, direction_rank, CASE WHEN direction_rank = 0 THEN target_id ELSE source_id END AS other, 36 + {_EST('id', 'source_id', 'target_id', 'unresolved_target', 'kind', 'nature')} AS price,
+        row_number() OVER (PARTITION BY node ORDER BY {_ROLL}) AS k FROM (SELECT *, source_id AS node, 0 AS direction_rank FROM relationships UNION ALL SELECT *, target_id, 1 FROM relationships WHERE target_id <> source_id)),
+      used AS (SELECT symbol_id AS root, id, k, sum(price) OVER (PARTITION BY symbol_id ORDER BY k)::INTEGER AS spent FROM (SELECT symbol_id, id, 20 + {_EST('id', 'symbol_id', 'file_id')} + ceil((strlen(role) + 2) / 4.0)::INTEGER AS price, row_number() OVER (PARTITION BY symbol_id ORDER BY file_id, start_line, start_column, id) AS k FROM occurrences WHERE role NOT IN ('DEFINITION', 'FORWARD_DEFINITION')))"""
+
+
+def _context_sql(roots: str, depth: int, per_node: int, usages: int) -> str:
+    """steps (root, n, level, node, direction_rank, id, spent) and facts of each root: its lists of sums and ids, and before which step a node has too many."""
+    two = f"""two AS (SELECT o.root, 2 AS level, r.node, o.place, r.k, r.direction_rank, r.id, r.price FROM (SELECT root, other, min(k) AS place FROM one WHERE k <= {per_node} AND other <> root GROUP BY ALL) o JOIN ranked r ON r.node = o.other
+        WHERE {2 <= depth}), fresh AS (SELECT * FROM two WHERE k > {per_node} OR NOT EXISTS (SELECT 1 FROM one WHERE one.root = two.root AND one.id = two.id AND one.k <= {per_node}) QUALIFY k > {per_node} OR row_number() OVER (PARTITION BY root, id, k > {per_node} ORDER BY place, k) = 1)"""
+    return f"""{_NEAR}, one AS (SELECT node AS root, 1 AS level, node, 0 AS place, k, direction_rank, id, price, other FROM ranked WHERE k <= {per_node + 1} AND node IN (SELECT id FROM {roots})), {two},
+      every AS (SELECT root, level, node, place, k, direction_rank, id, price FROM one UNION ALL SELECT root, level, node, place, k, direction_rank, id, price FROM fresh WHERE k <= {per_node + 1}),
+      steps AS (SELECT root, level, place, node, direction_rank, id, row_number() OVER w AS n, sum(price) OVER w::INTEGER AS spent FROM every WHERE k <= {per_node} WINDOW w AS (PARTITION BY root ORDER BY level, place, k)),
+      over AS (SELECT root, min((level, place)) AS cut_at FROM every WHERE k > {per_node} GROUP BY root),
+      walked AS (SELECT root, list(spent ORDER BY n) AS spent, list(id ORDER BY n) AS ids, CASE WHEN bool_or(cut_at IS NOT NULL) THEN count(*) FILTER ((level, place) < cut_at) ELSE 1000000 END AS first_over FROM steps LEFT JOIN over USING (root) GROUP BY root),
+      shown AS (SELECT root, list(spent ORDER BY k) FILTER (k <= {usages}) AS use_spent, list(id ORDER BY k) FILTER (k <= {usages}) AS use_ids, max(k) > {usages} AS more FROM used GROUP BY root),
+      facts AS (SELECT s.*, 32 + {_EST('s.id', 'symbol_key', 'module_id', 'file_id', 's.name', 'qualified_name', 'signature', 'language')} AS price, coalesce(spent, []) AS spent, ids, coalesce(first_over, 1000000) AS first_over, coalesce(use_spent, []) AS use_spent, use_ids, coalesce(more, false) AS more FROM {roots} s LEFT JOIN walked w ON w.root = s.id LEFT JOIN shown u ON u.root = s.id)"""
+
+
+def _fold_sql(tokens: int) -> str:
+    """The roots of each query (facts with query and position) that a budget reaches."""
+    return f"""fold AS (
+      SELECT query, 0::BIGINT AS position, 24 AS used, false AS stopped, NULL::VARCHAR AS id, 0 AS taken, 0 AS n, 0 AS tokens, false AS truncated FROM (SELECT DISTINCT query FROM facts)
+      UNION ALL
+      SELECT query, f.position, s.used + price + a + b, s.used + price + a + b >= {tokens}, f.id, taken, m, (price + a + b)::INTEGER, taken < len(spent) OR first_over <= taken OR room <= 0 OR m < len(use_spent) OR more
+      FROM (SELECT query, position + 1 AS position, used FROM fold WHERE NOT stopped) s JOIN facts f USING (query, position), LATERAL (SELECT {tokens} - s.used - price AS room), LATERAL (SELECT len(list_filter(spent, lambda c: c <= room)) AS taken), LATERAL (SELECT CASE WHEN taken > 0 THEN spent[taken] ELSE 0 END AS a),
+        LATERAL (SELECT len(list_filter(use_spent, lambda c: c <= room - a)) AS m), LATERAL (SELECT CASE WHEN m > 0 THEN use_spent[m] ELSE 0 END AS b) WHERE room >= 0)"""
+
+
+_ALL_CONTEXTS = cte('symbols', 'relationships', 'occurrences').replace("WITH", "WITH RECURSIVE", 1)
+R.add("n06_code_search", code_search,
+      f"""{_ALL_CONTEXTS}, ranks AS (SELECT *, {_RANK.format(q='small ring')} AS match_rank FROM symbols), roots AS (SELECT 1 AS query, row_number() OVER (ORDER BY {_ORDER}) AS position, * EXCLUDE (match_rank) FROM ranks WHERE match_rank IS NOT NULL QUALIFY position <= 3), {_context_sql('roots', 1, 5, 3)}, {_fold_sql(4096)}
+      SELECT position::INTEGER AS position, id AS symbol_id, taken::INTEGER AS relations, n::INTEGER AS usages, tokens, truncated FROM fold WHERE position > 0""")
+R.add("n06_file_contexts", file_contexts,
+      f"""{_ALL_CONTEXTS}, ordered AS (SELECT file_id AS query, row_number() OVER (PARTITION BY file_id ORDER BY start_line DESC, id) AS position, * FROM symbols), roots AS (SELECT * FROM ordered WHERE position <= 3), {_context_sql('roots', 2, 3, 2)}, {_fold_sql(900)},
+      said AS (SELECT query, max(position) = 4 AS beyond FROM (SELECT query, position FROM ordered WHERE position <= 4) GROUP BY query), ended AS (SELECT query, bool_or(truncated) OR count(*) FILTER (position > 0) < any_value(k) AS cut FROM fold JOIN (SELECT query, count(*) AS k FROM roots GROUP BY query) USING (query) GROUP BY query)
+      SELECT query AS file_id, position::INTEGER AS position, fold.id AS symbol_id, coalesce(array_to_string(ids[1:taken], ','), '') AS relations, coalesce(array_to_string(use_ids[1:n], ','), '') AS usages, tokens, truncated, beyond OR cut AS response_truncated FROM fold JOIN facts USING (query, position) JOIN said USING (query) JOIN ended USING (query) WHERE position > 0""")
+R.add("n07_symbol_contexts", lambda t: counted(context.symbol_contexts(t.symbols, occurrences(t), t.relationships, depth=1, per_node=4, usages=3, max_tokens=600, by_target=t.relationships_by_target)).drop("position"),
+      f"""{_ALL_CONTEXTS}, roots AS (SELECT id AS query, 1::BIGINT AS position, * FROM symbols), {_context_sql('roots', 1, 4, 3)}, {_fold_sql(600)} SELECT id AS symbol_id, taken::INTEGER AS relations, n::INTEGER AS usages, tokens, truncated FROM fold WHERE position > 0""")
+R.add("i07_all_walks", lambda t: walked(t, t.symbols.select(F.col("id").alias("root"))),
+      f"""{cte('symbols', 'relationships', 'occurrences')}, {_context_sql('symbols', 2, 3, 2)} SELECT root, n::INTEGER AS position, level AS depth, node, CASE WHEN direction_rank = 0 THEN 'OUTGOING' ELSE 'INCOMING' END AS direction, id FROM steps""")
 R.add("i07_context_traversal", relation_walk,
       f"""{cte('relationships')}, ends AS (SELECT *, source_id AS node, 0 AS direction_rank FROM relationships UNION ALL SELECT *, target_id, 1 FROM relationships WHERE target_id <> source_id),
       one AS (SELECT *, row_number() OVER (ORDER BY {_ROLL}) AS k FROM ends WHERE node = '{SYMBOL}' QUALIFY k <= 3), others AS (SELECT CASE WHEN direction_rank = 0 THEN target_id ELSE source_id END AS node, min(k) AS place FROM one GROUP BY 1 HAVING node IS NOT NULL AND node <> '{SYMBOL}'),

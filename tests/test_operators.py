@@ -120,7 +120,7 @@ def test_retrieval_measures_count_a_repeat_once_in_recall(spark):
 
 def test_a_context_lets_later_documents_in_after_a_cut(spark):
     rows = spark.createDataFrame([("a", "x" * 4000, 0.9), ("b", "y" * 40, 0.8), ("c", "z" * 4000, 0.7)], "stable_key string, content string, score double")
-    found = retrieval.hybrid_context(rows, 3, 200, 100)
+    found = retrieval.hybrid_context(rows, 3, 200, 100).orderBy("position").collect()
     assert [(f["stable_key"], f["tokens"], f["truncated"]) for f in found] == [("a", 100, True), ("b", 10, False), ("c", 58, True)]
 
 

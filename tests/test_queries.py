@@ -1,4 +1,4 @@
-"""Every query of the catalog against its SQL; those without SQL must give the rows that are known of them."""
+"""Every query of the catalog against its SQL."""
 
 import pytest
 
@@ -13,18 +13,8 @@ def test_same_rows(spark, name):
     oracle.same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 
 
-def test_what_has_no_sql(spark):
-    """Budgets that a fold fills: contexts within their tokens, in rank order, and as many as fit."""
-    assert WITHOUT == ["n05_hybrid_context", "n06_code_search"]
-    ranked = [r["stable_key"] for r in catalog.QUERIES["n03_hybrid_search"](spark, oracle.SF).orderBy("score", ascending=False).collect()]
-    rows = catalog.QUERIES["n05_hybrid_context"](spark, oracle.SF).orderBy("position").collect()
-    keys = [r["stable_key"] for r in rows]
-    assert rows and [r["position"] for r in rows] == list(range(1, len(rows) + 1)) and set(keys) <= set(ranked)
-    assert sum(r["tokens"] for r in rows) + 32 <= 2048 and all(r["tokens"] <= 512 for r in rows) and all(r["tokens"] == 512 for r in rows[:-1] if r["truncated"])
-    best = [r["id"] for r in catalog.QUERIES["c03_match_rank"](spark, oracle.SF).collect()]
-    rows = catalog.QUERIES["n06_code_search"](spark, oracle.SF).orderBy("position").collect()
-    assert rows and len(rows) <= 3 and {r["symbol_id"] for r in rows} <= set(best) and sum(r["tokens"] for r in rows) + 24 <= 4096
-    assert all(r["relations"] <= 5 and r["usages"] <= 3 for r in rows)
+def test_every_query_has_sql():
+    assert not WITHOUT
 
 
 def test_entry(spark):

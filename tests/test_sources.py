@@ -160,7 +160,25 @@ def test_code_search_keeps_its_budget(spark):
     symbols = spark.createDataFrame([(f"s{i}", "p", f"k{i}", None, "f", "CLASS", f"Alpha{i}", f"x.Alpha{i}", None, "java", 1, 0, 2, False, False) for i in range(4)], "id string, project_id string, symbol_key string, module_id string, file_id string, kind string, name string, qualified_name string, signature string, language string, start_line int, start_column int, end_line int, external boolean, generated boolean")
     relations = spark.createDataFrame([(f"r{i}", "p", "SYMBOL", "s0", "SYMBOL", f"s{i}", None, "CALLS", "RESOLVED", "FACTUAL", None, "f", 1) for i in range(1, 4)], "id string, project_id string, source_type string, source_id string, target_type string, target_id string, unresolved_target string, kind string, resolution_status string, nature string, confidence double, file_id string, start_line int")
     occurrences = spark.createDataFrame([("o1", "p", "s0", "f", 1, 1, ["CALL"])], "id string, project_id string, symbol_id string, file_id string, start_line int, start_column int, roles array<string>")
-    found = context.search(symbols, occurrences, relations, "p", "alpha", limit=2, per_node=2, max_tokens=300, source=lambda *a: "code")
-    first = found["contexts"][0]
-    assert (first["symbol"], len(first["relations"]), first["usages"], first["source"], first["truncated"]) == ("s0", 2, ["o1"], "code", True)
-    assert found["truncated"] and found["tokens"] <= 300
+    excerpts = symbols.select(F.col("id").alias("root"), F.lit("code " * 100).alias("source"))
+    first, *others = context.search(symbols, occurrences, relations, "p", "alpha", limit=2, per_node=2, max_tokens=300, excerpts=excerpts).orderBy("position").collect()
+    assert (first["symbol_id"], len(first["relations"]), first["usages"], first["truncated"], others) == ("s0", 2, ["o1"], True, [])
+    rest = 300 - 24 - (first["tokens"] - -(-len(first["source"]) // 4))  # what relations and usages left of the budget
+    assert len(first["source"]) == 4 * rest and first["tokens"] == 276 and first["response_truncated"]
+    whole = context.search(symbols, occurrences, relations, "p", "alpha", limit=4, per_node=5, max_tokens=4000, excerpts=excerpts).orderBy("position").collect()
+    assert [r["symbol_id"] for r in whole] == ["s0", "s1", "s2", "s3"] and all(r["source"] == "code " * 100 and not r["truncated"] and not r["response_truncated"] for r in whole)
+    assert [[x["direction"] for x in r["relations"]] for r in whole] == [["OUTGOING"] * 3, *[["INCOMING"]] * 3]
+    deep = context.symbol_contexts(symbols.filter("id = 's1'"), occurrences, relations, depth=3, per_node=5).first()
+    assert [(x["level"], x["from_node"], x["id"]) for x in deep["relations"]] == [(1, "s1", "r1"), (2, "s0", "r2"), (2, "s0", "r3")]
+    assert context.symbol_contexts(symbols.limit(0), occurrences, relations).count() == 0
+    none = context.symbol_contexts(symbols, occurrences, relations, depth=0, usages=0)
+    assert none.count() == 4 and none.filter("truncated OR size(relations) + size(usages) > 0 OR source IS NOT NULL").count() == 0
+
+
+def test_a_node_of_very_many_relations_is_no_task_of_its_own(spark):
+    relations = spark.range(20_000).select(F.format_string("r%06d", "id").alias("id"), F.lit("p").alias("project_id"), F.lit("SYMBOL").alias("source_type"), F.format_string("s%d", "id").alias("source_id"), F.lit("SYMBOL").alias("target_type"), F.lit("hub").alias("target_id"), F.lit(None).cast("string").alias("unresolved_target"), F.lit("CALLS").alias("kind"), F.lit("FACTUAL").alias("nature"), F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("int").alias("start_line"))
+    near = context.around(relations, spark.createDataFrame([("hub",), ("s7",)], "node string"), 5)
+    assert "WindowGroupLimit" in near._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["node"], r["position"]) for r in near.collect()) == [("hub", k) for k in range(1, 6)] + [("s7", 1)]
+    walk = context.walks(relations, spark.createDataFrame([("s7",), ("nobody",)], "root string"), 2, 3).collect()
+    assert {r["root"]: len(r["steps"]) for r in walk} == {"s7": 4, "nobody": 0} and {r["root"]: r["first_over"] for r in walk}["s7"] == 1
