@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from .. import ports
 from ..functions import text
 from ..model import ENTITY_TYPES, NATURES, RELATIONSHIP_KINDS, ordinal_sql
 from ..operators import architecture, context, derive, governance, history, lookup, projects, retrieval, traverse
-from ..sources import envelopes, files, java, scip
+from ..sources import databases, envelopes, files, java, scip
 from ..store import SessionLog, SnapshotStore, scratch
 from ..streaming import sessions
 from .lookups import FILE, SYMBOL, occurrences
@@ -223,6 +224,48 @@ R.add("b05_saved_sessions", appended, f"{cte('observations')} SELECT session_id,
 R.add("b13_baseline_changes", baseline_changes, f"{cte('files_before', 'files_after')} SELECT CASE WHEN b.sha IS NULL THEN 'added' WHEN a.sha IS NULL THEN 'deleted' WHEN a.sha = b.sha AND a.size = b.size THEN 'unchanged' ELSE 'modified' END AS status, count(*) AS files FROM files_after a FULL JOIN files_before b ON a.path = b.path GROUP BY 1")
 
 
+def database(t: Tables) -> databases.Database:
+    """A database of this session's own; it lives in the driver's JVM, so local sessions alone can write to it."""
+    out = databases.Database(t.spark, f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true")
+    out.migrate()
+    return out
+
+
+def loaded_from_database(t: Tables) -> DataFrame:
+    """The symbols of the active snapshot, the second of two."""
+    db = database(t)
+    db.publish_snapshot("proj", "s1", {"symbols": t.symbols.filter("language = 'java'")})
+    db.publish_snapshot("proj", "s2", {"symbols": t.symbols})
+    return db.load_snapshot("proj", "symbols").select("id", "name", "file_id", "external")
+
+
+def database_publishes(t: Tables) -> DataFrame:
+    """A snapshot published, published again, and refused with other rows: what each attempt gave and the rows that the active one has then."""
+    db, out = database(t), []
+    facts = {"symbols": t.symbols, "relationships": t.relationships.dropDuplicates(["id"])}
+    for attempt, tables in (("first", facts), ("again", facts), ("other", facts | {"symbols": t.symbols.withColumn("name", F.lower("name"))})):
+        try:
+            said = "added" if db.publish_snapshot("proj", "s1", tables) else "there"
+        except ValueError:
+            said = "refused"
+        out += [(attempt, said, name, db.load_snapshot("proj", name).count()) for name in facts]
+    return t.spark.createDataFrame(out, "attempt string, outcome string, name string, rows long")
+
+
+def database_vectors(t: Tables) -> DataFrame:
+    db = database(t)
+    index = vectors(t).withColumns({"kind": F.lit("SYMBOL"), "checksum": F.md5("stable_key")})
+    db.replace_vectors("proj", index.filter("stable_key LIKE '%1'"))
+    db.replace_vectors("proj", index)
+    return db.load_vectors("proj").select("stable_key", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))), 6).alias("total"))
+
+
+R.add("a25_database_snapshot", loaded_from_database, f"{cte('symbols')} SELECT id, name, file_id, external FROM symbols")
+R.add("b06_database_publishes", database_publishes,
+      f"{cte('symbols', 'relationships')}, n AS (SELECT 'symbols' AS name, count(*) AS \"rows\" FROM symbols UNION ALL SELECT 'relationships', count(DISTINCT id) FROM relationships) SELECT attempt, outcome, name, \"rows\" FROM n, (VALUES ('first', 'added'), ('again', 'there'), ('other', 'refused')) a(attempt, outcome)")
+R.add("b07_database_vectors", database_vectors, "SELECT 'doc:' || vec_id AS stable_key, len(embedding)::INTEGER AS dims, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS total FROM embeddings")
+
+
 def exported(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     paths = t.symbols.select("file_id").distinct().filter("length(file_id) % 5 > 0").withColumn("path", F.concat(F.lit("/"), "file_id"))
     return history.export_facts(t.symbols, t.relationships, paths, 5000)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codelode import ports, store
 from codelode.operators import traverse
-from codelode.sources import java, postgres, scip
+from codelode.sources import databases, java, scip
 
 
 def test_providers_are_found_by_name(spark):
@@ -78,28 +78,85 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
 def test_statements_make_and_merge_the_tables():
     con = duckdb.connect()
-    for s in postgres.ddl("k"):
+    for s in databases.ddl("k"):
         if "EXTENSION" not in s:
-            con.execute(s.replace("vector(384)", "FLOAT[384]").replace("timestamptz", "TIMESTAMP").replace("bytea", "BLOB"))
+            con.execute(s.replace("vector(384)", "FLOAT[384]").replace("timestamptz", "TIMESTAMP"))
     tables = {r[0] for r in con.execute("SELECT table_name FROM information_schema.tables WHERE table_schema = 'k'").fetchall()}
-    assert tables == set(postgres.TABLES) and con.execute("SELECT version FROM k.schema_version").fetchall() == [(1,)]
-    con.execute("CREATE TABLE k.staging AS SELECT 'p' AS project_id, 's' AS snapshot_id, 'x' AS sha256, now()::TIMESTAMP AS created_at, 1 AS symbols, 2 AS occurrences, 3 AS relationships")
+    assert tables == set(databases.TABLES) and con.execute("SELECT version FROM k.schema_version").fetchall() == [(1,)]
+    con.execute("CREATE TABLE k.staging AS SELECT 'p' AS project_id, 's' AS snapshot_id, 'x' AS sha256, now()::TIMESTAMP AS created_at, '{}' AS contents")
     for _ in range(2):  # what is there stays
-        con.execute(postgres.merge_sql("k", "snapshots", "staging"))
+        con.execute(databases.merge_sql("k", "snapshots", "staging"))
     assert con.execute("SELECT count(*) FROM k.snapshots").fetchone() == (1,)
-    assert con.execute(postgres.conflict_sql("k", "staging")).fetchall() == []
-    con.execute("UPDATE k.staging SET sha256 = 'y'")
-    assert con.execute(postgres.conflict_sql("k", "staging")).fetchall() == [("p", "s")]
     for snapshot in ("s", "t"):
-        con.execute(postgres.promote_sql("k"), ["p", snapshot])
+        for statement in databases.promote_sql("k"):
+            con.execute(statement, ["p", snapshot])
     assert con.execute("SELECT * FROM k.active_snapshots").fetchall() == [("p", "t")]
 
 
+@pytest.fixture
+def derby(spark):
+    import uuid
+
+    db = databases.Database(spark, f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true")
+    db.migrate()
+    db.migrate()  # what is there stays
+    return db
+
+
+def _facts(spark, n, name="n"):
+    return spark.range(n).select(F.format_string("s%d", "id").alias("id"), *[F.lit(None).cast("string").alias(c) for c in ("symbol_key", "module_id", "signature", "qualified_name")], F.lit("f").alias("file_id"), F.lit("CLASS").alias("kind"), F.lit(f"{name} é '").alias("name"), F.lit("java").alias("language"), F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("start_column"), F.lit(2).alias("end_line"), (F.col("id") % 2 == 0).alias("external"), F.lit(False).alias("generated"))
+
+
+def test_a_database_publishes_all_or_nothing(spark, derby):
+    assert derby.active("p") is None
+    with pytest.raises(LookupError):
+        derby.load_snapshot("p", "symbols")
+    assert derby.publish_snapshot("p", "one", {"symbols": _facts(spark, 500)})
+    assert not derby.publish_snapshot("p", "one", {"symbols": _facts(spark, 500).repartition(3)})  # the same rows in another order
+    with pytest.raises(ValueError, match="other content"):
+        derby.publish_snapshot("p", "one", {"symbols": _facts(spark, 500, "changed")})
+    got = derby.load_snapshot("p", "symbols")
+    assert got.count() == 500 and {r["name"] for r in got.collect()} == {"n é '"} and dict(got.dtypes)["external"] == "boolean"
+    assert derby.publish_snapshot("p", "two", {"symbols": _facts(spark, 3)}) and derby.load_snapshot("p", "symbols").count() == 3
+    assert not derby.publish_snapshot("p", "one", {"symbols": _facts(spark, 500)}) and derby.active("p")[0] == "one"  # active again
+    assert derby.publish_snapshot("it's", "one", {"symbols": _facts(spark, 2)}) and derby.load_snapshot("it's", "symbols").count() == 2
+    left = []
+    derby.transaction(lambda run: left.extend(run("SELECT tablename FROM sys.systables WHERE tablename LIKE 'STAGING%'")))
+    assert not left
+    derby.transaction(lambda run: run('UPDATE codelode.symbols SET "name" = \'x\' WHERE "id" = \'s7\''))
+    with pytest.raises(ValueError, match="isn't what was published"):
+        derby.load_snapshot("p", "symbols")
+    derby.transaction(lambda run: run('UPDATE codelode.snapshots SET "contents" = \'{}\' WHERE "project_id" = \'p\''))
+    with pytest.raises(ValueError, match="header"):
+        derby.active("p")
+
+
+def test_a_transaction_that_fails_changes_nothing(spark, derby, monkeypatch):
+    derby.publish_snapshot("p", "one", {"symbols": _facts(spark, 5)})
+    monkeypatch.setattr(databases, "promote_sql", lambda *_: ["INSERT INTO codelode.nowhere VALUES (?, ?)"])
+    with pytest.raises(Exception, match="(?i)nowhere"):
+        derby.publish_snapshot("p", "two", {"symbols": _facts(spark, 9)})
+    rows = []
+    derby.transaction(lambda run: rows.extend(run('SELECT "snapshot_id", count(*) FROM codelode.symbols GROUP BY "snapshot_id"')))
+    assert rows == [("one", "5")] and derby.active("p")[0] == "one"
+
+
+def test_a_database_replaces_vectors(spark, derby):
+    index = lambda n: spark.range(n).select(F.format_string("d%d", "id").alias("stable_key"), F.lit("SYMBOL").alias("kind"), F.lit("c").alias("checksum"), F.array(F.col("id").cast("float"), F.lit(0.1).cast("float"), F.lit(-2.5e-8).cast("float")).alias("vector"))
+    derby.replace_vectors("p", index(1200))
+    derby.replace_vectors("q", index(2))
+    derby.replace_vectors("p", index(700))
+    got = derby.load_vectors("p")
+    assert got.exceptAll(index(700)).count() == 0 and got.count() == 700 and derby.load_vectors("q").count() == 2
+    derby.replace_vectors("p", index(0))
+    assert derby.load_vectors("p").count() == 0
+
+
 def test_rows_are_staged_as_the_tables_are(spark):
     index = spark.createDataFrame([("p", "a", "SYMBOL", "1", [1.0, 0.5])], "project_id string, stable_key string, kind string, checksum string, vector array<double>")
-    assert tuple(postgres.staged(index, "semantic_vectors").first()) == ("p", "a", "SYMBOL", "1", "[1.0,0.5]")
+    assert tuple(databases.staged(index, "semantic_vectors").first()) == ("p", "a", "SYMBOL", "1", "[1.0,0.5]")
     with pytest.raises(Exception, match="kind"):
-        postgres.staged(index.drop("kind"), "semantic_vectors")
+        databases.staged(index.drop("kind"), "semantic_vectors")
 
 
 def test_fragments_of_providers_are_joined(spark):
