@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import ports
 from ..functions import text
 from ..model import ENTITY_TYPES, NATURES, RELATIONSHIP_KINDS, ordinal_sql
-from ..operators import architecture, context, derive, governance, history, lookup, projects, retrieval, traverse
+from ..operators import architecture, context, derive, discovery, governance, history, lookup, projects, retrieval, traverse
 from ..sources import databases, envelopes, files, java, scip
 from ..store import SessionLog, SnapshotStore, scratch
 from ..streaming import sessions
@@ -106,10 +106,58 @@ R.add("a14_globs", lambda t: t.files_after.select("path", *[F.col("path").rlike(
       f"{cte('files_after')} SELECT path, regexp_full_match(path, '[^/]*\\.java') AS g0, regexp_full_match(path, 'src/(.*/)?1[^/]*\\.txt') AS g1, regexp_full_match(path, '(.*/)?2[^/]\\.java') AS g2, regexp_full_match(path, 'src/main/[A-S][^/]*/[^/]*7\\.java') AS g3 FROM files_after")
 
 
+def written_tree(t: Tables) -> str:
+    """A folder in which tasks have written every document as a file, below one of 50 folders."""
+    root = scratch(t.spark, "tree")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{base}/d{key % 50}", recursive=True)
+                with store.open_output_stream(f"{base}/d{key % 50}/{key}.txt", compression=None) as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["doc_id"])
+
+    t.base("documents").select("doc_id", "text").mapInArrow(run, "doc_id long").count()
+    return root
+
+
+_FILES = "SELECT 'd' || (doc_id % 50) || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS body FROM documents"
+R.add("a17_file_fingerprints", lambda t: files.fingerprints(t.spark, written_tree(t)), f"SELECT path, strlen(body) AS size, sha256(body) AS sha FROM ({_FILES})")
+R.add("a26_source_lines", lambda t: files.source_lines(t.spark, written_tree(t), "*7.txt", 50_000).groupBy("path").agg(F.max("line").alias("lines"), F.sum(F.length("text")).alias("chars"), F.md5(F.max_by("text", "line")).alias("last")),
+      f"SELECT path, len(l)::INTEGER AS lines, list_sum(list_transform(l, lambda x: length(x)))::BIGINT AS chars, md5(l[-1]) AS last FROM (SELECT path, regexp_split_to_array(body, '\r\n|\n|\r') AS l FROM ({_FILES}) WHERE ends_with(path, '7.txt') AND strlen(body) <= 50000)")
+
+
 def kept_paths(t: Tables) -> DataFrame:
     rules = [files.IgnoreRules("*.txt\n!*3.txt\n# a remark\n/src/main/SMALL/1*.java\n")]
-    keep = F.udf(lambda p: not files.ignored(p, False, rules), "boolean")
-    return t.files_after.select("path").filter(keep("path"))
+    return t.files_after.select("path").filter(~discovery.is_ignored(F.col("path"), rules))
+
+
+#: A tree of eleven projects: modules two folders deep with files of many kinds, and lock files above some.
+_TREE = """SELECT 'p' || (p_partkey % 11) AS project_id, CASE WHEN p_partkey % 101 = 0 THEN 'pnpm-lock.yaml' WHEN p_partkey % 97 = 0 THEN 'm' || (p_partkey % 40) || '/yarn.lock' ELSE 'm' || (p_partkey % 40) || '/n' || (p_partkey % 6) || '/' ||
+    CASE p_partkey % 29 WHEN 0 THEN 'pom.xml' WHEN 1 THEN 'package.json' WHEN 2 THEN 'go.mod' WHEN 3 THEN 'App.CSPROJ' WHEN 4 THEN 'CMakeLists.txt' WHEN 5 THEN 'src/main/java/x/A.java' WHEN 6 THEN 'src/test/java/T.JAVA' WHEN 7 THEN 'src/a/b.ts' WHEN 8 THEN 'tests/t.py'
+      WHEN 9 THEN 'include/x.h' WHEN 10 THEN 'cmd/main.go' WHEN 11 THEN 'src/lib.rs' WHEN 12 THEN 'include/y.hpp' WHEN 13 THEN 'src/tests/pom.xml' WHEN 14 THEN 'src/tests/tests/z.cpp' WHEN 15 THEN 'x.pom.xml' ELSE 'docs/readme.md' END END AS path FROM part WHERE p_partkey % 11 <> 10 OR p_partkey % 29 IN (7, 10, 20)"""
+_SYSTEMS = ", ".join(f"('{b}', '{m.lower()[1:] if m.startswith('*') else m}', {m.startswith('*')}, {b in files.INHERITED}, {i})" for i, (b, markers) in enumerate(files.BUILD_MARKERS.items()) for m in markers)
+_MODULES = f"""WITH paths AS ({_TREE}), f AS (SELECT project_id, path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder, regexp_extract(path, '[^/]*$') AS name FROM paths),
+      own AS (SELECT DISTINCT project_id, folder AS module_path FROM f WHERE {" OR ".join(f"ends_with(lower(name), '{m[1:]}')" if m.startswith("*") else f"name = '{m}'" for m in files.MODULE_MARKERS)}),
+      modules AS (SELECT * FROM own UNION ALL SELECT DISTINCT project_id, '' FROM f WHERE project_id NOT IN (SELECT project_id FROM own))"""
+
+
+def tree(t: Tables) -> DataFrame:
+    return t.base("part").selectExpr("*").transform(lambda df: df.sparkSession.sql(_TREE.replace("FROM part", "FROM {part}"), part=df))
+
+
+R.add("a15_modules", lambda t: discovery.modules(tree(t)).select("project_id", "module_path", "name", F.array_join("build_systems", ",").alias("build_systems")),
+      f"""{_MODULES}, s(system, marker, ending, inherited, rank) AS (VALUES {_SYSTEMS}), met AS (SELECT DISTINCT m.project_id, module_path, system, rank FROM modules m JOIN f ON f.project_id = m.project_id JOIN s ON CASE WHEN ending THEN ends_with(lower(f.name), marker) ELSE f.name = marker END
+        WHERE f.folder = module_path OR inherited AND (f.folder = '' OR starts_with(module_path, f.folder || '/')))
+      SELECT project_id, module_path, CASE WHEN module_path = '' THEN project_id ELSE regexp_extract(module_path, '[^/]*$') END AS name, coalesce(string_agg(system, ',' ORDER BY rank), '') AS build_systems FROM modules LEFT JOIN met USING (project_id, module_path) GROUP BY ALL""")
+R.add("a16_source_roots", lambda t: (lambda paths: discovery.source_roots(paths, discovery.modules(paths)))(tree(t)),
+      f"""{_MODULES}, c(convention, root_kind, language, ending) AS (VALUES {", ".join(str((root, kind, language, e)) for root, kind, language, endings in discovery.CONVENTIONS for e in endings.split())})
+      SELECT DISTINCT m.project_id, module_path, root, root_kind, language FROM modules m, c, LATERAL (SELECT CASE WHEN convention = '.' THEN module_path WHEN module_path = '' THEN convention ELSE module_path || '/' || convention END AS root) JOIN f ON f.project_id = m.project_id AND ends_with(lower(f.name), ending) AND (root = '' OR starts_with(f.path, root || '/'))""")
 
 
 R.add("a13_kept_paths", kept_paths, f"{cte('files_after')} SELECT path FROM files_after WHERE NOT (ends_with(path, '.txt') AND NOT ends_with(path, '3.txt')) AND NOT (starts_with(path, 'src/main/SMALL/1') AND ends_with(path, '.java'))")

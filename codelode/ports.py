@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from .functions.text import hash_embedding
 from .operators.retrieval import cosine_top_k
-from .sources.files import discover, excerpt
+from .operators import discovery
+from .sources.files import excerpt
 from .store import SnapshotStore
 
 
@@ -54,9 +55,11 @@ class IndexerProvider(Protocol):
 
 @runtime_checkable
 class Discovery(Protocol):
-    """Modules and source roots of a list of paths."""
+    """Modules and source roots of projects, from a table of their paths (project_id, path)."""
 
-    def __call__(self, paths: list[str]) -> tuple[list[dict], list[dict]]: ...
+    def modules(self, paths: DataFrame) -> DataFrame: ...
+
+    def source_roots(self, paths: DataFrame, known: DataFrame) -> DataFrame: ...
 
 
 @runtime_checkable
@@ -136,9 +139,15 @@ class ParquetVectors:
         return cosine_top_k(self.load(project), query, limit, least)
 
 
+class MarkerDiscovery:
+    """Marker files make modules, and conventional folders source roots."""
+
+    modules, source_roots = staticmethod(discovery.modules), staticmethod(discovery.source_roots)
+
+
 #: Providers by kind and name.
 PROVIDERS: dict[str, dict[str, Callable]] = {
-    "embedding": {"hash": HashEmbedding}, "store": {"parquet": SnapshotStore}, "vectors": {"parquet": ParquetVectors}, "discovery": {"default": lambda: discover}, "source": {"lines": LinesReader}, "graph": {}, "indexer": {},
+    "embedding": {"hash": HashEmbedding}, "store": {"parquet": SnapshotStore}, "vectors": {"parquet": ParquetVectors}, "discovery": {"default": MarkerDiscovery}, "source": {"lines": LinesReader}, "graph": {}, "indexer": {},
 }
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate, truncate
+from . import trees
 
-#: Folders never entered; marker files of build systems; endings of languages.
+#: Folders never entered; marker files of build systems and modules.
 HARD_IGNORED = {".git", ".idea", ".codelode", "node_modules", "target", "dist", "out"}
 BUILD_MARKERS = {
     "MAVEN": ["pom.xml"], "GRADLE": ["build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts"], "PNPM": ["pnpm-lock.yaml", "pnpm-workspace.yaml"], "YARN": ["yarn.lock"], "NPM": ["package-lock.json"],
@@ -19,13 +20,6 @@ BUILD_MARKERS = {
 }
 INHERITED = {"PNPM", "YARN", "NPM"}
 MODULE_MARKERS = ["pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "package.json", "pyproject.toml", "setup.py", "CMakeLists.txt", "*.csproj", "*.sln", "go.mod", "go.work", "Cargo.toml"]
-LANGUAGES = {
-    "JAVA": [".java"], "KOTLIN": [".kt", ".kts"], "TYPESCRIPT": [".ts", ".tsx"], "PYTHON": [".py"], "C": [".c", ".h"], "CPP": [".cc", ".cpp", ".cxx", ".hh", ".hpp", ".hxx"], "CSHARP": [".cs"], "GO": [".go"], "RUST": [".rs"],
-}
-ROOTS = [
-    ("src/main/java", "SOURCE", "JAVA"), ("src/test/java", "TEST", "JAVA"), ("src/main/kotlin", "SOURCE", "KOTLIN"), ("src/test/kotlin", "TEST", "KOTLIN"), (".", "SOURCE", "GO"),
-    *[(root, kind, x) for x in ("TYPESCRIPT", "PYTHON", "C", "CPP", "CSHARP") for root, kind in (("src", "SOURCE"), ("test", "TEST"), ("tests", "TEST"))], ("include", "SOURCE", "C"), ("include", "SOURCE", "CPP"), ("src", "SOURCE", "RUST"), ("tests", "TEST", "RUST"),
-]
 MAX_SOURCE_BYTES = 16 << 20
 
 
@@ -97,41 +91,14 @@ def list_project(root: str, ignore_files: tuple[str, ...] = (".gitignore",)) ->
     return sorted(out)
 
 
-def discover(paths: list[str]) -> tuple[list[dict], list[dict]]:
-    """Modules (folders with a marker file; without any the root alone) with build systems, and their source roots with languages, of a list of paths."""
-    fits = lambda name, markers: any(name == m or m.startswith("*") and name.endswith(m[1:]) for m in markers)
-    folders: dict[str, set[str]] = {}
-    for p in paths:
-        parent, _, name = p.rpartition("/")
-        folders.setdefault(parent, set()).add(name)
-    modules = sorted(f for f, names in folders.items() if any(fits(n, MODULE_MARKERS) for n in names)) or [""]
-    above = lambda m: ["", *["/".join(m.split("/")[: i + 1]) for i in range(len(m.split("/")) - 1)], m] if m else [""]
-    out, roots = [], []
-    for m in modules:
-        own = [b for b, markers in BUILD_MARKERS.items() if any(fits(n, markers) for f in (above(m) if b in INHERITED else [m]) for n in folders.get(f, ()))]
-        out.append({"module_path": m, "name": m.rpartition("/")[2] or "root", "build_systems": own})
-        for root, kind, language in ROOTS:
-            full = m if root == "." else f"{m}/{root}".lstrip("/")
-            nested = [x for x in modules if x != m and x.startswith(f"{m}/" if m else "")]
-            here = [p for p in paths if (p.startswith(f"{full}/") if full else True) and not any(p.startswith(f"{x}/") for x in nested)]
-            if any(p.endswith(tuple(LANGUAGES[language])) for p in here) and (root != "." or "GO_MODULE" in own):
-                roots.append({"module_path": m, "root": full, "root_kind": kind, "language": language})
-    return out, roots
-
-
-def fingerprints(spark: SparkSession, root: str) -> DataFrame:
-    """path, size and SHA-256 of a tree's files, hashed where they are read. root: a URI that Spark reads."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/") + "/")
-    plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    return files.select(F.replace(plain, base, F.lit("")).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha"))
+def fingerprints(spark: SparkSession, root: str, **options) -> DataFrame:
+    """path, size and SHA-256 of a tree's files, hashed piece by piece where they are read."""
+    return trees.read(spark, root, **options).select("path", "size", "sha")
 
 
 def source_lines(spark: SparkSession, root: str, pattern: str = "*", most: int = MAX_SOURCE_BYTES) -> DataFrame:
     """path, line (from 1) and text of the source files of a tree; larger files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).filter(F.col("length") <= most)
-    text = F.decode("content", "UTF-8")
-    return files.select("path", F.posexplode(F.split(text, "\r\n|\n|\r")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return trees.read(spark, root, lines=True, pattern=pattern).filter(F.col("size") <= most).select("path", "line", "text")
 
 
 def excerpt(lines: list[str], start: int, end: int, around: int, budget: int) -> tuple[int, int, str]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from codelode.operators import context
 from codelode.sources import envelopes, files, git, scip
+from codelode.operators import discovery
+from codelode.sources import trees
 from codelode.store import SessionLog, SnapshotStore
 from codelode.streaming import sessions
 
@@ -106,15 +108,53 @@ def test_discovery_and_fingerprints(spark, tmp_path):
         (tmp_path / p).write_text(body)
     paths = files.list_project(str(tmp_path))
     assert "a.tmp" not in paths and "target/x.class" not in paths and ".gitignore" in paths
-    modules, roots = files.discover(paths)
-    assert [(m["module_path"], m["build_systems"]) for m in modules] == [("", ["MAVEN", "YARN"]), ("m", ["MAVEN", "YARN"]), ("web", ["YARN"])]
-    assert {(r["root"], r["language"]) for r in roots} == {("m/src/main/java", "JAVA"), ("web/src", "TYPESCRIPT")}
+    table = spark.createDataFrame([("p", x) for x in paths] + [("lone", "a/b.go"), ("lone", "README")], "project_id string, path string")
+    modules = discovery.modules(table)
+    assert sorted((m["project_id"], m["module_path"], m["name"], m["build_systems"]) for m in modules.collect()) == [("lone", "", "lone", []), ("p", "", "p", ["MAVEN", "YARN"]), ("p", "m", "m", ["MAVEN", "YARN"]), ("p", "web", "web", ["YARN"])]
+    assert {(r["project_id"], r["root"], r["language"]) for r in discovery.source_roots(table, modules).collect()} == {("p", "m/src/main/java", "JAVA"), ("p", "web/src", "TYPESCRIPT"), ("lone", "", "GO")}
+    assert discovery.modules(table.limit(0)).count() == 0 and discovery.source_roots(table.limit(0), modules).count() == 0
     found = {r["path"]: r["size"] for r in files.fingerprints(spark, f"file://{tmp_path}").collect()}
     assert found["m/src/main/java/A.java"] == 10
     assert files.source_lines(spark, f"file://{tmp_path}", "*.java").first()["text"] == "class A {}"
     assert files.excerpt([f"line {i}" for i in range(1, 30)], 10, 10, 3, 8) == (9, 12, "line 9\nline 10\nline 11\nline 12")
 
 
+def test_ignored_paths_are_those_of_the_rules(spark):
+    rules = [files.IgnoreRules("*.log\n!keep.log\nbuild/\n/top.txt\na[0-9].c\nd\\#x\n"), files.IgnoreRules("**/gen/*.java\n")]
+    paths = ["x.log", "a/keep.log", "build", "build/x", "b/build/c/x", "top.txt", "a/top.txt", "a1.c", "ab.c", "q/d#x", "s/gen/A.java", "s/gen/t/A.java", "node_modules/x", "a/.git/x", "a.git/x", "out", "layout/x"]
+    got = {r["path"]: r["i"] for r in spark.createDataFrame([(p,) for p in paths], "path string").select("path", discovery.is_ignored(F.col("path"), rules).alias("i")).collect()}
+    assert got == {p: files.ignored(p, False, rules) for p in paths}
+
+
+def test_files_are_read_in_pieces(spark, tmp_path):
+    import hashlib
+
+    big = ("line é of a long file\n" * 9000).encode()
+    made = {"a/big.txt": big, "a/empty.txt": b"", "b.bin": bytes(range(256)) * 3, "c/win.txt": b"one\r\ntwo\rthree\n\nlast", "c/cut.txt": "é".encode() * 400 + b"\xff!"}
+    for p, body in made.items():
+        (tmp_path / "tree" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / p).write_bytes(body)
+    (tmp_path / "outside.txt").write_text("secret")
+    (tmp_path / "tree/link.txt").symlink_to(tmp_path / "outside.txt")
+    (tmp_path / "tree/linked").symlink_to(tmp_path)
+    root = f"file://{tmp_path}/tree"
+    found = {r["path"]: (r["size"], r["sha"]) for r in files.fingerprints(spark, root, chunk=1000, pack=2000).collect()}
+    assert found == {p: (len(b), hashlib.sha256(b).hexdigest()) for p, b in made.items()}  # and nothing through links
+    lines = trees.read(spark, root, lines=True, chunk=7)
+    for p in ("a/big.txt", "c/win.txt", "c/cut.txt", "a/empty.txt"):
+        want = made[p].decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        assert [r["text"] for r in lines.filter(F.col("path") == p).orderBy("line").collect()] == want
+    pieces = trees.read(spark, root, pieces=True, chunk=1000).filter("path = 'a/big.txt'").orderBy("piece").collect()
+    assert b"".join(bytes(r["data"]) for r in pieces) == big and max(len(r["data"]) for r in pieces) == 1000
+    assert trees.read(spark, root, chunk=1000, pack=1).rdd.getNumPartitions() == 5 and trees.read(spark, root).rdd.getNumPartitions() == 1
+    assert {r["path"] for r in trees.read(spark, root, pattern="*.txt", most=5000).collect()} == {"a/empty.txt", "c/win.txt", "c/cut.txt"}
+    with pytest.raises(ValueError, match="outside"):
+        trees.read(spark, root, paths=["../outside.txt"])
+    with pytest.raises(ValueError, match="link"):
+        trees.read(spark, root, paths=["linked/outside.txt"])
+    assert trees.read(spark, root, paths=["b.bin"]).first()["size"] == 768
+
+
 def test_git_history(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=N", "-c", "user.email=N@x", *a], check=True, capture_output=True)
     run("init", "-q")
