@@ -19,7 +19,7 @@ from .common import lean, scratch, small_batches, stored, table
 from .transducer import Lexicon, compile_lexicon
 
 #: Words of the lexicon, words that a task counts at a time, and words whose ids it remembers; when these are too many, those outside the lexicon are forgotten.
-LEXICON_WORDS, COUNTED, KEPT = 65_536, 150_000, 150_000
+LEXICON_WORDS, COUNTED, KEPT = 65_536, 100_000, 100_000
 #: Fixed values of the tokenizer file: its split pattern, and the strings that are tokens wherever they stand.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: In texts of these characters alone, normalising is lower-casing and a split by plain sets of them is the same; others take the library's own normaliser.

@@ -201,10 +201,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
         weights, maker = np.zeros(DIMS, np.float32), Features()
         weights[at] = values
         for texts in batches:
-            found = [maker.of(t or "") for t in texts]
-            raw = np.array([bias + float(weights[x].sum(dtype=np.float64)) for x in found], np.float64)
+            raw, unjudged = np.zeros(len(texts)), np.zeros(len(texts), bool)
+            for i, t in enumerate(texts):
+                x = maker.of(t or "")
+                raw[i], unjudged[i] = bias + float(weights[x].sum(dtype=np.float64)), not len(x) or not len(at)
             p = 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
-            unjudged = np.array([not len(x) or not len(at) for x in found], bool)
             yield pd.Series(np.where(unjudged, np.minimum(p, WITHOUT * threshold), p))
 
     kept = own_names(docs, f"{prefix}score", f"{prefix}predicted")
