@@ -1,4 +1,4 @@
-"""Roles, hash-chained audit events, and bearer tokens."""
+"""Roles, audit events read and removed (see audit for their chains), and bearer tokens."""
 
 from __future__ import annotations
 
@@ -39,31 +39,6 @@ def upsert_members(members: DataFrame, changes: DataFrame) -> DataFrame:
     return checked.select("tenant_id", "principal_id", F.when(fine, F.col("role")).otherwise(F.raise_error(F.concat(F.lit("tenant needs an owner and at most 1024 members: "), "tenant_id"))).alias("role"))
 
 
-def chain_hash(key: bytes, event: dict, previous: str) -> str:
-    """The HMAC of an event's fields and the hash before it, joined by NUL."""
-    names = ["sequence", "tenant_id", "occurred_at", "principal_id", "action", "resource_type", "resource_id", "outcome", "request_id", "key_id"]
-    return hmac.new(key, "\0".join([*(str(event[n]) for n in names), previous]).encode(), hashlib.sha256).hexdigest()
-
-
-def append_audit(key: bytes, chain: list[dict], event: dict) -> list[dict]:
-    """The chain of one tenant with one event more."""
-    if len(chain) >= MAX_EVENTS:
-        raise ValueError(f"a chain has at most {MAX_EVENTS} events")
-    last = chain[-1] if chain else {"sequence": 0, "hash": ""}
-    full = event | {"sequence": last["sequence"] + 1, "previous_hash": last["hash"]}
-    return [*chain, full | {"hash": chain_hash(key, full, last["hash"])}]
-
-
-def broken_at(key: bytes, chain: list[dict]) -> int | None:
-    """The sequence of the first event that doesn't follow from the one before; None for a whole chain. A trimmed chain starts with any event."""
-    previous = None
-    for e in chain:
-        if previous is not None and (e["sequence"] != previous["sequence"] + 1 or e["previous_hash"] != previous["hash"]) or chain_hash(key, e, e["previous_hash"]) != e["hash"]:
-            return e["sequence"]
-        previous = e
-    return None
-
-
 def newest_events(events: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
     return events.filter(F.col("tenant_id") == tenant).orderBy(F.desc("sequence")).limit(limit)
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from .. import ports
 from ..functions import text
 from ..model import ENTITY_TYPES, NATURES, RELATIONSHIP_KINDS, ordinal_sql
-from ..operators import architecture, context, derive, discovery, governance, history, lookup, projects, retrieval, traverse
+from ..operators import architecture, audit, context, derive, discovery, governance, history, lookup, projects, retrieval, traverse
 from ..sources import databases, envelopes, files, java, scip
-from ..store import SessionLog, SnapshotStore, scratch
+from ..store import SessionLog, SnapshotStore, scratch, stored
+from ..streaming import audit as audit_streams
 from ..streaming import sessions
+from .history import hash_pad
 from .lookups import FILE, SYMBOL, occurrences
 from .projection import cte
 from .registry import Registry, Tables
@@ -509,23 +511,59 @@ R.add("t08_execution_scopes", placed_indexers,
       SELECT indexer_id, '' AS scope FROM root UNION ALL SELECT indexer_id, path FROM able WHERE (build IS NULL OR build = own) AND indexer_id NOT IN (SELECT indexer_id FROM root)""")
 
 
-def audited(t: Tables) -> DataFrame:
-    """Each tenant's events appended to a chain under one key and checked: how many there are, and where the chain breaks, once as it is and once with an event changed."""
-
-    def run(rows):
-        import pandas as pd
+def audit_events(t: Tables) -> DataFrame:
+    """Audit events as they come in, without their places in a chain."""
+    said = {"principal_id": "u", "resource_type": "event", "outcome": "ALLOWED", "key_id": "k"}
+    own = {"resource_id": F.col("event_id").cast("string"), "request_id": F.format_string("q%012d", "event_id")}
+    return t.audit.select("tenant_id", F.col("occurred_at").cast("timestamp").alias("occurred_at"), "action", *[F.lit(v).alias(k) for k, v in said.items()], *[c.alias(k) for k, c in own.items()])
 
-        chain: list[dict] = []
-        for r in rows.sort_values("sequence").itertuples():
-            chain = governance.append_audit(b"key", chain, {"tenant_id": r.tenant_id, "occurred_at": str(r.occurred_at), "principal_id": "u", "action": r.action, "resource_type": "event", "resource_id": str(r.event_id), "outcome": "OK", "request_id": "q", "key_id": "k"})
-        bad = [*chain[:-1], chain[-1] | {"action": "other"}]
-        return pd.DataFrame([(chain[0]["tenant_id"], len(chain), governance.broken_at(b"key", chain), governance.broken_at(b"key", bad))], columns=["tenant_id", "events", "broken", "broken_changed"]).astype({"broken": "Int64", "broken_changed": "Int64"})
 
-    some = t.audit.filter("tenant_id < 't2'")
-    return some.groupBy("tenant_id").applyInPandas(run, "tenant_id string, events long, broken long, broken_changed long")
-
-
-R.add("v03_audit_chains", audited, f"{cte('audit')} SELECT tenant_id, count(*) AS events, NULL::BIGINT AS broken, count(*) AS broken_changed FROM audit WHERE tenant_id < 't2' GROUP BY tenant_id")
+def audited(t: Tables) -> DataFrame:
+    """Each tenant's chain checked: how many events it has, and the first one with a problem, once as it is and once with the last event changed."""
+    chain = stored(audit.append(b"key", audit_events(t)), "audit-chain")
+    last = F.col("sequence") == F.col("end")
+    changed = chain.join(audit.heads(chain).select("tenant_id", F.col("sequence").alias("end")), "tenant_id").withColumn("action", F.when(last, "other").otherwise(F.col("action"))).drop("end")
+    first = lambda rows, name: audit.verify(b"key", rows, ends=audit.heads(chain)).groupBy("tenant_id").agg(F.min("sequence").alias(name))
+    counts = chain.groupBy("tenant_id").agg(F.count("*").alias("events"))
+    return counts.join(first(chain, "broken"), "tenant_id", "left").join(first(changed, "broken_changed"), "tenant_id", "left")
+
+
+def trimmed(t: Tables) -> DataFrame:
+    """What is wrong with chains, the first of whose events retention removed and some of whose others were tampered with: a third of the anchors is lost, a few events are gone and a few have another outcome."""
+    chain = stored(audit.append(b"key", audit_events(t)), "audit-chain")
+    id_ = F.col("resource_id").cast("long")
+    kept, gone = chain.filter("sequence > 3"), chain.filter("sequence <= 3")
+    known = audit.anchors(gone).filter(F.substring("tenant_id", 2, 20).cast("long") % 3 > 0)
+    bad = kept.filter(id_ % 29 != 1).withColumn("outcome", F.when(id_ % 31 == 2, "DENIED").otherwise(F.col("outcome")))
+    return audit.verify(b"key", bad, known, audit.heads(chain))
+
+
+def streamed_chains(t: Tables) -> DataFrame:
+    """Events that arrive in two deliveries, the second after the stream was stopped and started again, as chains."""
+    folder, chain, checkpoint = (scratch(t.spark, name) for name in ("audit-events", "audit-chains", "audit-checkpoint"))
+    late = F.col("occurred_at") >= F.lit("2024-01-16").cast("timestamp")
+    for part in (~late, late):
+        audit_events(t).filter(part).write.mode("append").parquet(folder)
+        audit_streams.extend(t.spark, b"key", folder, chain, checkpoint).awaitTermination()
+    return t.spark.read.schema(audit.CHAIN).parquet(chain).select("tenant_id", "sequence", "previous_hash", "hash")
+
+
+#: Chains event by event; the keyed hash is spelt out with SHA-256.
+_HMAC = lambda said: f"sha256(unhex('{hash_pad(0x5C)}') || unhex(sha256(unhex('{hash_pad(0x36)}') || encode({said}))))"
+_SAID = "n.tenant_id || chr(0) || n.secs || chr(0) || n.nanos || chr(0) || 'u' || chr(0) || n.action || chr(0) || 'event' || chr(0) || n.event_id || chr(0) || 'ALLOWED' || chr(0) || 'q' || lpad(n.event_id::VARCHAR, 12, '0') || chr(0) || 'k' || chr(0)"
+CHAINS = f"""{cte('audit').replace('WITH ', 'WITH RECURSIVE ', 1)}, told AS (SELECT *, epoch_us(occurred_at) // 1000000 AS secs, epoch_us(occurred_at) % 1000000 * 1000 AS nanos FROM audit),
+      chain AS (SELECT n.tenant_id, n.sequence, n.event_id, repeat('0', 64) AS previous_hash, {_HMAC(f"'1' || chr(0) || {_SAID} || repeat('0', 64)")} AS hash FROM told n WHERE n.sequence = 1
+      UNION ALL SELECT n.tenant_id, n.sequence, n.event_id, c.hash, {_HMAC(f"n.sequence || chr(0) || {_SAID} || c.hash")} FROM told n JOIN chain c ON c.tenant_id = n.tenant_id AND c.sequence + 1 = n.sequence)"""
+R.add("v03_audit_chains", audited, f"{cte('audit')} SELECT tenant_id, count(*) AS events, NULL::BIGINT AS broken, count(*) AS broken_changed FROM audit GROUP BY tenant_id")
+R.add("v03_audit_hashes", lambda t: audit.append(b"key", audit_events(t)).select("tenant_id", "sequence", "previous_hash", "hash"), f"{CHAINS} SELECT tenant_id, sequence, previous_hash, hash FROM chain")
+R.add("v03_streamed_chains", streamed_chains, f"{CHAINS} SELECT tenant_id, sequence, previous_hash, hash FROM chain")
+R.add("f05_trimmed_chains", trimmed,
+      f"""{cte('audit')}, k AS (SELECT *, min(sequence) OVER (PARTITION BY tenant_id) AS low, lag(sequence) OVER (PARTITION BY tenant_id ORDER BY sequence) AS before FROM audit WHERE sequence > 3 AND event_id % 29 <> 1),
+      ends AS (SELECT tenant_id, max(sequence) AS whole, max(sequence) FILTER (WHERE sequence > 3 AND event_id % 29 <> 1) AS is_ FROM audit GROUP BY tenant_id)
+      SELECT tenant_id, sequence, 'SEQUENCE' AS problem FROM k WHERE sequence > low AND before <> sequence - 1
+      UNION ALL SELECT tenant_id, sequence, 'CHAIN' FROM k WHERE sequence = low AND (substr(tenant_id, 2)::BIGINT % 3 = 0 OR sequence > 4)
+      UNION ALL SELECT tenant_id, sequence, 'AUTHENTICATION' FROM k WHERE event_id % 31 = 2
+      UNION ALL SELECT tenant_id, coalesce(is_, whole), 'END' FROM ends WHERE is_ IS NULL OR is_ <> whole""")
 
 
 def changed_members(t: Tables) -> DataFrame:
