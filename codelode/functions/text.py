@@ -174,6 +174,30 @@ def hash_vector(text: str, dims: int = 384) -> np.ndarray:
     return hash_vectors([text], dims)[0]
 
 
+def _narrowing(before: int, after: int) -> list[tuple[int, int]]:
+    """Lines around an excerpt as its budget narrows: the wider side first, of equal ones that before."""
+    steps = [(before, after)]
+    while before + after:
+        before, after = (before - 1, after) if before >= after else (before, after - 1)
+        steps.append((before, after))
+    return steps
+
+
+def excerpt_of(lines: Column, start: Column, end: Column, around: int, budget: int) -> Column:
+    """Lines start to end (from 1, in an array) with at most around more on each side, as many as a token budget takes, then cut to it: an expression of the same text as sources.files.excerpt gives.
+
+    Null lines are empty; an array that ends before start gives an empty text."""
+    pair = lambda p: F.struct(F.lit(p[0]).alias("before"), F.lit(p[1]).alias("after"))
+    all_ = F.array(*[F.array(*[F.array(*map(pair, _narrowing(b, a))) for a in range(around + 1)]) for b in range(around + 1)])
+    before = start - F.greatest(F.lit(1), start - around)
+    after = F.greatest(F.lit(0), F.least(F.size(lines), end + around) - end)
+    steps = F.element_at(F.element_at(all_, (before + 1).cast("int")), (after + 1).cast("int"))
+    cut = lambda p: F.slice(lines, (start - p["before"]).cast("int"), F.greatest(F.lit(0), end + p["after"] - start + p["before"] + 1).cast("int"))
+    texts = F.transform(steps, lambda p: F.array_join(F.transform(cut(p), lambda x: F.coalesce(x, F.lit(""))), "\n"))
+    fits = F.filter(texts, lambda x: F.octet_length(x) <= 4 * budget)
+    return F.coalesce(F.get(fits, F.lit(0)), truncated(F.element_at(texts, -1), F.lit(budget)))
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:

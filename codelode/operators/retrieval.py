@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import cosine, lexical_score, token_estimate, truncated
-from ..sources.files import excerpt
+from ..functions.text import cosine, excerpt_of, lexical_score, token_estimate, truncated
 
 MAX_RESULTS, RESPONSE_TOKENS = 1000, 32
+#: Lines of a bin in which spans of a file meet its lines.
+BIN = 64
 #: Fixed weights: semantic, lexical, graph; and lexical, graph where there is no semantic index.
 HYBRID, FALLBACK = (0.50, 0.35, 0.15), (0.70, 0.30)
 
@@ -162,9 +162,17 @@ def index_size(documents: DataFrame, dims: int) -> DataFrame:
     return documents.agg(F.sum(F.coalesce(F.octet_length("content"), F.lit(0)) + 4 * dims).alias("bytes"), F.count("*").alias("documents"))
 
 
-@F.udf(T.StringType())
-def _excerpts(lines, start, end):
-    return excerpt([t or "" for t in lines], start, end, 2, 768)[2]
+def covered_lines(placed: DataFrame, lines: DataFrame, around: int, most: int) -> DataFrame:
+    """id, first and covered of placed spans (id, file_id, start_line, end_line): the texts from around lines before a span to as many after it, from lines (file_id, line from 1, text), and the number of the first.
+
+    Spans meet lines by bins of BIN lines, so the work grows with the lines covered, not with spans times lines of a file. Lines that a
+    budget of most tokens can't reach, as each line has a byte at its end, are left out; what it gives is the same."""
+    last = F.least(F.col("end_line") + around, F.col("start_line") + 4 * most + 1)
+    low = F.greatest(F.lit(1), F.col("start_line") - around)
+    spans = placed.select("id", "file_id", low.alias("low"), F.greatest(low, last).alias("last"))
+    bins = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / BIN), F.floor(F.col("last") / BIN))))
+    met = bins.join(lines.select("file_id", "line", "text", F.floor(F.col("line") / BIN).alias("bin")), ["file_id", "bin"]).filter(F.col("line").between(F.col("low"), F.col("last")))
+    return met.groupBy("id").agg(F.min("line").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("covered"))
 
 
 def semantic_documents(symbols: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -187,9 +195,8 @@ def semantic_documents(symbols: DataFrame, lines: DataFrame | None = None) -> Da
     if lines is None:
         chunks = placed.withColumn("source", F.lit(None).cast("string"))
     else:
-        near = placed.select("id", "file_id", "start_line", "end_line").join(lines, "file_id").filter(F.col("line").between(F.col("start_line") - 2, F.col("end_line") + 2))
-        near = near.groupBy("id", "start_line", "end_line").agg(F.min("line").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("around"))
-        cut = _excerpts("around", (F.col("start_line") - F.col("first") + 1).cast("int"), (F.col("end_line") - F.col("first") + 1).cast("int"))
+        near = covered_lines(placed, lines, 2, 768).join(placed.select("id", "start_line", "end_line"), "id")
+        cut = excerpt_of(F.col("covered"), F.col("start_line") - F.col("first") + 1, F.col("end_line") - F.col("first") + 1, 2, 768)
         chunks = placed.join(near.select("id", cut.alias("source")), "id", "left")
     chunk = F.when(F.col("source").rlike(r"\S"), F.col("source")).otherwise(F.col("content"))
     chunks = chunks.select(F.concat_ws(":", F.lit("chunk"), "id", "start_line", "end_line").alias("stable_key"), F.lit("CHUNK").alias("kind"), F.col("id").alias("source_id"), "file_id", chunk.alias("content"), F.lit(768).alias("most"))

@@ -456,8 +456,7 @@ def windows(t: Tables) -> DataFrame:
     """Excerpts of made-up files of p_size lines around one line, under a budget."""
     lines = F.transform(F.sequence(F.lit(1), F.col("p_size").cast("int")), lambda i: F.concat(F.lit("line "), F.lpad(i.cast("string"), 3, "0")))
     at = (F.col("p_partkey") % F.col("p_size") + 1).cast("int")
-    cut = F.udf(lambda own, line: files.excerpt(own, line, line, 2, 12)[2], "string")
-    return t.base("part").select("p_partkey", cut(lines, at).alias("excerpt"))
+    return t.base("part").select("p_partkey", text.excerpt_of(lines, at, at, 2, 12).alias("excerpt"))
 
 
 #: Lines have eight characters: twelve tokens take five of them with their ends.

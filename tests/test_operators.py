@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import text
 from codelode.operators import architecture, derive, governance, history, lookup, projects, retrieval, runtime, traverse
+from codelode.sources import files
 
 SYMBOL = "id string, project_id string, symbol_key string, module_id string, file_id string, kind string, name string, qualified_name string, signature string, language string, start_line int, start_column int, end_line int, external boolean, generated boolean"
 RELATION = "id string, project_id string, source_type string, source_id string, target_type string, target_id string, unresolved_target string, kind string, resolution_status string, nature string, confidence double, file_id string, start_line int"
@@ -192,6 +193,34 @@ def test_chunks_are_excerpts_of_placed_symbols(spark):
         assert got == {"chunk:a:4:5": want, "chunk:b:4:5": "CLASS B"}
 
 
+def test_excerpts_are_those_of_the_plain_rule(spark):
+    import random
+
+    rng, cases = random.Random(5), []
+    for i in range(300):
+        lines = [rng.choice(["", "x", "ab" * rng.randint(0, 9), "é漢" * rng.randint(0, 5)]) for _ in range(rng.randint(0, 12))]
+        start = rng.randint(1, 13)
+        cases.append((i, lines, start, start + rng.randint(0, 5)))
+    df = spark.createDataFrame(cases, "i int, lines array<string>, start int, end int")
+    for around, budget in ((0, 3), (2, 4), (3, 12), (5, 0)):
+        got = df.select("i", text.excerpt_of(F.col("lines"), F.col("start"), F.col("end"), around, budget).alias("e"))
+        assert {r["i"]: r["e"] for r in got.collect()} == {i: files.excerpt(own, a, b, around, budget)[2] for i, own, a, b in cases}
+
+
+def test_spans_meet_the_lines_they_cover(spark):
+    spans = [(f"s{i}", f"f{i % 2}", a, b) for i, (a, b) in enumerate([(1, 1), (64, 64), (60, 200), (2, 40_000), (399, 405), (500, 501)])]
+    placed = spark.createDataFrame(spans, "id string, file_id string, start_line int, end_line int")
+    lines = spark.range(1, 401).select(F.explode(F.array(F.lit("f0"), F.lit("f1"))).alias("file_id"), F.col("id").cast("int").alias("line"), F.format_string("l%d", "id").alias("text"))
+    got = {r["id"]: (r["first"], r["covered"]) for r in retrieval.covered_lines(placed, lines, 2, 768).collect()}
+    want = {i: [n for n in range(max(1, a - 2), b + 3) if n <= 400] for i, _, a, b in spans}
+    assert got == {i: (own[0], [f"l{n}" for n in own]) for i, own in want.items() if own}
+    long = spark.range(1, 20_001).select(F.lit("f1").alias("file_id"), F.col("id").cast("int").alias("line"), F.lit("").alias("text"))
+    docs = retrieval.semantic_documents(spark.createDataFrame([symbol("a", "A", file="f1")], SYMBOL).withColumns({"start_line": F.lit(5), "end_line": F.lit(19_000)}), long.withColumn("text", F.when(F.col("line") == 9, "nine").otherwise("")))
+    chunk = docs.filter("kind = 'CHUNK'").first()["content"]
+    assert chunk == files.excerpt(["nine" if n == 9 else "" for n in range(1, 20_001)], 5, 19_000, 2, 768)[2] and len(chunk) == 4 * 768
+    assert "Python" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_an_indexer_must_fit_the_build_and_have_the_capabilities(spark):
     rows = [("gradle", ["gradle"], ["calls", "types"], 9), ("weak", [], ["calls"], 8), ("fit", ["maven", "ant"], ["types", "calls"], 7), ("any", None, ["calls", "types"], 6)]
     indexers = spark.createDataFrame(rows, "indexer_id string, build_systems array<string>, capabilities array<string>, priority int").withColumns({"languages": F.array(F.lit("java")), "qualified": F.lit(True)})
