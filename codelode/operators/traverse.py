@@ -246,11 +246,17 @@ def assemble(fragments: list, providers: list[str]) -> tuple[DataFrame, DataFram
     Rows of one id must be equal. Capabilities are the fragments' own and those that edge kinds give; a provider without a fragment is a limitation."""
     there = [f for f in fragments if f is not None]
     nodes, edges = compose([f.nodes for f in there]), compose([f.edges for f in there])
-    spark = nodes.sparkSession
+    return nodes, edges, declarations(fragments, providers, edges)
+
+
+def declarations(fragments: list, providers: list[str], edges: DataFrame) -> DataFrame:
+    """What fragments declare (what, name), what the kinds of the composed edges give, and which providers are not at hand."""
+    there = [f for f in fragments if f is not None]
+    spark = edges.sparkSession
     declared = [("CAPABILITY", c) for f in there for c in f.capabilities] + [("LIMITATION", x) for f in there for x in f.limitations] + [("LIMITATION", f"{name.upper()}_UNAVAILABLE") for name, f in zip(providers, fragments, strict=True) if f is None]
     names = F.create_map(*[F.lit(x) for pair in CAPABILITY_OF.items() for x in pair])
     found = edges.select(F.lit("CAPABILITY").alias("what"), F.element_at(names, F.col("kind")).alias("name"))
-    return nodes, edges, found.unionByName(spark.createDataFrame(declared, "what string, name string")).distinct()
+    return found.unionByName(spark.createDataFrame(declared, "what string, name string")).distinct()
 
 
 def edge_quality(observed: DataFrame, expected: DataFrame) -> DataFrame:

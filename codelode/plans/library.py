@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import ports
 from ..functions import text
+from ..graphs import GraphCache
 from ..model import ENTITY_TYPES, NATURES, RELATIONSHIP_KINDS, ordinal_sql
 from ..operators import architecture, audit, context, derive, discovery, governance, history, lookup, projects, retrieval, traverse
 from ..sources import databases, envelopes, files, java, scip
@@ -373,6 +374,20 @@ def assembled(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 R.add("i13_assembled_declarations", lambda t: assembled(t)[2], f"{cte('symbols', 'relationships')}{_GRAPH} SELECT DISTINCT 'CAPABILITY' AS what, CASE kind WHEN 'CALL' THEN 'CALL_GRAPH' ELSE 'LOCAL_DATA_FLOW' END AS name FROM graph UNION SELECT 'CAPABILITY', 'CALL_GRAPH' UNION ALL SELECT 'LIMITATION', unnest(['STATIC_ONLY', 'NO_CONTROL_FLOW', 'SIDECAR_UNAVAILABLE'])")
 R.add("i13_assembled_graph", lambda t: assembled(t)[1].select("id", "source_node_id", "target_node_id", "kind", "nature"), f"{cte('symbols', 'relationships')}{_GRAPH} SELECT id, source_node_id, target_node_id, kind, nature FROM graph")
+def requested_graphs(t: Tables) -> DataFrame:
+    """Requests for the graphs of three projects, which share the relations by the length of their ids, to a cache of two: what each request found, what it removed, and how many edges it got."""
+    cache, rows = GraphCache(t.spark, {"relations": ports.provider("graph", "relations")}, most=2), []
+    for i, (project, snapshot) in enumerate(zip("01020", "aaaab", strict=True), 1):
+        before = len(cache.removed)
+        own = t.relationships.filter(F.length("id") % 3 == int(project))
+        with cache.lease(project, snapshot, t.symbols, own) as graph:
+            rows.append(graph.edges.agg(F.lit(i).alias("request"), F.lit(project).alias("project"), F.lit(graph.hit).alias("hit"), F.lit(" ".join(f"{p}{s}" for p, s, _ in cache.removed[before:])).alias("removed"), F.count("*").alias("edges")).first())
+    return t.spark.createDataFrame(rows, "request int, project string, hit boolean, removed string, edges long")
+
+
+#: What a cache of two does with 0a 1a 0a 2a 0b, worked out by hand.
+R.add("i14_graph_requests", requested_graphs,
+      f"{cte('symbols', 'relationships')}{_GRAPH}, q AS (SELECT * FROM (VALUES (1, '0', false, ''), (2, '1', false, ''), (3, '0', true, ''), (4, '2', false, '1a'), (5, '0', false, '0a')) q(request, project, hit, removed)), n AS (SELECT (length(r.id) % 3)::VARCHAR AS project, count(*) AS edges FROM relationships r WHERE resolution_status = 'RESOLVED' AND kind IN ('CALLS', 'WRITES', 'READS') AND target_type = 'SYMBOL' AND source_id IN (SELECT id FROM symbols) AND target_id IN (SELECT id FROM symbols) GROUP BY ALL) SELECT request, q.project, hit, removed, coalesce(edges, 0) AS edges FROM q LEFT JOIN n ON n.project = q.project")
 R.add("i14_cached_graph", lambda t: t.graph_edges.groupBy("kind", "nature").agg(F.count("*").alias("edges"), F.countDistinct("source_node_id").alias("sources")), f"{cte('symbols', 'relationships')}{_GRAPH} SELECT kind, nature, count(*) AS edges, count(DISTINCT source_node_id) AS sources FROM graph GROUP BY kind, nature")
 
 

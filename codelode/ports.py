@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from .functions.text import hash_embedding
 from .operators.retrieval import cosine_top_k
 from .operators import discovery
+from .operators.traverse import program_graph
 from .sources.files import excerpt
 from .store import SnapshotStore
 
@@ -103,6 +104,16 @@ class HashEmbedding:
         return hash_embedding(text)
 
 
+class RelationsGraph:
+    """A graph provider over relations: calls, and the data flow of writes and reads."""
+
+    def cache_key(self, snapshot: str) -> str:
+        return "relations-v1"
+
+    def analyze(self, symbols: DataFrame, relationships: DataFrame, snapshot: str) -> GraphFragment:
+        return GraphFragment(*program_graph(symbols, relationships))
+
+
 class LinesReader:
     """A source reader over lines that are already at hand."""
 
@@ -147,7 +158,7 @@ class MarkerDiscovery:
 
 #: Providers by kind and name.
 PROVIDERS: dict[str, dict[str, Callable]] = {
-    "embedding": {"hash": HashEmbedding}, "store": {"parquet": SnapshotStore}, "vectors": {"parquet": ParquetVectors}, "discovery": {"default": MarkerDiscovery}, "source": {"lines": LinesReader}, "graph": {}, "indexer": {},
+    "embedding": {"hash": HashEmbedding}, "store": {"parquet": SnapshotStore}, "vectors": {"parquet": ParquetVectors}, "discovery": {"default": MarkerDiscovery}, "source": {"lines": LinesReader}, "graph": {"relations": RelationsGraph}, "indexer": {},
 }
 
 

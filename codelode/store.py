@@ -85,12 +85,23 @@ def stored(df: DataFrame, name: str, tasks: int | None = None, compression: str
     """df written to the shared folder and read back: lineage ends here, and a lost executor costs no step before it.
 
     So many tasks write at most (see step_tasks), each one partition after another."""
-    path, schema = scratch(df.sparkSession, name), df.schema
+    return stored_at(df, scratch(df.sparkSession, name), tasks, compression)
+
+
+def stored_at(df: DataFrame, path: str, tasks: int | None = None, compression: str | None = None) -> DataFrame:
+    """stored() at a path of its own."""
+    schema = df.schema
     writer = df.coalesce(tasks or step_tasks(df)).write
     (writer.option("compression", compression) if compression else writer).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a path with all below it; one that isn't there is fine."""
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
 def files_mark(spark: SparkSession, folder: str) -> str:
     """What the files of a folder are now: their number, bytes and latest change. A table published from them is made anew once this changes."""
     fs, at = _fs(spark, folder)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from codelode import ports, store
+from codelode import graphs, ports, store
 from codelode.operators import traverse
 from codelode.sources import databases, java, scip
 
@@ -171,6 +171,54 @@ def test_fragments_of_providers_are_joined(spark):
     assert [tuple(r) for r in traverse.conflicts([one.edges, bad.edges]).collect()] == [("1", 2)]
 
 
+class Counted(ports.RelationsGraph):
+    """A provider that counts what it is asked."""
+
+    def __init__(self):
+        self.version, self.asked = "1", 0
+
+    def cache_key(self, snapshot):
+        return self.version
+
+    def analyze(self, symbols, relationships, snapshot):
+        self.asked += 1
+        return super().analyze(symbols, relationships, snapshot)
+
+
+def test_graphs_are_kept_by_key_within_a_bound(spark):
+    import os
+
+    symbols = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, name string")
+    relation = "id string, source_id string, target_id string, target_type string, kind string, resolution_status string, nature string, confidence double"
+    rows = spark.createDataFrame([("1", "a", "b", "SYMBOL", "CALLS", "RESOLVED", "FACTUAL", None)], relation)
+    provider = Counted()
+    assert isinstance(provider, ports.GraphProvider)
+    cache = graphs.GraphCache(spark, {"counted": provider}, most=2)
+    read = lambda project, snapshot="s": cache.lease(project, snapshot, symbols, rows)
+    with read("p") as g:
+        assert not g.hit and g.edges.count() == 1 and g.nodes.count() == 2
+        names = {r["name"] for r in g.declared.collect()}
+        assert names == {"CALL_GRAPH", *graphs.LACKING.values()} - {"CALL_GRAPH_UNAVAILABLE"}
+        with read("q"), read("p") as again:
+            assert again.hit and provider.asked == 2
+        with read("r"):  # q was read longest ago
+            assert [k[0] for k in cache.keys()] == ["p", "r"]
+        provider.version = "2"
+        with read("p") as new:  # the old one has a reader still
+            assert not new.hit and g.edges.count() == 1 and [k[0] for k in cache.keys()] == ["r", "p"]
+        folder = g.edges.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder) and (cache.hits, cache.misses) == (1, 4) and [k[0] for k in cache.removed] == ["q", "p"]
+    provider.version = " "
+    with pytest.raises(ValueError, match="no cache key"), read("p"):
+        pass
+    provider.version = "3"
+    with pytest.raises(Exception), cache.lease("z", "s", symbols, rows.drop("kind")):  # noqa: B017
+        pass
+    with read("z") as g:  # what failed isn't kept
+        assert not g.hit and g.edges.count() == 1
+
+
 def test_a_workspace_has_bounds(spark):
     symbols = spark.createDataFrame([("a.java",), ("b.java",), ("c.kt",)], "file_id string")
     sizes = spark.createDataFrame([("a.java", 10), ("b.java", 20)], "path string, size long")
