@@ -131,6 +131,24 @@ def test_a_database_publishes_all_or_nothing(spark, derby):
         derby.active("p")
 
 
+def test_a_cluster_keeps_rows_in_parts_beside_the_database(spark, derby):
+    db = databases.Database(spark, derby.url, parted=True)
+    db.migrate()
+    assert db.load_vectors("p").count() == 0
+    assert db.publish_snapshot("p", "one", {"symbols": _facts(spark, 500)}) and not db.publish_snapshot("p", "one", {"symbols": _facts(spark, 500).repartition(3)})
+    with pytest.raises(ValueError, match="other content"):
+        db.publish_snapshot("p", "one", {"symbols": _facts(spark, 500, "changed")})
+    got = db.load_snapshot("p", "symbols")
+    assert got.exceptAll(_facts(spark, 500).select(*got.drop("project_id", "snapshot_id").columns).selectExpr("'p' AS project_id", "'one' AS snapshot_id", "*")).count() == 0 and got.count() == 500 and dict(got.dtypes)["external"] == "boolean"
+    with pytest.raises(Exception, match="UNIQUE"):
+        db.publish_snapshot("p", "twice", {"symbols": _facts(spark, 3).union(_facts(spark, 3))})
+    assert db.active("p")[0] == "one"
+    index = lambda n: spark.range(n).select(F.format_string("d%d", "id").alias("stable_key"), F.lit("SYMBOL").alias("kind"), F.lit("c").alias("checksum"), F.array(F.col("id").cast("float"), F.lit(-2.5e-8).cast("float")).alias("vector"))
+    for n in (30, 7, 0):
+        db.replace_vectors("p", index(n))
+        assert db.load_vectors("p").exceptAll(index(n)).count() == 0 and db.load_vectors("p").count() == n
+
+
 def test_a_transaction_that_fails_changes_nothing(spark, derby, monkeypatch):
     derby.publish_snapshot("p", "one", {"symbols": _facts(spark, 5)})
     monkeypatch.setattr(databases, "promote_sql", lambda *_: ["INSERT INTO codelode.nowhere VALUES (?, ?)"])
