@@ -68,3 +68,11 @@ def test_files_as_rows(spark):
 @pytest.mark.parametrize("text", ['"a\\"b"', "'\\''", '"""x "y" z"""', "/* a * b */ 1", "a >>>= 2"])
 def test_tokens(text):
     assert len(java.tokens(text)) in (1, 3)
+
+
+def test_edges_are_counted_where_they_are_read(spark):
+    rows = [(f"A{i}.java", "class A { int f(int a) { int x = a; if (x > 1) { x = x + 1; } return x; } }" if i % 2 else "class A { }") for i in range(40)] + [("null.java", None), ("bad.java", "class A { void f() { (")]
+    sources = spark.createDataFrame(rows, "path string, content string").coalesce(1)
+    got = java.edge_counts(sources, "CONTROL_FLOW")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and java.spread(sources).rdd.getNumPartitions() >= 16
+    assert {tuple(r) for r in got.collect()} == {(f"A{i}.java", 5) for i in range(1, 40, 2)}
