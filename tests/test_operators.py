@@ -146,6 +146,22 @@ def test_a_tenant_keeps_an_owner(spark):
         governance.upsert_members(m, spark.createDataFrame([("t", "u", "VIEWER")], m.schema)).collect()
 
 
+def test_a_tenant_may_have_more_members_where_its_bound_is_higher(spark):
+    m = spark.range(1500).selectExpr("'t' AS tenant_id", "concat('u', id) AS principal_id", "CASE WHEN id = 0 THEN 'OWNER' ELSE 'VIEWER' END AS role")
+    change = spark.createDataFrame([("t", "u1", None)], m.schema)
+    with pytest.raises(Exception, match="at most 1024 members"):
+        governance.upsert_members(m, change).collect()
+    assert governance.upsert_members(m, change, 1500).count() == 1499
+
+
+def test_every_symbol_of_a_file_has_its_position(spark):
+    s = spark.range(1700).selectExpr("'p' AS project_id", "'f' AS file_id", "format_string('s%05d', id) AS id", "CASE WHEN id % 7 > 0 THEN CAST(id % 5 AS INT) END AS start_line", "CAST(id % 3 AS INT) AS start_column", "CAST(NULL AS STRING) AS qualified_name", "'n' AS name")
+    got = [(r["id"], r["position"]) for r in lookup.file_symbols(s, "p", "f", None).orderBy("position").collect()]
+    want = sorted(s.collect(), key=lambda r: (2**31 - 1 if r["start_line"] is None else r["start_line"], r["start_column"], r["id"]))
+    assert got == [(r["id"], k) for k, r in enumerate(want, 1)]
+    assert lookup.file_symbols(s, "p", "f").count() == 200
+
+
 def test_lifecycle_keeps_the_old_snapshot():
     def fails():
         raise RuntimeError("no")
