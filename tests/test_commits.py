@@ -126,3 +126,9 @@ def test_a_session_delivered_twice_in_a_batch_is_there_once(spark, tmp_path):
     for checkpoint in ("c1", "c1", "c2"):  # run on, and a replay of all batches
         sessions.ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/log", f"file://{tmp_path}/{checkpoint}").awaitTermination()
     assert sorted(r["hits"] for r in SessionLog(spark, f"file://{tmp_path}/log").load().collect()) == [1, 1, 2]
+
+
+def test_saved_sessions_of_the_query_have_no_bound_of_a_project():
+    from codelode.plans import library
+
+    assert min(library.UNBOUNDED.values()) > 1 << 50 and set(library.UNBOUNDED) == {"most_sessions", "most_bytes", "most_session_bytes"}
