@@ -162,6 +162,23 @@ def test_every_symbol_of_a_file_has_its_position(spark):
     assert lookup.file_symbols(s, "p", "f").count() == 200
 
 
+def test_published_ranges_grow_with_their_sources_and_hold_no_rows_without_a_target(spark, tmp_path, monkeypatch):
+    from codelode import store
+    from codelode.plans.registry import DERIVED
+
+    rows = spark.range(40000).selectExpr("CAST(id AS STRING) AS id", "CASE WHEN id % 4 > 0 THEN sha2(CAST(id AS STRING), 256) END AS target_id")
+    rows.write.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(store, "PUBLISHED_BYTES", 1 << 15)
+
+    class Some:
+        relationships = spark.read.parquet(f"{tmp_path}/rows")
+
+    make, order = DERIVED["relationships_by_target"]
+    got = store.published(spark, str(tmp_path), "some", lambda: make(Some), order)
+    files = len(list((tmp_path / "rows").glob("*.parquet")))
+    assert len(got.inputFiles()) > max(16, files) and got.filter("target_id IS NULL").count() == 0 and got.count() == 30000
+
+
 def test_lifecycle_keeps_the_old_snapshot():
     def fails():
         raise RuntimeError("no")
