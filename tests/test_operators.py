@@ -179,6 +179,20 @@ def test_published_ranges_grow_with_their_sources_and_hold_no_rows_without_a_tar
     assert len(got.inputFiles()) > max(16, files) and got.filter("target_id IS NULL").count() == 0 and got.count() == 30000
 
 
+def test_pairs_of_a_name_come_once_and_are_not_shuffled(spark):
+    row = lambda i, file, name: (i, "p", file, "CLASS", name, f"a.{name}", False, False)
+    rows = [row(f"t{i}", f"src/test/T{i}.java", "WidgetTest") for i in range(3)] + [row(f"s{i}", "src/main/W.java", "Widget") for i in range(4)]
+    rows += [row("twice", "src/main/W.java", "Widget"), row("twice", "src/main/W.java", "t 0"), row("u", "src/main/U.java", "Other")]
+    s = spark.createDataFrame(rows, "id string, project_id string, file_id string, kind string, name string, qualified_name string, external boolean, generated boolean")
+    got = derive.naming_candidates(s, derive.test_anchors(s)).collect()
+    assert len(got) == len(set(got)) == 3 * 5
+    none = spark.createDataFrame([], "project_id string, symbol_id string, file_id string, resolution_status string, roles array<string>")
+    facts = spark.createDataFrame([("p", "t0", "s1", "CALLS", "FACTUAL"), ("p", "t1", "u", "REFERENCES", "FACTUAL")], "project_id string, source_id string, target_id string, kind string, nature string")
+    found = derive.related_tests(s, none, facts)
+    kinds = {(r["test_id"], r["production_id"]): (r["nature"], r["evidence_types"]) for r in found.filter("production_id <> 'twice'").collect()}
+    assert len(kinds) == 13 and kinds["t0", "s1"] == ("DERIVED", 4) and kinds["t1", "u"] == ("DERIVED", 3) and kinds["t2", "s1"] == ("HEURISTIC", 3)
+
+
 def test_lifecycle_keeps_the_old_snapshot():
     def fails():
         raise RuntimeError("no")
