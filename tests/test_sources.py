@@ -222,3 +222,13 @@ def test_a_node_of_very_many_relations_is_no_task_of_its_own(spark):
     assert sorted((r["node"], r["position"]) for r in near.collect()) == [("hub", k) for k in range(1, 6)] + [("s7", 1)]
     walk = context.walks(relations, spark.createDataFrame([("s7",), ("nobody",)], "root string"), 2, 3).collect()
     assert {r["root"]: len(r["steps"]) for r in walk} == {"s7": 4, "nobody": 0} and {r["root"]: r["first_over"] for r in walk}["s7"] == 1
+
+
+def test_a_session_file_is_read_one_observation_after_another():
+    from codelode.sources import envelopes
+
+    head = f"{envelopes.FORMAT}\nsession\ts\nproject\tp\nsnapshot\tx\nstarted\ta\nended\tb\ncollector\tagent\t1\nenvironment\te\ncompleteness\tPARTIAL\n"
+    rows = envelopes.session_rows(head + "symbol\tk\t\t\t\t1\t0\nbad\n")
+    assert next(rows)["source_key"] == "k"
+    with pytest.raises(ValueError, match="line 11"):
+        next(rows)
