@@ -193,6 +193,30 @@ def test_pairs_of_a_name_come_once_and_are_not_shuffled(spark):
     assert len(kinds) == 13 and kinds["t0", "s1"] == ("DERIVED", 4) and kinds["t1", "u"] == ("DERIVED", 3) and kinds["t2", "s1"] == ("HEURISTIC", 3)
 
 
+def test_what_many_references_ask_is_cut_once(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "MAX_CANDIDATES", 3)
+    asked = []
+    whole = runtime.hits_of
+    monkeypatch.setattr(runtime, "hits_of", lambda r, s: (asked.append(r.count()), whole(r, s))[1])
+    s = spark.range(5).selectExpr("concat('s', id) AS id", "concat('k', id) AS symbol_key", "'q' AS qualified_name", "'f' AS file_id", "CAST(id AS INT) AS start_line", "CAST(id + 1 AS INT) AS end_line")
+    refs = spark.range(40).selectExpr("concat('r', id) AS ref_id", "CASE WHEN id = 0 THEN 'k1' END AS key", "CASE WHEN id < 30 THEN 'q' END AS name", "'f' AS file", "CASE WHEN id % 2 > 0 THEN 2 END AS line")
+    got = [(r["id"], r["k"]) for r in runtime.candidate_ids(refs, s).filter("ref_id = 'r7'").orderBy("k").collect()]
+    assert got == [("s0", 1), ("s1", 2), ("s2", 3)] and asked == [4] and runtime.named_ids(refs, s).count() == 29 * 3
+    assert {r["id"] for r in runtime.candidate_ids(refs, s).filter("ref_id = 'r31'").collect()} == {"s1", "s2"} and runtime.candidate_ids(refs, s).filter("ref_id = 'r0'").count() == 0
+
+
+def test_queries_of_one_pass_publish_no_relations(spark, monkeypatch):
+    from codelode.plans import catalog, registry
+
+    def publish(_, __, name, make, order):
+        assert name in ("symbols", "placed_symbols"), name
+        return make()
+
+    monkeypatch.setattr(registry, "published", publish)
+    for name in ("h03_distinct_union", "d08_cross_project", "a20_capability_check", "e07_module_edges", "f09_bounded_sample"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
 def test_lifecycle_keeps_the_old_snapshot():
     def fails():
         raise RuntimeError("no")
