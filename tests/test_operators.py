@@ -217,6 +217,17 @@ def test_queries_of_one_pass_publish_no_relations(spark, monkeypatch):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
 
 
+def test_lookups_of_relationships_publish_nothing(spark, monkeypatch):
+    from codelode.plans import catalog, registry
+
+    def publish(*_):
+        raise AssertionError("published")
+
+    monkeypatch.setattr(registry, "published", publish)
+    for name in ("c07_relationships", "c08_direction_any", "c09_implementations", "c12_dependencies", "c14_related_tests", "g04_relationship_order"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
 def test_lifecycle_keeps_the_old_snapshot():
     def fails():
         raise RuntimeError("no")
