@@ -12,23 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import scratch, source_bytes, stored
+from ..store import ARROW_BATCH_BYTES, scratch, small_batches, source_bytes, stored
 
-__all__ = ["scratch", "source_bytes", "stored"]
-
-#: Bytes of one Arrow batch sent to a Python worker, so that very long texts don't pile up there.
-ARROW_BATCH_BYTES = 4 << 20
+__all__ = ["ARROW_BATCH_BYTES", "scratch", "small_batches", "source_bytes", "stored"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes: 10,000 rows of long texts would not fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-
-
 def give_back() -> None:
     """Give what this process no longer holds back to the machine, not only to its allocators."""
     gc.collect()

@@ -249,3 +249,26 @@ def test_index_files_hold_what_was_written():
     one = {"position": 0, "relative_path": "B.java", "language": "java", "encoding": 1, "occurrences": [{"range": [300, 0, 7], "symbol": "s m p v a/B#", "roles": 65}], "symbols": [symbol], "external": False}
     outside = {"position": 1, "relative_path": "", "language": "", "encoding": 0, "occurrences": [], "symbols": [symbol | {"relationships": []}], "external": True}
     assert scip.decode(scip.encode([one, outside])) == [one, outside]
+
+
+def test_an_index_is_written_and_read_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scip, "PART", 4)
+    monkeypatch.setattr(scip, "SPAN", 200)
+    symbol = lambda k: (f"s m p v a/B{k}#", 7, f"B{k}", "", "", "", [])
+    rows = [(f"ix{i % 2}", i // 2, f"B{i}.java", "java", 0, False, [([i, 0, 7], f"s m p v a/B{i}#", 1)], [symbol(i)]) for i in range(42)]
+    rows += [("ix0", 21, "", "", 0, True, [], [symbol(90), symbol(91)])]
+    documents = spark.createDataFrame(rows, scip.DOCUMENTS)
+    scip.write_index(documents, f"file://{tmp_path}/x")
+    files = sorted(p.name for p in (tmp_path / "x").glob("*.scip"))
+    assert len(files) == 12  # six of each: no task has an index whole
+    got = scip.read_index(spark, f"file://{tmp_path}/x").drop("index").orderBy("external", "position", "relative_path").collect()
+    want = documents.drop("index").orderBy("external", "position", "relative_path").collect()
+    assert got == want and scip.read_index(spark, f"file://{tmp_path}/x").select("index").distinct().count() == 2
+    one = tmp_path / "one.scip"
+    one.write_bytes(b"".join((tmp_path / "x" / f).read_bytes() for f in files if f[:64] == files[0][:64]))
+    assert scip.read_index(spark, f"file://{one}").filter("NOT external").count() == 21
+    own = scip.read_index(spark, f"file://{one}").drop("index").orderBy("position").collect()
+    assert [r.asDict(True) for r in own] == [{k: d[k] for k in got[0].asDict()} for d in scip.decode(one.read_bytes())]
+    one.write_bytes(one.read_bytes()[:-3])
+    with pytest.raises(Exception, match="beyond its message"):
+        scip.read_index(spark, f"file://{one}").count()
