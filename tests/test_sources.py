@@ -224,6 +224,27 @@ def test_a_node_of_very_many_relations_is_no_task_of_its_own(spark):
     assert {r["root"]: len(r["steps"]) for r in walk} == {"s7": 4, "nobody": 0} and {r["root"]: r["first_over"] for r in walk}["s7"] == 1
 
 
+def test_walks_of_many_roots_go_through_the_relations_once(spark):
+    ends = [("a", "b"), ("a", "c"), ("a", "d"), ("a", "a"), ("b", "a"), ("b", None), ("c", "b"), ("d", "b"), ("d", "b"), ("e", "a"), ("f", "d"), ("b", "b"), (None, "b")] + [(f"x{i}", "hub") for i in range(9)]
+    rows = [(f"r{i:02d}", "p", "SYMBOL", s, t and "SYMBOL", t, None if t else "ext", ("CALLS", "READS", "IMPORTS")[i % 3], "FACTUAL", None, i % 4) for i, (s, t) in enumerate(ends)]
+    relations = spark.createDataFrame(rows, "id string, project_id string, source_type string, source_id string, target_type string, target_id string, unresolved_target string, kind string, nature string, file_id string, start_line int")
+    roots = spark.createDataFrame([(x,) for x in (*"abcdef", "hub", "x1", "nobody")], "root string")
+    read = lambda df: {r["root"]: (r["steps"], r["first_over"]) for r in df.collect()}
+    for depth, each in ((0, 3), (1, 1), (2, 3), (3, 2), (2, 50)):
+        assert read(context.walks(relations, roots, depth, each, many=True)) == read(context.walks(relations, roots, depth, each))
+
+
+def test_contexts_of_all_files_and_symbols_publish_nothing(spark, monkeypatch):
+    from codelode.plans import catalog, registry
+
+    def publish(*_):
+        raise AssertionError("published")
+
+    monkeypatch.setattr(registry, "published", publish)
+    for name in ("n06_file_contexts", "n07_symbol_contexts", "i07_all_walks"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
 def test_a_session_file_is_read_one_observation_after_another():
     from codelode.sources import envelopes
 
