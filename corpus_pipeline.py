@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codelode.llm import bpe, jaccard, mixing, toxicity
-from codelode.llm.common import renamed, stored, table, with_names
+from codelode.llm.common import renamed, small_batches, stored, table, with_names
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no words: the mix takes it as often as its block. Rows equal in doc_id and text share their takes; a null
     source is a source of its own, a null doc_id a value like others. An empty table gives no rows; all columns stay. The order is that of
     the files' rows, a run of a shard in each file; no column holds it."""
+    small_batches(spark)
     return mixing.mixed_in_order(docs)
 
 

@@ -5,12 +5,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import oracle
 from codelode.llm import bpe, files, syncmers, token_counts, toxicity, transducer
+from codelode.llm.common import scratch, small_batches, stored
 from codelode.llm.queries import QUERIES
 
 WORD, BYTE = bpe.vocabulary("word_bpe_49k.json"), bpe.vocabulary("byte_bpe_50k.json")
@@ -256,3 +258,18 @@ def test_files_are_published_whole(tmp_path):
     assert bytes(files.mapped(name)) == b"abc" and [p.name for p in (tmp_path / "a").iterdir()] == ["b"]
     files.publish(name := f"{tmp_path}/empty", b"")
     assert len(files.mapped(name)) == 0
+
+
+def test_long_texts_are_read_and_written_in_small_pieces(spark):
+    """A row group, a page and a scan's batch of long texts stay small, in a step and in what a caller writes of a stage's result."""
+    small_batches(spark)
+    texts = spark.range(6000, numPartitions=1).select("id", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.sha2(F.concat_ws(" ", "id", k), 256))).alias("text"))
+    step = stored(texts, "small-pieces")
+    own = scratch(spark, "small-pieces")
+    step.write.parquet(own)
+    for df in (step, spark.read.parquet(own)):
+        groups = [m.row_group(g) for f in df.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in range(m.num_row_groups)]
+        assert max(g.column(1).total_compressed_size for g in groups) < 12 << 20
+        assert sum(g.num_rows for g in groups) == 6000
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) * 3840 < 4 << 20
+    assert step.exceptAll(texts).isEmpty()
