@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, lean, own_names, small_batches, stored, table
+from ..store import remove
+from . import files
+from .common import give_back, lean, own_names, scratch, small_batches, stored, table
 
 #: Hashed features; weights are one float32 each, so what is broadcast has at most 4 * DIMS bytes.
 DIM_BITS = 20
@@ -142,7 +146,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
 
     Rows with a null id, label or text don't count as labelled; of labels that contradict each other 1 counts; of texts that share an id
     the one with the fewest features, then the smallest hash. The sample is drawn by hashed id from all labelled rows; hashed features,
-    not texts, come to the driver, at most so many as features says: a document that would go beyond is passed over whole."""
+    not texts, come to the driver, by files that tasks write and it maps, at most so many as features says: a document that would go beyond is passed over whole."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).filter("_id IS NOT NULL AND _toxic IN (0, 1)").filter(~held_out("_id")).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
@@ -166,12 +170,36 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
     if not kept:
         return []
     taken = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["_hash", "_id", "n", "mark"]))
-    rows = found.join(F.broadcast(taken), ["_hash", "_id", "n", "mark"]).select("_hash", "_id", "x", "y").toArrow()
-    x, y = rows.column("x"), rows.column("y").to_pylist()
+    folder = scratch(spark, "toxicity-features")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [x.as_buffer() for x in b.column(2)]
+            files.publish(name := f"{folder}/{uuid.uuid4().hex}", b"".join(packed))  # a file for each batch; a task that runs twice has others
+            ends = np.cumsum([0, *(x.size // 4 for x in packed)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([name] * len(packed), pa.string()), pa.array(ends[:-1]), pa.array(ends[1:])], ["_hash", "_id", "y", "file", "start", "stop"])
+
+    rows = found.join(F.broadcast(taken), ["_hash", "_id", "n", "mark"]).select("_hash", "_id", "x", "y").mapInArrow(lean(written), "_hash long, _id long, y int, file string, start long, stop long").collect()
     order = {}
-    for i, key in enumerate(zip(rows.column("_hash").to_pylist(), rows.column("_id").to_pylist(), strict=True)):
-        order.setdefault(key, i)  # equal texts of an id
-    return [(np.frombuffer(x[i].as_buffer(), np.int32), y[i]) for _, i in sorted(order.items())]
+    for r in rows:
+        order.setdefault((r["_hash"], r["_id"]), r)  # equal texts of an id
+    held, base = _one_file(sorted({r["file"] for r in order.values()}))
+    remove(spark, folder)
+    return [(held[base[r["file"]] + r["start"] : base[r["file"]] + r["stop"]], r["y"]) for _, r in sorted(order.items())]
+
+
+def _one_file(names: list[str]) -> tuple[np.ndarray, dict[str, int]]:
+    """Files of features in one that the driver maps, so that they are pages of a file and not memory, and where each begins."""
+    base, size = {}, 0
+    with tempfile.TemporaryFile() as out:
+        for name in names:
+            base[name] = size // 4
+            store, path = files.at(name)
+            with store.open_input_stream(path, compression=None) as source:
+                while block := source.read(1 << 20):
+                    size += out.write(block)
+        out.flush()
+        return (np.memmap(out, np.int32, "r") if size else np.zeros(0, np.int32)).view(np.ndarray), base  # the mapping keeps the file
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:

@@ -1,8 +1,11 @@
 """Fingerprints, BPE, token counts and toxicity against plain versions of themselves."""
 
+import gc
 import hashlib
 import math
+import mmap
 import random
+import weakref
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import oracle
+from codelode import store
 from codelode.llm import bpe, files, syncmers, token_counts, toxicity, transducer
 from codelode.llm.common import scratch, small_batches, stored
 from codelode.llm.queries import QUERIES
@@ -273,3 +277,41 @@ def test_long_texts_are_read_and_written_in_small_pieces(spark):
         assert sum(g.num_rows for g in groups) == 6000
     assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) * 3840 < 4 << 20
     assert step.exceptAll(texts).isEmpty()
+
+
+def test_the_fits_features_are_pages_of_a_file_in_the_driver(spark):
+    """Features come by files that tasks write; the driver maps one of them all, and they are those of the texts."""
+    texts = {i: " ".join(f"w{i * k % 37}" for k in range(1, 5 + i)) if i % 9 else "" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    rows = toxicity.sampled(docs, labels)
+    ids = [r[0] for r in labels.filter(~toxicity.held_out()).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").select("doc_id").collect()]
+    assert len(rows) == len(ids)
+    maker = toxicity.Features()
+    for (x, y), i in zip(rows, ids, strict=True):
+        assert y == i % 2 and x.tolist() == maker.of(texts[i]).tolist()
+        while isinstance(x, np.ndarray):
+            x = x.base
+        assert isinstance(x, mmap.mmap)
+
+
+def test_a_step_collects_the_drivers_garbage_once_its_heap_has_grown(spark, monkeypatch):
+    kept = []
+    for share in (1.0, 0.0):  # never, always
+        monkeypatch.setattr(store, "HEAP_SHARE", share)
+        monkeypatch.setattr(store, "_collected", float("-inf"))
+        stored(spark.range(3), "garbage")
+        kept.append(store._collected > float("-inf"))
+    assert kept == [False, True]
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    count = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    ring: list = [np.zeros(1)]
+    ring.append(ring)  # only Python's own collection finds that nothing needs it
+    seen, before = weakref.ref(ring[0]), count()
+    gc.disable()
+    try:
+        del ring
+        monkeypatch.setattr(store, "_collected", float("-inf"))
+        assert stored(spark.range(3), "garbage").count() == 3 and seen() is None and count() > before
+    finally:
+        gc.enable()
