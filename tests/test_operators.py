@@ -193,6 +193,29 @@ def test_pairs_of_a_name_come_once_and_are_not_shuffled(spark):
     assert len(kinds) == 13 and kinds["t0", "s1"] == ("DERIVED", 4) and kinds["t1", "u"] == ("DERIVED", 3) and kinds["t2", "s1"] == ("HEURISTIC", 3)
 
 
+def test_pairs_of_a_name_are_made_by_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(derive, "BLOCK", 8)
+    monkeypatch.setattr(derive, "TASK_PAIRS", 100)
+    row = lambda i, file, name: (i, "p", file, "CLASS", name, f"a.{name}", False, False)
+    rows = [row(f"t{i}", f"src/test/T{i}.java", "WidgetTest") for i in range(30)] + [row(f"s{i}", "src/main/W.java", "Widget") for i in range(50)] + [row("v", "src/test/V.java", "OtherTest"), row("u", "src/main/U.java", "Other")]
+    s = spark.createDataFrame(rows, "id string, project_id string, file_id string, kind string, name string, qualified_name string, external boolean, generated boolean")
+    found = derive.naming_candidates(s, derive.test_anchors(s))
+    tasks = found.select("test_id", "production_id", F.spark_partition_id().alias("task")).collect()
+    assert len({r[:2] for r in tasks}) == len(tasks) == 30 * 50 + 1 and len({r["task"] for r in tasks}) > 8
+
+
+def test_related_tests_publish_nothing_and_broadcast_no_table(spark, monkeypatch):
+    from codelode.plans import catalog, registry
+
+    def publish(*_):
+        raise AssertionError("published")
+
+    monkeypatch.setattr(registry, "published", publish)
+    for name in ("e02_related_tests",):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") >= 2  # the list of large names, once a side
+
+
 def test_what_many_references_ask_is_cut_once(spark, monkeypatch):
     monkeypatch.setattr(runtime, "MAX_CANDIDATES", 3)
     asked = []
