@@ -211,7 +211,7 @@ def test_related_tests_publish_nothing_and_broadcast_no_table(spark, monkeypatch
         raise AssertionError("published")
 
     monkeypatch.setattr(registry, "published", publish)
-    for name in ("e02_related_tests",):
+    for name in ("d03_naming_join", "e02_related_tests"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") >= 2  # the list of large names, once a side
 
