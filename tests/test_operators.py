@@ -60,6 +60,15 @@ def test_impact_prefers_short_then_sure_paths(spark):
     assert traverse.impact(symbols, rows, "r", 1, 1)[0].count() == 1
 
 
+def test_impacted_tests_are_those_of_the_impact_without_its_bound(spark):
+    symbols = spark.createDataFrame([symbol(x, x) for x in "rabcde"] + [symbol("x", "x", external=True)], SYMBOL)
+    rows = spark.createDataFrame([relation("1", "a", "r", "CALLS"), relation("2", "b", "r", "RELATED_TEST", status="HEURISTIC"), relation("3", "c", "a", "RELATED_TEST"), relation("4", "b", "a", "CALLS"), relation("5", "r", "a", "RELATED_TEST"), relation("6", "x", "r", "RELATED_TEST"), relation("7", "d", "c", "CALLS"), relation("8", "a", "d", "RELATED_TEST"), relation("9", "e", "a", "CALLS", status="HEURISTIC")], RELATION)
+    got = lambda depth: sorted(r[0] for r in traverse.impacted_tests(symbols, rows, "r", depth).collect())
+    assert [got(n) for n in (1, 2, 3, 4)] == [["b"], ["b", "c"], ["b", "c"], ["a", "b", "c"]]
+    assert got(4) == sorted(r["symbol_id"] for r in traverse.impact(symbols, rows, "r", 4, 200)[1].collect())
+    assert traverse.impacted_tests(symbols, rows, "none", 4).count() == 0
+
+
 def edges(spark, *rows):
     return spark.createDataFrame([(i, s, t, k, "FACTUAL", None) for i, s, t, k in rows], "id string, source_node_id string, target_node_id string, kind string, nature string, confidence double")
 
@@ -204,13 +213,14 @@ def test_pairs_of_a_name_are_made_by_as_many_tasks_as_they_ask_for(spark, monkey
     assert len({r[:2] for r in tasks}) == len(tasks) == 30 * 50 + 1 and len({r["task"] for r in tasks}) > 8
 
 
-def test_related_tests_publish_nothing_and_broadcast_no_table(spark, monkeypatch):
+def test_related_and_impacted_tests_publish_nothing_and_broadcast_no_table(spark, monkeypatch):
     from codelode.plans import catalog, registry
 
     def publish(*_):
         raise AssertionError("published")
 
     monkeypatch.setattr(registry, "published", publish)
+    catalog.QUERIES["d13_impacted_tests_semi_join"](spark, "/root/testdata/sf0.001")
     for name in ("d03_naming_join", "e02_related_tests"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") >= 2  # the list of large names, once a side
