@@ -149,6 +149,26 @@ def test_a_cluster_keeps_rows_in_parts_beside_the_database(spark, derby):
         assert db.load_vectors("p").exceptAll(index(n)).count() == 0 and db.load_vectors("p").count() == n
 
 
+def test_parts_of_a_table_are_kept_compressed(spark, tmp_path):
+    rows = databases.staged(_facts(spark, 20000).withColumns({"project_id": F.lit("p"), "snapshot_id": F.lit("one"), "part": F.lit(0)}), "symbols")
+    databases.write_parts(rows, "symbols", f"file://{tmp_path}/parts")
+    assert sum(p.stat().st_size for p in (tmp_path / "parts").iterdir() if p.is_file()) < 20000 * 40
+    assert databases.read_parts(spark, "symbols", f"file://{tmp_path}/parts").exceptAll(rows).count() == 0
+
+
+def test_a_snapshot_published_thrice_is_made_once(spark, monkeypatch):
+    from codelode.plans import library, registry
+
+    def publish(*_):
+        raise AssertionError("published")
+
+    made, load = [], registry.load
+    monkeypatch.setattr(registry, "published", publish)
+    monkeypatch.setattr(registry, "load", lambda *a: (made.append(a[2]), load(*a))[1])
+    got = library.database_publishes(registry.Tables(spark, "/root/testdata/sf0.001"))
+    assert [r["outcome"] for r in got.filter("name = 'symbols'").collect()] == ["added", "there", "refused"] and made == ["symbols", "relationships"]
+
+
 def test_a_transaction_that_fails_changes_nothing(spark, derby, monkeypatch):
     derby.publish_snapshot("p", "one", {"symbols": _facts(spark, 5)})
     monkeypatch.setattr(databases, "promote_sql", lambda *_: ["INSERT INTO codelode.nowhere VALUES (?, ?)"])
